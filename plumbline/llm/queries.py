@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import jaccard_join, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op6_jaccard_join": jaccard_join.query,
 }
 
 #: None of these has a practical SQL form over whole tables; the tests hold them against brute force.
