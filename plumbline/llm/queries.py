@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, substring_dedup
+from . import jaccard_join, packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op3_packing": packing.query,
     "op6_jaccard_join": jaccard_join.query,
 }
 
