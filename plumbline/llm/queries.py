@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, substring_dedup
+from . import jaccard_join, packing, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op3_packing": packing.query,
     "op6_jaccard_join": jaccard_join.query,
+    "op7_simhash": simhash.query,
 }
 
 #: None of these has a practical SQL form over whole tables; the tests hold them against brute force.
