@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, simhash, substring_dedup
+from . import embedding_dedup, jaccard_join, packing, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op3_packing": packing.query,
+    "op4_embedding_dedup": embedding_dedup.query,
     "op6_jaccard_join": jaccard_join.query,
     "op7_simhash": simhash.query,
 }
