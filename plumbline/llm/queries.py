@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, packing, simhash, substring_dedup
+from . import embedding_dedup, jaccard_join, packing, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_embedding_dedup": embedding_dedup.query,
     "op6_jaccard_join": jaccard_join.query,
     "op7_simhash": simhash.query,
+    "op9_toxicity": toxicity.query,
 }
 
 #: None of these has a practical SQL form over whole tables; the tests hold them against brute force.
