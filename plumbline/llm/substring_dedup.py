@@ -6,10 +6,12 @@ that start at the shifted places are equal too and both start at cover positions
 positions (here 5 of 21) loses no match.  Anchors that occur twice are then extended: in the texts that hold
 them, every full window around them is hashed and counted.
 
+Equal texts share one ``node`` (a hash of the text), so a large group of copies is extended and marked once.
+
 Cases: a null text has no words; a text shorter than the window keeps all; overlapping repeats inside one text
-count; white space between words does not matter; a repeated row counts as another occurrence; ``doc_id`` names
-a text, and a row with a null ``doc_id`` counts as an occurrence but is itself returned whole.  An empty table
-gives an empty result; other columns are ignored.  Hashes have 64 bits.
+count; white space between words does not matter; a repeated row counts as another occurrence, whatever its
+``doc_id``, which may be null or repeat.  An empty table gives an empty result; other columns are ignored.
+Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def _cover(place: np.ndarray, period: int, cover: tuple[int, ...]) -> np.ndarray
 
 
 def anchors(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """``(h, doc_id)`` for each cover position of each text."""
+    """``(h, node)`` for each cover position of each text."""
     width = window - period + 1
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,17 +56,24 @@ def anchors(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
             at, doc, place = _places(words, width)
             keep = _cover(place, period, cover)
             h = words.windows(width)[at[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), part.column("doc_id").take(pa.array(doc[keep]))], ["h", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), part.column("node").take(pa.array(doc[keep]))], ["h", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(step, "h long, doc_id long")
+    return docs.select("node", "text").mapInArrow(step, "h long, node long")
 
 
 def _candidates(matched: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """Full windows around repeated anchors: ``(h, doc_id, pos)``.  Input: doc_id, text, hs (repeated anchors)."""
+    """Full windows around repeated anchors: ``(h, node, pos, w)``.  Input: node, text, hs (repeated anchors).
+
+    The merge join leaves equal texts side by side: the first of a run stands for all, with ``w`` 2 if there are more.
+    """
     width = window - period + 1
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
+            node = part.column("node").to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            weight = np.minimum(np.diff(np.append(first, len(node))), 2).astype(np.int8)
+            part = part.take(pa.array(first))
             words = Words(part.column("text"))
             at, doc, place = _places(words, width)
             keep = _cover(place, period, cover)
@@ -82,11 +91,11 @@ def _candidates(matched: DataFrame, window: int, period: int, cover: tuple[int,
             near = np.cumsum(reach)[full] > 0
             full, full_doc, full_place = full[near], full_doc[near], full_place[near]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(words.windows(window)[full])), part.column("doc_id").take(pa.array(full_doc)), pa.array(full_place.astype(np.int32))],
-                ["h", "doc_id", "pos"],
+                [pa.array(signed(words.windows(window)[full])), part.column("node").take(pa.array(full_doc)), pa.array(full_place.astype(np.int32)), pa.array(weight[full_doc])],
+                ["h", "node", "pos", "w"],
             )
 
-    return matched.mapInArrow(step, "h long, doc_id long, pos int")
+    return matched.select("node", "text", "hs").mapInArrow(step, "h long, node long, pos int, w byte")
 
 
 def _mark(owner: np.ndarray, value: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -146,13 +155,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or period > window:
         raise ValueError("cover must be a difference cover of a period of at most window words")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("node", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     found = anchors(docs, window, period, cover)
     repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    held = found.join(repeated.hint("merge"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    wide = written(_candidates(docs.join(held.hint("merge"), "doc_id"), window, period, cover))
-    again = wide.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    starts = wide.join(again.hint("merge"), "h").groupBy("doc_id").agg(F.collect_list("pos").alias("ps"))
-    return _cleaned(docs.join(starts.hint("merge"), "doc_id", "left"), window, texts)
+    held = found.join(repeated.hint("merge"), "h").groupBy("node").agg(F.collect_set("h").alias("hs"))
+    wide = written(_candidates(docs.join(held.hint("merge"), "node"), window, period, cover))
+    again = wide.groupBy("h").agg(F.sum("w").alias("n")).where("n > 1").select("h")
+    starts = wide.join(again.hint("merge"), "h").groupBy("node").agg(F.collect_list("pos").alias("ps"))
+    return _cleaned(docs.join(starts.hint("merge"), "node", "left").select("doc_id", "text", "ps"), window, texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
