@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, packing, simhash, substring_dedup, toxicity
+from . import embedding_dedup, jaccard_join, lm_scoring, packing, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_embedding_dedup": embedding_dedup.query,
     "op6_jaccard_join": jaccard_join.query,
     "op7_simhash": simhash.query,
+    "op8_lm_scoring": lm_scoring.query,
     "op9_toxicity": toxicity.query,
 }
 
