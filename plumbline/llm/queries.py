@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, lm_scoring, packing, simhash, substring_dedup, toxicity
+from . import embedding_dedup, html_extract, jaccard_join, lm_scoring, mixing, packing, pii, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_mixing": mixing.query,
     "op3_packing": packing.query,
     "op4_embedding_dedup": embedding_dedup.query,
+    "op5_html_extract": html_extract.query,
     "op6_jaccard_join": jaccard_join.query,
     "op7_simhash": simhash.query,
     "op8_lm_scoring": lm_scoring.query,
     "op9_toxicity": toxicity.query,
+    "op10_pii": pii.query,
 }
 
 #: None of these has a practical SQL form over whole tables; the tests hold them against brute force.
