@@ -49,16 +49,19 @@ def topic_of(text: str = "text") -> Column:
     )
 
 
+def draw_of() -> Column:
+    """A number from 0 to 1 for each document."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / F.lit(float(1 << 53))
+
+
+def rows_label(margin: str, topic: Column | None = None) -> Column:
+    label = (topic_of() if topic is None else topic) if margin == "topic" else F.col(margin)
+    return F.coalesce(label.cast("string"), F.lit(""))
+
+
 def labelled(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, draw`` of each document."""
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    return docs.select(
-        "doc_id",
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")],
-        F.coalesce(topic_of() if topic is None else topic.cast("string"), F.lit("")).alias("topic"),
-        n_tokens().alias("n_tokens"),
-        draw.alias("draw"),
-    )
+    return docs.select("doc_id", *[rows_label(c, topic).alias(c) for c in MARGINS], n_tokens().alias("n_tokens"), draw_of().alias("draw"))
 
 
 def _targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None) -> DataFrame:
@@ -106,18 +109,34 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     return now.select(*MARGINS, "tokens", "weight")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, budget: float = BUDGET) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens, probability, kept`` for each document."""
-    rows = labelled(docs, topic)
+def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float) -> tuple[DataFrame, bool]:
+    """``source, lang, topic, probability`` of each cell of labelled rows, and whether there are few cells."""
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     raked = rake(cells, targets, budget)
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
     chance = F.least(F.lit(1.0), F.col("weight") * F.lit(budget * float(total.n)) / F.col("tokens"))
-    known = raked.select(*MARGINS, chance.alias("probability"))
-    joined = rows.join(F.broadcast(known) if total.k <= SMALL else known.hint("merge"), list(MARGINS), "left")
+    return raked.select(*MARGINS, chance.alias("probability")), total.k <= SMALL
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, budget: float = BUDGET) -> DataFrame:
+    """``doc_id, source, lang, topic, n_tokens, probability, kept`` for each document."""
+    rows = labelled(docs, topic)
+    known, few = probabilities(rows, targets, budget)
+    joined = rows.join(F.broadcast(known) if few else known.hint("merge"), list(MARGINS), "left")
     probability = F.coalesce("probability", F.lit(0.0))
     return joined.select("doc_id", *MARGINS, "n_tokens", probability.alias("probability"), (F.col("draw") < probability).alias("kept"))
 
 
+def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, budget: float = BUDGET) -> DataFrame:
+    """The documents that ``mix`` keeps, with all their columns."""
+    rows = labelled(docs, topic)
+    known, few = probabilities(rows, targets, budget)
+    label = {c: rows_label(c, topic) for c in MARGINS}
+    marked = docs.withColumns({f"_mix_{c}": label[c] for c in MARGINS} | {"_mix_draw": draw_of()})
+    renamed = known.select(*[F.col(c).alias(f"_mix_{c}") for c in MARGINS], F.col("probability").alias("_mix_p"))
+    joined = marked.join(F.broadcast(renamed) if few else renamed.hint("merge"), [f"_mix_{c}" for c in MARGINS])
+    return joined.where("_mix_draw < _mix_p").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

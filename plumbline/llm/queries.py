@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import embedding_dedup, html_extract, jaccard_join, lm_scoring, mixing, packing, pii, simhash, substring_dedup, toxicity
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.query,
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: None of these has a practical SQL form over whole tables; the tests hold them against brute force.

@@ -315,6 +315,24 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(step, "doc_id long, score double")
 
 
+def filtered(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``cut``, all columns kept."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    names = docs.columns
+    at = names.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    plain = plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                p = sent.value.probability(sent.value.raw(part.column(at).to_pylist()))
+                yield part.filter(pa.array(p < cut))
+
+    return plain.mapInArrow(step, plain.schema).toDF(*names)
+
+
 def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part
 
