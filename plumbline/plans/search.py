@@ -68,7 +68,7 @@ def trend_windows(spark, sf):
 
 
 def _tracked(spark, sf):
-    return src.search_log(spark, sf).select("query").distinct().where(F.substring("query", -1, 1).isin("0", "5"))
+    return src.search_log(spark, sf).where("clicks = 1 and device = 'desktop' and position > 12").select("query").distinct()
 
 
 def query_labels(spark, sf):
@@ -112,7 +112,7 @@ labels_ as (select query, clicks, impressions, ctr, position, coalesce(n_pages,
   position between 4 and 20 and impressions >= {scaled(30, DAYS)} as quick_win,
   position > 0 and position <= 10 and impressions >= {scaled(50, DAYS)} and ctr < expected*0.6 as low_ctr,
   regexp_matches(query, '^(who|what|when|where|why|how)\\b') or query like '%?' as is_question, coalesce(n_meaningful, 0) >= 2 as compete,
-  right(query, 1) in ('0', '5') as tracked from queries join model on {_BUCKET} = bucket left join per using (query))"""
+  query in (select query from search_log where clicks = 1 and device = 'desktop' and position > 12) as tracked from queries join model on {_BUCKET} = bucket left join per using (query))"""
 
 
 def _sql(*ctes: str, body: str) -> str:
