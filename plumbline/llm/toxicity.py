@@ -21,6 +21,7 @@ none); repeated rows are scored alike; an empty table gives no rows; only the te
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import mixed, table
 
-#: Labelled documents that training takes at most, and characters of each that it reads.
-LABELLED = 6000
+#: Labelled documents that training takes at most.
+LABELLED = 3000
 LANDMARKS, GAP, DECAY = 128, 2, 0.8
 #: Words of clean documents to learn from, and first letters that may mark an insult.
 CLEAN_WORDS, STEMS = 6000, (4, 5)
@@ -56,7 +57,7 @@ def words_of(text: str | None) -> set[str]:
     out = {w.strip(_EDGE) for w in found}
     out.update([_NO_LETTER.sub("", w) for w in out if _BROKEN.search(w)])
     out.discard("")
-    return out
+    return {sys.intern(w) for w in out}
 
 
 def _spans() -> list[tuple[int, int, float]]:
@@ -125,10 +126,13 @@ class Machine:
         return out
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
-        """Score of the worst word of each text; every distinct word is scored once while it is remembered."""
-        bags = [words_of(t) for t in texts]
+        """Score of the worst word of each text."""
+        return self.worst([words_of(t) for t in texts])
+
+    def worst(self, bags: list[set[str]]) -> np.ndarray:
+        """The same from sets of words; every distinct word is scored once while it is remembered."""
         new = list(set().union(*bags) - self.seen.keys()) if bags else []
-        if len(self.seen) + len(new) > 300_000:
+        if len(self.seen) + len(new) > 150_000:
             self.seen.clear()
             new = list(set().union(*bags))
         self.seen.update(zip(new, self.word_scores(new).tolist(), strict=True))
@@ -243,10 +247,9 @@ def train(texts: list[str | None], toxic: list[int]) -> Machine:
             break
         clean += new
         clean_x = np.concatenate([clean_x, *[mapped(new)] * 3])
-    raw = machine.raw(texts)
-    machine.empty = float(raw.min())
-    machine.slope, machine.shift = _logistic(machine.raw(texts), y)
-    machine.seen.clear()
+    raw = np.array([machine.word_scores(sorted(b)).max() if b else np.nan for b in bags])
+    machine.empty = float(np.nanmin(raw))
+    machine.slope, machine.shift = _logistic(np.where(np.isnan(raw), machine.empty, raw), y)
     return machine
 
 
