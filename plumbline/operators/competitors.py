@@ -1,0 +1,103 @@
+"""Topic clusters, competitor phrases and citations, question bank, content slots."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from plumbline.functions.text import host_of, rounded, title_key, url_key
+from plumbline.operators.keywords import STOPWORDS, ngrams, tokens
+from plumbline.operators.links import _cut
+
+
+def connected(edges: DataFrame, most: int = 40) -> DataFrame:
+    """``node, root``: the smallest node that each reaches; labels take the least of their neighbours and jump to its label."""
+    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    for _ in range(most):
+        near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = now.join(near, "node").select("node", F.least("root", "near").alias("root"))
+        jump = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        new = _cut(step.join(jump, "root", "left").select("node", F.coalesce("further", "root").alias("root")))
+        if new.join(now.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
+            return new
+        now = new
+    return now
+
+
+def keyword_clusters(cands: DataFrame, pages: int) -> DataFrame:
+    """Phrases that share a word which is not too common: ``cluster, phrase, score, pages``; the label is the best phrase.
+
+    Each word links its phrases to the first of them, so a common word makes a star and not all pairs.
+    """
+    words = cands.select("page_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).where(~F.col("word").isin(*STOPWORDS) & (F.length("word") > 2))
+    spread = words.groupBy("word").agg(F.count_distinct("page_id").alias("on"), F.min("phrase").alias("first"))
+    usable = spread.where(F.col("on") <= max(4, -(-pages * 2 // 5)))
+    edges = words.join(usable, "word").where("phrase <> first").select(F.col("phrase").alias("a"), F.col("first").alias("b")).distinct()
+    roots = connected(edges)
+    totals = cands.groupBy("phrase").agg(F.sum("score").cast("long").alias("score"), F.count_distinct("page_id").alias("pages"))
+    rows = totals.join(roots, totals.phrase == roots.node, "left").withColumn("root", F.coalesce("root", "phrase"))
+    best = rows.groupBy("root").agg(F.max_by("phrase", F.struct("score", "phrase")).alias("cluster"))
+    return rows.join(best, "root").select("cluster", "phrase", "score", "pages")
+
+
+def cannibalization(cands: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Clusters in which at least two pages have a phrase in title or h1."""
+    strong = cands.where("in_title or in_h1").join(clusters.select("phrase", "cluster"), "phrase").groupBy("cluster").agg(F.count_distinct("page_id").alias("pages"))
+    return strong.where("pages >= 2")
+
+
+def page_phrases(headings: DataFrame) -> DataFrame:
+    """Phrases of two to four words that pages are built around, less those inside a longer kept one.
+
+    ``headings``: competitor, url, weight, text.  A phrase counts once a page at its best weight and stays with two pages or a
+    weight of three; a shorter one goes if a longer kept one holds it on 70 % of its pages.  Longer ones are settled first.
+    """
+    rows = headings.select("competitor", "url", "weight", F.explode(ngrams(tokens("text"), 4)).alias("phrase")).where(F.contains("phrase", F.lit(" ")))
+    per = rows.groupBy("competitor", "url", "phrase").agg(F.max("weight").alias("weight"))
+    listed = per.groupBy("phrase").agg(F.count("*").alias("pages"), F.count_distinct("competitor").alias("competitors"), F.sum("weight").cast("long").alias("score"), F.max("weight").alias("best"))
+    listed = _cut(listed.where("pages >= 2 or best >= 3").withColumn("n", F.size(F.split("phrase", " "))).drop("best"))
+    kept = listed.where("n = 4")
+    for n in (3, 2):
+        w = F.split("phrase", " ")
+        inside = kept.select("pages", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))).alias("phrase"))
+        longest = inside.groupBy("phrase").agg(F.max("pages").alias("longer"))
+        rest = listed.where(F.col("n") == n).join(longest, "phrase", "left").where("longer is null or longer < pages * 0.7").drop("longer")
+        kept = kept.unionByName(rest)
+    return kept
+
+
+def citations(links: DataFrame) -> DataFrame:
+    """Outside pages that competitors link to: ``links`` has competitor, url, anchor; home pages are left out."""
+    rows = links.withColumn("key", url_key("url")).where(~F.col("key").endswith("/"))
+    return rows.groupBy("key").agg(F.count("*").alias("links"), F.count_distinct("competitor").alias("competitors"), F.min("anchor").alias("anchor"), F.min(host_of("url")).alias("host"))
+
+
+AUTHORITY = (("Government", r"(^|\.)gov(\.[a-z]{2})?$"), ("Education", r"(^|\.)(edu|ac)(\.[a-z]{2})?$"), ("International", r"(^|\.)(int|un\.org|who\.int|europa\.eu)$"), ("Organisation", r"\.org$"))
+
+
+def authority(host: str):
+    out = F.lit("Other")
+    for name, pattern in reversed(AUTHORITY):
+        out = F.when(F.col(host).rlike(pattern), name).otherwise(out)
+    return out
+
+
+def question_bank(questions: DataFrame) -> DataFrame:
+    """Questions (competitor, url, source_weight, text) by wording: competitors, pages and the best wording."""
+    return questions.groupBy(title_key("text").alias("key")).agg(
+        F.count_distinct("competitor").alias("competitors"), F.count_distinct("url").alias("pages"), F.max_by("text", F.struct("source_weight", -F.length("text"), "text")).alias("text")
+    ).where("key <> ''")
+
+
+def slots(topics: DataFrame, days: DataFrame, taken: DataFrame) -> DataFrame:
+    """The i-th topic (by place) on the i-th free day: ``topic, day``."""
+    free = days.join(taken, "day", "left_anti").withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")))
+    ordered = topics.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place", "topic")))
+    return ordered.join(free, "n").select("topic", "day")
+
+
+def comparison(pages: DataFrame) -> DataFrame:
+    """Averages per site: ``pages`` has site, word_count, is_orphan, score."""
+    return pages.groupBy("site").agg(F.count("*").alias("pages"), rounded(F.avg("word_count")).cast("long").alias("avg_words"), rounded(F.avg(F.when(F.col("is_orphan"), 100.0).otherwise(0.0)), 1).alias("orphan_percent"), rounded(F.avg("score"), 1).alias("avg_score"))
