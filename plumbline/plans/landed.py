@@ -61,6 +61,11 @@ _TOP = f"with {src.SERP_RESULTS} select check_id, rank, 'Result '||host as title
 ORACLE_SQL = {
     "parse_serp_responses": _TOP,
     "snapshot_payloads": _TOP,
+    "citations": f"""with {REC}, l as (select {_HOST} as competitor, page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as origin, unnest(hrefs) as href from rec),
+  t as (select competitor, page_id, origin, case when regexp_matches(href, '(?i)^https?://') then href when starts_with(href, '//') then regexp_extract(origin, '^([a-z]+:)', 1)||href when starts_with(href, '/') then origin||href else origin||'/'||href end as url from l where not regexp_matches(href, '(?i)^(mailto|tel|javascript):')),
+  d as (select distinct competitor, page_id, url from t where lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) = lower(regexp_extract(origin, '^[a-z]+://(.+)$', 1))),
+  k as (select competitor, {_HOST} as host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') as path from d)
+  select host||path as key, count(*) as links, count(distinct competitor) as competitors, min(host) as host from k where path <> '' group by 1""",
     "site_comparison": f"""with {REC}, {_AEO} select {_HOST} as site, count(*) as pages, cast(floor(avg(word_count)+0.5) as bigint) as avg_words, floor(avg(case when len(hrefs) = 0 then 100.0 else 0.0 end)*10+0.5)/10 as orphan_percent,
   floor(avg({_sum(pg.AEO_WEIGHTS)})*10+0.5)/10 as avg_score from rec join aeo using (page_id) group by 1""",
 }
