@@ -2,8 +2,8 @@
 
 1. Texts with the same shingle set form one class; only classes go on.
 2. Regions.  Documents are ringed by set size (distance from the empty set), each ring's border reaching into the
-   next.  Within a ring the shingle universe is cut into one part more than two linked sets can differ in, so
-   linked sets agree exactly on some part.  The smallest class of each such part is its pivot; documents joined
+   next.  Within a ring the shingle universe is cut into more parts than two linked sets can differ in, so
+   linked sets agree exactly on some part that is not empty.  The smallest class of each such part is its pivot; documents joined
    to common pivots form a region, and no link leaves its region.  (Unrelated texts all have distance 1 from any
    pivot text, so distances alone cannot open the first regions.)
 3. A region that is too large gets pivots of its own.  Each member goes to its nearest pivot's cell and, as a
@@ -56,32 +56,73 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 class Rings:
-    """Size rings for a threshold of ``percent`` and the number of parts of each."""
+    """Size rings for a threshold of ``percent``, and the most that two linked sets of a ring can differ in."""
 
-    def __init__(self, percent: int) -> None:
-        self.percent, self.top, self.parts = percent, [], []
+    def __init__(self, percent: int, common: np.ndarray | None = None) -> None:
+        self.percent, self.top, self.differ = percent, [], []
+        self.common = common
 
     def ring(self, n: int) -> int:
         while not self.top or self.top[-1] < n:
             top = ((self.top[-1] if self.top else 0) + 1) * 100 // self.percent
             most = top + top * 100 // self.percent
             self.top.append(top)
-            self.parts.append(most * (100 - self.percent) // (100 + self.percent) + 1)
+            self.differ.append(most * (100 - self.percent) // (100 + self.percent))
         return int(np.searchsorted(self.top, n))
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """Hashes of the set's parts, for its own ring and as the larger partner of the ring below."""
+        """Hashes of the set's parts, for its own ring and as the larger partner of the ring below.
+
+        Two linked sets differ in at most d members.  A set with more than d parts that are not empty therefore shares one of
+        these with each partner, so empty parts count only for sets with fewer.  The same holds for the members that
+        are not common; all members count only for sets that have too few parts of those.
+        """
         i = self.ring(len(shingles))
-        spread = mixed(shingles + np.uint64(0x5851F42D4C957F2D))
         out = []
         for k in (i, i - 1) if i else (i,):
-            m = self.parts[k]
-            total = np.zeros(m, np.uint64)
-            np.add.at(total, (shingles % np.uint64(m)).astype(np.int64), spread)
-            out.append(mixed(total ^ mixed((np.uint64(k) << np.uint64(32)) + np.arange(m, dtype=np.uint64))))
+            d = self.differ[k]
+            m = (d + 1) * 115 // 100 + 4
+            if self.common is not None and len(self.common):
+                at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+                total, filled = _parts(shingles[self.common[at] != shingles], m)
+                out.append(_named(total, filled, 2 * k))
+                if filled.sum() > d:
+                    continue
+            total, filled = _parts(shingles, m)
+            out.append(_named(total, filled if filled.sum() > d else np.ones(m, bool), 2 * k + 1))
         return np.concatenate(out)
 
 
+def _parts(shingles: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    total, filled = np.zeros(m, np.uint64), np.zeros(m, bool)
+    at = (shingles % np.uint64(m)).astype(np.int64)
+    np.add.at(total, at, mixed(shingles + np.uint64(0x5851F42D4C957F2D)))
+    filled[at] = True
+    return total, filled
+
+
+def _named(total: np.ndarray, which: np.ndarray, kind: int) -> np.ndarray:
+    part = np.flatnonzero(which).astype(np.uint64)
+    return mixed(total[which] ^ mixed((np.uint64(kind) << np.uint64(32)) + part))
+
+
+def common_shingles(docs: DataFrame, width: int, one_in: int = 8, least: int = 4, most: int = 300_000) -> np.ndarray:
+    """Hashes of shingles that many texts hold, from one text in ``one_in``: at most ``most``.
+
+    They only steer which parts are compared; any list gives the same links.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            h, n = np.unique(np.concatenate(shingle_sets(part.column("text"), width)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], ["h", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(one_in)) == 0).select("text")
+    often = some.mapInArrow(step, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = often.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
 def _class_of(shingles: np.ndarray) -> int:
     return int(signed(mixed(np.array([np.sum(mixed(shingles), dtype=np.uint64) + np.uint64(len(shingles))])))[0])
 
@@ -98,11 +139,12 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(step, "doc_id long, n_shingles long, node long")
 
 
-def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray | None) -> DataFrame:
     """``(sig, node)``, without repeats within a slice."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)  # a list of a fixed size
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rings = Rings(percent)
+        rings = Rings(percent, sent.value)
         for part in slices(batches):
             sigs, nodes, seen = [], [], set()
             for s in shingle_sets(part.column("text"), width):
@@ -223,10 +265,11 @@ def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, cell: int = CELL) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, cell: int = CELL, set_common_aside: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id``: documents linked where 100 * shared >= percent * union.
 
-    ``component_id`` is the smallest ``doc_id`` reachable by links, the document's own included.
+    ``component_id`` is the smallest ``doc_id`` reachable by links, the document's own included.  With low thresholds parts are
+    small; ``set_common_aside`` then keeps texts that share only widespread passages out of each other's regions.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
@@ -234,7 +277,8 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, cell: int
     members = written(_classes(docs, width))
     first = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     pivot = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
-    star = _signatures(docs, width, percent).withColumn("pivot", pivot).where("node > pivot")
+    common = common_shingles(docs, width) if set_common_aside else None
+    star = _signatures(docs, width, percent, common).withColumn("pivot", pivot).where("node > pivot")
     regions = components(star, "node", "pivot")
     held = regions.join(first.hint("merge"), regions.id == first.node).select(F.col("root").alias("region"), F.col("rep").alias("doc_id"))
     held = held.where("doc_id is not null")

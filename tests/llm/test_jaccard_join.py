@@ -53,10 +53,12 @@ def corpus(seed, n, length):
     return texts
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
-def test_against_brute_force(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "aside"), [(3, 90, False), (5, 80, False), (5, 80, True)])
+def test_against_brute_force(spark, width, percent, aside):
     texts = corpus(3, 40, 120)
-    assert run(spark, texts, width=width, percent=percent) == brute(texts, width, percent)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts += [f"{t} {passage}" for t in texts[12:60]]
+    assert run(spark, texts, width=width, percent=percent, set_common_aside=aside) == brute(texts, width, percent)
 
 
 def test_large_regions_are_cut_and_dealt_out(spark, monkeypatch):
@@ -74,10 +76,11 @@ def test_large_regions_are_cut_and_dealt_out(spark, monkeypatch):
 
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
-    for percent in (80, 90):
-        rings = Rings(percent)
+    universe = rng.integers(0, 2**63, 700).astype(np.uint64)
+    for percent, common in ((80, None), (90, None), (80, np.sort(universe[:350]))):
+        rings = Rings(percent, common)
         for n in list(range(1, 60)) + [200, 555, 556, 700]:
-            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            a = rng.permutation(universe)[:n]
             for gone in range(0, n // 5 + 1):
                 for new in (0, gone):
                     b = np.concatenate([a[gone:], rng.integers(0, 2**63, new).astype(np.uint64)])
