@@ -13,18 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is cut at white space.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Folders of applications that name none (tests), by application id.
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="plumbline-"))
     return where.rstrip("/")
 
 
@@ -140,7 +144,7 @@ class Words:
         if n < width:
             return np.zeros(0, np.uint64)
         out = np.empty(n - width + 1, np.uint64)
-        step = 1 << 20
+        step = 1 << 18
         for at in range(0, len(out), step):
             stop = min(at + step, len(out))
             h = self.hash[at : stop + width - 1]

@@ -30,6 +30,8 @@ from .common import Words, slices, table
 #: Tokens of a window, and of the documents that one task packs at a time.
 WINDOW = 4096
 GROUP_TOKENS = 1 << 22
+#: Bytes of text that are encoded at once: the more, the fewer words are looked up again.
+STEP = 4 << 20
 #: Distinct words whose ids a task keeps at once.
 CACHED_WORDS = 600_000
 
@@ -220,7 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.list_(pa.int32())) for c in columns[7:]]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)])
 
-        for part in slices(batches):
+        for part in slices(batches, limit=STEP):
             ids, stop = encoder.encode(part.column("text"))
             for d, doc in enumerate(part.column("doc_id").to_pylist()):
                 own = ids[stop[d] : stop[d + 1]]
