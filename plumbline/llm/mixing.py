@@ -38,11 +38,10 @@ def n_tokens(text: str = "text") -> Column:
 def topic_of(text: str = "text") -> Column:
     """A coarse topic by form: tables, licence texts, shouting, and prose by length."""
     t = F.coalesce(F.col(text), F.lit(""))
-    letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
     return (
         F.when(t.contains(" | "), "table")
         .when(F.lower(t).contains("license"), "licence")
-        .when(F.length(F.regexp_replace(t, "[^A-Z]", "")) * 2 > letters, "shouting")
+        .when((F.upper(t) == t) & (F.lower(t) != t), "shouting")
         .when(F.length(t) < 1000, "short prose")
         .when(F.length(t) < 6000, "prose")
         .otherwise("long prose")
@@ -91,21 +90,21 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
         cells = cells.coalesce(1)
     most = F.col("tokens") / F.lit(budget * total.n)
     now = written(_targets(cells, targets).withColumn("weight", F.least(F.col("tokens") / F.lit(total.n), most)))
-    for _ in range(0, rounds, 3):
+    last = float("inf")
+    for _ in range(0, rounds, 6):
         if total.k <= SMALL:
             now = now.coalesce(1)
-        step = now
-        for _ in range(3):
+        step = now.drop("gap")
+        for _ in range(6):
             for c in MARGINS:
                 have = F.sum("weight").over(Window.partitionBy(c))
                 step = step.withColumn("weight", F.least(F.when(have > 0, F.col("weight") * F.col(f"t_{c}") / have).otherwise(0.0), most))
-        now = written(step)
-        gaps = []
-        for c in MARGINS:
-            margin = now.groupBy(c).agg(F.sum("weight").alias("w"), F.max(f"t_{c}").alias("t"), F.sum(most).alias("m"))
-            gaps.append(margin.select(F.abs(F.col("w") - F.least("t", "m")).alias("gap")))
-        if gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).first()[0] <= tolerance:
+        gaps = [F.abs(F.sum("weight").over(Window.partitionBy(c)) - F.least(F.col(f"t_{c}"), F.sum(most).over(Window.partitionBy(c)))) for c in MARGINS]
+        now = written(step.withColumn("gap", F.greatest(*gaps)))
+        gap = now.agg(F.max("gap")).first()[0]
+        if gap <= tolerance or abs(gap - last) <= tolerance:  # met, or as near as the bounds allow
             break
+        last = gap
     return now.select(*MARGINS, "tokens", "weight")
 
 
@@ -119,8 +118,8 @@ def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None,
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, budget: float = BUDGET) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens, probability, kept`` for each document."""
-    rows = labelled(docs, topic)
+    """``doc_id, source, lang, topic, n_tokens, probability, kept`` for each document; the texts are read once."""
+    rows = written(labelled(docs, topic))
     known, few = probabilities(rows, targets, budget)
     joined = rows.join(F.broadcast(known) if few else known.hint("merge"), list(MARGINS), "left")
     probability = F.coalesce("probability", F.lit(0.0))
