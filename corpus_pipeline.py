@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents; rows that repeat it go too."""
-    groups = jaccard_join.jaccard_groups(docs, WIDTH, PERCENT).where("doc_id = component_id or doc_id is null")
+    groups = jaccard_join.jaccard_groups(docs, WIDTH, PERCENT, set_common_aside=True).where("doc_id = component_id or doc_id is null")
     kept = groups.select("doc_id").where("doc_id is not null").distinct()
     named = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
