@@ -119,8 +119,8 @@ class Machine:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        for at in range(0, len(words), 4_000):
+            part = words[at : at + 4_000]
             word, key, value = _summed(part)
             out[at : at + len(part)] += np.bincount(word, value * self.weights[key], len(part))
         return out
