@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,11 +13,14 @@ from plumbline.operators.keywords import STOPWORDS, ngrams, tokens
 from plumbline.operators.links import _cut
 
 
-def connected(edges: DataFrame, most: int = 40) -> DataFrame:
-    """``node, root``: the smallest node that each reaches; labels take the least of their neighbours and jump to its label."""
+def connected(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``node, root``: the smallest node that each reaches; labels take the least of their neighbours and jump to its label.
+
+    Labels only fall, so the rounds end; where ``most`` rounds do not settle them, it is an error.
+    """
     both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = now.join(near, "node").select("node", F.least("root", "near").alias("root"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
@@ -23,7 +28,7 @@ def connected(edges: DataFrame, most: int = 40) -> DataFrame:
         if new.join(now.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
             return new
         now = new
-    return now
+    raise RuntimeError("connected: no fixed point")
 
 
 def keyword_clusters(cands: DataFrame, pages: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,12 +91,12 @@ def sitemap_missing(status: DataFrame, edges: DataFrame, sitemap: DataFrame) ->
     return ok.join(inbound(edges).select(F.col("dst").alias("page")), "page", "left_semi").join(sitemap, "page", "left_anti")
 
 
-def click_depth(pages: DataFrame, edges: DataFrame, start: int, most: int = 64) -> DataFrame:
-    """Clicks from the start page to each reachable page, by frontier joins; unreachable pages are left out."""
+def click_depth(pages: DataFrame, edges: DataFrame, start: int) -> DataFrame:
+    """Clicks from the start page to each reachable page, however deep, by frontier joins; unreachable pages are left out."""
     edges = _cut(edges.where("src <> dst").select("src", "dst").distinct())
     seen = _cut(pages.where(F.col("page") == start).select("page", F.lit(0).cast("long").alias("depth")))
     frontier = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         new = edges.join(frontier.select(F.col("page").alias("src")), "src").select(F.col("dst").alias("page")).distinct()
         new = new.join(pages.select("page"), "page", "left_semi").join(seen.select("page"), "page", "left_anti")
         frontier = _cut(new.select("page", F.lit(depth).cast("long").alias("depth")))
