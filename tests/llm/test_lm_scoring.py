@@ -90,3 +90,36 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     rows = m.lm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert (rows[0].train_tokens, rows[0].n_known, rows[0].base_score) == (0, 0, 0.0)
+
+
+def chains():
+    """All words end alike: one class and about one count for each, so only the word before tells which word comes next."""
+    rng = random.Random(4)
+    names = [f"w{k}xy" for k in range(m.COMMON + 40)]
+    after = dict(zip(names, rng.sample(names, len(names)), strict=True))
+    for _ in range(1500):
+        run = [rng.choice(names)]
+        for _ in range(40):
+            run.append(after[run[-1]] if rng.random() < 0.9 else rng.choice(names))
+        yield " ".join(run)
+
+
+def test_words_of_one_class_follow_the_words_before(spark):
+    df = spark.createDataFrame(list(enumerate(chains())), "doc_id long, text string").repartition(2)
+    flat = [r.score for r in m.lm_scores(df, least=10**9).collect() if r.held_out]
+    grown = [r.score for r in m.lm_scores(df, least=50).collect() if r.held_out]
+    assert sum(grown) > 0.97 * sum(flat)
+
+
+def test_word_probabilities_add_up_to_one(spark):
+    df = spark.createDataFrame(list(enumerate(chains())), "doc_id long, text string")
+    words = m.vocabulary(m.token_counts(df), least=50)
+    trees = m.Trees(words, 50)
+    assert len(trees.h) == 40
+    p = m.train_words(df, words, trees, rounds=1)
+    assert not np.array_equal(p, trees.start())
+    ending = np.append(words.ending[np.isin(words.h, trees.h)], np.arange(m.ENDINGS))
+    for one, two in ((0, 5), (m.COMMON, m.COMMON), (m.CLASSES + 3, m.CLASSES + 9)):
+        item = np.arange(len(ending))
+        path = trees.log10(p, item, np.full(len(item), one), np.full(len(item), two))
+        assert np.allclose(np.bincount(ending, 10**path), 1)
