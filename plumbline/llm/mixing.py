@@ -5,6 +5,8 @@ are met.  A document is kept with probability weight * budget / tokens of its ce
 bounds each cell's weight by what it holds, and gives the rest to the other cells of the margin.  The draw is a hash of the seed, the id and the text, so
 it is the same in every run, task and retry.
 
+A topic is read off the whole text by the terms of fixed lists, whatever the text's form or length.
+
 Default targets are each margin's token shares raised to an exponent below one, which lifts small sources.
 
 Cells are a summary: their number depends on the labels and not on the rows.  A small number of cells (counted) is raked in one
@@ -29,23 +31,49 @@ EXPONENTS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 BUDGET, SEED, TOLERANCE, ROUNDS = 0.6, 17, 1e-4, 24
 #: Cells that are raked in one partition and broadcast (some 100 bytes each).
 SMALL = 50_000
+#: Terms of each topic in English, German, French and Spanish, in lower case; a term is in one topic.
+TOPICS = {
+    "law": "law laws legal court courts judge lawyer contract contracts statute license licenses licence licensed copyright liability warranty gesetz gericht vertrag richter recht loi tribunal contrat juge avocat ley juez contrato abogado",
+    "medicine": "health medical medicine doctor doctors patient patients hospital disease diseases drug drugs clinical treatment therapy cancer vaccine gesundheit arzt krankheit krankenhaus santé médecin maladie hôpital salud médico enfermedad",
+    "technology": "software computer computers internet server servers network code program programming algorithm database data hardware website browser rechner programm datenbank logiciel ordinateur réseau ordenador programa red",
+    "science": "science scientific research physics chemistry biology experiment experiments theory molecule energy quantum galaxy planet species wissenschaft forschung physik chemie physique chimie ciencia investigación física química",
+    "business": "business market markets price prices company companies bank banks money investment investor stock stocks finance financial economy trade tax profit wirtschaft markt preis geld firma unternehmen marché prix argent entreprise banque mercado precio dinero empresa banco",
+    "politics": "government election elections president minister parliament congress senate political politics policy party vote voters war military regierung wahl präsident partei politik krieg gouvernement élection politique guerre gobierno elección política guerra",
+    "sport": "sport sports football soccer basketball tennis team teams player players match league championship coach olympic goal goals fußball mannschaft spieler équipe joueur fútbol equipo jugador deporte",
+    "arts": "art artist music song songs film films movie movies book books novel poem poetry theatre museum painting kunst musik buch theater musique livre roman peinture música libro película pintura",
+    "education": "school schools student students teacher teachers university college lesson lessons exam exams curriculum education classroom schule schüler lehrer universität bildung école élève professeur université escuela estudiante profesor universidad",
+    "food": "food recipe recipes cook cooking kitchen restaurant sugar butter cheese bread meat vegetable vegetables fruit wine essen rezept küche brot fleisch recette cuisine pain fromage viande receta cocina pan queso carne",
+    "travel": "travel trip hotel hotels airport flight flights tourist tourism beach passport journey vacation holiday reise flughafen urlaub voyage vol plage aéroport vacances viaje vuelo playa aeropuerto turismo",
+}
 
 
 def n_tokens(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def _tree(words: set[str]) -> str:
+    """A pattern that matches the words and branches on each character once."""
+    heads: dict[str, set[str]] = {}
+    for w in words - {""}:
+        heads.setdefault(w[0], set()).add(w[1:])
+    one = "(?:" + "|".join(k + _tree(v) for k, v in sorted(heads.items())) + ")" if heads else ""
+    return one + ("?" if heads and "" in words else "")
+
+
 def topic_of(text: str = "text") -> Column:
-    """A coarse topic by form: tables, licence texts, shouting, and prose by length."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return (
-        F.when(t.contains(" | "), "table")
-        .when(F.lower(t).contains("license"), "licence")
-        .when((F.upper(t) == t) & (F.lower(t) != t), "shouting")
-        .when(F.length(t) < 1000, "short prose")
-        .when(F.length(t) < 6000, "prose")
-        .otherwise("long prose")
-    )
+    """The topic whose terms occur most often in the whole text, the first of those that tie; "other" where no term occurs."""
+    pattern = r"(?<![\p{L}\p{N}])" + _tree({w for ws in TOPICS.values() for w in ws.split()}) + r"(?![\p{L}\p{N}])"
+    hits = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))
+
+    def count(found: Column, words: str) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(*words.split())))
+
+    def best(found: Column) -> Column:
+        n = [F.struct(count(found, ws).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("topic")) for i, (t, ws) in enumerate(TOPICS.items())]
+        return F.when(F.size(found) == 0, "other").otherwise(F.greatest(*n)["topic"])
+
+    # the lambda's argument is found once
+    return F.element_at(F.transform(F.array(hits), best), 1)
 
 
 def draw_of() -> Column:

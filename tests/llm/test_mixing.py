@@ -76,3 +76,20 @@ def test_given_topic_empty_and_blank(spark):
 def test_no_python_in_the_plan(spark):
     plan = m.mix(spark.createDataFrame(corpus(), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_topics_follow_content_and_not_length_or_form(spark):
+    sport, food = "The team won the match . ", "Cook the bread in butter . "
+    texts = [sport, sport * 400, food, food * 400, food + "license", sport.upper(), food + " | x", "Nothing here, steam rematches.", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.topic for r in df.select("i", m.topic_of().alias("topic")).collect()}
+    assert [got[i] for i in range(len(texts))] == ["sport", "sport", "food", "food", "food", "sport", "food", "other", "other", "other"]
+    assert sum(len(w.split()) for w in m.TOPICS.values()) == len({x for w in m.TOPICS.values() for x in w.split()})
+
+
+def test_a_subject_with_a_third_of_all_rows_is_raked(spark):
+    rows = [(k, ("the team won the match " if k % 3 == 0 else "cook the bread ") + "w " * (k % 50), "s", "en") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = m.mix(df, {"topic": {"sport": 0.1, "food": 0.9}}, budget=0.4).collect()
+    total = sum(r.probability * r.n_tokens for r in got)
+    assert abs(sum(r.probability * r.n_tokens for r in got if r.topic == "sport") / total - 0.1) < 0.01
