@@ -25,15 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, slices, table
+from .common import Words, signed, slices, table
 
 #: Tokens of a window, and of the documents that one task packs at a time.
 WINDOW = 4096
 GROUP_TOKENS = 1 << 22
 #: Bytes of text that are encoded at once: the more, the fewer words are looked up again.
 STEP = 4 << 20
-#: Distinct words whose ids a task keeps at once.
-CACHED_WORDS = 600_000
+#: Distinct words whose ids a task keeps at once, and words that one call of the tokenizer encodes.
+CACHED_WORDS, AT_ONCE = 1_000_000, 256
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -42,32 +42,54 @@ class WordTokenizer:
     """Token ids of whole texts, by way of their words.
 
     For tokenizers that never join text across ASCII white space and drop it: the ids of a text are then the ids of
-    its words, and each distinct word is encoded once while it is remembered.
+    its words.  Words are told apart by 64-bit hashes, never sorted; each is encoded once while it is remembered, many
+    in one call, and its ids are found again by their offsets.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encoder, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.encoder, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Row 0 of the remembered ids is the end."""
+        self.row: dict[int, int] = {}
+        self.flat, self.size = [self.end], [np.ones(1, np.int64)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Append the ids of ``words`` to what is remembered."""
+        for at in range(0, len(words), AT_ONCE * 64):
+            part = words[at : at + AT_ONCE * 64]
+            runs = [part[k : k + AT_ONCE] for k in range(0, len(part), AT_ONCE)]
+            for run, found in zip(runs, self.encoder.encode_batch([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+                begin = np.cumsum([0, *(len(w) + 1 for w in run)])
+                starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+                self.flat.append(np.array(found.ids, "<u4"))
+                self.size.append(np.bincount(np.searchsorted(begin, starts, "right") - 1, minlength=len(run)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, an end id after each, and where each text's ids begin (and the last end)."""
         words = Words(texts)
-        _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        spelled = [words.raw(k) for k in first]
-        if len(self.known) + len(spelled) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in spelled if w not in self.known]
-        for w, e in zip(new, self.encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        row = [self.known[w] for w in spelled] + [self.end]
-        size = np.array([len(x) for x in row], np.int64) // 4
-        flat = np.frombuffer(b"".join(row), "<u4")
+        n = len(words.hash)
+        coded = pa.array(signed(words.hash), pa.int64()).dictionary_encode()
+        distinct, inverse = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.row) + len(distinct) > CACHED_WORDS:
+            self._forget()
+        row = np.fromiter((self.row.get(h, -1) for h in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            first = np.zeros(len(distinct), np.int64)
+            first[inverse[::-1]] = np.arange(n)[::-1]
+            row[new] = len(self.row) + 1 + np.arange(len(new))
+            self._learn([words.raw(k).decode() for k in first[new]])
+            self.row.update(zip([distinct[k] for k in new], row[new].tolist(), strict=True))
+        self.flat, self.size = [np.concatenate(self.flat)], [np.concatenate(self.size)]
+        flat, size = self.flat[0], self.size[0]
         begin = np.cumsum(size) - size
         n_docs = len(words.first) - 1
-        order = np.insert(inverse.reshape(-1), words.first[1:], len(row) - 1)  # an end token after each text's words
+        order = np.insert(row[inverse], words.first[1:], 0)  # an end token after each text's words
         lengths = size[order]
         ends = np.cumsum(lengths)
         source = np.repeat(begin[order] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
