@@ -21,9 +21,12 @@ WIDTH, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic.  It learns from the labelled documents of this input."""
-    texts, toxic = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"))
-    return toxicity.filtered(docs, toxicity.train(texts, toxic)).select(*COLUMNS)
+    """Documents that the classifier does not call toxic.  It learns from the labelled documents of this input.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together; an empty table stays empty; other columns go.
+    """
+    sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"))
+    return toxicity.filtered(docs, toxicity.train(*sample)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,17 +5,19 @@ skipped, the product of their decays DECAY ** span, and is normalised.  Insults
 characters, in inflected forms and inside longer words.  Runs of single characters ("i d i o t") count as one word,
 and a word with other characters inside also counts with its letters alone.
 
-Training uses a bounded sample of labelled documents (LABELLED documents at most, by hash of the id).  A word, or its
-first letters, is taken as an insult if toxic documents hold it more often than chance allows for any of as many words
-(near copies of a document count once).  Such words, and forms of them with an inserted character, are held against
-words of clean documents by a linear machine on Nystroem features (squared hinge loss, by gradient steps); the
-landmarks are the strongest insults and the commonest clean words.  A document's raw score is that of its worst word;
-a logistic curve fitted on the sample's documents makes it a probability.  Since the machine is linear in the kernel, its landmarks fold into one weight for each hashed
-triple, and a whole text is scored by table look-ups.
+The machine is trained on labelled texts, LABELLED at most, by hash of the id.  A text scores what its worst word scores, and the
+hinge is on the texts' labels (a latent machine, as for multiple instances): first every word takes the label of its
+text, weighted by how many texts hold it; then, ROUNDS times, each toxic text is represented by the word that scores highest in it, and each
+clean text by its highest ones, which gather from round to round.  The landmarks are words of the training texts: those whose
+share of toxic texts stands out, later the words that represent toxic texts, and the commonest words.  Words that represent a toxic
+text are also shown with an inserted character.  A logistic curve over the texts' scores, weighted back to
+the share of toxic texts among all labelled ones, makes a probability.  Since the machine is linear in the kernel, its landmarks fold
+into one weight for each hashed triple, and a whole text is scored by table look-ups.
 
 Cases: null, blank and unlabelled texts are scored like any other (a text without words gets the sample's lowest
 score); without both labels in the sample every score is the share of toxic rows in it (0 where there are
-none); repeated rows are scored alike; an empty table gives no rows; only the text enters a score.
+none); a word of more than LONG characters counts as its overlapping runs of LONG characters; repeated rows are scored alike; an empty
+table gives no rows; only the text enters a score.
 """
 
 from __future__ import annotations
@@ -31,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, table
+from .common import mixed, slices, table
 
 #: Labelled documents that training takes at most.
 LABELLED = 3000
-LANDMARKS, GAP, DECAY = 128, 2, 0.8
-#: Words of clean documents to learn from, and first letters that may mark an insult.
-CLEAN_WORDS, STEMS = 6000, (4, 5)
+LANDMARKS, GAP, DECAY = 384, 2, 0.8
+#: Words of each label that the first round takes, and rounds after it.
+WORDS, ROUNDS = 6000, 5
+#: Characters of a word, and of the words that are scored at once.
+LONG, STEP_CHARS = 200, 1 << 16
+#: What the curve sees of a text.
+POOLED = 6
 #: Hashed triples.
 BITS = 18
 CUT = 0.3
@@ -57,6 +63,9 @@ def words_of(text: str | None) -> set[str]:
     out = {w.strip(_EDGE) for w in found}
     out.update([_NO_LETTER.sub("", w) for w in out if _BROKEN.search(w)])
     out.discard("")
+    for w in [w for w in out if len(w) > LONG]:
+        out.discard(w)
+        out.update(w[k : k + LONG] for k in range(0, len(w), LONG // 2))
     return {sys.intern(w) for w in out}
 
 
@@ -111,97 +120,65 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
 
 
 class Machine:
-    """Weights of hashed triples, a bias, and the logistic curve of document scores."""
+    """Weights of hashed triples, a bias, and the logistic curve over what a text's words score."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float, empty: float) -> None:
-        self.weights, self.bias, self.slope, self.shift, self.empty = weights.astype(np.float32), bias, slope, shift, empty
+    def __init__(self, weights: np.ndarray, bias: float, curve: np.ndarray) -> None:
+        self.weights, self.bias, self.curve = weights.astype(np.float32), bias, curve
         self.seen: dict[str, float] = {}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
-        for at in range(0, len(words), 4_000):
-            part = words[at : at + 4_000]
-            word, key, value = _summed(part)
-            out[at : at + len(part)] += np.bincount(word, value * self.weights[key], len(part))
+        ends = np.cumsum([len(w) for w in words])
+        at = 0
+        while at < len(words):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_CHARS, "right")))
+            word, key, value = _summed(words[at:stop])
+            out[at:stop] += np.bincount(word, value * self.weights[key], stop - at)
+            at = stop
         return out
 
-    def raw(self, texts: list[str | None]) -> np.ndarray:
-        """Score of the worst word of each text."""
-        return self.worst([words_of(t) for t in texts])
-
-    def worst(self, bags: list[set[str]]) -> np.ndarray:
-        """The same from sets of words; every distinct word is scored once while it is remembered."""
+    def pooled(self, bags: list[set[str]]) -> np.ndarray:
+        """Pooled word scores of each text; every distinct word is scored once while it is remembered."""
         new = list(set().union(*bags) - self.seen.keys()) if bags else []
         if len(self.seen) + len(new) > 150_000:
             self.seen.clear()
             new = list(set().union(*bags))
         self.seen.update(zip(new, self.word_scores(new).tolist(), strict=True))
-        return np.array([max((self.seen[w] for w in b), default=self.empty) for b in bags])
+        return np.array([_pooled(np.array([self.seen[w] for w in b])) for b in bags]).reshape(len(bags), POOLED)
 
-    def probability(self, raw: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probability that each text is toxic."""
+        return _curve(self.pooled([words_of(t) for t in texts]), self.curve)
 
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 600) -> np.ndarray:
-    """Linear machine of squared hinge loss; the last column of x is the constant.  Accelerated gradient steps."""
-    w = v = np.zeros(x.shape[1])
-    top = 2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 / weight.sum() + ridge
-    for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        grad = -2 * x.T @ (weight * y * slack) / weight.sum() + ridge * v
-        new = v - grad / top
-        w, v = new, new + k / (k + 3) * (new - w)
-    return w
+def _pooled(score: np.ndarray) -> np.ndarray:
+    """The three highest word scores, how much lies above the border, and its share of the words; and a constant."""
+    best = np.full(3, -1.0)
+    top = np.sort(np.clip(score, -1, 1.5))[: -4 : -1]
+    best[: len(top)] = np.maximum(top, -1)
+    above = float(np.clip(score, 0, 1).sum())
+    return np.array([*best, np.log1p(above), 10 * above / (len(score) + 20), 1.0])
 
 
-def _tail(a: int, n: int, p: float) -> float:
-    """Probability of at least ``a`` of ``n`` at rate ``p``."""
-    term, total = p**n, 0.0
-    for k in range(n, a - 1, -1):
-        total += term
-        term *= k / (n - k + 1) * (1 - p) / p
-    return total
-
-
-def insults(bags: list[set[str]], toxic: list[int]) -> dict[str, float]:
-    """Words of toxic documents that they hold more often than chance explains, with their strength."""
-    seen: dict[tuple, int] = {}
-    bad, good, stem_bad, stem_good = Counter(), Counter(), Counter(), Counter()
-    n, kept = [0, 0], []
-    for b, t in zip(bags, toxic, strict=True):
-        mark = tuple(sorted(zlib.crc32(w.encode()) for w in b)[:3])  # near copies mostly share it
-        if mark in seen:
-            continue
-        seen[mark] = t
-        n[t] += 1
-        (bad if t else good).update(b)
-        kept.append((b, t))
-    rate = n[1] / max(1, sum(n))
-
-    def strong(plus: Counter, minus: Counter) -> dict[str, float]:
-        often = Counter(a + minus[w] for w, a in plus.items())
-        at_least = Counter()
-        total = 0
-        for k in sorted(often, reverse=True):
-            total += often[k]
-            at_least[k] = total
-        out = {}
-        for w, a in plus.items():
-            if a > 1 and minus[w] <= 0.05 * a:
-                size = min(a + minus[w], 600)
-                p = _tail(round(a * size / (a + minus[w])), size, rate) * at_least[a + minus[w]]
-                if p < 0.2:
-                    out[w] = -np.log(p + 1e-300)
-        return out
+def _curve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
-    own = strong(bad, good)
-    for b, t in kept:  # an insult that stands alone does not mark what begins like it
-        (stem_bad if t else stem_good).update({w[:k] for w in b if w not in own for k in STEMS if len(w) > k})
-    stem = strong(stem_bad, stem_good)
-    return {w: s for w in bad if (s := max([own.get(w, 0.0), *(stem.get(w[:k], 0.0) for k in STEMS if len(w) > k)])) and good[w] <= 0.05 * bad[w]}
+
+def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2e-3, steps: int = 12) -> np.ndarray:
+    """Linear machine of squared hinge loss, by Newton steps over the points inside the margin; the last column of x is the constant."""
+    w = np.zeros(x.shape[1])
+    eye = ridge * np.eye(len(w))
+    for _ in range(steps):
+        inside = np.flatnonzero(y * (x @ w.astype(np.float32)) < 1)
+        part = x[inside] * np.sqrt(2 * weight[inside]).astype(np.float32)[:, None]
+        new = np.linalg.solve((part.T @ part).astype(np.float64) + eye, part.T.astype(np.float64) @ (np.sqrt(2 * weight[inside]) * y[inside]))
+        if np.abs(new - w).max() < 1e-4 * (1 + np.abs(w).max()):
+            break
+        w = new if not w.any() else (w + 2 * new) / 3
+    return w
 
 
 def _with_insertions(words: list[str]) -> list[str]:
@@ -215,44 +192,88 @@ def _with_insertions(words: list[str]) -> list[str]:
     return out
 
 
-def train(texts: list[str | None], toxic: list[int]) -> Machine:
-    """Fit a machine on labelled documents; see the module."""
-    bags = [words_of(t) for t in texts]
+def train(texts: list[str | None], toxic: list[int], share: float | None = None) -> Machine:
+    """Fit a machine on labelled texts; see the module.  ``share`` is that of toxic texts where these were drawn from.
+
+    The curve is fitted on scores that each half of the texts gets from a machine of the other half.
+    """
     y = np.array(toxic, int)
-    share = float(y.mean()) if len(y) else 0.0
-    named = insults(bags, toxic) if 0 < share < 1 else {}
-    if not named:
-        return Machine(np.zeros(1 << BITS), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), 0.0)
-    strongest = sorted(named, key=lambda w: (-named[w], w))
-    common = Counter(w for b, t in zip(bags, toxic, strict=True) if not t for w in b)
-    by_count = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
-    by_hash = sorted(by_count, key=lambda w: (zlib.crc32(w.encode()), w))
-    clean = list(dict.fromkeys(by_count[: CLEAN_WORDS // 4] + by_hash[: CLEAN_WORDS // 2]))
-    landmarks = _spread(strongest, LANDMARKS * 3 // 4)
-    landmarks += by_count[: LANDMARKS - len(landmarks)]
-    whiten = _whitener(kernel(landmarks, landmarks))
-    positive = _spread(strongest, CLEAN_WORDS // 8, 40)
-    positive += positive * 3 + _with_insertions(positive)
-    mapped = lambda words: np.hstack([kernel(words, landmarks) @ whiten, np.ones((len(words), 1))])
-    bad_x, clean_x = mapped(positive), mapped(clean)
-    for _ in range(3):  # the clean words that come out worst are added and the machine is fitted again
-        side = np.append(np.ones(len(bad_x)), -np.ones(len(clean_x)))
-        weight = np.append(np.full(len(bad_x), len(clean_x) / len(bad_x)), np.ones(len(clean_x)))
-        w = _hinge(np.concatenate([bad_x, clean_x]), side, weight)
-        machine = _folded(landmarks, whiten @ w[:-1], float(w[-1]))
-        score = machine.word_scores(by_count)
-        hard = [by_count[k] for k in np.argsort(-score, kind="stable")[: CLEAN_WORDS // 12] if score[k] > -0.9]
-        new = [x for x in hard if x not in set(clean)]
-        if not new:
-            break
-        clean += new
-        clean_x = np.concatenate([clean_x, *[mapped(new)] * 3])
-    raw = np.array([machine.word_scores(sorted(b)).max() if b else np.nan for b in bags])
-    machine.empty = float(np.nanmin(raw))
-    machine.slope, machine.shift = _logistic(np.where(np.isnan(raw), machine.empty, raw), y)
+    own = float(y.mean()) if len(y) else 0.0
+    share = own if share is None else share
+    bags = [words_of(t) for t in texts]
+    half = np.array([zlib.crc32("\n".join(sorted(b)[:3]).encode()) >> 8 & 1 for b in bags], bool)  # near copies mostly stay together
+    if min(y[half].sum(), y[~half].sum()) < 3 or min((1 - y[half]).sum(), (1 - y[~half]).sum()) < 3:
+        half = np.arange(len(y)) % 2 > 0
+    if not 0 < own < 1 or len(set(y[half])) < 2 or len(set(y[~half])) < 2:
+        return Machine(np.zeros(1 << BITS), 0.0, np.append(np.zeros(POOLED - 1), np.log(max(own, 1e-9) / max(1 - own, 1e-9))))
+    x = np.zeros((len(y), POOLED))
+    for side in (half, ~half):
+        other = _latent([b for b, h in zip(bags, side, strict=True) if not h], y[~side])
+        x[side] = other.pooled([b for b, h in zip(bags, side, strict=True) if h])
+    machine = _latent(bags, y)
+    machine.curve = _logistic(x, y, np.where(y == 1, share / own, (1 - share) / (1 - own)))
     return machine
 
 
+def _latent(bags: list[set[str]], y: np.ndarray) -> Machine:
+    """The word machine of some labelled texts."""
+    names = sorted(set().union(*bags), key=lambda w: (zlib.crc32(w.encode()), w))
+    at = {w: k for k, w in enumerate(names)}
+    held = [np.array(sorted(at[w] for w in b), np.int64) for b in bags]
+    groups = _copies(held, y)
+    many = np.zeros((2, len(names)))
+    for k in groups:
+        many[y[k], held[k]] += 1
+    count = [max(1, sum(y[k] == v for k in groups)) for v in (0, 1)]
+    rate = many / np.array(count)[:, None]
+    stands_out = (rate[1] - rate[0]) / np.sqrt(rate.sum(axis=0) / 2 / count[1] + 1 / count[1] ** 2)
+    common = [names[k] for k in np.argsort(-many[0], kind="stable")[:WORDS] if many[0, k]]
+    marked = _spread([names[k] for k in np.argsort(-stands_out, kind="stable")[: 20 * LANDMARKS]], LANDMARKS * 3 // 4)
+    plus = np.flatnonzero(many[1])
+    plus = plus[np.argsort(-stands_out[plus], kind="stable")][: WORDS // 4]
+    minus = np.unique(np.append([at[w] for w in common[: WORDS // 2]], np.flatnonzero(many[0])[: WORDS // 2]).astype(np.int64))
+    machine = _fit(marked, common, [names[k] for k in plus], many[1, plus] * stands_out[plus].clip(0.1), [names[k] for k in minus], many[0, minus])
+    likely = rate[1] > 2 * rate[0]  # what clean texts hold about as often does not represent a toxic one
+    plain = {names[k]: 0.2 for k in minus[: WORDS // 2]}
+    hard: Counter = Counter()
+    for _ in range(ROUNDS):
+        score = machine.word_scores(names)
+        worst: Counter = Counter()
+        for k in groups:
+            order = held[k][np.argsort(-score[held[k]], kind="stable")]
+            if y[k]:
+                worst.update(names[i] for i in order[likely[order]][:1])
+            else:
+                hard.update(names[i] for i in order[:4] if score[i] > -1)
+        marked = _spread([w for w, _ in sorted(worst.items(), key=lambda x: (-x[1], x[0]))], LANDMARKS // 2)
+        marked += _spread([w for w, _ in sorted(hard.items(), key=lambda x: (-x[1], x[0]))], LANDMARKS // 3)
+        shown = _with_insertions(list(worst))
+        weight = np.array([float(worst[w]) if w in worst else 0.25 for w in shown])
+        against = plain | {w: float(min(n, 30)) for w, n in hard.most_common(WORDS)}
+        machine = _fit(list(dict.fromkeys(marked)), common, shown, weight, list(against), np.array(list(against.values())))
+    return machine
+
+
+def _copies(held: list[np.ndarray], y: np.ndarray) -> list[int]:
+    """One text of each set of near copies, which mostly share their first words by hash; texts without words are left out."""
+    first: dict[tuple, int] = {}
+    for k, h in enumerate(held):
+        if len(h):
+            first.setdefault((*h[:3].tolist(), int(y[k])), k)
+    return list(first.values())
+
+
+def _fit(marked: list[str], common: list[str], plus: list[str], plus_weight: np.ndarray, minus: list[str], minus_weight: np.ndarray) -> Machine:
+    """A machine from weighted words of either side; both sides weigh alike."""
+    landmarks = list(dict.fromkeys(marked + common[: LANDMARKS - len(marked)]))
+    whiten = _whitener(kernel(landmarks, landmarks)).astype(np.float32)
+    x = np.hstack([kernel(plus + minus, landmarks).astype(np.float32) @ whiten, np.ones((len(plus) + len(minus), 1), np.float32)])
+    side = np.append(np.ones(len(plus)), -np.ones(len(minus)))
+    weight = np.append(plus_weight / plus_weight.sum(), minus_weight / minus_weight.sum())
+    w = _hinge(x, side, weight)
+    return _folded(landmarks, whiten @ w[:-1], float(w[-1]))
+
+
 def _spread(words: list[str], n: int, alike: int = 4) -> list[str]:
     """The first words, but few that begin alike, so that they cover different stems."""
     taken, heads = [], Counter()
@@ -274,26 +295,28 @@ def _folded(landmarks: list[str], alpha: np.ndarray, bias: float) -> Machine:
     weights = np.zeros(1 << BITS)
     word, key, value = _summed(landmarks)
     np.add.at(weights, key, value * alpha[word])
-    return Machine(weights, bias, 1.0, 0.0, -1.0)
+    return Machine(weights, bias, np.zeros(POOLED))
 
 
-def _logistic(raw: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and shift of Platt's curve with his smoothed targets, by Newton steps on standardised scores."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic curve with Platt's smoothed targets, by Newton steps; only the constant may be negative and is not held down."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    mean, dev = raw.mean(), raw.std() or 1.0
-    x = np.stack([(raw - mean) / dev, np.ones(len(raw))], axis=1)
-    w = np.zeros(2)
+    w, held = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    held[-1, -1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - target) + 1e-3 * w
-        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad).clip(-4, 4)
-    return float(w[0] / dev), float(w[1] - w[0] * mean / dev)
+        p = _curve(x, w)
+        grad = x.T @ (weight * (p - target)) + held @ w
+        w -= np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + held, grad).clip(-4, 4)
+        w[:-1] = np.maximum(w[:-1], 0)
+    return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of at most ``most`` labelled documents, clean and toxic half each if there are as many."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[list[str | None], list[int], float | None]:
+    """Texts and labels of at most ``most`` labelled documents, clean and toxic half each if there are as many, and the
+    share of toxic ones among all labelled documents."""
     ids = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    ids = ids.join(docs.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     texts = []
     for kind in (0, 1):
         order = F.xxhash64(F.lit(3), "doc_id")
@@ -301,7 +324,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
         # at most ``most`` short ids: a proven bound
         texts.append(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic"))
     rows = texts[0].unionByName(texts[1]).orderBy(F.xxhash64("text"), "text").collect()
-    return [r.text for r in rows], [r.toxic for r in rows]
+    return [r.text for r in rows], [r.toxic for r in rows], ids.agg(F.avg("toxic")).first()[0]
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -309,11 +332,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                p = sent.value.probability(sent.value.raw(part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
+        for part in slices(batches):
+            p = sent.value.scores(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(step, "doc_id long, score double")
 
@@ -327,11 +348,9 @@ def filtered(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
     plain = plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                p = sent.value.probability(sent.value.raw(part.column(at).to_pylist()))
-                yield part.filter(pa.array(p < cut))
+        for part in slices(batches, f"c{at}"):
+            p = sent.value.scores(part.column(at).to_pylist())
+            yield part.filter(pa.array(p < cut))
 
     return plain.mapInArrow(step, plain.schema).toDF(*names)
 
@@ -342,8 +361,7 @@ def held_out(doc_id: str = "doc_id", parts: int = 4, part: int = 2):
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """``doc_id, held_out, score, predicted``; labels are learnt only from rows that are not held out."""
-    texts, toxic = labelled_sample(docs.where(~held_out()), labels)
-    scored = score(docs, train(texts, toxic))
+    scored = score(docs, train(*labelled_sample(docs.where(~held_out()), labels)))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 

@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -60,8 +62,6 @@ def scored(spark):
 
 
 def test_held_out_accuracy(scored):
-    import zlib
-
     rows, got = scored
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows) + 3
@@ -73,7 +73,7 @@ def test_held_out_accuracy(scored):
 def test_inserted_characters():
     rows = corpus()
     machine = m.train([t for _, t, _ in rows], [y for *_, y in rows])
-    p = machine.probability(machine.raw(["such an i.d.i.o.t here", "an i d i o t here", "idixot", "wor*thless", "lane ruse", "", None]))
+    p = machine.scores(["such an i.d.i.o.t here", "an i d i o t here", "idixot", "wor*thless", "lane ruse", "", None])
     assert (p[:4] > 0.3).all() and (p[4:] < 0.3).all()
 
 
@@ -84,3 +84,57 @@ def test_no_labels_empty_and_one_kind(spark):
     ones = spark.createDataFrame([(k, 0, 1) for k in (1, 2)], "doc_id long, quality int, toxic int")
     assert len(m.toxicity(docs, ones).collect()) == 3
     assert m.toxicity(docs.limit(0), ones).collect() == []
+
+
+def labelled(sf):
+    con = duckdb.connect()
+    rows = con.sql(f"select doc_id, text, toxic from '{sf}/labels.parquet' join '{sf}/documents.parquet' using (doc_id) where toxic in (0, 1)").fetchall()
+    rows.sort(key=lambda r: (zlib.crc32(f"order {r[0]}".encode()), r[0]))
+    held = [zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows]
+    return [r for r, h in zip(rows, held, strict=True) if not h], [r for r, h in zip(rows, held, strict=True) if h]
+
+
+def test_held_out_accuracy_on_given_tables():
+    """With 329 toxic texts to learn from; some held-out ones hold nothing that tells them from clean ones."""
+    learn, held = labelled("/root/testdata/sf0.1")
+    sample = [[r for r in learn if r[2] == k][: m.LABELLED // 2] for k in (0, 1)]
+    machine = m.train([r[1] for s in sample for r in s], [r[2] for s in sample for r in s], sum(r[2] for r in learn) / len(learn))
+    p = machine.scores([r[1] for r in held])
+    toxic = np.array([r[2] for r in held]) == 1
+    caught = p >= m.CUT
+    assert caught[toxic].mean() >= 0.9
+    assert toxic[caught].mean() >= 0.9
+
+
+def test_very_long_words_and_texts():
+    rows = corpus()
+    machine = m.train([t for _, t, _ in rows], [y for *_, y in rows])
+    long = "lane " * 200_000
+    p = machine.scores(["x" * 300_000, "ab" * 100_000 + "idiot" + "ab" * 100_000, long, long + "idiot"])
+    assert (p >= 0).all() and (p <= 1).all()
+    assert all(len(w) <= m.LONG for w in m.words_of("y" * 1000 + "z" * 1000))
+
+
+def test_scores_against_a_direct_computation():
+    """The kernel sum over landmarks, pooled word by word and put through the curve, without hashing of triples or memory."""
+    rows = corpus(300)
+    seen = []
+    fitted = m._folded
+
+    def spy(landmarks, alpha, bias):
+        seen.append((landmarks, alpha, bias))
+        return fitted(landmarks, alpha, bias)
+
+    m._folded = spy
+    try:
+        machine = m.train([t for _, t, _ in rows], [y for *_, y in rows])
+    finally:
+        m._folded = fitted
+    landmarks, alpha, bias = seen[-1]
+    for text in (rows[0][1], rows[1][1], "An idiot!", ""):
+        score = sorted((sum(a * brute_kernel(w, z) for a, z in zip(alpha, landmarks, strict=True)) + bias for w in m.words_of(text)), reverse=True)
+        clipped = [min(1.5, max(-1.0, s)) for s in score]
+        above = sum(min(1.0, max(0.0, s)) for s in score)
+        x = [*(clipped + [-1.0] * 3)[:3], np.log1p(above), 10 * above / (len(score) + 20), 1.0]
+        want = 1 / (1 + np.exp(-np.dot(x, machine.curve)))
+        assert abs(machine.scores([text])[0] - want) < 0.02
