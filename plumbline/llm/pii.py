@@ -4,11 +4,14 @@ Values are found by pattern and kept only if they validate: cards by Luhn, IBANs
 octets, dates by the calendar, phone numbers by their digit count.  Each is permuted by a keyed Feistel network over exactly the values of
 its format (numbers beyond the format are walked on), then written back in the same format with valid check digits.
 The permutation has no state, so equal values get equal pseudonyms in every document and task, and with the key
-it can be undone.  The same number in another layout of the same kind stays linked as well.
+it can be undone.  The same number in another layout of the same kind stays linked as well, and so do dates in layouts of two-digit
+days and months with the year or the day first; month-first dates and those with one-digit days or months are permuted within the days
+that their layout can hold, each for itself.
 
 Kinds: email (letters and digits of all but the top-level label), phone (the last ten digits; separators and country code stay),
-card, iban (digits and letters after the country), ssn, ip, date (days of 1900 to 2099, layout kept), secret (access keys,
-long hexadecimal tokens, values after "password=" and the like).
+card, iban (digits and letters after the country), ssn, ip, date (years 1000 to 2999; layout and one of three ranges of years kept; month
+first only where the second number is above 12), secret (access keys, hexadecimal tokens of 32 characters or more in either case,
+values of six characters or more after "password", "passwd" or "pwd" and "=" or ":").
 
 Cases: a null text stays null; texts without personal data are unchanged, byte for byte; long texts are read whole;
 repeated rows and null ids are handled alike; an empty table gives no rows; other columns pass through unchanged, and the
@@ -20,7 +23,10 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +43,8 @@ ROUNDS = 8
 
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))
-    |(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[^\s"'<>]{6,}|(?<=passwd=)[^\s"'<>]{6,}|(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9]))
+    |(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9]))
+    |(?<![A-Za-z0-9])(?i:password|passwd|pwd)["']?[ ]?[=:][ ]?["']?(?P<password>[^\s"'<>]{6,})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w))
     |(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-]|\.\d))
@@ -48,9 +55,13 @@ _PATTERN = re.compile(
     re.ASCII | re.VERBOSE,
 )
 #: A text without any of these holds nothing to find.
-_HINT = re.compile(r"@|\d[\d .()/+-]{3}|[0-9a-f]{32}|A[KS]IA|passw", re.ASCII)
-_FIRST_DAY, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
-_DIGITS, _UPPER, _LOWER, _HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+_HINT = re.compile(r"@|\d[\d .()/+-]{3}|[0-9a-fA-F]{32}|A[KS]IA|(?i:passw|pwd)", re.ASCII)
+#: Ranges of years; a date stays in its own.
+_ERAS = ((1900, 2099), (1000, 1899), (2100, 2999))
+#: Characters of a long value that are permuted at once.
+_RUN = 128
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_HEXES = ("0123456789abcdef", "0123456789ABCDEF")
 
 
 class Feistel:
@@ -106,15 +117,16 @@ def iban_check(country: str, rest: str) -> int:
 Step = Callable[[int, int, bytes], int]
 
 
-def _spelled(text: str, step: Step, context: bytes, hexadecimal: bool = False) -> str:
-    """Permute the letters and digits of a text within their classes; all else stays in place."""
-    sets = []
-    for c in text:
-        if hexadecimal and c in _HEX:
-            sets.append(_HEX)
-        else:
-            sets.append(next((s for s in (_DIGITS, _UPPER, _LOWER) if c in s), ""))
-    shape = "".join(s[:1] if s and not (hexadecimal and s is _HEX) else "#" if s else c for s, c in zip(sets, text, strict=True))
+def _spelled(text: str, step: Step, context: bytes, alphabet: str = "") -> str:
+    """Permute the letters and digits of a text within their classes (or all within ``alphabet``); all else stays in place.
+
+    A long text is permuted run by run, each under its number.
+    """
+    if len(text) > _RUN:
+        runs = range(0, len(text), _RUN)
+        return "".join(_spelled(text[k : k + _RUN], step, context + b"|%d of %d" % (k, len(text)), alphabet) for k in runs)
+    sets = [alphabet if c in alphabet else next((s for s in (_DIGITS, _UPPER, _LOWER) if c in s), "") for c in text]
+    shape = "".join("#" if s and s == alphabet else s[:1] or c for s, c in zip(sets, text, strict=True))
     value, n = 0, 1
     for s, c in zip(sets, text, strict=True):
         if s:
@@ -188,33 +200,45 @@ def _ip(v: str, step: Step) -> str | None:
     return ".".join(str(b) for b in x.to_bytes(4, "big"))
 
 
+@lru_cache(maxsize=None)
+def _days(era: tuple[int, int], one_digit_day: bool | None, one_digit_month: bool | None, late: bool) -> array:
+    """Ordinals of the days that a layout can hold, in order.  None: either; ``late``: only days after the twelfth."""
+    first, last = datetime.date(era[0], 1, 1).toordinal(), datetime.date(era[1], 12, 31).toordinal()
+    fits = lambda d: (not one_digit_day or d.day < 10) and (not one_digit_month or d.month < 10) and (not late or d.day > 12)
+    return array("i", (k for k in range(first, last + 1) if fits(datetime.date.fromordinal(k))))
+
+
 def _date(v: str, step: Step) -> str | None:
     mark = next(c for c in v if not c.isdigit())
     p = v.split(mark)
-    y, m, d = (p[0], p[1], p[2]) if len(p[0]) == 4 else (p[2], p[1], p[0])
-    swap = len(p[0]) != 4 and int(m) > 12 >= int(d)  # month first
-    if swap:
+    year_first = len(p[0]) == 4
+    y, m, d = (p[0], p[1], p[2]) if year_first else (p[2], p[1], p[0])
+    month_first = not year_first and int(m) > 12 >= int(d)
+    if month_first:
         m, d = d, m
     try:
-        day = (datetime.date(int(y), int(m), int(d)) - _FIRST_DAY).days
+        day = datetime.date(int(y), int(m), int(d)).toordinal()
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    era = next((e for e in _ERAS if e[0] <= int(y) <= e[1]), None)
+    if era is None:
         return None
-    new = _FIRST_DAY + datetime.timedelta(step(day, _DAYS, b"date"))
-    if len(p[0]) == 4:
-        return f"{new.year}{mark}{new.month:02d}{mark}{new.day:02d}"
-    a, b = (new.month, new.day) if swap else (new.day, new.month)
-    return f"{a:02d}{mark}{b:02d}{mark}{new.year}"
+    days = _days(era, len(d) == 1, len(m) == 1, month_first)
+    context = b"date" if len(d) == len(m) == 2 and not month_first else b"date|%d %d %d" % (len(d), len(m), month_first)
+    new = datetime.date.fromordinal(days[step(bisect_left(days, day), len(days), context)])
+    new_d, new_m = str(new.day).zfill(len(d)), str(new.month).zfill(len(m))
+    if year_first:
+        return f"{new.year}{mark}{new_m}{mark}{new_d}"
+    return f"{new_m if month_first else new_d}{mark}{new_d if month_first else new_m}{mark}{new.year}"
 
 
 def _secret(v: str, step: Step) -> str | None:
     if v[:4] in ("AKIA", "ASIA") and len(v) == 20:
         return v[:4] + _spelled(v[4:], step, b"secret")
-    return _spelled(v, step, b"secret", all(c in _HEX for c in v))
+    return _spelled(v, step, b"secret", next((x for x in _HEXES if len(v) >= 32 and all(c in x for c in v)), ""))
 
 
-_RULES = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret}
+_RULES = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret, "password": _secret}
 
 
 def pseudonymised(text: str, cipher: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -226,11 +250,12 @@ def pseudonymised(text: str, cipher: Feistel, back: bool = False) -> tuple[str,
 
     def swap(m: re.Match) -> str:
         kind = m.lastgroup
-        new = _RULES[kind](m.group(), step)
+        new = _RULES[kind](m.group(kind), step)
         if new is None:
             return m.group()
-        found[kind] = found.get(kind, 0) + 1
-        return new
+        name = "secret" if kind == "password" else kind
+        found[name] = found.get(name, 0) + 1
+        return m.group()[: m.start(kind) - m.start()] + new
 
     return _PATTERN.sub(swap, text), found
 
