@@ -18,6 +18,8 @@ from plumbline.llm.common import scratch_dir, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: five-word shingles, similarity of 0.8 or more.
 WIDTH, PERCENT = 5, 80
+#: The session's setting that holds the key of the pseudonyms; without it they are made under the published demonstration key.
+KEY_SETTING = "spark.plumbline.pii.key"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,25 +32,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; rows that repeat it go too."""
-    groups = jaccard_join.jaccard_groups(docs, WIDTH, PERCENT, set_common_aside=True).where("doc_id = component_id or doc_id is null")
-    kept = groups.select("doc_id").where("doc_id is not null").distinct()
-    named = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """The document with the smallest id of each group of linked texts; rows that repeat it go too.
+
+    Texts are what is compared: an id that names several different texts keeps one row for each group. Null ids take part and go first
+    where their group has others; texts without words stay, once for each id; an empty table stays empty; other columns go.
+    """
+    return jaccard_join.one_of_each_group(docs.select(*COLUMNS), WIDTH, PERCENT).select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms for personal data; ``n_chars`` follows the text."""
-    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Pseudonyms for personal data under the session's KEY_SETTING; ``n_chars`` follows the text.
+
+    Null texts stay null with a null ``n_chars``; empty ones and repeated rows are handled like others; an empty table stays empty; other
+    columns go.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    hidden = pii.pseudonymise(docs.select(*COLUMNS), key.encode() if key else pii.DEMO_KEY)
+    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that kept tokens follow the target shares of sources, languages and topics."""
+    """Documents drawn so that kept tokens follow the target shares of sources, languages and topics.
+
+    Null and empty texts have no tokens; null sources and languages are a value of their own; repeated rows are drawn each; an empty table
+    stays empty; other columns go.
+    """
     return mixing.drawn(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens; a null or empty text is one end token; an empty table gives no rows."""
     return packing.pack(docs, packing.public_tokenizer())
 
 

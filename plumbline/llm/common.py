@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,21 +13,18 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is cut at white space.
 STEP_BYTES = 1 << 20
+#: Rows of two numbers that may be broadcast, after counting them.
+SHORT_LIST = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-#: Folders of applications that name none (tests), by application id.
-_OWN: dict[str, str] = {}
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        app = spark.sparkContext.applicationId
-        where = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="plumbline-"))
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where.rstrip("/")
 
 
@@ -191,13 +187,20 @@ def pair_cells(rows: DataFrame, group: str, member: str, limit: int) -> DataFram
     ``limit`` and each two blocks form a cell, so a hot group becomes many tasks of one size and none of its
     pairs is made as a row.  Adds ``cell_a``, ``cell_b`` (the cell is group, cell_a, cell_b) and ``block``; in
     a cell with ``cell_a < cell_b`` only members of different blocks are still to be compared.
+
+    The members of large groups stay where they are: there is at most one such group for ``limit`` rows, so the list of them
+    is counted and, if it is short, broadcast.  ``rows`` is read three times and should be a written table.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1")
-    n_blocks = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
-    sized = rows.join(sizes.hint("merge"), group)
-    dealt = sized.withColumn("_k", n_blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_k")).cast("int"))
+    sizes = written(rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1"))
+    large = sizes.where(F.col("_n") > limit)
+    way = "broadcast" if large.count() <= SHORT_LIST else "merge"
+    alone = rows.join(large.select(group).hint(way), group, "left_anti").join(sizes.where(F.col("_n") <= limit).select(group).hint("merge"), group)
+    alone = alone.select("*", *(F.lit(0).alias(c) for c in ("block", "cell_a", "cell_b")))
+    dealt = rows.join(large.hint(way), group).withColumn("_k", F.ceil(F.col("_n") / F.lit(limit)).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_k")).cast("int"))
     cells = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    return cells.select("*", F.least("block", "_other").alias("cell_a"), F.greatest("block", "_other").alias("cell_b")).drop("_n", "_k", "_other")
+    cells = cells.select("*", F.least("block", "_other").alias("cell_a"), F.greatest("block", "_other").alias("cell_b")).drop("_n", "_k", "_other")
+    return alone.unionByName(cells)
 
 
 # --- connected components ----------------------------------------------------------------------

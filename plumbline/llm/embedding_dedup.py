@@ -158,7 +158,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, each: int = EACH, l
     # equal vectors: grouped by hash and vector, so that the shuffle carries each vector once per task
     classes = written(rows.where("embedding is not null").groupBy("key", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("rep is not null"))
     total = classes.count()
-    members = _memberships(classes, max(16, total * each // load), each, n_codes)
+    members = written(_memberships(classes, max(16, total * each // load), each, n_codes))
     links = pair_cells(members, "group", "rep", cell).groupBy("group", "cell_a", "cell_b").applyInArrow(_links(cosine), "a long, b long, n long")
     links = written(links)
     counted = links.where("n > 0").groupBy("a").agg(F.sum("n").alias("other_links"))

@@ -14,8 +14,9 @@
    components are the groups.
 
 Cases: a null or blank text has an empty set and links with nothing; fewer words than the shingle width make the
-whole sequence one shingle; repeated rows are copies; a null ``doc_id`` gets its class's component; empty tables
-give empty results; other columns are ignored.  Shingles and sets are compared by 64-bit hashes.
+whole sequence one shingle; repeated rows are copies; rows that share a ``doc_id`` but not their text are compared by their own texts;
+a null ``doc_id`` takes part and gets its group's component, null if no id is in the group; empty tables
+give empty results; other columns are ignored.  Texts, shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, components, mixed, pair_cells, signed, slices, table, written
+from .common import SHORT_LIST, Words, components, mixed, pair_cells, signed, slices, table, written
 
 #: Members of a cell that are compared at once.
 CELL = 256
 #: Pivots for each cut of a large region, and cuts before the rest goes to block pairs.
 PIVOTS, CUTS = 8, 2
+#: Tasks that share the reading of a large region, and sampled texts among which a signature counts as common.
+SALTS, ONE_IN, OFTEN = 16, 16, 50
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -132,11 +135,11 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
         for part in slices(batches):
             sets = shingle_sets(part.column("text"), width)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "node"],
+                [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())],
+                ["doc_id", "text_key", "n_shingles", "node"],
             )
 
-    return docs.mapInArrow(step, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(step, "doc_id long, text_key long, n_shingles long, node long")
 
 
 def _signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray | None) -> DataFrame:
@@ -159,14 +162,14 @@ def _signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray |
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """Input: region, doc_id, text.  Output: region, doc_id and the set as 64-bit values."""
+    """Input: region, node, text.  Output: region, node and the set as 64-bit values."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [s.tobytes() for s in shingle_sets(part.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([part.column("region"), part.column("doc_id"), pa.array(sets, pa.binary())], ["region", "doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("region"), part.column("node"), pa.array(sets, pa.binary())], ["region", "node", "shingles"])
 
-    return rows.mapInArrow(step, "region long, doc_id long, shingles binary")
+    return rows.select("region", "node", "text").mapInArrow(step, "region long, node long, shingles binary")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -178,14 +181,16 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 def _cut(rows: DataFrame, percent: int) -> DataFrame:
     """Deal each region's members to the cells of its pivots, with windows; regions become cells."""
     radius = (100 - percent) / 100
-    order = F.xxhash64(F.lit(11), "doc_id")
-    lots = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("lot")).agg(F.min_by(F.struct("doc_id", "shingles"), order).alias("p"))
-    pivots = lots.groupBy("region").agg(F.collect_list("p").alias("ps"))
+    order = F.xxhash64(F.lit(11), "node")
+    lots = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("lot")).agg(F.min_by(F.struct("node", "shingles"), order).alias("p"))
+    # each region's pivots in SALTS copies, so that a large region is read by as many tasks
+    pivots = lots.groupBy("region").agg(F.collect_list("p").alias("ps")).withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), "node"), F.lit(SALTS)).cast("int"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             region, ids, sets = [], [], []
-            for r, d, s, ps in zip(*(batch.column(c).to_pylist() for c in ("region", "doc_id", "shingles", "ps")), strict=True):
+            for r, d, s, ps in zip(*(batch.column(c).to_pylist() for c in ("region", "node", "shingles", "ps")), strict=True):
                 x = np.frombuffer(s, np.uint64)
                 far = []
                 for p in ps:
@@ -195,12 +200,12 @@ def _cut(rows: DataFrame, percent: int) -> DataFrame:
                 near = min(far)
                 for f, p in zip(far, ps, strict=True):
                     if f <= near + 2 * radius + 1e-9:
-                        region.append(int(signed(mixed(np.array([r ^ (p["doc_id"] * 2 + 1)], np.int64).view(np.uint64)))[0]))
+                        region.append(int(signed(mixed(np.array([(r * 31 + p["node"] * 2 + 1) % (1 << 64)], np.uint64)))[0]))
                         ids.append(d)
                         sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(region, pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["region", "doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(region, pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["region", "node", "shingles"])
 
-    return rows.join(pivots.hint("merge"), "region").mapInArrow(step, "region long, doc_id long, shingles binary")
+    return salted.join(pivots.hint("merge"), ["region", "salt"]).mapInArrow(step, "region long, node long, shingles binary")
 
 
 def _forest(percent: int):
@@ -208,7 +213,7 @@ def _forest(percent: int):
 
     def step(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        ids = cell.column("doc_id").to_numpy()
+        ids = cell.column("node").to_numpy()
         ids, first = np.unique(ids, return_index=True)
         block = cell.column("block").to_numpy()[first]
         two = cell.column("cell_a")[0].as_py() != cell.column("cell_b")[0].as_py()
@@ -265,42 +270,89 @@ def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, cell: int = CELL, set_common_aside: bool = False) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: documents linked where 100 * shared >= percent * union.
+def _stars(signatures: DataFrame, hot: DataFrame) -> DataFrame:
+    """Each class beside the smallest of a signature that it has: ``node, pivot``.
 
-    ``component_id`` is the smallest ``doc_id`` reachable by links, the document's own included.  With low thresholds parts are
-    small; ``set_common_aside`` then keeps texts that share only widespread passages out of each other's regions.
+    ``hot``: a bounded list of signatures, whose smallest class is found map-side and sent to their rows; the rest is
+    sorted by signature.  Any list gives the same rows.
+    """
+    known = [r.sig for r in hot.collect()]
+    mark = F.col("sig").isin(known) if known else F.lit(False)
+    pivot = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
+    rest = signatures.where(~mark).withColumn("pivot", pivot).where("node > pivot").select("node", "pivot")
+    if not known:
+        return rest
+    often = signatures.where(mark)
+    low = often.groupBy("sig").agg(F.min("node").alias("pivot"))
+    return rest.unionByName(often.join(F.broadcast(low), "sig").where("node > pivot").select("node", "pivot"))
+
+
+def _hot(docs: DataFrame, width: int, percent: int, common: np.ndarray | None, most: int = 100) -> DataFrame:
+    """At most ``most`` signatures that are common in one text of ONE_IN; they only steer how classes are brought together."""
+    some = docs.where(F.pmod(F.xxhash64(F.lit(17), "text_key"), F.lit(ONE_IN)) == 0)
+    return _signatures(some, width, percent, common).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "sig").limit(most).select("sig")
+
+
+def groups_of_rows(docs: DataFrame, width: int = 3, percent: int = 90, cell: int = CELL, set_common_aside: bool = False) -> DataFrame:
+    """``doc_id, text_key, n_shingles, node, root, component_id`` for each row.
+
+    ``node`` is the class of the row's set (null for an empty one), ``root`` the smallest class of its group, ``text_key`` a hash of its text.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     members = written(_classes(docs, width))
-    first = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    pivot = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
+    first = written(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key")))
     common = common_shingles(docs, width) if set_common_aside else None
-    star = _signatures(docs, width, percent, common).withColumn("pivot", pivot).where("node > pivot")
+    star = _stars(_signatures(docs, width, percent, common), _hot(docs, width, percent, common))
     regions = components(star, "node", "pivot")
-    held = regions.join(first.hint("merge"), regions.id == first.node).select(F.col("root").alias("region"), F.col("rep").alias("doc_id"))
-    held = held.where("doc_id is not null")
-    rows = written(_sets(docs.dropDuplicates(["doc_id"]).join(held.hint("merge"), "doc_id"), width))
+    held = first.join(regions.hint("merge"), first.node == regions.id).select(F.col("root").alias("region"), "node", "text_key")
+    rows = written(_sets(docs.select("text_key", "text").dropDuplicates(["text_key"]).join(held.hint("merge"), "text_key"), width))
     done = None
     for _ in range(CUTS):
-        sizes = rows.groupBy("region").agg(F.count("*").alias("n"))
-        large = sizes.where(F.col("n") > cell)
-        if large.isEmpty():
+        large = written(rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("region"))
+        found = large.count()
+        if not found:
             break
-        small = rows.join(large.hint("merge"), "region", "left_anti")
+        large = large.hint("broadcast" if found <= SHORT_LIST else "merge")
+        small = rows.join(large, "region", "left_anti")
         done = small if done is None else done.unionByName(small)
-        before = rows.join(large.hint("merge"), "region").count()
-        cut = written(_cut(rows.join(large.select("region").hint("merge"), "region", "left_semi"), percent))
-        rows = cut if cut.count() < 2 * before else rows.join(large.hint("merge"), "region", "left_semi")
+        rest = rows.join(large, "region", "left_semi")
+        cut = written(_cut(rest, percent))
+        rows = cut if cut.count() < 2 * rest.count() else rest
         if rows is not cut:
             break
-    rows = rows if done is None else done.unionByName(rows)
-    links = pair_cells(rows, "region", "doc_id", cell).groupBy("region", "cell_a", "cell_b").applyInArrow(_forest(percent), "a long, b long")
-    groups = components(links)
-    named = members.join(first.hint("merge"), "node", "left").join(groups.hint("merge"), F.col("rep") == F.col("id"), "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    rows = written(rows if done is None else done.unionByName(rows))
+    links = pair_cells(rows, "region", "node", cell).groupBy("region", "cell_a", "cell_b").applyInArrow(_forest(percent), "a long, b long")
+    named = first.join(components(links).hint("merge"), F.col("node") == F.col("id"), "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = named.select("node", "root").join(least.hint("merge"), "root")
+    out = members.join(named.hint("merge"), "node", "left")
+    alone = F.when(F.col("node").isNull(), F.col("doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", "node", "root", F.coalesce("component_id", alone).alias("component_id"))
+
+
+def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, cell: int = CELL, set_common_aside: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: documents linked where 100 * shared >= percent * union.
+
+    ``component_id`` is the smallest ``doc_id`` reachable by links, the document's own included.  With low thresholds parts are
+    small; ``set_common_aside`` then keeps texts that share only widespread passages out of each other's regions.
+    """
+    return groups_of_rows(docs, width, percent, cell, set_common_aside).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, width: int, percent: int, set_common_aside: bool = True) -> DataFrame:
+    """The row with the smallest ``doc_id`` (then text hash) of each group of linked texts, all columns kept.
+
+    Rows without words are in no group: one row of each id and text stays.  An id that names texts of several groups stays in each.
+    """
+    rows = groups_of_rows(docs, width, percent, set_common_aside=set_common_aside)
+    row_key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    linked = rows.where("node is not null").groupBy("root").agg(F.min_by(row_key, order).alias("_row"))
+    kept = written(linked.select("_row").union(rows.where("node is null").select(row_key.alias("_row"))).distinct())
+    named = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    return named.join(kept.hint("merge"), "_row").dropDuplicates(["_row"]).drop("_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,10 +157,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("node", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     found = anchors(docs, window, period, cover)
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written tables, so that the joins with them may be split where a passage is very common
+    repeated = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     held = found.join(repeated.hint("merge"), "h").groupBy("node").agg(F.collect_set("h").alias("hs"))
     wide = written(_candidates(docs.join(held.hint("merge"), "node"), window, period, cover))
-    again = wide.groupBy("h").agg(F.sum("w").alias("n")).where("n > 1").select("h")
+    again = written(wide.groupBy("h").agg(F.sum("w").alias("n")).where("n > 1").select("h"))
     starts = wide.join(again.hint("merge"), "h").groupBy("node").agg(F.collect_list("pos").alias("ps"))
     return _cleaned(docs.join(starts.hint("merge"), "node", "left").select("doc_id", "text", "ps"), window, texts)
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard_join
 from plumbline.llm.common import components
@@ -113,3 +114,29 @@ def test_components_against_union_find(spark):
             up[max(x, y)] = min(x, y)
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in up)
+
+
+def test_rows_that_share_an_id_are_compared_by_their_own_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    near_a, near_b = a + " z", b + " z"
+    rows = [(5, a), (5, b), (3, near_a), (2, near_b), (None, a), (None, "only here"), (9, ""), (9, ""), (8, None), (7, "only there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(jaccard_join.jaccard_groups(docs).select("doc_id", "component_id").collect(), key=repr)
+    want = [(5, 3), (5, 2), (3, 3), (2, 2), (None, 3), (None, None), (9, 9), (9, 9), (8, 8), (7, 7)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    kept = jaccard_join.one_of_each_group(docs.withColumn("_row", F.lit(1)).withColumn("extra", F.lit("x")).drop("_row"), 3, 90).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(3, near_a), (2, near_b), (None, "only here"), (9, ""), (8, None), (7, "only there")], key=repr)
+
+
+def test_common_signatures_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ONE_IN", 1)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 2)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(80)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            copy[rng.randrange(80)] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(copy))
+    assert run(spark, texts) == brute(texts, 3, 90)

@@ -41,9 +41,8 @@ def test_stages_one_by_one(spark, sf_dir, tmp_path):
     rows = [d.collect() for d in seen]
     assert all(tuple(d.columns) == p.COLUMNS for d in seen[1:5])
     # toxicity: exactly the rows below the cut stay
-    texts, toxic = toxicity.labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    machine = toxicity.train(texts, toxic)
-    score = machine.probability(machine.raw([r.text for r in rows[0]]))
+    machine = toxicity.train(*toxicity.labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    score = machine.scores([r.text for r in rows[0]])
     assert sorted(map(str, rows[1])) == sorted(str(r) for r, s in zip(rows[0], score, strict=True) if s < toxicity.CUT)
     bad = {r.doc_id for r in rows[0] if r.doc_id < 1000 and r.doc_id % 6 == 0}
     assert len(bad & {r.doc_id for r in rows[1]}) <= 0.05 * len(bad) and len(rows[1]) >= len(rows[0]) - len(bad) - 5
@@ -74,3 +73,14 @@ def test_stages_one_by_one(spark, sf_dir, tmp_path):
 def test_run_equals_its_stages(spark, sf_dir):
     out = p.run(spark, sf_dir)
     assert "sequence_id" in out.columns and out.count() > 0 and p.ORACLE_SQL is None
+
+
+def test_the_key_of_pseudonyms_comes_from_the_session(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "write to ann@mail.example now", "en", "s", 29)], "doc_id long, text string, lang string, source string, n_chars long")
+    plain = p.hide_personal_data(spark, docs, sf_dir).first().text
+    spark.conf.set(p.KEY_SETTING, "another key")
+    try:
+        keyed = p.hide_personal_data(spark, docs, sf_dir).first().text
+    finally:
+        spark.conf.unset(p.KEY_SETTING)
+    assert len({plain, keyed, docs.first().text}) == 3
