@@ -7,7 +7,8 @@ so every vector has as many filters.  List decoding finds exactly these from the
 n-th best sum uses block ranks whose product is at most n.  Vectors meet where they share a filter and are then
 compared exactly, in double precision.
 
-The codes grow with the number of distinct vectors, so that a filter holds a bounded number of unrelated vectors.
+The codes grow with the number of distinct vectors, so that a filter holds a bounded number of unrelated vectors, and with its
+logarithm the number of filters of a vector.
 Equal vectors are one class with a count, so copies are never paired; a hot filter is dealt out as pairs of
 bounded blocks; a pair that shares several filters counts in the smallest only.
 
@@ -124,8 +125,8 @@ def _links(cosine: float):
         if two:
             near &= block[:, None] != block[None, :]
         a, b = np.nonzero(np.triu(near))
-        filters = [np.asarray(v) for v in cell.column("filters").to_pylist()]
-        mine = np.array([_first_shared(filters[i], filters[j]) == group for i, j in zip(a, b, strict=True)], bool)
+        filters = cell.column("filters").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)  # one dimension, so of one length
+        mine = first_shared(filters, a, b) == group
         a, b = a[mine], b[mine]
         n = np.zeros(len(rep), np.int64)
         np.add.at(n, a, weight[b])
@@ -143,9 +144,20 @@ def _links(cosine: float):
     return step
 
 
-def _first_shared(x: np.ndarray, y: np.ndarray) -> int:
-    shared = np.intersect1d(x, y, assume_unique=True)
-    return int(shared[0]) if len(shared) else -1
+def first_shared(filters: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1024) -> np.ndarray:
+    """The smallest filter that the rows of each pair share, or the largest number, in blocks of pairs."""
+    none = np.iinfo(np.int64).max
+    out = np.full(len(a), none)
+    for at in range(0, len(a), step):
+        x, y = filters[a[at : at + step]], filters[b[at : at + step]]
+        shared = (x[:, :, None] == y[:, None, :]).any(axis=2)
+        out[at : at + step] = np.where(shared, x, none).min(axis=1)
+    return out
+
+
+def filters_each(total: int, each: int = EACH) -> int:
+    """Filters of a vector in each code: more for more vectors, since the words of a larger code lie closer together."""
+    return max(each, math.ceil(each * (math.log10(max(10, total)) - 3) / 3))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, each: int = EACH, load: int = LOAD, n_codes: int = CODES, cell: int = CELL) -> DataFrame:
@@ -158,6 +170,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, each: int = EACH, l
     # equal vectors: grouped by hash and vector, so that the shuffle carries each vector once per task
     classes = written(rows.where("embedding is not null").groupBy("key", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("rep is not null"))
     total = classes.count()
+    each = filters_each(total, each)
     members = written(_memberships(classes, max(16, total * each // load), each, n_codes))
     links = pair_cells(members, "group", "rep", cell).groupBy("group", "cell_a", "cell_b").applyInArrow(_links(cosine), "a long, b long, n long")
     links = written(links)

@@ -1,20 +1,15 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
 Tokens are lower-cased words and one end per text.  Spark counts every token of the training texts, and, over
-classes of tokens, every run of three.  A class is one of the commonest words, the end, or the words with a like ending; so
-the class counts are bounded (CLASSES ** 3) however large the corpus, while every training text enters them.
+classes of tokens, every pair at distance one and two.  A class is one of the COMMON commonest words, the end, or the words with a like
+ending; so the pair counts are bounded (2 * CLASSES ** 2) however large the corpus, while every training text enters them.
 
-The log-bilinear model predicts a class from the two before it: the score of class w is b(w) + (A1 * r(u) + A2 * r(v)) . q(w).
-It is trained in numpy by noise-contrastive estimation with the expected noise taken exactly (all classes at once,
-noise = class frequencies), by Adam on the whole count table.  One batched matrix product gives the scores of all contexts, and a
-softmax over the classes, with a small share of the class frequencies, makes them probabilities.
-
-Within an ending class the word itself is predicted from the two words before it.  Every word that occurs LEAST times or more, a
-number of such words that grows with the corpus, has its own embedding as a context and its own leaf in a tree of its class; the
-rarer words of the class share one leaf and have (c + 0.5) / (C + 0.5 (V + 1)) in it, with one share for all unknown
-words.  A path's probability is a product of log-bilinear decisions, so the probabilities of all tokens add up to one.  All
-training texts enter: each task trains on its texts from the same start, and Spark averages the tasks' rows by how
-often they were updated, ROUNDS times.
+For each distance a log-bilinear model predicts a class from the class at that distance before it: the score of class w after v
+is b(w) + r(v) . q(w).  It is trained in numpy by noise-contrastive estimation with the expected noise taken exactly (all classes at
+once, noise = class frequencies), by Adam on the whole count table.  One batched matrix product gives the scores of all contexts, and a
+softmax over the classes makes them probabilities; the two models are mixed by NEAR, with a small share of the class frequencies.
+Within an ending class a word has the share (c + 0.5) / (C + 0.5 (V + 1)), with one such share for all unknown words, so the
+probabilities of all tokens add up to one.
 
 Texts are scored by table look-ups.  The counts of the commonest words travel as a table of fixed size; the other tokens are
 joined to their counts in Spark, so no count is lost or approximated.
@@ -26,7 +21,6 @@ other columns are ignored.  Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,16 +32,12 @@ from pyspark.sql import functions as F
 from .common import Words, signed, slices, table, written
 
 #: Words that are classes of their own, classes of like endings, and words whose counts travel with the tasks.
-COMMON, ENDINGS, HEAD = 96, 47, 65536
+COMMON, ENDINGS, HEAD = 1024, 255, 65536
 CLASSES = COMMON + 1 + ENDINGS
 #: Model size and training.
-DIM, NOISE, STEPS, RATE, RIDGE = 24, 20, 150, 0.05, 3e-5
-#: Share of the class frequencies in each distribution, for contexts that were hardly seen.
-FLOOR = 0.05
-#: Occurrences from which a word has an embedding and a leaf of its own, whatever the size of the corpus.
-LEAST = 1000
-#: Size and training of the word model: tokens in a step, passes with an average after each, and tasks at most.
-WORD_DIM, WORD_RATE, BATCH, ROUNDS, TASKS = 16, 0.1, 8192, 2, 256
+DIM, NOISE, STEPS, RATE, RIDGE = 32, 20, 120, 0.05, 3e-5
+#: Weight of the nearer context, and share of the class frequencies in each distribution.
+NEAR, FLOOR = 0.75, 0.05
 END = np.uint64(0x5BF03635D0E9A1C7)
 
 
@@ -60,7 +50,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = Words(texts, lower=True)
     last = words.data[words.end - 1].astype(np.int64) if len(words.end) else np.zeros(0, np.int64)
     before = np.where(words.end - words.start > 1, words.data[words.end - 2] if len(words.data) > 1 else 0, 0).astype(np.int64) if len(words.end) else last
-    ending = (last * 131 + before * 7) % 251 % ENDINGS
+    ending = (last * 131 + before * 7) % 1021 % ENDINGS
     h = np.insert(words.hash, words.first[1:], END)
     return h, np.insert(ending, words.first[1:], 0), words.first + np.arange(len(words.first))
 
@@ -105,9 +95,9 @@ class Vocabulary:
         return known, np.where(known, self.c[at], 0)
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD, least: int = LEAST) -> Vocabulary:
-    """Collects ``head`` counts, or those of all words that occur ``least`` times if they are more, and one sum for each ending."""
-    head = max(head, counts.where(F.col("c") >= least).count())
+def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
+    """Collects ``head`` counts and one sum for each ending."""
+    head = max(head, COMMON + 1)
     top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()
     h, c, ending = (top.column(k).to_numpy() for k in ("h", "c", "ending"))
     h = h.view(np.uint64) if len(h) else np.zeros(0, np.uint64)
@@ -121,247 +111,88 @@ def vocabulary(counts: DataFrame, head: int = HEAD, least: int = LEAST) -> Vocab
     return Vocabulary(h, c, sums.n, sums.v, total, distinct, ending)
 
 
-def class_runs(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """``run, n``: how often each run of three classes occurs; a text is preceded by two ends."""
+def class_pairs(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """``pair, n``: how often each class follows each other at distance one and two; a text is preceded by two ends."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             h, ending, first = _tokens(part.column("text"))
             k = sent.value.classes(h, ending)
-            run, n = np.unique(_contexts(k, first) * CLASSES + k, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(n)], ["run", "n"])
+            pair, n = np.unique(np.concatenate([v * CLASSES + k + d * CLASSES**2 for d, v in enumerate(_before(k, first))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
-    return docs.select("text").mapInArrow(step, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(step, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _contexts(k: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The two classes before each token, as one number."""
+def _before(k: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes one and two before each token."""
     one = np.append(COMMON, k[:-1])
     two = np.append([COMMON, COMMON], k[:-2])[: len(k)]
     one[first[:-1]] = two[first[:-1]] = COMMON
     second = first[:-1] + 1
     two[second[second < first[1:]]] = COMMON
-    return two * CLASSES + one
+    return one, two
 
 
-def train(runs: np.ndarray, n: np.ndarray, steps: int = STEPS, seed: int = 1) -> np.ndarray:
-    """Natural log probabilities of all classes (columns) after all contexts (rows)."""
-    counts = np.zeros((CLASSES * CLASSES, CLASSES), np.float32)
-    counts[runs // CLASSES, runs % CLASSES] = n
-    seen = np.flatnonzero(counts.any(axis=1))
-    total = float(counts.sum()) or 1.0
-    noise = (counts.sum(axis=0) + 0.5).astype(np.float64)
+def train(counts: np.ndarray, steps: int = STEPS, seed: int = 1) -> np.ndarray:
+    """Probabilities of all classes (columns) after all contexts (rows), from their counts."""
+    total = np.float32(counts.sum() or 1.0)
+    noise = counts.sum(axis=0, dtype=np.float64) + 0.5
     noise = (noise / noise.sum()).astype(np.float32)
-    u, v = np.arange(CLASSES * CLASSES) // CLASSES, np.arange(CLASSES * CLASSES) % CLASSES
     rng = np.random.default_rng(seed)
-    p = {"r": rng.normal(0, 0.1, (CLASSES, DIM)), "q": rng.normal(0, 0.1, (CLASSES, DIM)), "a": np.full((2, DIM), 0.7), "b": np.log(noise)}
+    p = {"r": rng.normal(0, 0.1, (CLASSES, DIM)), "q": rng.normal(0, 0.1, (CLASSES, DIM)), "b": np.log(noise)}
     p = {k: x.astype(np.float32) for k, x in p.items()}
     m, s = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    data = counts[seen] / total
+    data = counts / total
     drawn = NOISE * data.sum(axis=1, keepdims=True) * noise
     lift = np.log(NOISE * noise)
-    for t in range(1, steps + 1 if len(seen) else 0):
-        ru, rv = p["r"][u[seen]], p["r"][v[seen]]
-        ctx = p["a"][0] * ru + p["a"][1] * rv
-        real = 1 / (1 + np.exp(-np.clip(ctx @ p["q"].T + p["b"] - lift, -30, 30)))
-        g = drawn * real - data * (1 - real)
-        gc = g @ p["q"]
-        grad = {"q": g.T @ ctx, "b": g.sum(axis=0), "a": np.stack([(gc * ru).sum(axis=0), (gc * rv).sum(axis=0)]), "r": np.zeros_like(p["r"])}
-        np.add.at(grad["r"], u[seen], gc * p["a"][0])
-        np.add.at(grad["r"], v[seen], gc * p["a"][1])
-        rate = RATE * min(1.0, 2 * (1 - t / (steps + 1)))
+    for t in range(1, steps + 1 if counts.any() else 0):
+        real = 1 / (1 + np.exp(-np.clip(p["r"] @ p["q"].T + (p["b"] - lift), -30, 30)))
+        g = (drawn + data) * real - data
+        grad = {"q": g.T @ p["r"], "b": g.sum(axis=0), "r": g @ p["q"]}
+        rate = np.float32(RATE * min(1.0, 2 * (1 - t / (steps + 1))))
         for k in p:
             if k != "b":
-                grad[k] += RIDGE * p[k]
-            m[k] = 0.9 * m[k] + 0.1 * grad[k]
-            s[k] = 0.99 * s[k] + 0.01 * grad[k] ** 2
-            p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-10)
-    score = (p["a"][0] * p["r"][u] + p["a"][1] * p["r"][v]) @ p["q"].T + p["b"]
+                grad[k] += np.float32(RIDGE) * p[k]
+            m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * grad[k]
+            s[k] = np.float32(0.99) * s[k] + np.float32(0.01) * grad[k] ** 2
+            p[k] -= rate * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(s[k] / np.float32(1 - 0.99**t)) + np.float32(1e-10))
+    score = p["r"] @ p["q"].T + p["b"]
     score -= score.max(axis=1, keepdims=True)
     probability = np.exp(score)
     probability /= probability.sum(axis=1, keepdims=True)
-    return np.log((1 - FLOOR) * probability + FLOOR * noise)
-
-
-class Trees:
-    """A Huffman tree for each ending class: its words with a leaf of their own, and one leaf for the rest.
-
-    Item ``i`` is leaf word ``i``, or the rest of ending ``i - len(h)``; its path is ``nodes[offs[i]:offs[i + 1]]`` with ``side``.
-    Contexts are classes, and after them the leaf words.
-    """
-
-    def __init__(self, words: Vocabulary, least: int = LEAST) -> None:
-        own = (words.c >= least) & (words.h != END) & ~np.isin(words.h, words.single)
-        self.h, c, ending = words.h[own], words.c[own].astype(float), words.ending[own]
-        n, inner = len(self.h) + ENDINGS, 0
-        rest_c = words.ending_total - np.bincount(ending, c, ENDINGS)
-        rest_v = words.ending_distinct - np.bincount(ending, minlength=ENDINGS)
-        self.rest = rest_c + 0.5 * (rest_v + 1)
-        up, side, odds = np.full(2 * n, -1), np.zeros(2 * n, np.float32), []
-        weight = np.append(c, self.rest).tolist()
-        of = np.argsort(ending, kind="stable")
-        cuts = np.searchsorted(ending[of], np.arange(ENDINGS + 1))
-        for e in range(ENDINGS):
-            heap = [(weight[i], i) for i in (*of[cuts[e] : cuts[e + 1]].tolist(), len(self.h) + e)]
-            heapq.heapify(heap)
-            while len(heap) > 1:
-                (x, i), (y, j) = heapq.heappop(heap), heapq.heappop(heap)
-                up[i] = up[j] = n + inner
-                side[j] = 1
-                odds.append(np.log(y / x))
-                heapq.heappush(heap, (x + y, n + inner))
-                inner += 1
-        items, nodes, sides, at = [], [], [], np.arange(n)
-        item = at
-        while len(at := at[keep := up[at] >= 0]):
-            item = item[keep]
-            items.append(item)
-            nodes.append(up[at] - n)
-            sides.append(side[at])
-            at = up[at]
-        self.item = np.concatenate(items) if items else np.zeros(0, np.int64)
-        order = np.argsort(self.item, kind="stable")
-        self.nodes = (np.concatenate(nodes) if nodes else self.item)[order].astype(np.int32)
-        self.side = (np.concatenate(sides) if sides else self.item)[order].astype(np.float32)
-        self.offs = np.searchsorted(self.item[order], np.arange(n + 1))
-        del self.item
-        self.odds = np.array(odds, np.float32)
-
-    def start(self, seed: int = 1) -> np.ndarray:
-        """Rows of contexts, of decisions and of the two places; the last column is a decision's bias.  Words begin at their frequency."""
-        contexts = CLASSES + len(self.h)
-        p = np.zeros((contexts + len(self.odds) + 2, WORD_DIM + 1), np.float32)
-        p[:contexts, :WORD_DIM] = np.random.default_rng(seed).normal(0, 0.3, (contexts, WORD_DIM))
-        p[contexts:-2, WORD_DIM] = self.odds
-        p[-2:, :WORD_DIM] = 0.7
-        return p
-
-    def leaf(self, h: np.ndarray) -> np.ndarray:
-        """The leaf word of each token, or -1."""
-        if not len(self.h):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
-
-    def targets(self, k: np.ndarray, leaf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places, items and the contexts one and two before, of the tokens that have a path."""
-        seen = np.where(leaf >= 0, CLASSES + leaf, k)
-        one, two = np.append(COMMON, seen[:-1]), np.append([COMMON, COMMON], seen[:-2])[: len(seen)]
-        one[first[:-1]] = two[first[:-1]] = COMMON
-        second = first[:-1] + 1
-        two[second[second < first[1:]]] = COMMON
-        item = np.where(leaf >= 0, leaf, len(self.h) + k - COMMON - 1)
-        at = np.flatnonzero(k > COMMON)
-        at = at[self.offs[item[at] + 1] > self.offs[item[at]]]
-        return at, item[at], one[at], two[at]
-
-    def decisions(self, p: np.ndarray, item: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each decision on the paths: its token, node, side and log odds; and the tokens' contexts."""
-        n = self.offs[item + 1] - self.offs[item]
-        token = np.repeat(np.arange(len(item)), n)
-        path = np.arange(len(token)) + np.repeat(self.offs[item] - np.cumsum(n) + n, n)
-        node, side = self.nodes[path], self.side[path]
-        ctx = p[one, :WORD_DIM] * p[-2, :WORD_DIM] + p[two, :WORD_DIM] * p[-1, :WORD_DIM]
-        q = p[CLASSES + len(self.h) + node]
-        return token, node, side, np.clip(np.einsum("ij,ij->i", ctx[token], q[:, :WORD_DIM]) + q[:, WORD_DIM], -30, 30), ctx, q
-
-    def log10(self, p: np.ndarray, item: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Log probability of each token's path."""
-        out = np.zeros(len(item))
-        for a in range(0, len(item), BATCH):
-            cut = slice(a, a + BATCH)
-            token, _, side, odds, _, _ = self.decisions(p, item[cut], one[cut], two[cut])
-            out[cut] = -np.bincount(token, np.logaddexp(0.0, np.where(side > 0, -odds, odds).astype(np.float64)), len(out[cut])) / np.log(10)
-        return out
-
-    def learn(self, p: np.ndarray, squares: np.ndarray, times: np.ndarray, item: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """Steps by AdaGrad over the tokens in turn; changes ``p``, ``squares`` and ``times``."""
-        contexts = CLASSES + len(self.h)
-        for a in range(0, len(item), BATCH):
-            cut = slice(a, a + BATCH)
-            u, v = one[cut], two[cut]
-            token, node, side, odds, ctx, q = self.decisions(p, item[cut], u, v)
-            g = 1 / (1 + np.exp(-odds)) - side
-            of_ctx = _sums(token, g[:, None] * q[:, :WORD_DIM], len(ctx))[1]
-            of_node = np.concatenate([g[:, None] * ctx[token], g[:, None]], axis=1)
-            ru, rv = p[u, :WORD_DIM], p[v, :WORD_DIM]
-            of_word = np.zeros((2 * len(u), WORD_DIM + 1), np.float32)
-            of_word[:, :WORD_DIM] = np.concatenate([of_ctx * p[-2, :WORD_DIM], of_ctx * p[-1, :WORD_DIM]])
-            of_place = np.zeros((2, WORD_DIM + 1), np.float32)
-            of_place[:, :WORD_DIM] = (of_ctx * ru).sum(axis=0), (of_ctx * rv).sum(axis=0)
-            for rows, grad, n in (
-                _sums(node + contexts, of_node, len(p)),
-                _sums(np.concatenate([u, v]), of_word, len(p)),
-                (np.array([len(p) - 2, len(p) - 1]), of_place, np.full(2, len(u))),
-            ):
-                squares[rows] += grad**2
-                p[rows] -= WORD_RATE * grad / np.sqrt(squares[rows] + 1e-8)
-                times[rows] += n
-
-
-def _sums(key: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys that occur, the sum of the rows of each, and how many."""
-    n = np.bincount(key, minlength=most)
-    some = np.flatnonzero(n)
-    order = np.argsort(key.astype(np.uint16) if most < 65536 else key, kind="stable")
-    begin = np.cumsum(n[some]) - n[some]
-    return some, np.add.reduceat(rows[order], begin, axis=0) if len(begin) else rows[:0], n[some]
-
-
-def train_words(docs: DataFrame, words: Vocabulary, trees: Trees, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters of the word model: tasks learn from their texts, Spark averages their rows."""
-    p = trees.start()
-    if not len(trees.h):
-        return p
-    context = docs.sparkSession.sparkContext
-    fixed = context.broadcast((words, trees))
-    names = [f"p{i}" for i in range(WORD_DIM + 1)]
-    for _ in range(rounds):
-        sent = context.broadcast(p)
-
-        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            words, trees = fixed.value
-            p = sent.value.copy()
-            squares, times = np.zeros_like(p), np.zeros(len(p), np.int64)
-            for part in slices(batches):
-                h, ending, first = _tokens(part.column("text"))
-                _, item, one, two = trees.targets(words.classes(h, ending), trees.leaf(h), first)
-                trees.learn(p, squares, times, item, one, two)
-            some = np.flatnonzero(times)
-            for a in range(0, len(some), 1 << 16):
-                rows = some[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(times[rows]), *[pa.array(p[rows, i]) for i in range(WORD_DIM + 1)]], ["id", "n", *names])
-
-        learnt = docs.select("text").coalesce(TASKS).mapInArrow(step, "id long, n long, " + ", ".join(f"{x} float" for x in names))
-        mean = learnt.groupBy("id").agg(*[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).cast("float").alias(x) for x in names]).toArrow()
-        rows = mean.column("id").to_numpy()
-        p = p.copy()
-        for i, x in enumerate(names):
-            p[rows, i] = mean.column(x).to_numpy()
-    return p
-
-
-def score(docs: DataFrame, words: Vocabulary, counts: DataFrame, logp: np.ndarray, trees: Trees, p: np.ndarray) -> DataFrame:
+    return (1 - FLOOR) * probability + FLOOR * noise
+
+
+def train_both(pair: np.ndarray, n: np.ndarray, steps: int = STEPS) -> list[np.ndarray]:
+    """The models of distance one and two."""
+    out = []
+    for d in (0, 1):
+        counts = np.zeros(CLASSES**2, np.float32)
+        own = pair // CLASSES**2 == d
+        counts[pair[own] % CLASSES**2] = n[own]
+        out.append(train(counts.reshape(CLASSES, CLASSES), steps).astype(np.float32))
+    return out
+
+
+def score(docs: DataFrame, words: Vocabulary, counts: DataFrame, models: list[np.ndarray]) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row."""
-    log10p = (logp / np.log(10)).astype(np.float32)
-    # what the rest of a word's class leaves to its words, apart from the word's own count
+    # what a word's ending class leaves to its words, apart from the word's own count
     share = np.zeros(CLASSES)
-    share[COMMON + 1 :] = -np.log10(trees.rest)
-    sent = docs.sparkSession.sparkContext.broadcast((words, log10p, share, trees, p))
+    share[COMMON + 1 :] = -np.log10(words.ending_total + 0.5 * (words.ending_distinct + 1))
+    sent = docs.sparkSession.sparkContext.broadcast((words, models, share))
     whole = float(np.log10(words.total + 0.5 * (words.distinct + 1)))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, log10p, share, trees, p = sent.value
+        words, (near, far), share = sent.value
         at_row = TaskContext.get().partitionId() << 40
         for part in slices(batches):
             h, ending, first = _tokens(part.column("text"))
             k = words.classes(h, ending)
-            leaf = trees.leaf(h)
-            rest = (k > COMMON) & (leaf < 0)
-            model = log10p[_contexts(k, first), k].astype(np.float64) + np.where(rest, share[k], 0.0)
-            at, item, one, two = trees.targets(k, leaf, first)
-            model[at] += trees.log10(p, item, one, two)
+            rest = k > COMMON
+            one, two = _before(k, first)
+            model = np.log10(NEAR * near[one, k] + (1 - NEAR) * far[two, k]).astype(np.float64) + share[k]
             some, back = np.unique(h, return_inverse=True)
             known, c = words.find(some)
             own = np.where(known, np.log10(c + 0.5), 0.0)
@@ -387,7 +218,7 @@ def score(docs: DataFrame, words: Vocabulary, counts: DataFrame, logp: np.ndarra
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, own double, own_class double, model double, tail array<long>"
     rows = written(docs.select("doc_id", "text", "held_out").mapInArrow(step, schema))
-    # tokens beyond the commonest; none of them is a class or a leaf of its own
+    # tokens beyond the commonest; none of them is a class of its own
     tail = rows.select("row", F.explode("tail").alias("h")).join(counts.select("h", "c").hint("merge"), "h", "left")
     tail = tail.groupBy("row").agg(F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"))
     out = rows.drop("tail").join(tail.hint("merge"), "row", "left")
@@ -401,17 +232,15 @@ def score(docs: DataFrame, words: Vocabulary, counts: DataFrame, logp: np.ndarra
     )
 
 
-def lm_scores(docs: DataFrame, head: int = HEAD, steps: int = STEPS, least: int = LEAST) -> DataFrame:
+def lm_scores(docs: DataFrame, head: int = HEAD, steps: int = STEPS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("held_out", held_out())
     training = docs.where("not held_out")
     counts = written(token_counts(training))
-    words = vocabulary(counts, head, least)
-    # bounded: at most CLASSES ** 3 counts
-    runs = class_runs(training, words).toArrow()
-    logp = train(runs.column("run").to_numpy(), runs.column("n").to_numpy(), steps)
-    trees = Trees(words, least)
-    return score(docs, words, counts, logp, trees, train_words(training, words, trees))
+    words = vocabulary(counts, head)
+    # bounded: at most 2 * CLASSES ** 2 counts
+    pairs = class_pairs(training, words).toArrow()
+    return score(docs, words, counts, train_both(pairs.column("pair").to_numpy(), pairs.column("n").to_numpy(), steps))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

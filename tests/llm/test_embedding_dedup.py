@@ -1,6 +1,8 @@
 import numpy as np
 
 from plumbline.llm import embedding_dedup as m
+from plumbline.llm.embedding_dedup import filters_each
+from plumbline.llm.embedding_dedup import first_shared as m_first
 from plumbline.llm.embedding_dedup import ProductCode, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string, rep int"
@@ -87,3 +89,15 @@ def test_empty_and_repeated_ids(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert len(rows) == 4
+
+
+def test_first_shared_filter_in_blocks():
+    rng = np.random.default_rng(3)
+    filters = np.sort(rng.integers(0, 60, (50, 12)), axis=1)
+    a, b = np.triu_indices(50, 1)
+    want = [min(set(filters[i]) & set(filters[j]), default=np.iinfo(np.int64).max) for i, j in zip(a, b, strict=True)]
+    assert m_first(filters, a, b, 100).tolist() == want
+
+
+def test_more_filters_for_more_vectors():
+    assert [filters_each(n) for n in (0, 10**3, 10**6, 10**8, 10**9)] == [10, 10, 10, 17, 20]
