@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.text import host_of, rounded, title_key, url_key
+from plumbline.functions.html import let
+from plumbline.functions.text import host_of, rounded, url_key
 from plumbline.operators.keywords import STOPWORDS, ngrams, tokens
 from plumbline.operators.links import _cut
 
@@ -31,25 +33,28 @@ def connected(edges: DataFrame, most: int | None = None) -> DataFrame:
     raise RuntimeError("connected: no fixed point")
 
 
-def keyword_clusters(cands: DataFrame, pages: int) -> DataFrame:
-    """Phrases that share a word which is not too common: ``cluster, phrase, score, pages``; the label is the best phrase.
+def keyword_clusters(cands: DataFrame, site_pages: DataFrame) -> DataFrame:
+    """Phrases of a site that share a word which is not too common in it: ``site_id, cluster, phrase, score, pages``; the label is the best phrase.
 
-    Each word links its phrases to the first of them, so a common word makes a star and not all pairs.
+    ``site_pages`` (site_id, site_pages) sets how many pages of the site may hold a word that links.  Each word links its phrases to
+    the first of them, so a common word makes a star and not all pairs.
     """
-    words = cands.select("page_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).where(~F.col("word").isin(*STOPWORDS) & (F.length("word") > 2))
-    spread = words.groupBy("word").agg(F.count_distinct("page_id").alias("on"), F.min("phrase").alias("first"))
-    usable = spread.where(F.col("on") <= max(4, -(-pages * 2 // 5)))
-    edges = words.join(usable, "word").where("phrase <> first").select(F.col("phrase").alias("a"), F.col("first").alias("b")).distinct()
+    words = cands.select("site_id", "page_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).where(~F.col("word").isin(*STOPWORDS) & (F.length("word") > 2))
+    spread = words.groupBy("site_id", "word").agg(F.count_distinct("page_id").alias("on"), F.min("phrase").alias("first")).join(site_pages.hint("merge"), "site_id")
+    usable = spread.where(F.col("on") <= F.greatest(F.lit(4), F.ceil(F.col("site_pages") * 2 / 5))).select("site_id", "word", "first")
+    name = lambda c: F.concat_ws("\u0001", "site_id", c)
+    edges = words.join(usable.hint("merge"), ["site_id", "word"]).where("phrase <> first").select(name("phrase").alias("a"), name("first").alias("b")).distinct()
     roots = connected(edges)
-    totals = cands.groupBy("phrase").agg(F.sum("score").cast("long").alias("score"), F.count_distinct("page_id").alias("pages"))
-    rows = totals.join(roots, totals.phrase == roots.node, "left").withColumn("root", F.coalesce("root", "phrase"))
+    totals = cands.groupBy("site_id", "phrase").agg(F.sum("score").cast("long").alias("score"), F.count_distinct("page_id").alias("pages")).withColumn("node", name("phrase"))
+    rows = totals.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rows.groupBy("root").agg(F.max_by("phrase", F.struct("score", "phrase")).alias("cluster"))
-    return rows.join(best, "root").select("cluster", "phrase", "score", "pages")
+    return rows.join(best.hint("merge"), "root").select("site_id", "cluster", "phrase", "score", "pages")
 
 
 def cannibalization(cands: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Clusters in which at least two pages have a phrase in title or h1."""
-    strong = cands.where("in_title or in_h1").join(clusters.select("phrase", "cluster"), "phrase").groupBy("cluster").agg(F.count_distinct("page_id").alias("pages"))
+    """Clusters of a site in which at least two pages have a phrase in title or h1."""
+    keys = ["site_id", "phrase"]
+    strong = cands.where("in_title or in_h1").join(clusters.select(*keys, "cluster").hint("merge"), keys).groupBy("site_id", "cluster").agg(F.count_distinct("page_id").alias("pages"))
     return strong.where("pages >= 2")
 
 
@@ -59,7 +64,7 @@ def page_phrases(headings: DataFrame) -> DataFrame:
     ``headings``: competitor, url, weight, text.  A phrase counts once a page at its best weight and stays with two pages or a
     weight of three; a shorter one goes if a longer kept one holds it on 70 % of its pages.  Longer ones are settled first.
     """
-    rows = headings.select("competitor", "url", "weight", F.explode(ngrams(tokens("text"), 4)).alias("phrase")).where(F.contains("phrase", F.lit(" ")))
+    rows = headings.select("competitor", "url", "weight", F.explode(let(tokens("text"), lambda w: ngrams(w, 4))).alias("phrase")).where(F.contains("phrase", F.lit(" ")))
     per = rows.groupBy("competitor", "url", "phrase").agg(F.max("weight").alias("weight"))
     listed = per.groupBy("phrase").agg(F.count("*").alias("pages"), F.count_distinct("competitor").alias("competitors"), F.sum("weight").cast("long").alias("score"), F.max("weight").alias("best"))
     listed = _cut(listed.where("pages >= 2 or best >= 3").withColumn("n", F.size(F.split("phrase", " "))).drop("best"))
@@ -68,18 +73,17 @@ def page_phrases(headings: DataFrame) -> DataFrame:
         w = F.split("phrase", " ")
         inside = kept.select("pages", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))).alias("phrase"))
         longest = inside.groupBy("phrase").agg(F.max("pages").alias("longer"))
-        rest = listed.where(F.col("n") == n).join(longest, "phrase", "left").where("longer is null or longer < pages * 0.7").drop("longer")
+        rest = listed.where(F.col("n") == n).join(longest.hint("merge"), "phrase", "left").where("longer is null or longer < pages * 0.7").drop("longer")
         kept = kept.unionByName(rest)
     return kept
 
 
-def citations(links: DataFrame) -> DataFrame:
-    """Outside pages that competitors link to: ``links`` has competitor, url, anchor; home pages are left out."""
-    rows = links.withColumn("key", url_key("url")).where(~F.col("key").endswith("/"))
-    return rows.groupBy("key").agg(F.count("*").alias("links"), F.count_distinct("competitor").alias("competitors"), F.min("anchor").alias("anchor"), F.min(host_of("url")).alias("host"))
-
-
-AUTHORITY = (("Government", r"(^|\.)gov(\.[a-z]{2})?$"), ("Education", r"(^|\.)(edu|ac)(\.[a-z]{2})?$"), ("International", r"(^|\.)(int|un\.org|who\.int|europa\.eu)$"), ("Organisation", r"\.org$"))
+# Hosts that are no sources, and kinds of authority in their order.
+SKIPPED_HOSTS = r"(^|\.)(bit\.ly|t\.co|goo\.gl|ow\.ly|tinyurl\.com|apps\.apple\.com|play\.google\.com|doubleclick\.net|googleadservices\.com|googletagmanager\.com|wa\.me|api\.whatsapp\.com|paypal\.com|stripe\.com|shopify\.com|wordpress\.org|gravatar\.com|schema\.org|w3\.org)$"
+AUTHORITY = (
+    ("Government", r"(^|\.)(gov|gob|gouv|govt)(\.[a-z]{2})?$|(^|\.)go\.[a-z]{2}$"), ("International body", r"(^|\.)(un\.org|who\.int|worldbank\.org|oecd\.org|europa\.eu|unesco\.org|unicef\.org|imf\.org)$|\.int$"),
+    ("Education / research", r"(^|\.)(edu|ac)(\.[a-z]{2})?$"), ("Organisation", r"\.org(\.[a-z]{2})?$|(^|\.)or\.[a-z]{2}$"),
+)
 
 
 def authority(host: str):
@@ -89,20 +93,306 @@ def authority(host: str):
     return out
 
 
-def question_bank(questions: DataFrame) -> DataFrame:
-    """Questions (competitor, url, source_weight, text) by wording: competitors, pages and the best wording."""
-    return questions.groupBy(title_key("text").alias("key")).agg(
-        F.count_distinct("competitor").alias("competitors"), F.count_distinct("url").alias("pages"), F.max_by("text", F.struct("source_weight", -F.length("text"), "text")).alias("text")
-    ).where("key <> ''")
+def authority_rank(name: Column) -> Column:
+    out = F.lit(len(AUTHORITY))
+    for k, (a, _) in enumerate(AUTHORITY):
+        out = F.when(name == a, k).otherwise(out)
+    return out
+
+
+def citations(links: DataFrame, own_host: str = "") -> DataFrame:
+    """Outside pages that competitors' pages link to: ``key, host, authority, links, competitors, anchors``.
+
+    ``links`` has competitor, host_of_page, url, anchor.  Home pages, links within a competitor, hosts that are no sources and the own host are left out.
+    """
+    rows = links.withColumn("host", host_of("url")).withColumn("key", F.regexp_replace(url_key("url"), "/$", ""))
+    inside = lambda h: (F.col("host") == h) | F.endswith(F.col("host"), F.concat(F.lit("."), h))
+    rows = rows.where(F.col("key").contains("/") & F.col("host").isNotNull() & ~F.col("host").rlike(SKIPPED_HOSTS) & ~inside(F.col("host_of_page")))
+    if own_host:
+        rows = rows.where(~inside(F.lit(own_host)))
+    found = rows.groupBy("key").agg(
+        F.min("host").alias("host"), F.count("*").alias("links"), F.count_distinct("competitor").alias("competitors"), F.array_join(F.slice(F.array_sort(F.collect_set(F.nullif("anchor", F.lit("")))), 1, 3), " | ").alias("anchors")
+    )
+    return found.withColumn("authority", authority("host"))
+
+
+def citations_for_topic(cites: DataFrame, topics: DataFrame, most: int = 6) -> DataFrame:
+    """The citations that fit each topic (topic): words shared with url and anchors first, then authority and count; unrelated ones only with authority."""
+    words = lambda c: F.split(F.lower(c), r"[^\p{L}\p{N}]+")
+    wanted = topics.select("topic", F.array_distinct(F.filter(words(F.col("topic")), lambda w: F.length(w) > 2)).alias("need"))
+    seen = cites.select("key", "host", "authority", "links", words(F.concat_ws(" ", "key", "anchors")).alias("have"))
+    # both sides are lists that the caller keeps: topics of a plan and their candidate sources, joined on shared words
+    hit = wanted.select("topic", F.explode("need").alias("w")).join(seen.select("key", F.explode("have").alias("w")).hint("merge"), "w").groupBy("topic", "key").agg(F.count("*").alias("overlap"))
+    score = F.col("overlap") * 3 + (4 - authority_rank(F.col("authority"))) + F.least(F.col("links"), F.lit(3)) * 0.5
+    related = hit.join(seen.drop("have").hint("merge"), "key")
+    order = Window.partitionBy("topic").orderBy(F.desc("score"), "key")
+    first = related.withColumn("score", score).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
+    # what fills up is the same for all topics: the best of the authoritative
+    spare = seen.where("authority <> 'Other'").withColumn("score", (4 - authority_rank(F.col("authority"))) + F.least(F.col("links"), F.lit(3)) * 0.5).orderBy(F.desc("score"), "key").limit(2 * most).drop("have")
+    had = first.groupBy("topic").agg(F.count("*").alias("n"))
+    gaps = wanted.select("topic").join(had.hint("merge"), "topic", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < most)
+    fill = gaps.crossJoin(F.broadcast(spare)).join(hit.select("topic", "key").hint("merge"), ["topic", "key"], "left_anti")
+    fill = fill.withColumn("place", (F.col("n") + F.row_number().over(order)).cast("long")).where(F.col("place") <= most)
+    columns = ["topic", "place", "key", "host", "authority", "score"]
+    return first.select(*columns).unionByName(fill.select(*columns))
+
+
+def source_candidates(results: DataFrame, most: int = 8) -> DataFrame:
+    """One result for each host of a topic (topic, url, place), by authority and then by place."""
+    rows = results.withColumn("host", host_of("url")).where("host is not null")
+    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy("topic", "host").orderBy("place"))).where("_n = 1").drop("_n").withColumn("authority", authority("host"))
+    order = F.row_number().over(Window.partitionBy("topic").orderBy(authority_rank(F.col("authority")), "place"))
+    return one.withColumn("rank", order.cast("long")).where(F.col("rank") <= most).select("topic", "rank", "host", "authority", "url")
+
+
+SOURCE_WEIGHT = {"faq": 3, "heading": 2, "text": 1}
+JUNK_QUESTION = r"(?i)cookie|newsletter|subscribe|log ?in\b|sign ?(up|in)\b|password|privacy policy|terms (of|and)|unsubscribe|captcha|click here|cart\b|checkout|my account"
+
+
+def norm_question(x) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+
+
+def usable_question(x) -> Column:
+    """As long as a sentence, without links, and nothing that belongs to the site's furniture."""
+    t = F.substring(F.trim(F.regexp_replace(F.col(x) if isinstance(x, str) else x, r"\s+", " ")), 1, 200)
+    return F.length(t).between(15, 140) & F.size(F.split(t, " ")).between(3, 26) & ~t.rlike(r"(?i)https?:|www\.") & ~t.rlike(JUNK_QUESTION) & t.rlike(r"\p{L}")
+
+
+def slim_pages(records: DataFrame) -> DataFrame:
+    """What is kept of a competitor's pages: titles, headings (40), questions with their source (25), types, size and outside links (15); no body text."""
+    from plumbline.operators.pages import existing_questions, is_question, outline, question_headings
+
+    marked = lambda a, s: F.transform(a, lambda q: F.struct(F.substring(q, 1, 200).alias("q"), F.lit(s).alias("src")))
+    stated = F.filter(existing_questions(F.col("full_text")), lambda q: is_question(q, strict=True))
+    every = F.filter(F.concat(marked(question_headings(records), "heading"), marked(stated, "text")), lambda x: usable_question(x["q"]))
+    once = lambda q: let(F.transform(q, lambda x: norm_question(x["q"])), lambda keys: F.filter(F.transform(q, lambda x, i: F.when(F.array_position(keys, norm_question(x["q"])) == i + 1, x)), lambda x: x.isNotNull()))
+    distinct = let(every, once)
+    host = lambda c: F.lower(F.regexp_extract(c, "^[A-Za-z]+://([^/?#]+)", 1))
+    outside = F.filter("anchors", lambda a: a["target"].isNotNull() & (host(a["target"]) != host(F.col("url"))))
+    cites = F.slice(F.array_distinct(F.transform(outside, lambda a: F.struct(F.substring(a["target"], 1, 400).alias("url"), F.substring(a["text"], 1, 100).alias("anchor")))), 1, 15)
+    return records.select("site_id", "page_id", "url", F.substring("title", 1, 200).alias("title"), F.substring("h1_text", 1, 200).alias("h1"), F.slice(outline(records), 1, 40).alias("headings"), F.slice(distinct, 1, 25).alias("questions"), F.slice("schema_types", 1, 10).alias("schema_types"), "word_count", "list_items", "tables", cites.alias("cites"))
+
+
+def question_bank(questions: DataFrame, ours: DataFrame, brands: DataFrame) -> DataFrame:
+    """Questions of competitors by wording: ``key, text, competitors, pages, sources, answered, our_url``.
+
+    ``questions``: competitor, url, source, text; ``ours``: text, url; ``brands``: competitor, brand.  A question that names its
+    competitor's brand is left out.  ``answered`` is yes from a similarity of 0.6 to one of our questions or headings, partial from 0.4.
+    """
+    weight = F.lit(0)
+    for k, w in SOURCE_WEIGHT.items():
+        weight = F.when(F.col("source") == k, w).otherwise(weight)
+    named = brands.groupBy("competitor").agg(F.collect_set(F.lower("brand")).alias("brands"))
+    rows = questions.withColumn("key", norm_question("text")).where("key <> ''").join(named.hint("merge"), "competitor", "left")
+    rows = rows.where(~F.exists(F.coalesce("brands", F.array().cast("array<string>")), lambda b: F.contains("key", b))).withColumn("weight", weight)
+    bank = rows.groupBy("key").agg(
+        F.max_by("text", F.struct("weight", F.hash("text"))).alias("text"), F.count_distinct("competitor").alias("competitors"), F.array_join(F.slice(F.array_sort(F.collect_set("url")), 1, 4), " ").alias("pages"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")
+    )
+    return bank.join(question_coverage(bank.select(F.col("key").alias("id"), "text"), ours).hint("merge"), F.col("key") == F.col("id"), "left").drop("id")
+
+
+def question_coverage(theirs: DataFrame, ours: DataFrame) -> DataFrame:
+    """The best of our texts (text, url) for each of theirs (id, text): ``id, answered, our_url``."""
+    from plumbline.operators.similarity import best_matches, overlaps, title_words
+
+    mine = ours.select(F.struct("text", "url").alias("id"), title_words("text").alias("words")).distinct()
+    best = best_matches(overlaps(theirs.select("id", title_words("text").alias("words")), mine))
+    answered = F.when(F.col("similarity") >= 0.6, "yes").when(F.col("similarity") >= 0.4, "partial").otherwise("no")
+    rows = theirs.select("id").join(best.select(F.col("l").alias("id"), "similarity", F.col("r.url").alias("url")).hint("merge"), "id", "left")
+    return rows.select("id", answered.alias("answered"), F.when(F.col("similarity") >= 0.4, F.col("url")).otherwise("").alias("our_url"))
+
+
+def page_match(theirs: DataFrame, mine: DataFrame, least: float = 0.34) -> DataFrame:
+    """The nearest of our pages (id, words) for each of theirs, if it is near enough: ``l, r, similarity``."""
+    from plumbline.operators.similarity import best_matches, overlaps
+
+    return best_matches(overlaps(theirs, mine), least).select("l", "r", "similarity")
+
+
+# Headings that are furniture, and words that do not tell sections apart.
+FURNITURE = r"(?i)^(contact|contact us|about|about us|menu|navigation|related (posts|articles)|share|share this|comments?|leave a (reply|comment)|footer|newsletter|subscribe|table of contents|search|categories|tags|recent posts|follow us|quick links|resources|faq|faqs|frequently asked questions|conclusion|introduction|overview|summary|read more|you may also like|popular posts)$"
+FILLER = ("the", "and", "for", "with", "how", "what", "why", "when", "who", "your", "you", "are", "is", "to", "of", "a", "an", "in", "on", "do", "does", "can", "should")
+
+
+def missing_sections(pairs: DataFrame, theirs: DataFrame, ours: DataFrame, most: int = 8) -> DataFrame:
+    """Sections that their page has and the matched page of ours lacks: ``theirs, ours, place, section``; pages that lack two or more.
+
+    ``pairs``: theirs, ours, topic (the titles and H1s of both); ``theirs`` / ``ours``: page, place, heading.  Words of the topic do not count; where
+    nothing else is left, headings must be nearly the same.
+    """
+    from plumbline.operators.similarity import title_words
+
+    words = lambda c: F.split(F.lower(c), r"[^\p{L}\p{N}]+")
+    topic = F.filter(words(F.col("topic")), lambda w: F.length(w) > 2)
+    bare = lambda c: F.filter(words(c), lambda w: (w != "") & ~F.array_contains(F.col("about"), w) & ~w.isin(*FILLER))
+    alike = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    good = F.length("heading").between(4, 100) & ~F.col("heading").rlike(FURNITURE)
+    base = pairs.select("theirs", "ours", topic.alias("about"))
+    left = base.join(theirs.where(good).select(F.col("page").alias("theirs"), "place", "heading").hint("merge"), "theirs")
+    lists = ours.groupBy(F.col("page").alias("ours")).agg(F.collect_list("heading").alias("have"))  # the headings of one page
+    rows = left.join(lists.hint("merge"), "ours", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+    mine = bare(F.col("heading"))
+    content = lambda a: F.filter(F.array_distinct(a), lambda w: (F.length(w) > 1) & ~w.isin("the", "and"))
+    same = F.exists("have", lambda h: F.when((F.size(mine) == 0) | (F.size(bare(h)) == 0), alike(title_words(F.col("heading")), title_words(h)) >= 0.8).otherwise(alike(content(mine), content(bare(h))) >= 0.45))
+    lacking = rows.where(~same).withColumn("n", F.row_number().over(Window.partitionBy("theirs", "ours").orderBy("place"))).where(F.col("n") <= most)
+    return lacking.withColumn("all", F.count("*").over(Window.partitionBy("theirs", "ours"))).where("all >= 2").select("theirs", "ours", F.col("n").cast("long").alias("place"), F.col("heading").alias("section"))
+
+
+def leader_groups(rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """Each row (site_id, ord, text) with the first earlier leader that is similar enough, else itself: ``site_id, ord, leader``.
+
+    Leaders depend on the order of a site's rows, so a site is handled in one task; its rows are pages without a match, not all pages.
+    """
+    stop = {*_title_stop()}
+
+    def step(group):
+        leaders: list[tuple[int, set]] = []
+        out = []
+        for o, t in sorted(zip(group["ord"], group["text"], strict=True)):
+            w = {x for x in _words(t) if len(x) > 1 and x not in stop}
+            found = next((k for k, v in leaders if w and v and len(w & v) / len(w | v) >= least), None)
+            if found is None:
+                leaders.append((o, w))
+                found = o
+            out.append((o, found))
+        kept = group.set_index("ord").loc[[o for o, _ in out]].reset_index()[["site_id", "ord"]]
+        kept["leader"] = [k for _, k in out]
+        return kept
+
+    kind = rows.schema["site_id"].dataType.simpleString()
+    return rows.select("site_id", F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text")).groupBy("site_id").applyInPandas(step, f"site_id {kind}, ord long, leader long")
+
+
+def _title_stop() -> tuple[str, ...]:
+    from plumbline.operators.similarity import TITLE_STOPWORDS
+
+    return TITLE_STOPWORDS
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
+def missing_pages(unmatched: DataFrame, groups: DataFrame) -> DataFrame:
+    """Topics that competitors have a page on and we have none: ``site_id, leader, competitors, words, url, title``.
+
+    ``unmatched``: site_id, ord, competitor, url, title, words.  The longest page speaks for its group.
+    """
+    rows = unmatched.join(groups.hint("merge"), ["site_id", "ord"])
+    longest = F.max_by(F.struct("url", "title"), F.struct("words", -F.col("ord")))
+    out = rows.groupBy("site_id", "leader").agg(F.count_distinct("competitor").alias("competitors"), F.max("words").alias("words"), longest.alias("p"))
+    return out.select("site_id", "leader", "competitors", "words", "p.url", "p.title")
+
+
+def outline_hints(headings: DataFrame, topics: DataFrame, most: int = 10) -> DataFrame:
+    """Headings of pages like a topic, mutually distinct, in order: ``topic, place, heading``.
+
+    ``headings``: page, title, ord, heading; ``topics``: topic.  Pages are found by shared title words; each topic's headings are then passed in order.
+    """
+    from plumbline.operators.similarity import overlaps, title_words
+
+    pages = headings.select("page", "title").distinct().select(F.col("page").alias("id"), title_words("title").alias("words"))
+    near = overlaps(topics.select(F.col("topic").alias("id"), title_words("topic").alias("words")), pages).where("similarity >= 0.3")
+    good = F.length("heading").between(4, 100) & ~F.col("heading").rlike(FURNITURE)
+    rows = near.select(F.col("l").alias("topic"), F.col("r").alias("page")).join(headings.where(good).select("page", "ord", "heading").hint("merge"), "page")
+    groups = leader_groups(rows.select(F.col("topic").alias("site_id"), F.xxhash64("page").alias("p"), "ord", "heading").withColumn("ord", F.row_number().over(Window.partitionBy("site_id").orderBy("p", "ord"))).withColumnRenamed("heading", "text"), 0.6)
+    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("topic").orderBy(F.xxhash64("page"), "ord")))
+    first = groups.where("ord = leader").select(F.col("site_id").alias("topic"), F.col("ord").cast("int").alias("n"))
+    kept = placed.join(first.hint("merge"), ["topic", "n"]).withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("n")).cast("long"))
+    return kept.where(F.col("place") <= most).select("topic", "place", "heading")
+
+
+def keyword_ideas(phrases: DataFrame, related: DataFrame, asked: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Phrases of competitors' pages, related searches and asked questions (text each), one for each wording, without the seeds: ``key, text, sources``."""
+    parts = [df.select(F.col("text"), F.lit(name).alias("source")) for name, df in (("competitors", phrases), ("related", related), ("questions", asked))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("key", norm_question("text")).where("key <> ''")
+    out = rows.groupBy("key").agg(F.min("text").alias("text"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    return out.join(seeds.select(norm_question("text").alias("key")).distinct(), "key", "left_anti")
+
+
+def phrase_targeting(phrases: DataFrame, pages: DataFrame) -> DataFrame:
+    """Whether a site's pages target each phrase: yes if title and H1 hold all its words, partial if headings or text hold it, else no.
+
+    ``phrases``: site_id, phrase; ``pages``: site_id, page_id, title, h1, body.  A phrase is joined on its rarest word in the site only.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    held = pages.select("site_id", "page_id", words(F.concat_ws(" ", "title", "h1")).alias("top"), F.lower("body").alias("body"), words(F.concat_ws(" ", "title", "h1", "body")).alias("all"))
+    index = held.select("site_id", "page_id", F.explode("all").alias("word"))
+    often = index.groupBy("site_id", "word").agg(F.count("*").alias("df"))
+    asked = phrases.select("site_id", "phrase", words(F.col("phrase")).alias("need")).distinct()
+    each = asked.select("site_id", "phrase", F.explode("need").alias("word")).join(often.hint("merge"), ["site_id", "word"], "left")
+    rare = each.groupBy("site_id", "phrase").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    near = rare.join(index.hint("merge"), ["site_id", "word"]).join(held.hint("merge"), ["site_id", "page_id"]).join(asked.hint("merge"), ["site_id", "phrase"])
+    level = F.when(F.size(F.array_except("need", "top")) == 0, 2).when(F.contains("body", F.lower("phrase")), 1).otherwise(0)
+    found = near.groupBy("site_id", "phrase").agg(F.max(level).alias("level"))
+    rows = asked.join(found.hint("merge"), ["site_id", "phrase"], "left")
+    return rows.select("site_id", "phrase", F.when(F.col("level") == 2, "yes").when(F.col("level") == 1, "partial").otherwise("no").alias("targeted"))
+
+
+def keyword_placement(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pages whose top query (page_key, query) is missing from title, H1 or the first 100 words: ``page_key, query, in_title, in_h1, in_start``.
+
+    ``pages``: page_key, title, h1, body.  A word counts if one of the text begins with it or it with one of at least four letters; up to two
+    words must all be there, of more three quarters.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def holds(text: Column) -> Column:
+        have, need = words(text), F.filter(words(F.col("query")), lambda w: F.length(w) > 2)
+        hit = F.filter(need, lambda q: F.exists(have, lambda w: (w == q) | F.startswith(w, q) | ((F.length(w) >= 4) & F.startswith(q, w))))
+        return (F.size(need) == 0) | F.when(F.size(need) <= 2, F.size(hit) == F.size(need)).otherwise(F.size(hit) >= F.ceil(F.size(need) * 0.75))
+
+    start = F.array_join(F.slice(words(F.col("body")), 1, 100), " ")
+    rows = queries.select("page_key", "query").join(pages.hint("merge"), "page_key").select("page_key", "query", holds(F.col("title")).alias("in_title"), holds(F.col("h1")).alias("in_h1"), holds(start).alias("in_start"))
+    return rows.where("not (in_title and in_h1 and in_start)")
+
+
+# Kinds of linking sites by words in host or url, platforms that are none, and pages that list resources.
+DESTINATIONS = (
+    ("Directory", ("directory", "listing", "yellowpages", "yelp", "clutch", "capterra", "g2.com", "trustpilot", "crunchbase", "tripadvisor")),
+    ("Association / Publication", ("association", "chamber", "society", "institute", "journal", "magazine", "news", "press", "times", "gazette")),
+    ("Partner mention", ("partner", "supplier", "vendor", "reseller", "client")),
+)
+PLATFORMS = ("facebook.", "twitter.", "x.com", "linkedin.", "instagram.", "youtube.", "tiktok.", "pinterest.", "whatsapp.", "google.", "apple.", "wa.me", "t.me", "cloudflare.", "wordpress.", "gstatic.", "jsdelivr.", "cdnjs.")
+RESOURCE_WORDS = ("resources", "links", "useful", "directory", "partners", "members", "recommended")
+
+
+def destination_type(text: Column) -> Column:
+    out = F.lit("Other")
+    for name, words in reversed(DESTINATIONS):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(text, F.lit(w))
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def backlink_domains(links: DataFrame) -> DataFrame:
+    """Outside hosts that a site's pages link to: ``site_id, host, type, pages, resource_mentions, examples`` (3 at most); platforms left out.
+
+    ``links``: site_id, page_id, target, anchor.
+    """
+    rows = links.withColumn("host", host_of("target")).where("host is not null")
+    for w in PLATFORMS:
+        rows = rows.where(~F.contains(F.concat(F.lit("."), "host"), F.lit("." + w)))
+    text = F.lower(F.concat_ws(" ", "target", "anchor"))
+    mention = F.lit(False)
+    for w in RESOURCE_WORDS:
+        mention = mention | F.contains(text, F.lit(w))
+    kind = F.min_by(destination_type(text), F.struct("page_id", "target"))
+    return rows.groupBy("site_id", "host").agg(kind.alias("type"), F.count_distinct("page_id").alias("pages"), F.count_if(mention).alias("resource_mentions"), F.array_join(F.slice(F.array_sort(F.collect_set("target")), 1, 3), " ").alias("examples"))
 
 
 def slots(topics: DataFrame, days: DataFrame, taken: DataFrame) -> DataFrame:
-    """The i-th topic (by place) on the i-th free day: ``topic, day``."""
-    free = days.join(taken, "day", "left_anti").withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")))
-    ordered = topics.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place", "topic")))
-    return ordered.join(free, "n").select("topic", "day")
+    """The i-th topic (site_id, topic, place) of a site on its i-th free day: ``site_id, topic, day``.  ``days``: day; ``taken``: site_id, day."""
+    free = topics.select("site_id").distinct().crossJoin(F.broadcast(days)).join(taken.hint("merge"), ["site_id", "day"], "left_anti")  # days: one calendar
+    free = free.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("day")))
+    ordered = topics.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("place", "topic")))
+    return ordered.join(free.hint("merge"), ["site_id", "n"]).select("site_id", "topic", "day")
 
 
 def comparison(pages: DataFrame) -> DataFrame:
-    """Averages per site: ``pages`` has site, word_count, is_orphan, score."""
-    return pages.groupBy("site").agg(F.count("*").alias("pages"), rounded(F.avg("word_count")).cast("long").alias("avg_words"), rounded(F.avg(F.when(F.col("is_orphan"), 100.0).otherwise(0.0)), 1).alias("orphan_percent"), rounded(F.avg("score"), 1).alias("avg_score"))
+    """Averages per site: ``pages`` has site_id, word_count, is_orphan, score."""
+    return pages.groupBy("site_id").agg(F.count("*").alias("pages"), rounded(F.avg("word_count")).cast("long").alias("avg_words"), rounded(F.avg(F.when(F.col("is_orphan"), 100.0).otherwise(0.0)), 1).alias("orphan_percent"), rounded(F.avg("score"), 1).alias("avg_score"))

@@ -1,4 +1,4 @@
-"""Weighted phrases, site keywords, their audit, entities and phone numbers."""
+"""Weighted phrases, site keywords and their audit, entities and phone numbers.  Everything is kept apart by ``site_id``."""
 
 from __future__ import annotations
 
@@ -6,24 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.html import let
 from plumbline.functions.text import occurrences, rounded
 
-# Words at which no phrase begins or ends.
+# Words at which no phrase begins or ends, words that tell intent, weights of fields and of placements.
 STOPWORDS = (
-    "a", "an", "the", "and", "or", "but", "of", "to", "in", "on", "at", "by", "for", "with", "from", "as", "is", "are", "was", "were", "be", "been", "it", "its", "this", "that", "these",
-    "those", "you", "your", "we", "our", "they", "their", "he", "she", "his", "her", "i", "me", "my", "not", "no", "so", "if", "then", "than", "can", "will", "just", "do", "does", "did",
-    "has", "have", "had", "about", "into", "over", "all", "any", "more", "most", "other", "some", "such", "only", "own", "same", "too", "very", "also", "how", "what", "when", "where", "which", "who", "why",
+    "a", "an", "the", "and", "or", "but", "if", "then", "so", "of", "to", "in", "on", "for", "with", "at", "by", "from",
+    "up", "down", "out", "about", "into", "over", "after", "is", "are", "was", "were", "be", "been", "being", "this",
+    "that", "these", "those", "it", "its", "as", "we", "you", "your", "our", "us", "i", "they", "he", "she", "them",
+    "his", "her", "their", "not", "no", "yes", "can", "will", "would", "should", "could", "may", "might", "must",
+    "do", "does", "did", "have", "has", "had", "also", "just", "than", "too", "very", "more", "most", "some", "any",
+    "all", "each", "other", "such", "only", "own", "same", "s", "t", "don", "now", "here", "there", "when",
+    "where", "why", "how", "what", "which", "who", "whom", "get", "got", "using", "use", "used", "new",
 )
-QUESTIONS = ("what", "how", "why", "when", "where", "who", "which", "can", "is", "are", "do", "does")
-TRANSACTIONAL, COMMERCIAL = ("buy", "price", "pricing", "order", "shop", "discount", "deal", "quote"), ("best", "top", "review", "compare", "vs", "alternative")
-LOCAL, NAVIGATIONAL = ("near me", "nearby", "local"), ("login", "sign in", "dashboard", "careers", "contact us")
-FIELDS = {"title": 6, "h1": 5, "body": 1}
-PLACEMENT = {"title": 55, "h1": 45}
+QUESTIONS = ("what", "how", "why", "where", "which", "who", "when", "is", "are", "can", "does", "do", "should", "will")
+COMMERCIAL = ("price", "pricing", "cost", "cheap", "affordable", "discount", "deal", "buy", "order", "quote", "plan", "plans", "package", "packages")
+TRANSACTIONAL = ("buy", "order", "purchase", "sign up", "signup", "get started", "book", "hire", "request demo", "free trial", "subscribe")
+LOCAL = ("near me", "in kenya", "nairobi", "location", "branch", "locations", "service area", "delivery area")
+NAVIGATIONAL = ("login", "log in", "sign in", "dashboard", "careers", "contact us")
+FIELDS = {"title": 6, "h1": 5, "h2h3": 3, "description": 2, "alt": 2, "body": 1}
+PLACEMENT = {"title": 30, "h1": 25, "description": 15, "h2h3": 15, "schema": 10, "alt": 5}
 
 
 def tokens(text: Column | str) -> Column:
-    low = F.regexp_replace(F.lower(text), "[^a-z0-9 '-]", " ")
-    return F.filter(F.split(low, " "), lambda w: w != "")
+    low = F.regexp_replace(F.lower(text), r"[^a-z0-9\s'-]", " ")
+    return F.filter(F.split(low, r"\s+"), lambda w: w != "")
 
 
 def ngrams(words: Column, most: int = 3) -> Column:
@@ -39,77 +46,144 @@ def ngrams(words: Column, most: int = 3) -> Column:
     return F.filter(F.flatten(F.array(*parts)), lambda p: F.length(p) >= 3)
 
 
+def page_fields(records: DataFrame) -> DataFrame:
+    """The fields of page records that phrases are counted in."""
+    two = F.slice(F.filter("h2s", lambda x: x != ""), 1, 6)
+    three = F.slice(F.filter("h3s", lambda x: x != ""), 1, 10)
+    return records.select(
+        "site_id", "page_id", "url", "title", F.col("h1_text").alias("h1"), F.array_join(F.concat(two, three), " . ").alias("h2h3"), "description",
+        F.array_join("alts", " . ").alias("alt"), F.col("full_text").alias("body"), F.lower(F.array_join("schema_types", " ")).alias("schema"),
+    )
+
+
 def candidates(rows: DataFrame, most: int = 25) -> DataFrame:
-    """The best phrases of each page with score and usage.  Input: page_id, title, h1, body.
+    """The best phrases of each page with score and usage.  Input: site_id, page_id, FIELDS and schema.
 
-    Each field's phrases are counted in the row; one aggregate per (page, phrase) adds the weights.
+    Phrases are scored over all fields, the best ``most`` of a page are taken, and only then those that no field holds
+    are dropped.  Each field's phrases are counted in the row; one aggregate per (page, phrase) adds the weights.
     """
-    fields = [rows.select("page_id", F.lit(f).alias("field"), F.lit(w).alias("weight"), tokens(f).alias("words")) for f, w in FIELDS.items()]
-    words = fields[0]
-    for f in fields[1:]:
-        words = words.unionByName(f)
-    phrases = words.select("page_id", "field", "weight", F.explode(ngrams(F.col("words"))).alias("phrase"))
-    used = lambda f: F.max(F.when(F.col("field") == f, 1).otherwise(0))
-    scored = phrases.groupBy("page_id", "phrase").agg(F.sum("weight").cast("long").alias("score"), used("title").alias("in_title"), used("h1").alias("in_h1"), F.count_if(F.col("field") == "body").alias("in_body"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("score"), "phrase")
+    keys = ["site_id", "page_id"]
+    parts = [F.struct(F.lit(w).alias("weight"), let(tokens(f), ngrams).alias("phrases")) for f, w in FIELDS.items()]
+    exploded = rows.select(*keys, F.explode(F.array(*parts)).alias("p")).select(*keys, "p.weight", F.explode("p.phrases").alias("phrase"))
+    scored = exploded.groupBy(*keys, "phrase").agg(F.sum("weight").cast("long").alias("score"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "phrase")
     top = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
-    return top.select("page_id", "phrase", "score", (F.col("in_title") == 1).alias("in_title"), (F.col("in_h1") == 1).alias("in_h1"), "in_body")
+    used = rows.select(*keys, *[F.lower(f).alias(f) for f in (*FIELDS, "schema")])
+    found = top.join(used.hint("merge"), keys)
+    held = {f: F.contains(F.col(f), F.col("phrase")).alias(f"in_{f}") for f in (*FIELDS, "schema") if f != "body"}
+    found = found.select(*keys, "phrase", "score", *held.values(), occurrences(F.col("body"), F.col("phrase")).alias("in_body"))
+    return found.where("in_body > 0 or in_title or in_h1 or in_h2h3 or in_alt")
+
+
+def _has(p: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(p, w))
+
+
+def _asks(p: Column) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in QUESTIONS]), lambda w: F.startswith(p, F.concat(w, F.lit(" "))))
 
 
 def intent(phrase: Column | str) -> Column:
     p = F.col(phrase) if isinstance(phrase, str) else phrase
-    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(p, w))
-    question = F.exists(F.array(*[F.lit(w) for w in QUESTIONS]), lambda w: F.startswith(p, F.concat(w, F.lit(" "))))
-    return F.when(question, "Informational").when(has(TRANSACTIONAL), "Transactional").when(has(COMMERCIAL), "Commercial").when(has(NAVIGATIONAL), "Navigational").when(has(LOCAL), "Commercial").otherwise("Informational")
+    return F.when(_asks(p), "Informational").when(_has(p, TRANSACTIONAL), "Transactional").when(_has(p, COMMERCIAL), "Commercial").when(_has(p, NAVIGATIONAL), "Navigational").when(_has(p, LOCAL), "Commercial").otherwise("Informational")
 
 
 def kind(phrase: Column | str) -> Column:
     p = F.col(phrase) if isinstance(phrase, str) else phrase
-    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(p, w))
-    question = F.exists(F.array(*[F.lit(w) for w in QUESTIONS]), lambda w: F.startswith(p, F.concat(w, F.lit(" "))))
     n = F.size(F.split(p, " "))
-    return F.when(question, "Question").when(has(LOCAL), "Local").when(has(TRANSACTIONAL), "Transactional").when(has(COMMERCIAL), "Commercial").when(n == 1, "Primary").when(n == 2, "Secondary").otherwise("Long-tail")
+    return F.when(_asks(p), "Question").when(_has(p, LOCAL), "Local").when(_has(p, TRANSACTIONAL), "Transactional").when(_has(p, COMMERCIAL), "Commercial").when(n == 1, "Primary").when(n == 2, "Secondary").otherwise("Long-tail")
+
+
+USES = ("title", "description", "h1", "h2h3", "alt", "schema")
 
 
 def site_keywords(cands: DataFrame, most: int = 24) -> DataFrame:
-    """The site's phrases by summed score, with relevance in percent of the best and usage counts."""
-    rows = cands.groupBy("phrase").agg(
-        F.sum("score").cast("long").alias("score"), F.count("*").alias("pages"), F.count_if("in_title").alias("titles"), F.count_if("in_h1").alias("h1s"), F.sum("in_body").cast("long").alias("in_body")
+    """The best ``most`` phrases of each site by summed score, with relevance in percent of the site's best and usage counts."""
+    rows = cands.groupBy("site_id", "phrase").agg(
+        F.sum("score").cast("long").alias("score"), F.count("*").alias("pages"), *[F.count_if(f"in_{u}").alias(f"n_{u}") for u in USES], F.sum("in_body").cast("long").alias("n_body")
     )
-    best = rows.agg(F.max("score").alias("best"))  # one row
-    top = rows.orderBy(F.desc("score"), "phrase").limit(most).crossJoin(F.broadcast(best))
-    return top.select("phrase", "score", "pages", "titles", "h1s", "in_body", rounded(F.col("score") * 100.0 / F.col("best")).cast("long").alias("relevance"), kind("phrase").alias("kind"), intent("phrase").alias("intent"))
+    site = Window.partitionBy("site_id")
+    rows = rows.withColumn("place", F.row_number().over(site.orderBy(F.desc("score"), "phrase"))).where(F.col("place") <= most)
+    relevance = rounded(F.least(F.lit(100.0), F.col("score") * 100.0 / F.max("score").over(site))).cast("long")
+    occurs = sum((F.when(F.col(f"n_{u}") > 0, 1).otherwise(0) for u in USES), F.lit(0)) + F.col("n_body")
+    return rows.select("site_id", "phrase", "score", "pages", *[f"n_{u}" for u in USES], "n_body", relevance.alias("relevance"), occurs.cast("long").alias("occurs"), kind("phrase").alias("kind"), intent("phrase").alias("intent"))
 
 
-def keyword_audit(keywords: DataFrame) -> DataFrame:
-    """Placement score, status and number of flags of each site keyword."""
-    score = F.when(F.col("titles") > 0, PLACEMENT["title"]).otherwise(0) + F.when(F.col("h1s") > 0, PLACEMENT["h1"]).otherwise(0)
-    rows = keywords.withColumn("placement", score.cast("long"))
+def keyword_audit(keywords: DataFrame, site_pages: DataFrame) -> DataFrame:
+    """Placement score, status and flags of each site keyword.  ``site_pages``: site_id, site_pages."""
+    rows = keywords.join(site_pages.hint("merge"), "site_id")
+    rows = rows.withColumn("placement", sum((F.when(F.col(f"n_{u}") > 0, w).otherwise(0) for u, w in PLACEMENT.items()), F.lit(0)).cast("long"))
     flags = F.array_compact(F.array(
-        F.when(F.col("titles") == 0, "no title"), F.when(F.col("h1s") == 0, "no h1"), F.when((F.col("placement") == 0) & (F.col("in_body") > 0), "body only"),
-        F.when((F.col("relevance") >= 60) & (F.col("pages") <= 1), "one page"), F.when((F.col("in_body") >= 8) & (F.col("placement") < 30), "stuffing"),
+        F.when(F.col("n_title") == 0, "no title"), F.when(F.col("n_h1") == 0, "no h1"), F.when(F.col("n_description") == 0, "no description"), F.when((F.col("placement") == 0) & (F.col("n_body") > 0), "body only"),
+        F.when((F.col("relevance") >= 60) & (F.col("pages") <= 1) & (F.col("site_pages") > 1), "one page"), F.when((F.col("n_body") >= 8) & (F.col("placement") < 30), "stuffing"),
     ))
     status = F.when(F.col("placement") >= 55, "Strong").when(F.col("placement") >= 25, "Weak").otherwise("Poor")
-    return rows.select("phrase", "relevance", "placement", status.alias("status"), F.array_join(flags, ",").alias("flags"))
+    return rows.select("site_id", "phrase", "relevance", "placement", status.alias("status"), F.array_join(flags, ",").alias("flags"))
+
+
+def keyword_priority(audit: DataFrame) -> DataFrame:
+    """What to mend first: poor and relevant is Critical, poor or weak and relevant High, weak Medium, else Low."""
+    relevant = F.col("relevance") >= 70
+    rank = F.when((F.col("status") == "Poor") & relevant, "Critical").when((F.col("status") == "Poor") | ((F.col("status") == "Weak") & relevant), "High").when(F.col("status") == "Weak", "Medium").otherwise("Low")
+    return audit.withColumn("priority", rank)
 
 
-def keyword_score(audit: DataFrame, cannibals: int = 0) -> DataFrame:
+def keyword_score(audit: DataFrame, cannibals: DataFrame) -> DataFrame:
+    """Relevance-weighted placement of each site less up to 20 for cannibalised clusters (``site_id``, one row each)."""
     weight = F.greatest(F.lit(1), F.col("relevance"))
-    base = F.sum(F.col("placement") * weight) / F.sum(weight) - min(20, 5 * cannibals)
-    return audit.agg(F.count("*").alias("keywords"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), rounded(base))).cast("long").alias("score"))
+    rows = audit.groupBy("site_id").agg(F.count("*").alias("keywords"), (F.sum(F.col("placement") * weight) / F.sum(weight)).alias("base"))
+    lost = cannibals.groupBy("site_id").agg(F.count("*").alias("n"))
+    rows = rows.join(lost.hint("merge"), "site_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    score = rounded(F.col("base") - F.least(F.lit(20), F.col("n") * 5))
+    return rows.select("site_id", "keywords", F.col("n").alias("cannibals"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).cast("long").alias("score"))
+
+
+ENTITY = r"\b([A-Z][a-zA-Z0-9&']*(?:\s+[A-Z][a-zA-Z0-9&']*){0,3})\b"
+
+
+def entity_candidates(rows: DataFrame, key: str, text: str, most: int = 25) -> DataFrame:
+    """Runs of one to four capitalised words of each row, the ``most`` commonest: ``site_id, key, entity, times``."""
+    found = rows.select("site_id", key, F.explode(F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(1))).alias("entity"))
+    words = F.split("entity", r"\s+")
+    found = found.where(((F.size(words) > 1) | (F.length("entity") >= 3)) & ~F.lower("entity").isin(*STOPWORDS))
+    counted = found.groupBy("site_id", key, "entity").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("site_id", key).orderBy(F.desc("times"), "entity")
+    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def site_entities(cands: DataFrame, most: int = 20) -> DataFrame:
+    """The commonest entities of each site: ``site_id, entity, times``."""
+    rows = cands.groupBy("site_id", "entity").agg(F.sum("times").cast("long").alias("times"))
+    order = Window.partitionBy("site_id").orderBy(F.desc("times"), "entity")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def digits(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
+
+
+def phones(text: Column | str, most: int = 8) -> Column:
+    """Phone-like numbers of 9 to 15 digits, dates left out, distinct by their last nine digits, in order."""
+    raw = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(r"(?:\+|00)?[0-9][0-9\s().-]{7,18}[0-9]"), F.lit(0))
+    kept = F.filter(raw, lambda x: F.length(digits(x)).between(9, 15) & ~F.trim(x).rlike(r"^(19|20)[0-9]{2}[-/.\s]?[0-9]{1,2}[-/.\s]?[0-9]{1,2}$"))
+    last = lambda x: F.substring(digits(x), -9, 9)
+    shown = lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 24)
+    first = let(kept, lambda k: let(F.transform(k, last), lambda same: F.filter(F.transform(k, lambda x, i: F.when(F.array_position(same, last(x)) == i + 1, shown(x))), lambda x: x.isNotNull())))
+    return F.slice(first, 1, most)
 
 
-def entities(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Runs of two to four capitalised words: ``entity, times, rows``."""
-    found = F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Z][a-z]+(?: [A-Z][a-z]+){1,3})"), F.lit(1))).alias("entity")
-    return rows.select(key, found).groupBy("entity").agg(F.count("*").alias("times"), F.count_distinct(key).alias("rows"))
+def same_phone(a: Column, b: Column) -> Column:
+    """The last seven to nine digits agree."""
+    n = F.least(F.lit(9), F.length(digits(a)), F.length(digits(b)))
+    return (n >= 7) & (F.right(digits(a), n) == F.right(digits(b), n))
 
 
-def phones(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Phone-like numbers of 9 to 15 digits, one for each last nine digits: ``last9, rows, first_row``."""
-    raw = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(\+?[0-9][0-9 ().-]{7,}[0-9])"), F.lit(1))).alias("raw")
-    digits = rows.select(key, raw).withColumn("digits", F.regexp_replace("raw", "[^0-9]", "")).where(F.length("digits").between(9, 15) & ~F.trim("raw").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
-    return digits.groupBy(F.substring("digits", -9, 9).alias("last9")).agg(F.count_distinct(key).alias("rows"), F.min(key).alias("first_row"))
+def other_phones(rows: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
+    """The phone numbers of each site by how many pages show them: ``site_id, last9, pages, first_page``."""
+    found = rows.select("site_id", key, F.explode(phones(text)).alias("phone")).withColumn("last9", F.substring(digits(F.col("phone")), -9, 9))
+    counted = found.groupBy("site_id", "last9").agg(F.count_distinct(key).alias("pages"), F.min(key).alias("first_page"))
+    order = Window.partitionBy("site_id").orderBy(F.desc("pages"), "last9")
+    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
 def body_occurrences(rows: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Link-graph operators over edges (src, dst), pages and fetch states."""
+"""Link-graph operators over edges (site_id, src, dst), pages (site_id, page, is_start) and fetch states (site_id, page, status).
+
+Every graph is that of one site.
+"""
 
 from __future__ import annotations
 
@@ -7,42 +10,46 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+KEYS = ["site_id", "page"]
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, or in memory where the session has none (tests)."""
+    """The rows written to the shared checkpoint folder and read back, which cuts lineage."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        return df.persist()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{where.rstrip('/')}/plumbline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def resolved(edges: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Edges to where links land: ``aliases`` (requested, landed) replace their targets."""
-    rows = edges.join(aliases.select(F.col("requested").alias("dst"), "landed"), "dst", "left")
-    return rows.select("src", F.coalesce("landed", "dst").alias("dst"))
+    """Edges to where links land: ``aliases`` (site_id, requested, landed) replace their targets."""
+    rows = edges.join(aliases.select("site_id", F.col("requested").alias("dst"), "landed"), ["site_id", "dst"], "left")
+    return rows.select("site_id", "src", F.coalesce("landed", "dst").alias("dst"))
 
 
 def inbound(edges: DataFrame) -> DataFrame:
     """Linking pages of each target, self-links dropped."""
-    return edges.where("src <> dst").groupBy("dst").agg(F.count("*").alias("links"), F.count_distinct("src").alias("sources"), F.min("src").alias("first_source"))
+    return edges.where("src <> dst").groupBy("site_id", "dst").agg(F.count("*").alias("links"), F.count_distinct("src").alias("sources"), F.min("src").alias("first_source"))
 
 
 def _counts(pages: DataFrame, edges: DataFrame) -> DataFrame:
-    counts = edges.where("src <> dst").groupBy(F.col("dst").alias("page")).agg(F.count("*").alias("links"))
-    return pages.join(counts, "page", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    counts = edges.where("src <> dst").groupBy("site_id", F.col("dst").alias("page")).agg(F.count("*").alias("links"))
+    return pages.join(counts, KEYS, "left").withColumn("links", F.coalesce("links", F.lit(0)))
 
 
-def orphans(pages: DataFrame, edges: DataFrame, start: int) -> DataFrame:
-    """Pages that no other page links to; the start page is none."""
-    return _counts(pages, edges).where((F.col("links") == 0) & (F.col("page") != start)).select("page")
+def orphans(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pages that no other page of their site links to; start pages are none."""
+    return _counts(pages, edges).where("links = 0 and not is_start").select(*KEYS)
 
 
 def weak_pages(pages: DataFrame, edges: DataFrame) -> DataFrame:
-    return _counts(pages, edges).where("links = 1").select("page")
+    """Pages with one inbound link.  Links are counted after aliases, so two links that land together count twice."""
+    return _counts(pages, edges).where("links = 1").select(*KEYS)
 
 
 def fetch_kind(status: Column | str = "status", content_type: Column | None = None, error: Column | None = None) -> Column:
@@ -65,41 +72,64 @@ def fetch_kind(status: Column | str = "status", content_type: Column | None = No
     )
 
 
-def linked_status(status: DataFrame, edges: DataFrame, start: int) -> DataFrame:
-    """Fetch states of pages that some other page links to, with how many do."""
-    rows = status.where(F.col("page") != start).join(inbound(edges).select(F.col("dst").alias("page"), "sources"), "page")
-    return rows.select("page", "status", fetch_kind().alias("kind"), "sources")
+def linked_status(status: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fetch states of pages that some other page links to, with how many do; start pages are left out."""
+    rows = status.join(pages.where("is_start").select(*KEYS), KEYS, "left_anti").join(inbound(edges).select("site_id", F.col("dst").alias("page"), "sources"), KEYS)
+    return rows.select(*KEYS, "status", fetch_kind().alias("kind"), "sources")
+
 
+def canonical_targets(canonicals: DataFrame, status: DataFrame, noindex: DataFrame | None = None) -> DataFrame:
+    """Canonical links (site_id, page, target) whose target is not fine, is not to be indexed, or itself points on.
 
-def canonical_targets(canonicals: DataFrame, status: DataFrame) -> DataFrame:
-    """Canonical links (page, target) whose target is not fine, or itself points on."""
-    bad = status.select(F.col("page").alias("target"), fetch_kind().alias("kind"))
-    onward = canonicals.select(F.col("page").alias("target"), F.col("target").alias("onward"))
-    rows = canonicals.join(bad, "target", "left").join(onward, "target", "left")
+    ``noindex`` has site_id and page; a page that is itself in it and points elsewhere is a conflict.
+    """
+    bad = status.select("site_id", F.col("page").alias("target"), fetch_kind().alias("kind"))
+    onward = canonicals.select("site_id", F.col("page").alias("target"), F.col("target").alias("onward"))
+    rows = canonicals.join(bad, ["site_id", "target"], "left").join(onward, ["site_id", "target"], "left")
     chained = F.coalesce(F.col("onward") != F.col("target"), F.lit(False))
-    return rows.select("page", "target", F.coalesce("kind", F.lit("unknown")).alias("kind"), chained.alias("chained")).where("kind not in ('ok', 'unknown') or chained")
+    if noindex is None:
+        rows = rows.withColumn("target_noindex", F.lit(False)).withColumn("conflict", F.lit(False))
+    else:
+        out = noindex.select("site_id", F.col("page").alias("target")).distinct().withColumn("target_noindex", F.lit(True))
+        own = noindex.select(*KEYS).distinct().withColumn("own", F.lit(True))
+        rows = rows.join(out, ["site_id", "target"], "left").join(own, KEYS, "left")
+        rows = rows.withColumn("conflict", F.coalesce(F.col("own") & (F.col("page") != F.col("target")), F.lit(False))).withColumn("target_noindex", F.coalesce("target_noindex", F.lit(False)) & (F.col("page") != F.col("target")))
+    return rows.select(*KEYS, "target", F.coalesce("kind", F.lit("unknown")).alias("kind"), chained.alias("chained"), "target_noindex", "conflict").where("kind not in ('ok', 'unknown') or chained or target_noindex or conflict")
 
 
 def sitemap_vs_status(sitemap: DataFrame, status: DataFrame) -> DataFrame:
-    """Sitemap pages that do not answer with a page."""
-    return sitemap.join(status, "page").select("page", "status", fetch_kind().alias("kind")).where("kind <> 'ok'")
+    """Sitemap pages (site_id, page) that do not answer with a page."""
+    return sitemap.join(status, KEYS).select(*KEYS, "status", fetch_kind().alias("kind")).where("kind <> 'ok'")
+
+
+def sitemap_vs_pages(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sitemap pages that ask not to be indexed or name another canonical.  ``pages``: site_id, page, noindex, canonical_state."""
+    other = F.col("canonical_state").isin("other_page", "cross_domain", "host_variant", "protocol_mismatch")
+    return sitemap.join(pages, KEYS).where(F.col("noindex") | other).select(*KEYS, "noindex", other.alias("canonical_elsewhere"))
+
 
+def sitemap_missing(status: DataFrame, edges: DataFrame, sitemap: DataFrame, complete: DataFrame | None = None, unfit: DataFrame | None = None) -> DataFrame:
+    """Linked, working pages that the sitemap leaves out.
 
-def sitemap_missing(status: DataFrame, edges: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """Linked, working pages that the sitemap leaves out."""
-    ok = status.where(fetch_kind() == "ok").select("page")
-    return ok.join(inbound(edges).select(F.col("dst").alias("page")), "page", "left_semi").join(sitemap, "page", "left_anti")
+    ``complete`` (site_id) names the sites whose sitemap is known whole: others are not judged.  ``unfit`` (site_id, page) are pages that
+    are not to be indexed or have their canonical elsewhere.
+    """
+    ok = status.where(fetch_kind() == "ok").select(*KEYS)
+    rows = ok.join(inbound(edges).select("site_id", F.col("dst").alias("page")), KEYS, "left_semi").join(sitemap, KEYS, "left_anti")
+    if complete is not None:
+        rows = rows.join(complete.select("site_id").distinct(), "site_id", "left_semi")
+    return rows if unfit is None else rows.join(unfit, KEYS, "left_anti")
 
 
-def click_depth(pages: DataFrame, edges: DataFrame, start: int) -> DataFrame:
-    """Clicks from the start page to each reachable page, however deep, by frontier joins; unreachable pages are left out."""
-    edges = _cut(edges.where("src <> dst").select("src", "dst").distinct())
-    seen = _cut(pages.where(F.col("page") == start).select("page", F.lit(0).cast("long").alias("depth")))
+def click_depth(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """Clicks from each site's start pages to its reachable pages, however deep, by frontier joins; unreachable pages are left out."""
+    edges = _cut(edges.where("src <> dst").select("site_id", "src", "dst").distinct())
+    seen = _cut(pages.where("is_start").select(*KEYS, F.lit(0).cast("long").alias("depth")))
     frontier = seen
     for depth in count(1):
-        new = edges.join(frontier.select(F.col("page").alias("src")), "src").select(F.col("dst").alias("page")).distinct()
-        new = new.join(pages.select("page"), "page", "left_semi").join(seen.select("page"), "page", "left_anti")
-        frontier = _cut(new.select("page", F.lit(depth).cast("long").alias("depth")))
+        new = edges.join(frontier.select("site_id", F.col("page").alias("src")), ["site_id", "src"]).select("site_id", F.col("dst").alias("page")).distinct()
+        new = new.join(pages.select(*KEYS), KEYS, "left_semi").join(seen.select(*KEYS), KEYS, "left_anti")
+        frontier = _cut(new.select(*KEYS, F.lit(depth).cast("long").alias("depth")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -108,10 +138,36 @@ def click_depth(pages: DataFrame, edges: DataFrame, start: int) -> DataFrame:
     return seen
 
 
+def check_frontier(edges: DataFrame, sitemap: DataFrame, canonicals: DataFrame, known: DataFrame, blocked: DataFrame, most: int = 40) -> DataFrame:
+    """What to check next on each site: canonical targets, then the most linked pages, then the sitemap; known and blocked pages left out."""
+    parts = canonicals.select("site_id", F.col("target").alias("page"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("links"))
+    parts = parts.unionByName(inbound(edges).select("site_id", F.col("dst").alias("page"), F.lit(1).alias("rank"), "links"))
+    parts = parts.unionByName(sitemap.select(*KEYS, F.lit(2).alias("rank"), F.lit(0).cast("long").alias("links")))
+    one = parts.groupBy(*KEYS).agg(F.min("rank").alias("rank"), F.max("links").alias("links"))
+    rows = one.join(known.select(*KEYS), KEYS, "left_anti").join(blocked.select(*KEYS), KEYS, "left_anti")
+    order = F.row_number().over(Window.partitionBy("site_id").orderBy("rank", F.desc("links"), "page"))
+    return rows.withColumn("place", order.cast("long")).where(F.col("place") <= most).select("site_id", "place", "page", "rank")
+
+
+def link_candidates(weak: DataFrame, words: DataFrame, most: int = 5) -> DataFrame:
+    """For each weak page (site_id, page) the pages of its site with the most similar words: ``site_id, page, place, source, percent``.
+
+    ``words`` has site_id, page and words (distinct, any order).  The word index is joined from the weak side only.
+    """
+    sets = words.select(*KEYS, "words", F.size("words").alias("n"))
+    target = sets.join(weak.select(*KEYS).hint("merge"), KEYS, "left_semi").select("site_id", F.col("page").alias("target"), F.col("n").alias("nt"), F.explode("words").alias("word"))
+    other = sets.select("site_id", F.col("page").alias("source"), F.col("n").alias("ns"), F.explode("words").alias("word"))
+    shared = target.join(other.hint("merge"), ["site_id", "word"]).where("target <> source").groupBy("site_id", "target", "source", "nt", "ns").agg(F.count("*").alias("k"))
+    percent = F.floor(F.col("k") / (F.col("nt") + F.col("ns") - F.col("k")) * 100 + 0.5).cast("long")
+    order = Window.partitionBy("site_id", "target").orderBy(F.desc("percent"), "source")
+    rows = shared.withColumn("percent", percent).where("percent > 0").withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
+    return rows.select("site_id", F.col("target").alias("page"), "place", "source", "percent")
+
+
 def redirect_chains(status: DataFrame) -> DataFrame:
     """Fetch records with an array of redirects (status, from, to): hops, loops and downgrades."""
     hops = F.size("redirects")
     loop = F.size(F.array_distinct(F.transform("redirects", lambda r: r["from"]))) < hops
     down = F.exists("redirects", lambda r: r["from"].startswith("https://") & r["to"].startswith("http://"))
     chain = F.concat(F.array_join(F.transform("redirects", lambda r: r["from"]), " > "), F.lit(" > "), F.element_at("redirects", -1)["to"])
-    return status.where(hops > 0).select("url", hops.cast("long").alias("hops"), loop.alias("loop"), down.alias("downgrade"), chain.alias("chain"), (hops >= 2).alias("is_chain"))
+    return status.where(hops > 0).select("site_id", "url", hops.cast("long").alias("hops"), loop.alias("loop"), down.alias("downgrade"), chain.alias("chain"), (hops >= 2).alias("is_chain"))

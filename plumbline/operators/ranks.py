@@ -43,32 +43,56 @@ def latest_n(snapshots: DataFrame, n: int = 2) -> DataFrame:
 
 
 def due_keywords(keywords: DataFrame, now: datetime.datetime, interval_days: int = 7, limit: int = 5) -> DataFrame:
-    """Active keywords never checked, or not within the interval less two hours: never checked first, then the oldest."""
+    """Each site's active keywords never checked, or not within the interval less two hours: never checked first, then the oldest; ``limit`` a site."""
     age = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(F.col("last_checked_at").cast("timestamp"))) / 86400
     due = keywords.where(F.coalesce("active", F.lit(True)) & (F.col("last_checked_at").isNull() | (age >= max(0.0, interval_days - TOLERANCE_DAYS))))
-    return due.orderBy(F.asc_nulls_first("last_checked_at"), "keyword_id").limit(max(0, limit))
-
-
-def allowance(monthly: int, used: int, per_run: int, reserve: int = 0) -> int:
-    return max(0, min(per_run, monthly - used - reserve))
+    place = F.row_number().over(Window.partitionBy("site_id").orderBy(F.asc_nulls_first("last_checked_at"), "keyword_id"))
+    return due.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
 def budget_used(snapshots: DataFrame) -> DataFrame:
-    """Snapshots of each month and on how many days."""
+    """Snapshots of each site and month, and on how many days."""
     month = F.to_date(F.date_trunc("month", F.col("checked_at").cast("timestamp")))
-    return snapshots.groupBy(month.alias("month")).agg(F.count("*").alias("used"), F.count_distinct("checked_at").alias("days"))
+    return snapshots.groupBy("site_id", month.alias("month")).agg(F.count("*").alias("used"), F.count_distinct("checked_at").alias("days"))
 
 
 def budget_gate(due: DataFrame, used: DataFrame, monthly: int, per_run: int, reserve: int) -> DataFrame:
-    """The first keywords of a due list that the budget allows.  ``used`` is one row with the count of the month."""
-    allowed = F.greatest(F.lit(0), F.least(F.lit(per_run), F.lit(monthly - reserve) - F.col("used")))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_first("last_checked_at"), "keyword_id"))
-    # the due list is a top-k
-    return due.withColumn("place", place.cast("long")).crossJoin(F.broadcast(used.select("used"))).where(F.col("place") <= allowed).drop("used")
+    """The first keywords of each site's due list that its budget allows.  ``used`` (site_id, used): counts of the month."""
+    allowed = F.greatest(F.lit(0), F.least(F.lit(per_run), F.lit(monthly - reserve) - F.coalesce("used", F.lit(0))))
+    place = F.row_number().over(Window.partitionBy("site_id").orderBy(F.asc_nulls_first("last_checked_at"), "keyword_id"))
+    return due.withColumn("place", place.cast("long")).join(used.select("site_id", "used").hint("merge"), "site_id", "left").where(F.col("place") <= allowed).drop("used")
+
+
+def ignore_duplicates(current: DataFrame, incoming: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Incoming keys that are not there yet, once each, up to ``most`` a site with those it has.  Both have site_id and the keys."""
+    new = incoming.select(*keys).distinct().join(current.select(*keys), keys, "left_anti")
+    had = current.groupBy("site_id").agg(F.count("*").alias("_had"))
+    place = F.row_number().over(Window.partitionBy("site_id").orderBy(*[k for k in keys if k != "site_id"]))
+    rows = new.withColumn("_place", place).join(had.hint("merge"), "site_id", "left")
+    return rows.where(F.col("_place") <= most - F.coalesce("_had", F.lit(0))).select(*keys)
+
+
+def with_last_checked(keywords: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Keywords with the time of their newest snapshot: what appending snapshots does to them."""
+    last = snapshots.groupBy("keyword_id").agg(F.max("checked_at").alias("last_checked_at"))
+    return keywords.join(last.hint("merge"), "keyword_id", "left")
+
+
+#: The tables of rank tracking, their keys, and what must hold in them.
+RANK_TABLES = {
+    "tracked_keywords": ("keyword_id long, site_id string, query string, country string, device string, active boolean, last_checked_at timestamp, created_at timestamp", ["site_id", "query", "country", "device"], "query <> '' and device in ('desktop', 'mobile')"),
+    "rank_snapshots": ("snapshot_id long, keyword_id long, checked_at timestamp, position int, ranking_url string, provider string, trigger string, top_results string", ["snapshot_id"], "position is null or position between 1 and 100"),
+    "job_runs": ("job string, run_day date, started_at timestamp, finished_at timestamp, status string, checked int", ["job", "run_day"], "status in ('running', 'done', 'failed')"),
+}
 
 
-def same_site(host: str, site: str):
-    return (F.col(host) == F.col(site)) | F.col(host).endswith(F.concat(F.lit("."), F.col(site)))
+def rank_table(name: str, rows: DataFrame) -> DataFrame:
+    """Rows in a rank table's shape: one for each key (the last written, by the remaining columns), those that break its rule dropped."""
+    schema, keys, rule = RANK_TABLES[name]
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    shaped = rows.select(*[F.col(n).cast(t).alias(n) for n, t in fields]).where(rule)
+    order = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(n) for n, _ in fields if n not in keys])
+    return shaped.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
 def suffixes(host: str):
@@ -80,7 +104,7 @@ def suffixes(host: str):
 def site_rank(results: DataFrame, sites: DataFrame) -> DataFrame:
     """The best result of each site or its subdomains in each check: an equi-join on host suffixes."""
     spread = results.withColumn("site", F.explode(suffixes("host")))
-    return spread.join(sites.select("site").distinct(), "site").groupBy("check_id", "site").agg(F.min("rank").alias("rank"), F.min_by("host", F.struct("rank", "host")).alias("host"))
+    return spread.join(sites.select("site").distinct().hint("merge"), "site").groupBy("check_id", "site").agg(F.min("rank").alias("rank"), F.min_by("host", F.struct("rank", "host")).alias("host"))
 
 
 def best_by_host(results: DataFrame, key: str = "check_id") -> DataFrame:
@@ -140,8 +164,8 @@ def property_match(sites: DataFrame, properties: DataFrame) -> DataFrame:
     domain = F.regexp_extract("property", "^sc-domain:(.*)$", 1)
     host = F.regexp_replace(F.regexp_extract("property", "^https?://([^/]+)", 1), r"^www\.", "")
     named = properties.select("property", F.when(domain != "", domain).otherwise(host).alias("name"), (domain != "").alias("is_domain"))
-    spread = sites.select("site", F.explode(suffixes("site")).alias("name")).join(named, "name")
+    spread = sites.select("site", F.explode(suffixes("site")).alias("name")).join(named.hint("merge"), "name")
     points = F.when(~F.col("is_domain") & (F.col("name") == F.col("site")), 3).when(F.col("is_domain") & (F.col("name") == F.col("site")), 2).when(F.col("is_domain"), 1)
     scored = spread.withColumn("points", points).where("points is not null")
     best = scored.groupBy("site").agg(F.max_by("property", F.struct("points", F.length("name"), "property")).alias("property"), F.max("points").alias("points"))
-    return sites.join(best, "site", "left")
+    return sites.join(best.hint("merge"), "site", "left")

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import jaccard, rounded, word_set
 
-#: Words that say nothing about a title's topic (fixed values).
-TITLE_STOPWORDS = ("the", "and", "for", "with", "you", "your", "our", "how", "what", "why", "are", "can", "from", "this", "that", "best", "top", "guide", "der", "die", "und", "les", "des", "que", "los", "las")
+# Words that say nothing about a title's topic.
+TITLE_STOPWORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "is", "are", "how", "what", "your", "you", "do", "does", "vs", "by", "at", "from", "as", "it", "this", "that")
+
+
+def title_words(x) -> Column:
+    """Distinct words of a title in any script, lower-cased, without stop words and single characters."""
+    x = F.col(x) if isinstance(x, str) else x
+    words = F.split(F.lower(x), r"[^\p{L}\p{N}]+")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*TITLE_STOPWORDS)))
 
 
-def word_classes(rows: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
-    """``key, words, rep``: each row's word set and the smallest key with the same set; empty sets are left out."""
-    words = word_set(F.coalesce(F.col(text), F.lit("")))
-    if stop:
-        words = F.filter(words, lambda w: ~w.isin(*stop))
+def word_classes(rows: DataFrame, key: str, words: Column) -> DataFrame:
+    """``key, words, rep``: each row's sorted word set and the smallest key with the same set; empty sets are left out."""
     sets = rows.select(key, F.array_sort(words).alias("words")).where(F.size("words") > 0).withColumn("same", F.xxhash64("words"))
     reps = sets.groupBy("same").agg(F.min(key).alias("rep"))
     return sets.join(reps.hint("merge"), "same").drop("same")
@@ -66,12 +68,42 @@ def best_matches(pairs: DataFrame, least: float = 0.0, most: int = 1) -> DataFra
     return pairs.where(F.col("similarity") >= least).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
 
 
+def _rarest(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (id, words) with the word of theirs that the fewest of ``words`` (word, df) hold."""
+    each = rows.select("id", F.explode("words").alias("word")).join(words.hint("merge"), "word", "left")
+    return each.groupBy("id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+
+
 def covered(topics: DataFrame, entries: DataFrame) -> DataFrame:
-    """Topics all of whose words are in an entry: ``topic, entry`` (the first entry).  Inputs have ``id`` and ``words``."""
-    pairs = overlaps(topics.where(F.size("words") >= 2), entries)
-    sizes = topics.select(F.col("id").alias("l"), F.size("words").alias("need"))
-    return pairs.join(sizes, "l").where("shared = need").groupBy(F.col("l").alias("topic")).agg(F.min("r").alias("entry"))
+    """Topics all of whose words, and no other number, are in an entry: ``topic, entry`` (the first entry).
 
+    Inputs have ``id`` and ``words``.  Each topic is joined on its rarest word only, and the candidates are verified.
+    """
+    often = entries.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    used = topics.where(F.size("words") >= 2)
+    keyed = _rarest(used, often).join(used.hint("merge"), "id").select(F.col("id").alias("topic"), "word", "words")
+    held = entries.select(F.col("id").alias("entry"), F.col("words").alias("have"), F.explode("words").alias("word"))
+    numbers = lambda c: F.filter(c, lambda w: w.rlike("^[0-9]+$"))
+    rows = keyed.join(held.hint("merge"), "word").where(F.size(F.array_except("words", "have")) == 0)
+    return rows.where(F.size(F.array_except(numbers(F.col("have")), F.col("words"))) == 0).groupBy("topic").agg(F.min("entry").alias("entry"))
 
-def prefix_length(n: int, threshold: float) -> int:
-    return n - math.ceil(n * threshold - 1e-9) + 1
+
+def covered_or_alike(topics: DataFrame, entries: DataFrame, top_queries: DataFrame, least: float = 0.75) -> DataFrame:
+    """As ``covered``; a topic that no entry holds counts as covered by the page whose top query (id, words) is alike enough."""
+    whole = covered(topics, entries).select("topic", "entry", F.lit("title").alias("by"))
+    alike = best_matches(overlaps(topics.join(whole.select(F.col("topic").alias("id")), "id", "left_anti"), top_queries), least)
+    return whole.unionByName(alike.select(F.col("l").alias("topic"), F.col("r").alias("entry"), F.lit("query").alias("by")))
+
+
+def topic_overlap(ours: DataFrame, theirs: DataFrame, most: int = 60, shown: int = 25) -> DataFrame:
+    """Topics (site_id, topic, score) that both sides have, that only they have and that only we have: ``site_id, kind, place, topic``.
+
+    The best ``most`` of each side count, and the first ``shown`` of each kind are given.
+    """
+    best = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("score"), "topic"))).where(F.col("n") <= most)
+    a, b = best(ours), best(theirs)
+    keys = ["site_id", "topic"]
+    parts = [a.join(b.select(*keys), keys, "left_semi").withColumn("kind", F.lit("shared")), b.join(a.select(*keys), keys, "left_anti").withColumn("kind", F.lit("theirs")), a.join(b.select(*keys), keys, "left_anti").withColumn("kind", F.lit("ours"))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    place = F.row_number().over(Window.partitionBy("site_id", "kind").orderBy("n", "topic"))
+    return rows.withColumn("place", place.cast("long")).where(F.col("place") <= shown).select("site_id", "kind", "place", "topic")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import host_of, normalize_url
+from plumbline.operators.records import VITALS
 
 
 def parse_robots(files: DataFrame) -> DataFrame:
@@ -26,24 +27,61 @@ def parse_robots(files: DataFrame) -> DataFrame:
     return agents.join(rules, ["site", "group_id"], "left")
 
 
+def robots_sitemaps(files: DataFrame) -> DataFrame:
+    """Sitemap lines of robots files (site, text): ``site, url``."""
+    lines = files.select("site", F.explode(F.split("text", "\r?\n")).alias("line"))
+    return lines.select("site", F.trim(F.regexp_extract("line", r"(?i)^\s*sitemap\s*:\s*(\S+)", 1)).alias("url")).where("url <> ''").distinct()
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     """Whether each (site, path) may be fetched: the longest matching pattern decides, allow wins ties, none allows."""
     own = rules.groupBy("site").agg(F.bool_or(F.col("agent") == agent).alias("own"))
-    used = rules.join(own, "site").where(F.col("agent") == F.when(F.col("own"), F.lit(agent)).otherwise(F.lit("*"))).where("pattern is not null")
+    used = rules.join(own.hint("merge"), "site").where(F.col("agent") == F.when(F.col("own"), F.lit(agent)).otherwise(F.lit("*"))).where("pattern is not null")
     quoted = F.regexp_replace("pattern", r"([\\.+?()\[\]{}^|])", r"\\$1")
     regex = F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*", ".*"))
     used = used.select("site", "allow", F.length("pattern").alias("size"), regex.alias("regex"))
-    hits = urls.join(used, "site").where(F.expr("path rlike regex")).groupBy("site", "path").agg(F.max_by("allow", F.struct("size", "allow")).alias("allowed"))
-    return urls.join(hits, ["site", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    hits = urls.join(used.hint("merge"), "site").where(F.expr("path rlike regex")).groupBy("site", "path").agg(F.max_by("allow", F.struct("size", "allow")).alias("allowed"))
+    return urls.join(hits.hint("merge"), ["site", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+
+
+def blocks_site(sites: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+    """Whether an agent is kept out of a whole site: ``site, blocked``, by sample paths of every kind."""
+    paths = sites.select("site").distinct().select("site", F.explode(F.array(*[F.lit(p) for p in ("/", "/index.html", "/a-page", "/folder/page?x=1")])).alias("path"))
+    return robots_allowed(paths, rules, agent).groupBy("site").agg((~F.bool_or("allowed")).alias("blocked"))
 
 
 def directives(content: Column) -> tuple[Column, Column]:
     """noindex and nofollow of a robots content; ``none`` means both."""
-    words = F.transform(F.split(F.lower(F.coalesce(content, F.lit(""))), ","), F.trim)
+    words = F.transform(F.split(F.lower(F.coalesce(content, F.lit(""))), ","), lambda w: F.trim(w))
     none = F.array_contains(words, "none")
     return F.array_contains(words, "noindex") | none, F.array_contains(words, "nofollow") | none
 
 
+def page_directives(metas: Column, header: Column) -> Column:
+    """noindex, nofollow and where noindex comes from, of a page's robots contents and its X-Robots-Tag header.
+
+    Parts of the header that name another agent than googlebot are left out; the page's own tags come first.
+    """
+    meta_no = F.exists(metas, lambda m: directives(m)[0])
+    meta_follow = F.exists(metas, lambda m: directives(m)[1])
+    named = r"^([a-z][a-z0-9_*-]*)\s*:\s*(.*)$"
+    # an agent's name holds until the next one: carried along the comma-separated parts
+    parts = F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), ","), lambda w: F.trim(w))
+    start = F.struct(F.lit("").alias("agent"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, p: Column) -> Column:
+        told = F.regexp_extract(p, named, 1)
+        has = (told != "") & ~told.isin("max-snippet", "max-image-preview", "max-video-preview", "unavailable_after")
+        agent = F.when(has, told).otherwise(acc["agent"])
+        word = F.when(has, F.regexp_extract(p, named, 2)).otherwise(p)
+        kept = F.when(agent.isin("", "*", "googlebot"), F.concat(acc["kept"], F.array(word))).otherwise(acc["kept"])
+        return F.struct(agent.alias("agent"), kept.alias("kept"))
+
+    own = F.array_join(F.aggregate(parts, start, step)["kept"], ",")
+    head_no, head_follow = directives(own)
+    return F.struct((meta_no | head_no).alias("noindex"), (meta_follow | head_follow).alias("nofollow"), F.when(meta_no, "meta").when(head_no, "header").alias("source"))
+
+
 def canonical_state(url: Column, canonicals: Column) -> Column:
     """missing, multiple, invalid, self, protocol_mismatch, host_variant, other_page or cross_domain."""
     target = F.try_element_at(canonicals, F.lit(1))
@@ -69,10 +107,6 @@ def redirect_kind(source: Column, target: Column) -> Column:
     return F.when((source != target) & (no_slash(source) == no_slash(target)), "slash").when(no_slash(bare(source)) == no_slash(bare(target)), "protocol").when(no_slash(www(source)) == no_slash(www(target)), "www").otherwise("other")
 
 
-def hreflang_ok(code: Column) -> Column:
-    return F.lower(code).rlike("^(x-default|[a-z]{2,3}(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?)$")
-
-
 def structured_types(html: Column) -> Column:
     """Distinct types of JSON-LD, microdata and RDFa in page order."""
     json = F.regexp_extract_all(html, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1))
@@ -82,10 +116,6 @@ def structured_types(html: Column) -> Column:
     return F.array_distinct(F.concat(json, lists, micro, rdfa))
 
 
-#: Good up to the first, poor above the second (fixed values).
-VITALS = {"lcp": (2500.0, 4000.0), "inp": (200.0, 500.0), "cls": (0.1, 0.25)}
-
-
 def vital_rating(name: str, value: Column) -> Column:
     good, poor = VITALS[name]
     return F.when(value.isNull(), None).when(value <= good, "good").when(value <= poor, "needs improvement").otherwise("poor")

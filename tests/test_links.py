@@ -3,11 +3,12 @@ import pytest
 from plumbline.operators import competitors, links
 
 
-def test_pages_deeper_than_64_clicks_are_reached(spark):
-    pages = spark.range(1, 73).withColumnRenamed("id", "page")
-    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 71)], "src long, dst long")
-    got = {r.page: r.depth for r in links.click_depth(pages, edges, 1).collect()}
-    assert got == {k: k - 1 for k in range(1, 72)}
+def test_pages_deeper_than_64_clicks_are_reached_and_sites_stay_apart(spark):
+    pages = spark.createDataFrame([(s, k, k == 1) for s in ("a", "b") for k in range(1, 73)], "site_id string, page long, is_start boolean")
+    edges = spark.createDataFrame([("a", k, k + 1) for k in range(1, 71)] + [("b", 1, 9), ("b", 9, 1)], "site_id string, src long, dst long")
+    got = {(r.site_id, r.page): r.depth for r in links.click_depth(pages, edges).collect()}
+    assert got == {("a", k): k - 1 for k in range(1, 72)} | {("b", 1): 0, ("b", 9): 1}
+    assert {(r.site_id, r.page) for r in links.orphans(pages, edges).collect()} == {("a", 72)} | {("b", k) for k in range(2, 73) if k != 9}
 
 
 def test_labels_that_have_not_settled_are_an_error(spark):

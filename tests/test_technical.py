@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import host_of, jaccard, normalize_url, occurrences, page_key, path_of, slug, url_key, word_set
-from plumbline.operators import links
+from plumbline.operators import links, market
 from plumbline.operators import technical as t
 
 
@@ -65,7 +65,7 @@ def test_robots(spark):
 def test_redirect_chains(spark):
     r = "array<struct<status:int,`from`:string,`to`:string>>"
     rows = [("u", [(301, "https://a/1", "http://a/2"), (301, "http://a/2", "https://a/3")]), ("v", [(301, "https://a/1", "https://a/2"), (301, "https://a/1", "https://a/2")]), ("w", [])]
-    got = {x.url: x for x in links.redirect_chains(spark.createDataFrame(rows, f"url string, redirects {r}")).collect()}
+    got = {x.url: x for x in links.redirect_chains(spark.createDataFrame(rows, f"url string, redirects {r}").withColumn("site_id", F.lit("s"))).collect()}
     assert got["u"].is_chain and got["u"].downgrade and not got["u"].loop and got["u"].chain == "https://a/1 > http://a/2 > https://a/3"
     assert got["v"].loop and "w" not in got
 
@@ -73,7 +73,23 @@ def test_redirect_chains(spark):
 def test_directives_hreflang_types_and_vitals(spark):
     for content, want in (("noindex, follow", (True, False)), ("NONE", (True, True)), (None, (False, False))):
         assert tuple(one(spark, x, c=content) for x in t.directives(F.col("c"))) == want
-    assert [one(spark, t.hreflang_ok(F.col("c")), c=c) for c in ("en", "en-GB", "x-default", "zh-Hant-TW", "english", "en_GB")] == [True, True, True, True, False, False]
+    assert [one(spark, market.hreflang_ok(F.col("c")), c=c) for c in ("en", "en-GB", "x-default", "zh-Hant-TW", "english", "en_GB")] == [True, True, True, True, False, False]
     html = '<script type="application/ld+json">{"@type": "FAQPage", "x": {"@type": ["Question", "Thing"]}}</script><div itemtype="https://schema.org/Product"><p typeof="schema:Person">'
     assert one(spark, t.structured_types(F.col("h")), h=html) == ["FAQPage", "Question", "Thing", "Product", "Person"]
     assert [one(spark, t.vital_rating("lcp", F.col("v")), v=v) for v in (2500.0, 3000.0, 4001.0)] == ["good", "needs improvement", "poor"]
+
+
+@pytest.mark.parametrize(("metas", "header", "want"), [
+    (["noindex"], None, (True, False, "meta")), ([], "noindex, nofollow", (True, True, "header")), ([], "otherbot: noindex", (False, False, None)),
+    (["nofollow"], "googlebot: noindex", (True, True, "header")), (["none"], "otherbot: nofollow, googlebot: noindex", (True, True, "meta")),
+])
+def test_page_directives(spark, metas, header, want):
+    row = spark.createDataFrame([(metas, header)], "m array<string>, h string").select(t.page_directives(F.col("m"), F.col("h")).alias("d")).first().d
+    assert (row.noindex, row.nofollow, row.source) == want
+
+
+def test_whole_sites_kept_out(spark):
+    files = spark.createDataFrame([("a", "User-agent: *\nDisallow: /"), ("b", "User-agent: *\nDisallow: /x\nSITEMAP: https://b.example/s.xml")], "site string, text string")
+    rules = t.parse_robots(files)
+    assert {(r.site, r.blocked) for r in t.blocks_site(files, rules).collect()} == {("a", True), ("b", False)}
+    assert [tuple(r) for r in t.robots_sitemaps(files).collect()] == [("b", "https://b.example/s.xml")]
