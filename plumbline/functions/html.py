@@ -75,9 +75,9 @@ def tags(html: Column | str, names: str) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in any of its three spellings; empty if it has none."""
+    """Value of an attribute in any of its three spellings, not yet decoded; empty if it has none."""
     pattern = rf"""(?is)^<\w+(?:\s+(?!{name}[\s=>/])[^\s=>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|/)*\s+{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    return F.trim(decoded(F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")))
+    return F.trim(F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2"))
 
 
 def has_attribute(tag: Column, name: str) -> Column:

@@ -313,19 +313,19 @@ def keyword_ideas(phrases: DataFrame, related: DataFrame, asked: DataFrame, seed
 
 
 def phrase_targeting(phrases: DataFrame, pages: DataFrame) -> DataFrame:
-    """Whether a site's pages target each phrase: yes if title and H1 hold all its words, partial if headings or text hold it, else no.
+    """Whether a site's pages target each phrase: yes if title and H1 hold all its words, partial if the text holds it as whole words, else no.
 
     ``phrases``: site_id, phrase; ``pages``: site_id, page_id, title, h1, body.  A phrase is joined on its rarest word in the site only.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    held = pages.select("site_id", "page_id", words(F.concat_ws(" ", "title", "h1")).alias("top"), F.lower("body").alias("body"), words(F.concat_ws(" ", "title", "h1", "body")).alias("all"))
+    held = pages.select("site_id", "page_id", words(F.concat_ws(" ", "title", "h1")).alias("top"), F.concat(F.lit(" "), F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).alias("body"), words(F.concat_ws(" ", "title", "h1", "body")).alias("all"))
     index = held.select("site_id", "page_id", F.explode("all").alias("word"))
     often = index.groupBy("site_id", "word").agg(F.count("*").alias("df"))
     asked = phrases.select("site_id", "phrase", words(F.col("phrase")).alias("need")).distinct()
     each = asked.select("site_id", "phrase", F.explode("need").alias("word")).join(often.hint("merge"), ["site_id", "word"], "left")
     rare = each.groupBy("site_id", "phrase").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     near = rare.join(index.hint("merge"), ["site_id", "word"]).join(held.hint("merge"), ["site_id", "page_id"]).join(asked.hint("merge"), ["site_id", "phrase"])
-    level = F.when(F.size(F.array_except("need", "top")) == 0, 2).when(F.contains("body", F.lower("phrase")), 1).otherwise(0)
+    level = F.when(F.size(F.array_except("need", "top")) == 0, 2).when(F.contains("body", F.concat(F.lit(" "), F.regexp_replace(F.lower("phrase"), r"[^\p{L}\p{N}]+", " "), F.lit(" "))), 1).otherwise(0)
     found = near.groupBy("site_id", "phrase").agg(F.max(level).alias("level"))
     rows = asked.join(found.hint("merge"), ["site_id", "phrase"], "left")
     return rows.select("site_id", "phrase", F.when(F.col("level") == 2, "yes").when(F.col("level") == 1, "partial").otherwise("no").alias("targeted"))

@@ -138,7 +138,9 @@ def keyword_score(audit: DataFrame, cannibals: DataFrame) -> DataFrame:
     return rows.select("site_id", "keywords", F.col("n").alias("cannibals"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).cast("long").alias("score"))
 
 
-ENTITY = r"\b([A-Z][a-zA-Z0-9&']*(?:\s+[A-Z][a-zA-Z0-9&']*){0,3})\b"
+#: The border of a word of ASCII letters, digits and underscores.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+ENTITY = EDGE + r"([A-Z][a-zA-Z0-9&']*(?:\s+[A-Z][a-zA-Z0-9&']*){0,3})" + EDGE
 
 
 def entity_candidates(rows: DataFrame, key: str, text: str, most: int = 25) -> DataFrame:

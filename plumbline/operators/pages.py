@@ -36,7 +36,8 @@ def _first(x: Column) -> Column:
 
 
 def _meta(name: str) -> Column:
-    return _first(F.transform(F.filter("metas", lambda t: F.lower(attribute(t, "name")) == name), lambda t: attribute(t, "content")))
+    """Content of the first meta tag of a name, from ``named`` (name and content of every one)."""
+    return _first(F.transform(F.filter("named", lambda m: m["name"] == name), lambda m: m["content"]))
 
 
 def is_question(text: Column, strict: bool = False) -> Column:
@@ -57,6 +58,10 @@ def existing_questions(text: Column, most: int = 20) -> Column:
     return F.slice(F.filter(sentences(text), lambda s: s.endswith("?") & (F.length(F.trim(s)) > 8)), 1, most)
 
 
+def _texts(level: int) -> Column:
+    return F.transform(F.filter("headings", lambda h: h["level"] == level), lambda h: h["text"])
+
+
 def records(pages: DataFrame) -> DataFrame:
     """One record a page: head, headings, body text, links, images, schema types.
 
@@ -73,6 +78,7 @@ def records(pages: DataFrame) -> DataFrame:
         "heading_html": F.regexp_extract_all("html", F.lit(r"(?is)<(h[1-6])(?=[\s>])[^>]*>.*?</\1\s*>"), F.lit(0)),
         "ld": F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*ld\+json[^>]*>(.*?)</script\s*>"), F.lit(1)), _ld_text), lambda x: x != ""),
     })
+    rows = rows.withColumn("named", F.transform("metas", lambda t: F.struct(F.lower(attribute(t, "name")).alias("name"), decoded(attribute(t, "content")).alias("content"))))
     level = lambda x: F.substring(x, 3, 1).cast("int")
     rel = lambda t: F.split(F.lower(attribute(t, "rel")), r"\s+")
     resources = F.concat(
@@ -84,18 +90,15 @@ def records(pages: DataFrame) -> DataFrame:
         clean(F.regexp_extract("html", r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>", 1)).alias("title"),
         _first(F.transform(tags("html", "html"), lambda t: attribute(t, "lang"))).alias("lang"),
         _meta("description").alias("description"), _meta("viewport").alias("viewport"), _meta("generator").alias("generator"),
-        F.transform(F.filter("metas", lambda t: F.lower(attribute(t, "name")).isin("robots", "googlebot")), lambda t: F.lower(attribute(t, "content"))).alias("robots_meta"),
-        F.transform(F.filter("head_links", lambda t: F.array_contains(rel(t), "canonical")), lambda t: attribute(t, "href")).alias("canonicals"),
+        F.transform(F.filter("named", lambda m: m["name"].isin("robots", "googlebot")), lambda m: F.lower(m["content"])).alias("robots_meta"),
+        F.transform(F.filter("head_links", lambda t: F.array_contains(rel(t), "canonical")), lambda t: F.replace(attribute(t, "href"), F.lit("&amp;"), F.lit("&"))).alias("canonicals"),
         F.slice(F.transform(F.filter("head_links", lambda t: (F.lower(attribute(t, "rel")) == "alternate") & has_attribute(t, "hreflang")), lambda t: F.struct(attribute(t, "hreflang").alias("lang"), attribute(t, "href").alias("href"))), 1, 30).alias("hreflangs"),
-        F.transform(F.filter("heading_html", lambda x: level(x) == 1), inner).alias("h1s"),
-        F.transform(F.filter("heading_html", lambda x: level(x) == 2), inner).alias("h2s"),
-        F.transform(F.filter("heading_html", lambda x: level(x) == 3), inner).alias("h3s"),
         F.transform("heading_html", lambda x: F.struct(level(x).alias("level"), inner(x).alias("text"))).alias("headings"),
-        F.transform("anchor_html", lambda x: let(attribute(x, "href"), lambda href: F.struct(href.alias("href"), resolve("url", href).alias("target"), inner(x).alias("text")))).alias("anchors"),
+        F.transform("anchor_html", lambda x: let(F.replace(attribute(x, "href"), F.lit("&amp;"), F.lit("&")), lambda href: F.struct(href.alias("href"), resolve("url", href).alias("target"), inner(x).alias("text")))).alias("anchors"),
         F.size("imgs").cast("long").alias("images"),
         F.size(F.filter("imgs", lambda t: attribute(t, "alt") == "")).cast("long").alias("images_missing_alt"),
         F.slice(F.array_distinct(F.transform(F.filter("imgs", lambda t: ~has_attribute(t, "alt") & (attribute(t, "src") != "")), lambda t: attribute(t, "src"))), 1, 20).alias("missing_alt_srcs"),
-        F.filter(F.transform("imgs", lambda t: attribute(t, "alt")), lambda a: a != "").alias("alts"),
+        F.transform(F.filter(F.transform("imgs", lambda t: attribute(t, "alt")), lambda a: a != ""), lambda a: decoded(a)).alias("alts"),
         F.when(F.col("url").rlike("(?i)^https:"), F.size(F.filter(resources, lambda x: x.rlike("(?i)^http://")))).otherwise(0).cast("long").alias("insecure_resources"),
         _types("html").alias("schema_types"),
         F.size(F.filter("ld", lambda x: F.try_parse_json(x).isNull())).cast("long").alias("invalid_ld"),
@@ -103,7 +106,7 @@ def records(pages: DataFrame) -> DataFrame:
         F.size(F.regexp_extract_all("html", F.lit(r"(?i)<table[ >]"), F.lit(0))).alias("tables"),
         F.size(tags("html", "script")).alias("scripts"),
         F.size(F.filter(F.split("body_text", " "), lambda w: w != "")).cast("long").alias("word_count"),
-    ).withColumn("h1_text", _first(F.col("h1s")))
+    ).withColumns({f"h{n}s": _texts(n) for n in (1, 2, 3)}).withColumn("h1_text", _first(F.col("h1s")))
 
 
 def _ld_text(x: Column) -> Column:

@@ -186,7 +186,7 @@ ORACLE_SQL = {
     "keyword_priorities": _w(REC, _CANDS, _SITE, _AUDIT) + "select site_id, phrase, case when status = 'Poor' and relevance >= 70 then 'Critical' when status = 'Poor' or (status = 'Weak' and relevance >= 70) then 'High' when status = 'Weak' then 'Medium' else 'Low' end as priority from audit",
     "topic_overlap": _w(REC, _CANDS) + """, a as (select site_id, phrase as topic, row_number() over (partition by site_id order by sum(score) desc, phrase) as n from cands where in_body >= 3 group by site_id, phrase qualify n <= 60), b as (select site_id, phrase as topic, row_number() over (partition by site_id order by sum(score) desc, phrase) as n from cands where in_title group by site_id, phrase qualify n <= 60)
   select site_id, kind, row_number() over (partition by site_id, kind order by n, topic) as place, topic from (select *, case when (site_id, topic) in (select (site_id, topic) from b) then 'shared' else 'ours' end as kind from a union all select *, 'theirs' from b where (site_id, topic) not in (select (site_id, topic) from a)) qualify place <= 25""",
-    "phrase_targeting": _w(REC, _CANDS, _SITE) + """select s.site_id, s.phrase, case max(case when list_has_all(string_split_regex(lower(title||' '||h1), '[^\\p{L}\\p{N}]+'), list_filter(string_split_regex(phrase, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) then 2 when contains(lower(body), phrase) then 1 else 0 end) when 2 then 'yes' when 1 then 'partial' else 'no' end as targeted from site s join fld f on f.site_id = s.site_id group by s.site_id, s.phrase""",
+    "phrase_targeting": _w(REC, _CANDS, _SITE) + """select s.site_id, s.phrase, case max(case when list_has_all(string_split_regex(lower(title||' '||h1), '[^\\p{L}\\p{N}]+'), list_filter(string_split_regex(phrase, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) then 2 when contains(' '||regexp_replace(lower(body), '[^\\p{L}\\p{N}]+', ' ', 'g')||' ', ' '||regexp_replace(phrase, '[^\\p{L}\\p{N}]+', ' ', 'g')||' ') then 1 else 0 end) when 2 then 'yes' when 1 then 'partial' else 'no' end as targeted from site s join fld f on f.site_id = s.site_id group by s.site_id, s.phrase""",
     "entities": rf"""select site_id, entity, cast(sum(times) as bigint) as times from (select site_id, doc_id, entity, count(*) as times from (select source as site_id, doc_id, unnest(regexp_extract_all(text, '\b([A-Z][a-zA-Z0-9&'']*(?:\s+[A-Z][a-zA-Z0-9&'']*){{0,3}})\b', 1)) as entity from documents)
   where (regexp_matches(entity, '\s') or length(entity) >= 3) and not list_contains({list(kw.STOPWORDS)}, lower(entity)) group by site_id, doc_id, entity qualify row_number() over (partition by doc_id order by times desc, entity) <= 25) group by site_id, entity qualify row_number() over (partition by site_id order by sum(times) desc, entity) <= 20""",
     "extract_phones": _w(_PH) + "select doc_id, string_agg(substr(trim(regexp_replace(raw, '\\s+', ' ', 'g')), 1, 24), ' | ' order by pos) as phones from ph1 group by doc_id",
