@@ -42,8 +42,8 @@ LANDMARKS, GAP, DECAY = 384, 2, 0.8
 WORDS, ROUNDS = 6000, 5
 #: Characters of a word, and of the words that are scored at once.
 LONG, STEP_CHARS = 200, 1 << 16
-#: What the curve sees of a text.
-POOLED = 6
+#: What the curve sees of a text, and words whose kernel rows are computed at once.
+POOLED, KERNEL_ROWS = 6, 100
 #: Hashed triples.
 BITS = 18
 CUT = 0.3
@@ -107,9 +107,9 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     keys, at = np.unique(key, return_inverse=True)
     table_ = np.zeros((len(keys) + 1, len(right)), np.float32)
     table_[at, word] = value
-    out = np.zeros((len(left), len(right)))
-    for a in range(0, len(left), 1000):
-        word, key, value = _summed(left[a : a + 1000])
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, len(left), KERNEL_ROWS):
+        word, key, value = _summed(left[a : a + KERNEL_ROWS])
         at = np.searchsorted(keys, key)
         known = keys[np.minimum(at, len(keys) - 1)] == key
         at = np.where(known, at, len(keys))
@@ -210,6 +210,7 @@ def train(texts: list[str | None], toxic: list[int], share: float | None = None)
     for side in (half, ~half):
         other = _latent([b for b, h in zip(bags, side, strict=True) if not h], y[~side])
         x[side] = other.pooled([b for b, h in zip(bags, side, strict=True) if h])
+        del other  # with the words it remembers
     machine = _latent(bags, y)
     machine.curve = _logistic(x, y, np.where(y == 1, share / own, (1 - share) / (1 - own)))
     return machine
@@ -286,7 +287,7 @@ def _spread(words: list[str], n: int, alike: int = 4) -> list[str]:
 
 def _whitener(k: np.ndarray) -> np.ndarray:
     """The inverse square root of the landmarks' kernel (the Nystroem map)."""
-    value, vector = np.linalg.eigh(k)
+    value, vector = np.linalg.eigh(k.astype(np.float64))
     keep = value > 1e-6 * value.max()
     return vector[:, keep] / np.sqrt(value[keep])
 
