@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embedding_dedup, html_extract, jaccard_join, lm_scoring, mixing, packing, periodic_runs, pii, simhash, substring_dedup, token_counts, toxicity
+from . import conversation_repair, embedding_dedup, html_extract, jaccard_join, lm_scoring, mixing, packing, periodic_runs, pii, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_conversation_repair": conversation_repair.query,
     "op13_token_counts": token_counts.query,
     "pipeline": corpus_pipeline.run,
 }
