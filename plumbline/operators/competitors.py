@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.html import let
 from plumbline.functions.text import host_of, rounded, url_key
+from plumbline.operators.greedy import free_places, kept_in_order, leader_groups, set_key
 from plumbline.operators.keywords import STOPWORDS, ngrams, tokens
 from plumbline.operators.links import _cut
 
@@ -240,39 +240,11 @@ def missing_sections(pairs: DataFrame, theirs: DataFrame, ours: DataFrame, most:
     return lacking.withColumn("all", F.count("*").over(Window.partitionBy("theirs", "ours"))).where("all >= 2").select("theirs", "ours", F.col("n").cast("long").alias("place"), F.col("heading").alias("section"))
 
 
-def leader_groups(rows: DataFrame, least: float = 0.5) -> DataFrame:
-    """Each row (site_id, ord, text) with the first earlier leader that is similar enough, else itself: ``site_id, ord, leader``.
-
-    Leaders depend on the order of a site's rows, so a site is handled in one task; its rows are pages without a match, not all pages.
-    """
-    stop = {*_title_stop()}
-
-    def step(group):
-        leaders: list[tuple[int, set]] = []
-        out = []
-        for o, t in sorted(zip(group["ord"], group["text"], strict=True)):
-            w = {x for x in _words(t) if len(x) > 1 and x not in stop}
-            found = next((k for k, v in leaders if w and v and len(w & v) / len(w | v) >= least), None)
-            if found is None:
-                leaders.append((o, w))
-                found = o
-            out.append((o, found))
-        kept = group.set_index("ord").loc[[o for o, _ in out]].reset_index()[["site_id", "ord"]]
-        kept["leader"] = [k for _, k in out]
-        return kept
-
-    kind = rows.schema["site_id"].dataType.simpleString()
-    return rows.select("site_id", F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text")).groupBy("site_id").applyInPandas(step, f"site_id {kind}, ord long, leader long")
-
-
-def _title_stop() -> tuple[str, ...]:
-    from plumbline.operators.similarity import TITLE_STOPWORDS
-
-    return TITLE_STOPWORDS
-
+def page_groups(unmatched: DataFrame, least: float = 0.5) -> DataFrame:
+    """Competitors' pages (site_id, ord, title, words) by topic: ``site_id, ord, leader``; the longest page so far speaks for its group."""
+    from plumbline.operators.similarity import title_words
 
-def _words(text: str) -> list[str]:
-    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    return leader_groups(unmatched.select("site_id", "ord", set_key(title_words("title")).alias("set"), F.col("words").alias("size")), least)
 
 
 def missing_pages(unmatched: DataFrame, groups: DataFrame) -> DataFrame:
@@ -289,7 +261,7 @@ def missing_pages(unmatched: DataFrame, groups: DataFrame) -> DataFrame:
 def outline_hints(headings: DataFrame, topics: DataFrame, most: int = 10) -> DataFrame:
     """Headings of pages like a topic, mutually distinct, in order: ``topic, place, heading``.
 
-    ``headings``: page, title, ord, heading; ``topics``: topic.  Pages are found by shared title words; each topic's headings are then passed in order.
+    ``headings``: page, title, ord, heading; ``topics``: topic.  Pages are found by shared title words; their headings go by page and place, and one that is like an earlier kept one is left out.
     """
     from plumbline.operators.similarity import overlaps, title_words
 
@@ -297,10 +269,10 @@ def outline_hints(headings: DataFrame, topics: DataFrame, most: int = 10) -> Dat
     near = overlaps(topics.select(F.col("topic").alias("id"), title_words("topic").alias("words")), pages).where("similarity >= 0.3")
     good = F.length("heading").between(4, 100) & ~F.col("heading").rlike(FURNITURE)
     rows = near.select(F.col("l").alias("topic"), F.col("r").alias("page")).join(headings.where(good).select("page", "ord", "heading").hint("merge"), "page")
-    groups = leader_groups(rows.select(F.col("topic").alias("site_id"), F.xxhash64("page").alias("p"), "ord", "heading").withColumn("ord", F.row_number().over(Window.partitionBy("site_id").orderBy("p", "ord"))).withColumnRenamed("heading", "text"), 0.6)
-    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("topic").orderBy(F.xxhash64("page"), "ord")))
-    first = groups.where("ord = leader").select(F.col("site_id").alias("topic"), F.col("ord").cast("int").alias("n"))
-    kept = placed.join(first.hint("merge"), ["topic", "n"]).withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("n")).cast("long"))
+    listed = rows.select(F.col("topic").alias("site_id"), F.struct("page", "ord", "heading").alias("id")).distinct()
+    none = listed.select("site_id", F.lit("").alias("set")).limit(0)
+    kept = kept_in_order(listed.select("site_id", "id", F.lit(0).alias("ord"), set_key(title_words(F.col("id.heading"))).alias("set"), F.lit("").alias("label")), none, 0.6).where("kept")
+    kept = kept.select(F.col("site_id").alias("topic"), "id.heading", F.row_number().over(Window.partitionBy("site_id").orderBy("id")).cast("long").alias("place"))
     return kept.where(F.col("place") <= most).select("topic", "place", "heading")
 
 
@@ -386,11 +358,12 @@ def backlink_domains(links: DataFrame) -> DataFrame:
 
 
 def slots(topics: DataFrame, days: DataFrame, taken: DataFrame) -> DataFrame:
-    """The i-th topic (site_id, topic, place) of a site on its i-th free day: ``site_id, topic, day``.  ``days``: day; ``taken``: site_id, day."""
-    free = topics.select("site_id").distinct().crossJoin(F.broadcast(days)).join(taken.hint("merge"), ["site_id", "day"], "left_anti")  # days: one calendar
-    free = free.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("day")))
+    """The i-th topic (site_id, topic, place) of a site on its i-th free day: ``site_id, topic, day``.  ``days``: day, one calendar; ``taken``: site_id, day."""
+    calendar = days.select("day").distinct().withColumn("n", F.row_number().over(Window.orderBy("day")))
     ordered = topics.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("place", "topic")))
-    return ordered.join(free.hint("merge"), ["site_id", "n"]).select("site_id", "topic", "day")
+    busy = taken.select("site_id", "day").join(calendar.hint("merge"), "day").select("site_id", "n")
+    rows = ordered.join(free_places(ordered.select("site_id", "n"), busy).hint("merge"), ["site_id", "n"])
+    return rows.select("site_id", "topic", F.col("place").cast("int").alias("n")).join(calendar.hint("merge"), "n").select("site_id", "topic", "day")
 
 
 def comparison(pages: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import host_of, page_key
+from plumbline.operators.greedy import alternated, free_places, kept_in_order, set_key
 from plumbline.operators.pages import sentences
 from plumbline.operators.similarity import title_words
 
@@ -141,64 +142,29 @@ def topic_quality(topics: DataFrame) -> DataFrame:
 
 
 def dedupe_topics(topics: DataFrame, existing: DataFrame, least: float = 0.6) -> DataFrame:
-    """Topics of a site that are neither like an existing title nor like a kept earlier topic: ``site_id, id, kept``.
+    """Topics of a site that are neither like an existing title nor like a kept earlier topic, nor have its keyword: ``site_id, id, kept``.
 
-    ``topics``: site_id, id, ord, title, keyword; ``existing``: site_id, title.  Likeness to existing titles is a join on words; what is left
-    is passed in order, one site in a task (a plan of topics, not a corpus).
+    ``topics``: site_id, id, ord, title, keyword; ``existing``: site_id, title.
     """
-    sets = topics.select("site_id", "id", title_words("title").alias("words"))
-    a = sets.select("site_id", "id", F.size("words").alias("na"), F.explode("words").alias("word"))
-    have = existing.select("site_id", F.xxhash64("title").alias("t"), title_words("title").alias("words")).distinct()
-    b = have.select("site_id", "t", F.size("words").alias("nb"), F.explode("words").alias("word"))
-    shared = a.join(b.hint("merge"), ["site_id", "word"]).groupBy("site_id", "id", "t", "na", "nb").agg(F.count("*").alias("k"))
-    clash = shared.where(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) >= least).select("site_id", "id").distinct()
-    fresh = topics.join(clash.hint("merge"), ["site_id", "id"], "left_anti").withColumn("words", title_words("title"))
-
-    def step(group):
-        kept: list[tuple[set, str]] = []
-        keep = []
-        for r in group.sort_values(["ord", "id"]).itertuples():
-            w = set(r.words)
-            hit = any((w and k and len(w & k) / len(w | k) >= least) or (r.keyword and r.keyword == q) for k, q in kept)
-            if not hit:
-                kept.append((w, r.keyword))
-            keep.append((r.Index, not hit))
-        out = group.loc[[i for i, _ in keep], ["site_id", "id"]].copy()
-        out["kept"] = [k for _, k in keep]
-        return out
-
-    kinds = {f.name: f.dataType.simpleString() for f in topics.schema}
-    passed = fresh.select("site_id", "id", "ord", F.coalesce("keyword", F.lit("")).alias("keyword"), "words").groupBy("site_id").applyInPandas(step, f"site_id {kinds['site_id']}, id {kinds['id']}, kept boolean")
-    return passed.unionByName(clash.withColumn("kept", F.lit(False)))
+    rows = topics.select("site_id", "id", "ord", set_key(title_words("title")).alias("set"), F.col("keyword").alias("label"))
+    return kept_in_order(rows, existing.select("site_id", set_key(title_words("title")).alias("set")), least)
 
 
 def schedule(topics: DataFrame, start: str, taken: DataFrame, size: int = 30) -> DataFrame:
     """Each site's best topics on consecutive free days, no two of one pillar in a row where that can be helped: ``site_id, id, day, priority``.
 
-    ``topics``: site_id, id, pillar, grounding_kind, has_links, format; ``taken``: site_id, day.  The order depends on itself, so a site's plan is one task.
+    ``topics``: site_id, id, pillar, grounding_kind, has_links, format; ``taken``: site_id, day.  Only a plan's worth of topics is ordered as one array.
     """
     weight = F.coalesce(*[F.when(F.col("grounding_kind") == k, F.lit(float(w))) for k, w in GROUNDING_WEIGHT.items()], F.lit(1.0))
     score = weight + F.when(F.col("has_links"), 1.0).otherwise(0.0) + F.when(F.col("format").isin("Data-driven analysis", "Case study"), 0.5).otherwise(0.0)
     best = topics.withColumn("score", score).withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("score"), "id"))).where(F.col("n") <= size)
-
-    def step(group):
-        pool = group.sort_values("n").to_dict("records")
-        out = []
-        while pool:
-            last = (out[-1]["pillar"] or "").lower() if out else ""
-            k = next((i for i, t in enumerate(pool) if (t["pillar"] or "").lower() != last), 0)
-            out.append(pool.pop(k))
-        group = group.iloc[: len(out)].copy()
-        group["id"], group["place"], group["score"] = [t["id"] for t in out], range(1, len(out) + 1), [t["score"] for t in out]
-        return group[["site_id", "id", "place", "score"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in topics.schema}
-    placed = best.select("site_id", "id", "pillar", "score", "n").groupBy("site_id").applyInPandas(step, f"site_id {kinds['site_id']}, id {kinds['id']}, place long, score double")
-    days = topics.sparkSession.range(0, size + 400).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("day"))  # one calendar
-    free = topics.select("site_id").distinct().crossJoin(F.broadcast(days)).join(taken.select("site_id", F.col("day").cast("date").alias("day")).hint("merge"), ["site_id", "day"], "left_anti")
-    free = free.withColumn("place", F.row_number().over(Window.partitionBy("site_id").orderBy("day")).cast("long"))
-    priority = F.when(F.col("score") >= 5, "High").when(F.col("score") >= 3.5, "Medium").otherwise("Low")
-    return placed.join(free.hint("merge"), ["site_id", "place"]).select("site_id", "id", "day", priority.alias("priority"))
+    plan = best.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("n", "id", "pillar", "score"))).alias("plan"))
+    placed = plan.select("site_id", F.posexplode(alternated(F.col("plan"), "pillar")).alias("n", "t")).withColumn("n", F.col("n") + 1)
+    busy = taken.select("site_id", (F.datediff(F.col("day").cast("date"), F.lit(start).cast("date")) + 1).alias("n"))
+    days = free_places(placed.select("site_id", "n"), busy)
+    priority = F.when(F.col("t.score") >= 5, "High").when(F.col("t.score") >= 3.5, "Medium").otherwise("Low")
+    rows = placed.join(days.hint("merge"), ["site_id", "n"])
+    return rows.select("site_id", "t.id", F.date_add(F.lit(start).cast("date"), F.col("place").cast("int") - 1).alias("day"), priority.alias("priority"))
 
 
 # Words that tell no topics apart.

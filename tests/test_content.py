@@ -150,7 +150,7 @@ def test_competitors(spark):
     ours = make(spark, [("o", 1, "Parts of the plan"), ("o", 2, "About lessons")], "page string, place int, heading string")
     assert [r.section for r in cp.missing_sections(pairs, theirs, ours).orderBy("place").collect()] == ["What is a lesson plan?", "Common mistakes", "Time keeping"]
     un = make(spark, [("s", 1, "c1", "u1", "Green tea brewing", 300), ("s", 2, "c2", "u2", "Brewing green tea", 500), ("s", 3, "c1", "u3", "Coffee roasting", 400)], "site_id string, ord long, competitor string, url string, title string, words int")
-    groups = cp.leader_groups(un.withColumnRenamed("title", "text"))
+    groups = cp.page_groups(un)
     assert sorted((r.leader, r.competitors, r.url) for r in cp.missing_pages(un, groups).collect()) == [(1, 2, "u2"), (3, 1, "u3")]
     ideas = cp.keyword_ideas(make(spark, [("Green Tea",)], "text string"), make(spark, [("green tea",), ("cake",)], "text string"), make(spark, [("Is tea good?",)], "text string"), make(spark, [("Cake!",)], "text string"))
     assert sorted((r.key, r.sources) for r in ideas.collect()) == [("green tea", "competitors,related"), ("is tea good", "questions")]
