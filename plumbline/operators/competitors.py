@@ -33,28 +33,36 @@ def connected(edges: DataFrame, most: int | None = None) -> DataFrame:
     raise RuntimeError("connected: no fixed point")
 
 
+def _gate(site_pages: DataFrame) -> DataFrame:
+    """On how many pages of a site a word may stand before it is too common to link anything: ``site_id, gate``."""
+    return site_pages.select("site_id", F.greatest(F.lit(4), F.ceil(F.col("site_pages") * 2 / 5)).alias("gate"))
+
+
 def keyword_clusters(cands: DataFrame, site_pages: DataFrame) -> DataFrame:
-    """Phrases of a site that share a word which is not too common in it: ``site_id, cluster, phrase, score, pages``; the label is the best phrase.
+    """Phrases of a site that share a word of four letters or more: ``site_id, cluster, phrase, score, pages, links_pages``; the label is the best phrase.
 
-    ``site_pages`` (site_id, site_pages) sets how many pages of the site may hold a word that links.  Each word links its phrases to
-    the first of them, so a common word makes a star and not all pairs.
+    ``site_pages`` (site_id, site_pages) sets the gate: a word on more pages of the site links no phrases, and a phrase that is such a bare word
+    stays in its cluster but says nothing of its pages (``links_pages``).  Each word links its phrases to the first of them, so a
+    common word makes a star and not all pairs.
     """
-    words = cands.select("site_id", "page_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).where(~F.col("word").isin(*STOPWORDS) & (F.length("word") > 2))
-    spread = words.groupBy("site_id", "word").agg(F.count_distinct("page_id").alias("on"), F.min("phrase").alias("first")).join(site_pages.hint("merge"), "site_id")
-    usable = spread.where(F.col("on") <= F.greatest(F.lit(4), F.ceil(F.col("site_pages") * 2 / 5))).select("site_id", "word", "first")
+    words = cands.select("site_id", "page_id", "phrase", F.explode(F.array_distinct(F.split(F.lower("phrase"), r"\s+"))).alias("word")).where(F.length("word") >= 4)
+    spread = words.groupBy("site_id", "word").agg(F.count_distinct("page_id").alias("on"), F.min("phrase").alias("first")).join(_gate(site_pages).hint("merge"), "site_id")
+    usable = spread.where(F.col("on") <= F.col("gate")).select("site_id", "word", "first")
     name = lambda c: F.concat_ws("\u0001", "site_id", c)
     edges = words.join(usable.hint("merge"), ["site_id", "word"]).where("phrase <> first").select(name("phrase").alias("a"), name("first").alias("b")).distinct()
     roots = connected(edges)
     totals = cands.groupBy("site_id", "phrase").agg(F.sum("score").cast("long").alias("score"), F.count_distinct("page_id").alias("pages")).withColumn("node", name("phrase"))
-    rows = totals.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = totals.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(_gate(site_pages).hint("merge"), "site_id")
     best = rows.groupBy("root").agg(F.max_by("phrase", F.struct("score", "phrase")).alias("cluster"))
-    return rows.join(best.hint("merge"), "root").select("site_id", "cluster", "phrase", "score", "pages")
+    telling = F.contains("phrase", F.lit(" ")) | (F.col("pages") <= F.col("gate"))
+    return rows.join(best.hint("merge"), "root").select("site_id", "cluster", "phrase", "score", "pages", telling.alias("links_pages"))
 
 
 def cannibalization(cands: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Clusters of a site in which at least two pages have a phrase in title or h1."""
+    """Clusters of a site in which at least two pages have a phrase, other than a bare common word, in title or h1."""
     keys = ["site_id", "phrase"]
-    strong = cands.where("in_title or in_h1").join(clusters.select(*keys, "cluster").hint("merge"), keys).groupBy("site_id", "cluster").agg(F.count_distinct("page_id").alias("pages"))
+    telling = clusters.where("links_pages").select(*keys, "cluster")
+    strong = cands.where("in_title or in_h1").join(telling.hint("merge"), keys).groupBy("site_id", "cluster").agg(F.count_distinct("page_id").alias("pages"))
     return strong.where("pages >= 2")
 
 
@@ -80,6 +88,11 @@ def page_phrases(headings: DataFrame) -> DataFrame:
 
 # Hosts that are no sources, and kinds of authority in their order.
 SKIPPED_HOSTS = r"(^|\.)(bit\.ly|t\.co|goo\.gl|ow\.ly|tinyurl\.com|apps\.apple\.com|play\.google\.com|doubleclick\.net|googleadservices\.com|googletagmanager\.com|wa\.me|api\.whatsapp\.com|paypal\.com|stripe\.com|shopify\.com|wordpress\.org|gravatar\.com|schema\.org|w3\.org)$"
+# Hosts that rank for almost everything and are nobody's source or competitor.
+GENERIC_HOSTS = (
+    "wikipedia.org", "youtube.com", "facebook.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "pinterest.com", "tiktok.com",
+    "reddit.com", "quora.com", "medium.com", "amazon.com", "ebay.com", "tripadvisor.com", "yelp.com", "google.com", "apple.com", "github.com", "stackoverflow.com",
+)
 AUTHORITY = (
     ("Government", r"(^|\.)(gov|gob|gouv|govt)(\.[a-z]{2})?$|(^|\.)go\.[a-z]{2}$"), ("International body", r"(^|\.)(un\.org|who\.int|worldbank\.org|oecd\.org|europa\.eu|unesco\.org|unicef\.org|imf\.org)$|\.int$"),
     ("Education / research", r"(^|\.)(edu|ac)(\.[a-z]{2})?$"), ("Organisation", r"\.org(\.[a-z]{2})?$|(^|\.)or\.[a-z]{2}$"),
@@ -100,6 +113,11 @@ def authority_rank(name: Column) -> Column:
     return out
 
 
+def generic_host(host: Column) -> Column:
+    """Whether a host is one of the generic ones or below it."""
+    return F.exists(F.array(*[F.lit(g) for g in GENERIC_HOSTS]), lambda g: F.endswith(F.concat(F.lit("."), host), F.concat(F.lit("."), g)))
+
+
 def citations(links: DataFrame, own_host: str = "") -> DataFrame:
     """Outside pages that competitors' pages link to: ``key, host, authority, links, competitors, anchors``.
 
@@ -107,7 +125,7 @@ def citations(links: DataFrame, own_host: str = "") -> DataFrame:
     """
     rows = links.withColumn("host", host_of("url")).withColumn("key", F.regexp_replace(url_key("url"), "/$", ""))
     inside = lambda h: (F.col("host") == h) | F.endswith(F.col("host"), F.concat(F.lit("."), h))
-    rows = rows.where(F.col("key").contains("/") & F.col("host").isNotNull() & ~F.col("host").rlike(SKIPPED_HOSTS) & ~inside(F.col("host_of_page")))
+    rows = rows.where(F.col("key").contains("/") & F.col("host").isNotNull() & ~F.col("host").rlike(SKIPPED_HOSTS) & ~generic_host(F.col("host")) & ~inside(F.col("host_of_page")))
     if own_host:
         rows = rows.where(~inside(F.lit(own_host)))
     found = rows.groupBy("key").agg(
@@ -321,40 +339,49 @@ def keyword_placement(pages: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.where("not (in_title and in_h1 and in_start)")
 
 
-# Kinds of linking sites by words in host or url, platforms that are none, and pages that list resources.
-DESTINATIONS = (
-    ("Directory", ("directory", "listing", "yellowpages", "yelp", "clutch", "capterra", "g2.com", "trustpilot", "crunchbase", "tripadvisor")),
-    ("Association / Publication", ("association", "chamber", "society", "institute", "journal", "magazine", "news", "press", "times", "gazette")),
-    ("Partner mention", ("partner", "supplier", "vendor", "reseller", "client")),
-)
-PLATFORMS = ("facebook.", "twitter.", "x.com", "linkedin.", "instagram.", "youtube.", "tiktok.", "pinterest.", "whatsapp.", "google.", "apple.", "wa.me", "t.me", "cloudflare.", "wordpress.", "gstatic.", "jsdelivr.", "cdnjs.")
-RESOURCE_WORDS = ("resources", "links", "useful", "directory", "partners", "members", "recommended")
+# What the hosts and anchors of outside links tell of their kind, hosts that are only share icons, and titles of pages that list resources.
+DIRECTORY_HOSTS = ("directory", "listing", "yelp.com", "yellowpages", "g2.com", "capterra", "clutch.co", "crunchbase", "producthunt", "trustpilot", "bbb.org", "angi.com", "houzz.com", "manta.com", "foursquare.com")
+ASSOCIATION_HOSTS = ("association", "chamber", "institute", "society", "alliance", "federation", "foundation")
+PUBLICATION_HOSTS = ("news", "times", "journal", "magazine", "press", "tribune", "gazette", "herald", "blog")
+PARTNER_ANCHORS = ("partner", "client", "powered by", "trusted by", "integration", "certified", "member")
+RESOURCE_TITLES = ("resource", "resources", "useful link", "link page", "partners", "tools we use", "recommended", "our partners")
+ICON_HOSTS = ("facebook.com", "twitter.com", "x.com", "instagram.com", "linkedin.com", "youtube.com", "tiktok.com", "pinterest.com", "reddit.com", "whatsapp.com", "google.com", "apple.com", "play.google.com", "apps.apple.com")
 
 
-def destination_type(text: Column) -> Column:
-    out = F.lit("Other")
-    for name, words in reversed(DESTINATIONS):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(text, F.lit(w))
-        out = F.when(hit, name).otherwise(out)
-    return out
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def destination_type(host: Column, anchor: Column) -> Column:
+    """Kind of a linked site: by its host, else by the words of the link."""
+    published = F.endswith(host, F.lit(".org")) | holds_any(host, (*ASSOCIATION_HOSTS, *PUBLICATION_HOSTS))
+    by_anchor = F.when(holds_any(F.lower(F.coalesce(anchor, F.lit(""))), PARTNER_ANCHORS), "Partner mention").otherwise("Other")
+    return F.when(holds_any(host, DIRECTORY_HOSTS), "Directory").when(published, "Association/Publication").otherwise(by_anchor)
 
 
 def backlink_domains(links: DataFrame) -> DataFrame:
-    """Outside hosts that a site's pages link to: ``site_id, host, type, pages, resource_mentions, examples`` (3 at most); platforms left out.
+    """Outside hosts that a site's pages link to: ``site_id, host, type, pages, resource_mentions, examples`` (the first 3).
 
-    ``links``: site_id, page_id, target, anchor.
+    ``links``: site_id, page_ord, page, title, h1, link_ord, target, anchor; links within the page's own host and share icons are left out.  The first
+    link decides the type; a mention on a page whose title or H1 promises resources counts as such.
     """
-    rows = links.withColumn("host", host_of("target")).where("host is not null")
-    for w in PLATFORMS:
-        rows = rows.where(~F.contains(F.concat(F.lit("."), "host"), F.lit("." + w)))
-    text = F.lower(F.concat_ws(" ", "target", "anchor"))
-    mention = F.lit(False)
-    for w in RESOURCE_WORDS:
-        mention = mention | F.contains(text, F.lit(w))
-    kind = F.min_by(destination_type(text), F.struct("page_id", "target"))
-    return rows.groupBy("site_id", "host").agg(kind.alias("type"), F.count_distinct("page_id").alias("pages"), F.count_if(mention).alias("resource_mentions"), F.array_join(F.slice(F.array_sort(F.collect_set("target")), 1, 3), " ").alias("examples"))
+    rows = links.withColumn("host", host_of("target")).where(F.col("host").isNotNull() & (F.col("host") != host_of("page")))
+    rows = rows.where(~holds_any(F.col("host"), ICON_HOSTS))
+    listed = holds_any(F.lower(F.concat_ws(" ", "title", "h1")), RESOURCE_TITLES)
+    place = F.struct("page_ord", "link_ord", "target")
+    # the first links of a host within one page, then of all its pages: no list grows with the host's links
+    first = F.row_number().over(Window.partitionBy("site_id", "host", "page_ord").orderBy("link_ord", "target"))
+    three = lambda c: F.slice(F.array_sort(F.filter(F.collect_list(c), lambda x: x.isNotNull())), 1, 3)
+    per = rows.withColumn("n", first).groupBy("site_id", "host", "page_ord").agg(
+        F.min(F.struct(place.alias("place"), destination_type(F.col("host"), F.col("anchor")).alias("type"))).alias("first"), F.count_if(listed).alias("resource_mentions"),
+        three(F.when(F.col("n") <= 3, place)).alias("examples"),
+    )
+    near = F.row_number().over(Window.partitionBy("site_id", "host").orderBy("page_ord"))
+    out = per.withColumn("n", near).groupBy("site_id", "host").agg(
+        F.min("first").alias("first"), F.count("*").alias("pages"), F.sum("resource_mentions").alias("resource_mentions"), F.array_sort(F.flatten(F.collect_list(F.when(F.col("n") <= 3, F.col("examples"))))).alias("examples")
+    )
+    shown = F.array_join(F.transform(F.slice("examples", 1, 3), lambda e: e["target"]), " ")
+    return out.select("site_id", "host", F.col("first.type").alias("type"), "pages", F.col("resource_mentions").cast("long").alias("resource_mentions"), shown.alias("examples"))
 
 
 def slots(topics: DataFrame, days: DataFrame, taken: DataFrame) -> DataFrame:
@@ -362,10 +389,27 @@ def slots(topics: DataFrame, days: DataFrame, taken: DataFrame) -> DataFrame:
     calendar = days.select("day").distinct().withColumn("n", F.row_number().over(Window.orderBy("day")))
     ordered = topics.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("place", "topic")))
     busy = taken.select("site_id", "day").join(calendar.hint("merge"), "day").select("site_id", "n")
-    rows = ordered.join(free_places(ordered.select("site_id", "n"), busy).hint("merge"), ["site_id", "n"])
+    rows = ordered.drop("place").join(free_places(ordered.select("site_id", "n"), busy).hint("merge"), ["site_id", "n"])
     return rows.select("site_id", "topic", F.col("place").cast("int").alias("n")).join(calendar.hint("merge"), "n").select("site_id", "topic", "day")
 
 
-def comparison(pages: DataFrame) -> DataFrame:
-    """Averages per site: ``pages`` has site_id, word_count, is_orphan, score."""
-    return pages.groupBy("site_id").agg(F.count("*").alias("pages"), rounded(F.avg("word_count")).cast("long").alias("avg_words"), rounded(F.avg(F.when(F.col("is_orphan"), 100.0).otherwise(0.0)), 1).alias("orphan_percent"), rounded(F.avg("score"), 1).alias("avg_score"))
+def comparison(pages: DataFrame, inbound: DataFrame, flags: DataFrame) -> DataFrame:
+    """What sites are compared by: ``site_id, pages, avg_words, schema_types, orphan_percent, aeo_score, geo_score``.
+
+    ``pages``: site_id, page, is_start, word_count, schema_types (of a page); ``inbound``: site_id, dst, the pages that some other page of the site links to;
+    ``flags``: site_id, aeo_score, geo_score.  An orphan is a page, not the start, that no other one links to.
+    """
+    linked = inbound.select("site_id", F.col("dst").alias("page")).distinct().withColumn("linked", F.lit(True))
+    rows = pages.join(linked.hint("merge"), ["site_id", "page"], "left").withColumn("orphan", F.col("linked").isNull() & ~F.col("is_start"))
+    types = pages.select("site_id", F.explode("schema_types").alias("t")).distinct().groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("schema_types"))
+    sums = rows.groupBy("site_id").agg(F.count("*").alias("pages"), rounded(F.avg("word_count")).cast("long").alias("avg_words"), rounded(F.avg(F.when(F.col("orphan"), 100.0).otherwise(0.0))).cast("long").alias("orphan_percent"))
+    out = sums.join(types.hint("merge"), "site_id", "left").join(flags.hint("merge"), "site_id", "left")
+    return out.select("site_id", "pages", "avg_words", F.coalesce("schema_types", F.lit("")).alias("schema_types"), "orphan_percent", "aeo_score", "geo_score")
+
+
+def compared(sites: DataFrame, ours: str) -> DataFrame:
+    """Every other site of a comparison beside our own: ``site_id, measure, ours, theirs``."""
+    names = ["pages", "avg_words", "orphan_percent", "aeo_score", "geo_score"]
+    long = sites.unpivot(["site_id"], [F.col(n).cast("long").alias(n) for n in names], "measure", "value")
+    own = long.where(F.col("site_id") == ours).select("measure", F.col("value").alias("ours"))
+    return long.where(F.col("site_id") != ours).join(own.hint("merge"), "measure").select("site_id", "measure", "ours", F.col("value").alias("theirs"))

@@ -133,6 +133,9 @@ def free_places(rows: DataFrame, taken: DataFrame) -> DataFrame:
     The j-th taken number t lies before the i-th free one if ``t - j < i``, so one running count in the order of these keys answers every row.
     """
     passed = taken.where("n >= 1").distinct().withColumn("key", F.col("n") - F.row_number().over(Window.partitionBy("site_id").orderBy("n")))
+    # dealt out by ranges, so that the union's sides are shuffled together: where both are hashed by site, Spark 4.1.2 takes the union as it is, but does not
+    # lay the sides' partitions together below a merge join, and counts come out wrong
+    passed = passed.repartitionByRange("site_id", "key")
     both = rows.select("site_id", F.col("n").alias("key"), F.lit(1).alias("kind"), "n").unionByName(passed.select("site_id", "key", F.lit(2).alias("kind"), F.lit(None).cast("int").alias("n")))
     # a taken number with a key equal to i lies after the i-th free one
     so_far = F.count_if(F.col("kind") == 2).over(Window.partitionBy("site_id").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -363,6 +363,14 @@ def flag_scores(flags: DataFrame, weights: dict[str, int]) -> DataFrame:
     return flags.select("site_id", "page_id", rounded(total * 100.0 / sum(weights.values())).cast("long").alias("score"))
 
 
+def site_flag_scores(r: DataFrame) -> DataFrame:
+    """Answer and entity score of each site, a flag counting if any page has it: ``site_id, aeo_score, geo_score``."""
+    aeo, geo = _aeo(r), _geo(r)
+    any_page = r.groupBy("site_id").agg(*[F.bool_or(c).alias(k) for k, c in (aeo | geo).items()])
+    score = lambda weights: rounded(sum((F.when(F.col(k), w).otherwise(0) for k, w in weights.items()), F.lit(0)) * 100.0 / sum(weights.values())).cast("long")
+    return any_page.select("site_id", score(AEO_WEIGHTS).alias("aeo_score"), score(GEO_WEIGHTS).alias("geo_score"))
+
+
 def weakest_pages(scored: DataFrame, most: int = 5) -> DataFrame:
     """The pages of each site with the lowest scores: ``site_id, place, page_id, score``."""
     order = Window.partitionBy("site_id").orderBy("score", "page_id")

@@ -171,7 +171,18 @@ _PH = f"""ph as (select doc_id, source as site_id, raw, pos, right(regexp_replac
   where length(regexp_replace(raw, '[^0-9]', '', 'g')) between 9 and 15 and not regexp_matches(trim(raw), '^(19|20)[0-9]{{2}}[-/.\\s]?[0-9]{{1,2}}[-/.\\s]?[0-9]{{1,2}}$')),
 ph1 as (select *, row_number() over (partition by doc_id order by pos) as n from (select * from ph qualify row_number() over (partition by doc_id, last9 order by pos) = 1) qualify n <= 8)"""
 
+#: Clusters by recursion: labels spread along shared words until none falls.
+CLUSTERS = """gate as (select site_id, greatest(4, ceil(count(*)*2/5)) as gate from rec group by site_id),
+  wd as (select distinct site_id, page_id, phrase, unnest(string_split_regex(lower(phrase), '\\s+')) as word from cands), ok as (select w.site_id, word from wd w join gate g on g.site_id = w.site_id where length(word) >= 4 group by w.site_id, word, gate having count(distinct page_id) <= gate),
+  pw as (select distinct site_id, phrase, word from wd join ok using (site_id, word)), lk as (select distinct a.site_id, a.phrase as a, b.phrase as b from pw a join pw b on a.site_id = b.site_id and a.word = b.word),
+  tot as (select site_id, phrase, cast(sum(score) as bigint) as score, count(distinct page_id) as pages from cands group by site_id, phrase),
+  spread as (select site_id, phrase, phrase as root from tot union select l.site_id, l.b, s.root from spread s join lk l on l.site_id = s.site_id and l.a = s.phrase),
+  roots as (select site_id, phrase, min(root) as root from spread group by site_id, phrase), named as (select r.site_id, root, arg_max(t.phrase, (t.score, t.phrase)) as cluster from roots r join tot t using (site_id, phrase) group by r.site_id, root),
+  clusters as (select t.site_id, n.cluster, t.phrase, t.score, t.pages, contains(t.phrase, ' ') or t.pages <= gate as links_pages from tot t join roots r using (site_id, phrase) join named n on n.site_id = r.site_id and n.root = r.root join gate g on g.site_id = t.site_id),
+  cannibals as (select c.site_id, k.cluster, count(distinct c.page_id) as pages from cands c join clusters k on k.site_id = c.site_id and k.phrase = c.phrase and k.links_pages where c.in_title or c.in_h1 group by c.site_id, k.cluster having count(distinct c.page_id) >= 2)"""
+
 ORACLE_SQL = {
+    "keyword_score": _w(REC, _CANDS, _SITE, _AUDIT, CLUSTERS).replace("with ", "with recursive ", 1) + """select site_id, keywords, n as cannibals, cast(greatest(0, least(100, floor(base-least(20, n*5)+0.5))) as bigint) as score from (select a.site_id, count(*) as keywords, sum(placement*greatest(1, relevance))/sum(greatest(1, relevance)) as base, coalesce((select count(*) from cannibals c where c.site_id = a.site_id), 0) as n from audit a group by a.site_id)""",
     "near_duplicates": _w(_classes("doc_id", _SET("text"), "documents")) + ", " + _pairs(NEAR),
     "near_duplicate_classes": _w(_classes("doc_id", _SET("text"), "documents")) + "select s.id as doc_id, r.id as rep, n as n_words from sets s join reps r using (words)",
     "title_similarity": _w(REC, _classes("page_id", _TOPIC("title"), "rec")) + ", " + _pairs(0.5),

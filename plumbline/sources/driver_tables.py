@@ -81,6 +81,24 @@ def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).cast("long").alias("site_id"), F.col("o_orderkey").cast("long").alias("page"), status.cast("long").alias("status"))
 
 
+#: Hosts that outside links lead to, by supplier.
+OUTSIDE = ("green-directory{}.example", "trade-alliance{}.example", "city-herald{}.example", "club{}.org", "m.facebook.com", "shop{}.example", "stats{}.gov", "www.who.int", "site0.example.com", "lab{}.edu")
+
+
+def outside_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site_id, page_ord, page, title, h1, link_ord, target, anchor: every line item is a link from its part's page to its supplier's site."""
+    key, supplier = F.col("p_partkey"), F.col("l_suppkey")
+    parts = table(spark, sf_dir, "part")
+    hosts = F.transform(F.array(*[F.lit(h) for h in OUTSIDE]), lambda h: F.replace(h, F.lit("{}"), (supplier % 4).cast("string")))
+    target = F.concat(F.lit("https://"), F.element_at(hosts, (supplier % len(OUTSIDE) + 1).cast("int")), F.lit("/"), F.when(F.col("l_linenumber") % 5 == 0, "").otherwise(F.concat(F.lit("doc/"), (F.col("l_orderkey") % 3).cast("string"), F.when(F.col("l_tax") > 0.04, "?x=1").otherwise(""))))
+    anchor = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Our partner "), "p_brand")).when(F.col("l_returnflag") == "N", "").otherwise(F.col("p_type"))
+    rows = table(spark, sf_dir, "lineitem").join(parts.hint("merge"), F.col("l_partkey") == key)
+    return rows.select(
+        F.concat(F.lit("site"), (key % 4).cast("string"), F.lit(".example.com")).alias("site_id"), key.cast("long").alias("page_ord"), F.concat(F.lit("https://site"), (key % 4).cast("string"), F.lit(".example.com/p/"), key.cast("string")).alias("page"),
+        F.when(key % 9 == 0, F.concat(F.lit("Recommended: "), "p_name")).otherwise(F.col("p_name")).alias("title"), F.col("p_type").alias("h1"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("link_ord"), target.alias("target"), anchor.alias("anchor"),
+    )
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages with their host as site."""
     return table(spark, sf_dir, "pages").withColumn("site_id", host_of("url"))
@@ -99,4 +117,7 @@ RANK_SNAPSHOTS = """rank_snapshots as (select o_custkey%3 as site_id, o_custkey
 LINK_EDGES = """link_edges as (select distinct l_partkey%4 as site_id, l_partkey as src, spot-spot%4+l_partkey%4 as dst
   from (select l_partkey, (cast(l_orderkey as bigint)*l_orderkey*31)%(select count(*) from part) as spot from lineitem)),
   link_pages as (select p_partkey%4 as site_id, p_partkey as page, p_partkey < 4 as is_start from part)"""
+OUTSIDE_LINKS = """outside_links as (select 'site'||p_partkey%4||'.example.com' as site_id, cast(p_partkey as bigint) as page_ord, 'https://site'||p_partkey%4||'.example.com/p/'||p_partkey as page, case when p_partkey%9 = 0 then 'Recommended: '||p_name else p_name end as title, p_type as h1,
+  cast(l_orderkey as bigint)*10+l_linenumber as link_ord, 'https://'||host||'/'||case when l_linenumber%5 = 0 then '' else 'doc/'||l_orderkey%3||case when l_tax > 0.04 then '?x=1' else '' end end as target, case l_returnflag when 'A' then 'Our partner '||p_brand when 'N' then '' else p_type end as anchor, regexp_replace(host, '^www\\.', '') as host
+  from (select *, replace(['green-directory{}.example', 'trade-alliance{}.example', 'city-herald{}.example', 'club{}.org', 'm.facebook.com', 'shop{}.example', 'stats{}.gov', 'www.who.int', 'site0.example.com', 'lab{}.edu'][l_suppkey%10+1], '{}', cast(l_suppkey%4 as varchar)) as host from lineitem) join part on l_partkey = p_partkey)"""
 FETCH_STATUS = """fetch_status as (select o_orderkey%4 as site_id, o_orderkey as page, case o_orderstatus when 'F' then 200 when 'O' then 301 else 404 end as status from orders)"""

@@ -23,7 +23,7 @@ def test_files(spark):
     feeds = spark.createDataFrame([("s", rss), ("t", atom)], "site string, body string")
     assert sorted(tuple(r) for r in m.parse_feeds(feeds).collect()) == [("s", "A & b", "https://a/1", "x"), ("t", "C", "https://c/1", "2024")]
     maps = spark.createDataFrame([("s", "<urlset><url><loc> https://a/1 </loc></url><url><loc>https://a/2</loc></url></urlset>"), ("i", "<sitemapindex><loc>https://a/s.xml</loc></sitemapindex>"), ("x", "<html>")], "site string, body string")
-    assert {tuple(r) for r in m.parse_sitemaps(maps).collect()} == {("s", "https://a/1", False, True), ("s", "https://a/2", False, True), ("i", "https://a/s.xml", True, True), ("x", None, False, False)}
+    assert {tuple(r) for r in m.parse_sitemaps(maps).collect()} == {("s", "https://a/1", False, True, False), ("s", "https://a/2", False, True, False), ("i", "https://a/s.xml", True, True, False), ("x", None, False, False, False)}
     posts = spark.createDataFrame([("s", '[{"link":"https://a/p","date":"2024-01-02T03:04:05","title":{"rendered":"P &amp; q"}},{"link":"x"}]')], "site string, body string")
     assert [tuple(r) for r in m.parse_cms_posts(posts).collect()] == [("s", "P & q", "https://a/p", "2024-01-02")]
 
@@ -41,22 +41,46 @@ def test_vitals_and_csv(spark, tmp_path):
 def test_clusters_and_phrases(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y")], "a string, b string")
     assert {tuple(r) for r in c.connected(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
-    cands = spark.createDataFrame([(1, "red shoe", 6, True, False), (2, "red hat", 5, True, False), (2, "blue sea", 9, False, False)], "page_id long, phrase string, score long, in_title boolean, in_h1 boolean")
-    got = c.keyword_clusters(cands, 2)
-    assert {(r.cluster, r.phrase) for r in got.collect()} == {("red shoe", "red shoe"), ("red shoe", "red hat"), ("blue sea", "blue sea")}
-    assert [tuple(r) for r in c.cannibalization(cands, got).collect()] == [("red shoe", 2)]
+    shape = "site_id string, page_id long, phrase string, score long, in_title boolean, in_h1 boolean"
+    rows = [("s", 1, "red boots", 6, True, False), ("s", 2, "soft boots", 5, True, False), ("s", 2, "blue sea", 9, False, False), ("s", 3, "the red sea", 1, True, True)]
+    rows += [("s", k, "services", 4, True, False) for k in range(1, 7)] + [("s", k, "services list", 1, False, False) for k in (1, 2)] + [("t", 9, "red boots", 1, True, False)]
+    cands = spark.createDataFrame(rows, shape)
+    got = c.keyword_clusters(cands, spark.createDataFrame([("s", 6), ("t", 1)], "site_id string, site_pages long"))
+    # "red" and "sea" are too short to link, "services" stands on too many pages
+    assert {(r.site_id, r.cluster, r.phrase, r.links_pages) for r in got.collect()} == {("s", "red boots", "red boots", True), ("s", "red boots", "soft boots", True), ("s", "blue sea", "blue sea", True), ("s", "the red sea", "the red sea", True), ("s", "services", "services", False), ("s", "services list", "services list", True), ("t", "red boots", "red boots", True)}
+    assert [tuple(r) for r in c.cannibalization(cands, got).collect()] == [("s", "red boots", 2)]
     heads = spark.createDataFrame([("k", "u1", 3, "grade nine science notes"), ("l", "u2", 3, "grade nine science notes"), ("l", "u3", 1, "science notes")], "competitor string, url string, weight int, text string")
     kept = {r.phrase: r.pages for r in c.page_phrases(heads).collect()}
     assert kept["grade nine science notes"] == 2 and kept.get("science notes") == 3 and "nine science" not in kept
 
 
 def test_slots_authority_questions_citations(spark):
-    topics = spark.createDataFrame([(1, "b"), (2, "a")], "place int, topic string")
+    topics = spark.createDataFrame([("s", 1, "b"), ("s", 2, "a"), ("z", 1, "c")], "site_id string, place int, topic string")
     days = spark.createDataFrame([("2024-01-01",), ("2024-01-02",), ("2024-01-03",)], "day string")
-    assert {tuple(r) for r in c.slots(topics, days, days.where("day = '2024-01-01'")).collect()} == {("b", "2024-01-02"), ("a", "2024-01-03")}
+    taken = spark.createDataFrame([("s", "2024-01-01"), ("z", "2024-01-09")], "site_id string, day string")
+    assert {tuple(r) for r in c.slots(topics, days, taken).collect()} == {("s", "b", "2024-01-02"), ("s", "a", "2024-01-03"), ("z", "c", "2024-01-01")}
     hosts = spark.createDataFrame([("x.gov.uk",), ("mit.edu",), ("who.int",), ("a.org",), ("b.com",)], "host string")
-    assert [r.a for r in hosts.select(c.authority("host").alias("a")).collect()] == ["Government", "Education", "International", "Organisation", "Other"]
-    qs = spark.createDataFrame([("k", "u", 2, "How so?"), ("l", "v", 3, "how SO")], "competitor string, url string, source_weight int, text string")
-    assert [tuple(r) for r in c.question_bank(qs).collect()] == [("how so", 2, 2, "how SO")]
-    ls = spark.createDataFrame([("k", "https://a.example/d?x=1", "x"), ("l", "http://www.a.example/d", "y"), ("l", "https://b.example/", "z")], "competitor string, url string, anchor string")
+    assert [r.a for r in hosts.select(c.authority("host").alias("a")).collect()] == ["Government", "Education / research", "International body", "Organisation", "Other"]
+    qs = spark.createDataFrame([("k", "u", "heading", "How so, really?"), ("l", "v", "faq", "how SO really"), ("l", "v", "text", "Is Lbrand good?")], "competitor string, url string, source string, text string")
+    ours = spark.createDataFrame([("So really, how", "https://us.e/faq")], "text string, url string")
+    brands = spark.createDataFrame([("l", "Lbrand")], "competitor string, brand string")
+    assert [(r.key, r.text, r.competitors, r.pages, r.sources, r.answered, r.our_url) for r in c.question_bank(qs, ours, brands).collect()] == [("how so really", "how SO really", 2, "u v", "faq,heading", "yes", "https://us.e/faq")]
+    ls = spark.createDataFrame([("k", "k.e", "https://a.example/d?x=1", "x"), ("l", "l.e", "http://www.a.example/d", "y"), ("l", "l.e", "https://b.example/", "z")], "competitor string, host_of_page string, url string, anchor string")
     assert [(r.key, r.links, r.competitors) for r in c.citations(ls).collect()] == [("a.example/d", 2, 2)]
+
+
+def test_backlinks_and_comparison(spark):
+    shape = "site_id string, page_ord long, page string, title string, h1 string, link_ord long, target string, anchor string"
+    page = ("s", 1, "https://www.s.e/a", "Our partners", "x")
+    other = ("s", 2, "https://www.s.e/b", "Tea", "Tea")
+    links = [(*page, 1, "https://s.e/own", ""), (*page, 2, "https://yellowpages.e/x", ""), (*page, 3, "https://m.facebook.com/s", ""), (*page, 4, "https://acme.e/1", "Certified by Acme"), (*page, 5, "https://acme.e/2", ""), (*other, 1, "https://acme.e/3", ""), (*other, 2, "https://the-times.e/n", "partner"), (*other, 3, "https://club.org/", ""), (*other, 4, "https://netflix.com/", "")]
+    got = {r.host: (r.type, r.pages, r.resource_mentions, r.examples) for r in c.backlink_domains(spark.createDataFrame(links, shape)).collect()}
+    assert got == {
+        "yellowpages.e": ("Directory", 1, 1, "https://yellowpages.e/x"), "acme.e": ("Partner mention", 2, 2, "https://acme.e/1 https://acme.e/2 https://acme.e/3"), "the-times.e": ("Association/Publication", 1, 0, "https://the-times.e/n"), "club.org": ("Association/Publication", 1, 0, "https://club.org/"),
+    }
+    pages = spark.createDataFrame([("s", "s/", True, 100, ["A", "B"]), ("s", "s/x", False, 301, ["A"]), ("s", "s/y", False, 50, None), ("t", "t/", True, 10, [])], "site_id string, page string, is_start boolean, word_count int, schema_types array<string>")
+    inbound = spark.createDataFrame([("s", "s/x"), ("s", "s/x"), ("t", "s/y")], "site_id string, dst string")
+    flags = spark.createDataFrame([("s", 40, 60), ("t", 10, 20)], "site_id string, aeo_score long, geo_score long")
+    sites = c.comparison(pages, inbound, flags)
+    assert {tuple(r) for r in sites.collect()} == {("s", 3, 150, "A,B", 33, 40, 60), ("t", 1, 10, "", 0, 10, 20)}
+    assert {(r.measure, r.ours, r.theirs) for r in c.compared(sites, "s").collect()} == {("pages", 3, 1), ("avg_words", 150, 10), ("orphan_percent", 33, 0), ("aeo_score", 40, 10), ("geo_score", 60, 20)}
