@@ -20,6 +20,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WIDTH, PERCENT = 5, 80
 #: The session's setting that holds the key of the pseudonyms; without it they are made under the published demonstration key.
 KEY_SETTING = "spark.plumbline.pii.key"
+#: Rows of one Arrow batch between Spark and Python: texts are long, and a batch is held on both sides at once.  A session that sets its own keeps it.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are scored like any other; repeated rows stay or go together; an empty table stays empty; other columns go.
     """
+    _small_batches(spark)
     sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"))
     return toxicity.filtered(docs, toxicity.train(*sample)).select(*COLUMNS)
 
@@ -37,6 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts are what is compared: an id that names several different texts keeps one row for each group. Null ids take part and go first
     where their group has others; texts without words stay, once for each id; an empty table stays empty; other columns go.
     """
+    _small_batches(spark)
     return jaccard_join.one_of_each_group(docs.select(*COLUMNS), WIDTH, PERCENT).select(*COLUMNS)
 
 
@@ -46,6 +55,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null texts stay null with a null ``n_chars``; empty ones and repeated rows are handled like others; an empty table stays empty; other
     columns go.
     """
+    _small_batches(spark)
     key = spark.conf.get(KEY_SETTING, None)
     hidden = pii.pseudonymise(docs.select(*COLUMNS), key.encode() if key else pii.DEMO_KEY)
     return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -62,6 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens; a null or empty text is one end token; an empty table gives no rows."""
+    _small_batches(spark)
     return packing.pack(docs, packing.public_tokenizer())
 
 
