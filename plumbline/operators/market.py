@@ -1,115 +1,17 @@
-"""Structured-data facts, target-market findings and local-business checks.
+"""Target-market findings and local-business checks on page records with structured-data facts.
 
 The market profiles are a table of the caller: country, code, languages, currencies, dial.
 """
 
-import json
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import normalize_url
 from plumbline.operators.keywords import phones, same_phone
-
-# Types that mean a local business.
-LOCAL_TYPE = (
-    "LocalBusiness|Restaurant|Store|Dentist|Hotel|MedicalClinic|Physician|AutoRepair|BeautySalon|HealthClub|Attorney|LegalService|RealEstateAgent|FinancialService|Bakery|CafeOrCoffeeShop|BarOrPub|LodgingBusiness|Pharmacy|Hospital|School"
-    "|HomeAndConstructionBusiness|Plumber|Electrician|Locksmith|MovingCompany|HairSalon|DaySpa|VeterinaryCare|AccountingService|InsuranceAgency|TravelAgency|AutoDealer|GroceryStore|ShoppingCenter"
-)
-_LOCAL = re.compile(LOCAL_TYPE, re.IGNORECASE)
-_LISTS = ("types", "questions", "countries", "currencies", "telephones", "local_types", "names", "streets", "localities", "regions", "postal_codes")
-_MARKS = ("has_address", "has_hours", "has_geo", "has_same_as")
-FACTS = "struct<" + ",".join(f"{k}:array<string>" for k in _LISTS) + ",invalid:int," + ",".join(f"{k}:boolean" for k in _MARKS) + ">"
-#: Parts of a value under which questions are looked for, depth of any walk, and values kept of each kind.
-_QUESTION_PATHS, _DEPTH, _KEPT = ("@graph", "mainEntity", "hasPart", "itemListElement", "item"), 8, 40
-
-
-def _strings(v) -> list[str]:
-    v = v["name"] if isinstance(v, dict) and isinstance(v.get("name"), str) else v
-    return [v.strip()] if isinstance(v, str) and v.strip() else []
-
-
-def _types(node: dict) -> list[str]:
-    t = node.get("@type")
-    found = [re.sub(r"^(https?://(www\.)?schema\.org/|schema:)", "", x.strip()) for x in (t if isinstance(t, list) else [t]) if isinstance(x, str)]
-    return [x for x in found if x]
-
-
-def ld_facts(blocks: list[str]) -> dict:
-    """What a page's JSON-LD texts say: walks every value to a fixed depth."""
-    out: dict = {k: {} for k in _LISTS} | dict.fromkeys(_MARKS, False) | {"invalid": 0}
-    add = lambda k, v: out[k].update(dict.fromkeys(v))
-
-    def entities(node, depth):
-        if isinstance(node, list):
-            for n in node:
-                entities(n, depth + 1)
-        elif isinstance(node, dict) and depth <= 6:
-            add("types", _types(node))
-            entities(node.get("@graph"), depth + 1)
-
-    def questions(node, depth):
-        if isinstance(node, list):
-            for n in node:
-                questions(n, depth + 1)
-        elif isinstance(node, dict) and depth <= _DEPTH:
-            if "Question" in _types(node) and isinstance(node.get("name"), str):
-                add("questions", [q for q in [" ".join(node["name"].split())] if 8 <= len(q) <= 200])
-            for k in _QUESTION_PATHS:
-                questions(node.get(k), depth + 1)
-
-    def walk(node, depth):
-        if isinstance(node, list):
-            for n in node:
-                walk(n, depth + 1)
-        elif isinstance(node, dict) and depth <= _DEPTH:
-            kinds = _types(node)
-            if local := [k for k in kinds if _LOCAL.search(k)]:
-                add("local_types", local)
-                add("names", _strings(node.get("name")))
-                out["has_hours"] |= bool(node.get("openingHours") or node.get("openingHoursSpecification"))
-                out["has_geo"] |= bool(node.get("geo"))
-                out["has_same_as"] |= bool(node.get("sameAs"))
-            if "PostalAddress" in kinds:
-                out["has_address"] = True
-                for key, name in (("streetAddress", "streets"), ("addressLocality", "localities"), ("addressRegion", "regions"), ("postalCode", "postal_codes")):
-                    add(name, _strings(node.get(key)))
-            add("countries", _strings(node.get("addressCountry")))
-            add("currencies", [c.upper() for c in _strings(node.get("priceCurrency"))])
-            add("telephones", _strings(node.get("telephone")))
-            for v in node.values():
-                if isinstance(v, (dict, list)):
-                    walk(v, depth + 1)
-
-    for text in blocks:
-        try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
-            out["invalid"] += 1
-            continue
-        entities(value, 0)
-        questions(value, 0)
-        walk(value, 0)
-    out["has_address"] |= bool(out["countries"])
-    return {k: list(v)[:_KEPT] if isinstance(v, dict) else v for k, v in out.items()}
-
-
-def structured_facts(records: DataFrame) -> DataFrame:
-    """Page records with ``ld_facts``: types, questions, market and local signals of their JSON-LD, in Arrow batches."""
-
-    def facts(blocks: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([ld_facts([] if b is None else list(b)) for b in blocks], columns=[*_LISTS, "invalid", *_MARKS])
-
-    return records.withColumn("ld_facts", F.pandas_udf(facts, FACTS)("ld"))
-
-
-def faq_questions(facts: DataFrame) -> DataFrame:
-    return facts.select("site_id", "page_id", F.posexplode("ld_facts.questions").alias("place", "question"))
-
+from plumbline.operators.structured import faq_questions, structured_facts  # noqa: F401  the facts that this module's operators read
 
 # --- market -----------------------------------------------------------------------------------
 
@@ -140,10 +42,11 @@ def country_match(said: Column, country: Column, code: Column) -> Column:
     return (s == F.lower(country)) | (s == F.lower(code)) | ((code == "GB") & s.isin("uk", "great britain")) | ((code == "US") & s.isin("usa", "united states of america"))
 
 
-def normalize_country(raw: Column, profiles: DataFrame) -> Column:
-    """A known country's name whatever its case, else Worldwide.  ``profiles`` is a bounded dimension of the caller."""
-    names = [r.country for r in profiles.select("country").limit(1000).collect()]
-    return F.coalesce(F.try_element_at(F.create_map(*[x for n in names for x in (F.lit(n.lower()), F.lit(n))]), F.lower(F.trim(raw))), F.lit("Worldwide")) if names else F.lit("Worldwide")
+def normalize_country(rows: DataFrame, raw: str, profiles: DataFrame) -> DataFrame:
+    """Rows with ``country``: a known country's name whatever its case in the column ``raw``, else Worldwide.  ``profiles``: the caller's table of countries."""
+    known = profiles.select(F.lower("country").alias("_key"), F.col("country").alias("_name")).groupBy("_key").agg(F.min("_name").alias("_name"))
+    out = rows.withColumn("_key", F.lower(F.trim(raw))).join(known.hint("merge"), "_key", "left")
+    return out.withColumn("country", F.coalesce("_name", F.lit("Worldwide"))).drop("_key", "_name")
 
 
 def market_findings(facts: DataFrame, sites: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -151,7 +54,7 @@ def market_findings(facts: DataFrame, sites: DataFrame, profiles: DataFrame) ->
 
     ``facts``: structured_facts with tel_links (array); ``sites``: site_id, country, start_url; sites without a known market give nothing.
     """
-    market = sites.join(F.broadcast(profiles), "country")  # a dimension of countries
+    market = sites.join(profiles.hint("merge"), "country")
     rows = facts.join(market.hint("merge"), "site_id").withColumn("fit", lang_fit(F.col("lang"), F.col("languages")))
     f = F.col("ld_facts")
     rows = rows.withColumns({"n_alt": F.size("hreflangs"), "codes": F.transform("hreflangs", lambda h: h["lang"])})

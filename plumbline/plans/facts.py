@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import host_of
-from plumbline.operators import stack
+from plumbline.operators import pages as pg
+from plumbline.operators import stack, structured
 from plumbline.plans.pages import HOST
 from plumbline.sources import driver_tables as src
 
@@ -35,7 +36,39 @@ def stack_detect(spark, sf):
     return stack.detect(_stacked(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (stack_technologies, stack_detect)}
+def _ld(spark, sf):
+    """Suppliers as local businesses: a page with two JSON-LD blocks each, every fifth with a broken one, wrapped in every way that pages use."""
+    s, n, p = (src.table(spark, sf, t) for t in ("supplier", "nation", "part"))
+    rows = s.join(n.hint("merge"), s.s_nationkey == n.n_nationkey)
+    parts = p.select((F.col("p_partkey") % 50).alias("m"), "p_name").groupBy("m").agg(F.min("p_name").alias("p_name"))
+    rows = rows.join(parts.hint("merge"), F.col("s_suppkey") % 50 == F.col("m"))
+    key = F.col("s_suppkey").cast("string")
+    country = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('{"@type":"Country","name":"'), "n_name", F.lit('"}'))).otherwise(F.concat(F.lit('"'), "n_name", F.lit('"')))
+    business = F.concat(
+        F.lit('{"@context":"https://schema.org","@graph":[{"@type":["Organization","https://schema.org/Store"],"name":" '), "s_name", F.lit('","telephone":"+254 '), key, F.lit('","sameAs":['), F.when(F.col("s_suppkey") % 3 == 0, '"https://x.e"').otherwise(""),
+        F.lit('],"geo":'), F.when(F.col("s_suppkey") % 4 == 0, '{"latitude":1}').otherwise("null"), F.lit(',"address":{"@type":"PostalAddress","streetAddress":"'), key, F.lit(' Road","addressCountry":'), country,
+        F.lit('},"makesOffer":[{"@type":"Offer","price":5,"priceCurrency":"kes"},{"price":"6","priceCurrency":7}]},{"@type":"WebSite","publisher":{"@type":"Person"}}]}'),
+    )
+    faq = F.concat(F.lit('<!--[{"@type":"schema:FAQPage","mainEntity":[{"@type":"Question","name":"What  is '), "p_name", F.lit('?"},{"@type":"Question","name":"Why?"},{"@type":"Question","name":8}]}]-->'))
+    broken = F.when(F.col("s_suppkey") % 5 == 0, '<script type="application/ld+json">{"@type":</script>').otherwise("")
+    script = lambda x: F.concat(F.lit('<script type="application/ld+json">'), x, F.lit("</script>"))
+    html = F.concat(F.lit("<html><head>"), script(business), broken, script(faq), F.lit("</head><body></body></html>"))
+    url = F.concat(F.lit("https://supplier"), (F.col("s_suppkey") % 10).cast("string"), F.lit(".example/"), key)
+    pages = rows.select(host_of(url).alias("site_id"), F.col("s_suppkey").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
+    return structured.structured_facts(pg.records(pages))
+
+
+def structured_data(spark, sf):
+    f = F.col("ld_facts")
+    joined = lambda k: F.array_join(F.array_sort(f[k]), "|").alias(k)
+    return _ld(spark, sf).select("site_id", "page_id", *[joined(k) for k in ("types", "countries", "currencies", "telephones", "local_types", "names", "streets")], F.col("ld_facts.invalid").cast("long").alias("invalid"), *[f[k].alias(k) for k in ("has_address", "has_hours", "has_geo", "has_same_as")])
+
+
+def faq_questions(spark, sf):
+    return structured.faq_questions(_ld(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (stack_technologies, stack_detect, structured_data, faq_questions)}
 
 _STACK = f"""st as (select *, (page_id*7+length(site_id))%12 as k, page_id%7 as h, page_id%4 = 0 as cut from (select *, {HOST} as site_id from pages)),
   hit as (select distinct site_id, unnest(case k when 0 then [1, 2, 3] when 1 then [4] when 2 then [5, 6] when 3 then [7, 8] when 4 then [9] when 5 then [10, 11] when 6 then [12] when 7 then [13] else [] end) as r from st),
@@ -47,6 +80,9 @@ _STACK = f"""st as (select *, (page_id*7+length(site_id))%12 as k, page_id%7 as
   every as (select site_id, name, kind, w, n, case name when 'WordPress' then 1 when 'Shopify' then 2 when 'Next.js' then 3 when 'React' then 4 when 'Vite build' then 5 when 'Hugo' then 6 when 'jQuery' then 7 else 8 end as place from tech union all select site_id, name, 'hosting', w, n, place from hosts)"""
 
 ORACLE_SQL = {
+    "structured_data": """select 'supplier'||s_suppkey%10||'.example' as site_id, s_suppkey as page_id, 'FAQPage|Organization|Store|WebSite' as types, n_name as countries, 'KES' as currencies, '+254 '||s_suppkey as telephones, 'Store' as local_types, s_name as names, s_suppkey||' Road' as streets,
+  case when s_suppkey%5 = 0 then 1 else 0 end as invalid, true as has_address, false as has_hours, s_suppkey%4 = 0 as has_geo, true as has_same_as from supplier join nation on s_nationkey = n_nationkey where s_suppkey%50 in (select p_partkey%50 from part)""",
+    "faq_questions": """select 'supplier'||s_suppkey%10||'.example' as site_id, s_suppkey as page_id, 0 as place, 'What is '||p_name||'?' as question from supplier join (select p_partkey%50 as m, min(p_name) as p_name from part group by 1) on m = s_suppkey%50""",
     "stack_technologies": f"with {_STACK} select site_id, name, kind, case when w >= 3 then 'high' when w = 2 then 'medium' else 'low' end as confidence, n as n_evidence from every",
     "stack_detect": f"""with {_STACK}, per as (select site_id, string_agg(name, ' + ' order by place) filter (where kind <> 'hosting') as technologies, string_agg(name, ' + ' order by place) filter (where kind = 'hosting') as hosting,
     string_agg(name, ' + ' order by place) filter (where kind not in ('hosting', 'library', 'tooling') and w > 1) as lead, bool_or(kind = 'cms') as platform, bool_or(name = 'Next.js') as pre, bool_or(kind = 'static-generator') as gen, bool_or(kind = 'framework') as fw from every group by site_id),
