@@ -1,6 +1,11 @@
 import random
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from plumbline.llm import html_extract as m
+from plumbline.llm.common import table
 
 SCHEMA = "page_id long, url string, html string, text string, host int, path string"
 
@@ -57,3 +62,76 @@ def test_large_winners_use_a_join_and_empty(spark, monkeypatch):
     df = spark.createDataFrame([(1, "http://a.b/", "<article><p>x y</article>", "", 0, "")] * 2, SCHEMA)
     assert [r.text for r in m.extract(df).collect()] == ["x y", "x y"]
     assert m.extract(df.limit(0)).collect() == []
+
+
+def test_attribute_values_and_parts_of_names_are_no_marks():
+    page = """<article><p>First.</p><p title="a hidden gem">Second.</p><div data-id="promo" data-class='ad'><p>Third.</p></div>
+    <div class="side-by-side form-factor"><p>Fourth.</p></div><section id="login-guide">Fifth.</section><ul class="search-results"><li>Sixth.</ul><div class="skip-list-theory">Seventh.</div>
+    <div class="cookie-notice">no</div><div class=adSlot3>no</div><div hidden>no</div><div role="complementary">no</div><p id='ad'>no</article>"""
+    assert m.text_at(page, None) == "\n\n".join(["First.", "Second.", "Third.", "Fourth.", "Fifth.", "Sixth.", "Seventh."])
+    # a name is a vote: what holds most of the page is the article whatever it is called
+    assert m.text_at("<body><div class='widget'>" + "<p>long text here</p>" * 9 + "</div><p>short</p>", None).startswith("long text here")
+
+
+def test_tags_are_read_like_a_browser_does():
+    assert m.text_at("<p a='>' b=\">\" c=x>kept</p><p/>also</p>", None) == "kept\n\nalso"
+    assert m.text_at("<article><p>kept<b", None) == m.text_at("<article><p>kept<b class='x", None) == "kept"
+    assert m.text_at("<article><p>1<2 and <3, a <- b</p>", None) == "1<2 and <3, a <- b"
+    assert m.text_at("<article><title>no</title ><p>kept</TITLE></article>", None) == "kept"
+    assert m.text_at("<article><p CLASS=x CLASS=ad>kept</article>", None) == "kept"
+
+
+@pytest.mark.parametrize("unit", ["<b", "y", "<a", '<a x="', "<a x='\" ", "<div>", "<title>", "<script>", "<!--", "<!", "<", "<a =", "</x ", "<a b=c ", "<nav><article>", "<ul><blockquote><li></li>", "<p></div>", "&", "&#", "<li>", "<article></section>"])
+def test_a_megabyte_of_any_shape_is_read_in_linear_time(unit):
+    for page in (unit * ((1 << 20) // len(unit)), "<div>" * 50_000 + unit * ((1 << 19) // len(unit)), "<b" + unit * ((1 << 20) // len(unit))):
+        began = time.process_time()
+        m.text_at(page, None)
+        assert time.process_time() - began < 15
+
+
+class Slow(HTMLParser):
+    """An extractor of its own for well-formed pages: the text of the elements that hold it, article only, unwanted ones out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.path, self.blocks, self.parts = [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        if text and "article" in self.path and not {"nav", "footer", "aside", "script", "style", "ad"} & set(self.path):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("b", "a", "meta"):
+            self.flush()
+            if tag in ("p", "li") and self.path and self.path[-1] == tag:
+                self.path.pop()
+            self.path.append("ad" if dict(attrs).get("class") == "ad" else tag)
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "br", "meta"):
+            self.flush()
+            at = len(self.path) - 1
+            while at >= 0 and self.path[at] != tag and not (self.path[at] == "ad" and tag == "div"):
+                at -= 1
+            if at >= 0:
+                del self.path[at:]
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_whole_given_pages_against_another_reader(spark, sf):
+    pages = table(spark, f"/root/testdata/sf{sf}", "pages").collect()
+    got = {r.page_id: r.text for r in m.query(spark, f"/root/testdata/sf{sf}").collect()}
+    assert len(got) == len(pages)
+    for r in pages:
+        slow = Slow()
+        slow.feed(r.html)
+        slow.close()
+        slow.flush()
+        assert got[r.page_id] == "\n\n".join(slow.blocks)
