@@ -18,13 +18,13 @@ def parse_robots(files: DataFrame) -> DataFrame:
     lines = files.select("site", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
     line = F.trim(F.regexp_replace("line", "#.*$", ""))
     pair = lines.select("site", "pos", F.lower(F.trim(F.regexp_extract(line, "^([^:]+):", 1))).alias("key"), F.trim(F.regexp_extract(line, "^[^:]+:(.*)$", 1)).alias("value"))
-    pair = pair.where(F.col("key").isin("user-agent", "allow", "disallow"))
+    pair = pair.where("key <> '' and key <> 'sitemap'")  # other directives end a run of agent lines
     order = Window.partitionBy("site").orderBy("pos")
     starts = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent")
     grouped = pair.withColumn("group_id", F.sum(F.when(starts, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    agents = grouped.where("key = 'user-agent'").select("site", "group_id", F.lower("value").alias("agent")).distinct()
-    rules = grouped.where("key <> 'user-agent' and value <> ''").select("site", "group_id", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
-    return agents.join(rules, ["site", "group_id"], "left")
+    agents = grouped.where("key = 'user-agent' and value <> ''").select("site", "group_id", F.lower("value").alias("agent")).distinct()
+    rules = grouped.where("key in ('allow', 'disallow') and value <> ''").select("site", "group_id", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
+    return agents.join(rules.hint("merge"), ["site", "group_id"], "left")
 
 
 def robots_sitemaps(files: DataFrame) -> DataFrame:
@@ -33,20 +33,36 @@ def robots_sitemaps(files: DataFrame) -> DataFrame:
     return lines.select("site", F.trim(F.regexp_extract("line", r"(?i)^\s*sitemap\s*:\s*(\S+)", 1)).alias("url")).where("url <> ''").distinct()
 
 
+def rules_for(rules: DataFrame, agent: str) -> DataFrame:
+    """The rules that hold for an agent: ``site, allow, pattern``.  Of the agent names within its own the longest one's groups count, else those for all."""
+    fits = F.when((F.col("agent") != "*") & F.contains(F.lit(agent.lower()), F.col("agent")), F.length("agent"))
+    best = rules.groupBy("site").agg(F.max_by("agent", F.struct(fits, "agent")).alias("own"), F.max(fits).alias("fits"))
+    used = rules.join(best.hint("merge"), "site").where(F.col("agent") == F.when(F.col("fits").isNull(), F.lit("*")).otherwise(F.col("own")))
+    return used.where("pattern is not null").select("site", "allow", "pattern").distinct()
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """Whether each (site, path) may be fetched: the longest matching pattern decides, allow wins ties, none allows."""
-    own = rules.groupBy("site").agg(F.bool_or(F.col("agent") == agent).alias("own"))
-    used = rules.join(own.hint("merge"), "site").where(F.col("agent") == F.when(F.col("own"), F.lit(agent)).otherwise(F.lit("*"))).where("pattern is not null")
-    quoted = F.regexp_replace("pattern", r"([\\.+?()\[\]{}^|])", r"\\$1")
-    regex = F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*", ".*"))
-    used = used.select("site", "allow", F.length("pattern").alias("size"), regex.alias("regex"))
-    hits = urls.join(used.hint("merge"), "site").where(F.expr("path rlike regex")).groupBy("site", "path").agg(F.max_by("allow", F.struct("size", "allow")).alias("allowed"))
-    return urls.join(hits.hint("merge"), ["site", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    """Whether each (site, path) may be fetched: the longest matching pattern decides, allow wins ties, none allows.
+
+    A rule is found by the part of its pattern before the first wildcard: a path's beginnings, of the lengths that its site's rules have, are joined with
+    these, so no site meets all its rules with all its paths.  Only patterns that go on after that part are tested as regular expressions.
+    """
+    literal = F.regexp_extract("pattern", r"^((?:[^*$]|\$(?!$))*)", 1)
+    used = rules_for(rules, agent).withColumn("start", literal)
+    quoted = F.regexp_replace("pattern", r"([\\.+?()\[\]{}^|]|\$(?!$))", r"\\$1")
+    used = used.select("site", "allow", "start", F.length("pattern").alias("size"), F.when(F.col("start") != F.col("pattern"), F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*", ".*"))).alias("regex"))
+    lengths = used.groupBy("site").agg(F.collect_set(F.length("start")).alias("lengths"))  # as many as a path has characters at most
+    asked = urls.select("site", "path").distinct()
+    begun = asked.join(lengths.hint("merge"), "site").select("site", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    begun = begun.select("site", "path", F.expr("substring(path, 1, n)").alias("start"))
+    hits = begun.join(used.hint("merge"), ["site", "start"]).where("regex is null or path rlike regex")
+    best = hits.groupBy("site", "path").agg(F.max_by("allow", F.struct("size", "allow")).alias("allowed"))
+    return urls.join(best.hint("merge"), ["site", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
 def blocks_site(sites: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     """Whether an agent is kept out of a whole site: ``site, blocked``, by sample paths of every kind."""
-    paths = sites.select("site").distinct().select("site", F.explode(F.array(*[F.lit(p) for p in ("/", "/index.html", "/a-page", "/folder/page?x=1")])).alias("path"))
+    paths = sites.select("site").distinct().select("site", F.explode(F.array(*[F.lit(p) for p in ("/", "/about", "/blog/post", "/products/item-1?x=1")])).alias("path"))
     return robots_allowed(paths, rules, agent).groupBy("site").agg((~F.bool_or("allowed")).alias("blocked"))
 
 

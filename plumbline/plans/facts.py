@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import host_of
 from plumbline.operators import pages as pg
-from plumbline.operators import stack, structured
+from plumbline.operators import stack, structured, technical
 from plumbline.plans.pages import HOST
 from plumbline.sources import driver_tables as src
 
@@ -68,7 +68,37 @@ def faq_questions(spark, sf):
     return structured.faq_questions(_ld(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (stack_technologies, stack_detect, structured_data, faq_questions)}
+def _robots(spark, sf):
+    """A robots file for each language, a line for every fifth document, and the documents' paths."""
+    docs = src.table(spark, sf, "documents")
+    k, kind = F.col("doc_id"), F.floor(F.col("doc_id") / 5) % 7
+    line = (
+        F.when(kind == 0, F.concat(F.lit("User-agent: "), F.when(k % 3 == 0, "*").otherwise(F.concat(F.lit("Bot"), (k % 2).cast("string"))))).when(kind == 1, F.concat(F.lit("Disallow: /"), "source", F.lit("/"), (k % 100).cast("string"), F.lit(" # old")))
+        .when(kind == 2, F.concat(F.lit("Allow: /"), "source", F.lit("/*"), (k % 10).cast("string"), F.lit("$"))).when(kind == 3, F.concat(F.lit("disallow : /*/"), (k % 9).cast("string"), F.lit("*x=1"))).when(kind == 4, "Disallow:")
+        .when(kind == 5, F.concat(F.lit("Allow: /"), "source", F.lit("/"), (k % 100).cast("string"))).otherwise(F.when(k % 2 == 0, "Crawl-delay: 3").otherwise("Sitemap: https://e.example/s.xml"))
+    )
+    files = docs.where("doc_id % 5 = 0").groupBy(F.col("lang").alias("site")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    paths = docs.select(F.col("lang").alias("site"), F.concat(F.lit("/"), "source", F.lit("/"), (k % 997).cast("string"), F.when(k % 4 == 0, "?x=1").otherwise("")).alias("path")).distinct()
+    return technical.parse_robots(files), paths
+
+
+def robots_rules(spark, sf):
+    return _robots(spark, sf)[0].groupBy("site", "group_id", "agent", "allow", "pattern").agg(F.count("*").alias("times"))
+
+
+def robots_blocked(spark, sf):
+    """What two agents may fetch: one that has groups of its own, one that has none."""
+    rules, paths = _robots(spark, sf)
+    parts = [technical.robots_allowed(paths, rules, a).withColumn("agent", F.lit(a)) for a in ("MyBot1/2.0", "other")]
+    return parts[0].unionByName(parts[1])
+
+
+def robots_blocks_site(spark, sf):
+    rules, paths = _robots(spark, sf)
+    return technical.blocks_site(paths, rules, "bot0")
+
+
+QUERIES = {f.__name__: f for f in (stack_technologies, stack_detect, structured_data, faq_questions, robots_rules, robots_blocked, robots_blocks_site)}
 
 _STACK = f"""st as (select *, (page_id*7+length(site_id))%12 as k, page_id%7 as h, page_id%4 = 0 as cut from (select *, {HOST} as site_id from pages)),
   hit as (select distinct site_id, unnest(case k when 0 then [1, 2, 3] when 1 then [4] when 2 then [5, 6] when 3 then [7, 8] when 4 then [9] when 5 then [10, 11] when 6 then [12] when 7 then [13] else [] end) as r from st),
@@ -79,7 +109,18 @@ _STACK = f"""st as (select *, (page_id*7+length(site_id))%12 as k, page_id%7 as
     union all select site_id, case server when 0 then 'nginx' else 'Apache' end, 1, 1, 3 from head where server in (0, 3) and not vercel and not ray),
   every as (select site_id, name, kind, w, n, case name when 'WordPress' then 1 when 'Shopify' then 2 when 'Next.js' then 3 when 'React' then 4 when 'Vite build' then 5 when 'Hugo' then 6 when 'jQuery' then 7 else 8 end as place from tech union all select site_id, name, 'hosting', w, n, place from hosts)"""
 
+_ROBOTS = """ln as (select lang as site, doc_id as k, case doc_id//5%7 when 0 then 'user-agent' when 1 then 'disallow' when 2 then 'allow' when 3 then 'disallow' when 4 then 'disallow' when 5 then 'allow' else case when doc_id%2 = 0 then 'crawl-delay' else 'sitemap' end end as key,
+    case doc_id//5%7 when 0 then case when doc_id%3 = 0 then '*' else 'Bot'||doc_id%2 end when 1 then '/'||source||'/'||doc_id%100 when 2 then '/'||source||'/*'||doc_id%10||'$' when 3 then '/*/'||doc_id%9||'*x=1' when 5 then '/'||source||'/'||doc_id%100 else '' end as value from documents where doc_id%5 = 0),
+  ag as (select *, coalesce(lag(key) over (partition by site order by k), '') as before from ln where key <> 'sitemap'), gr as (select *, sum(case when key = 'user-agent' and before <> 'user-agent' then 1 else 0 end) over (partition by site order by k) as group_id from ag),
+  rules as (select a.site, a.group_id, a.agent, r.key = 'allow' as allow, r.value as pattern, r.k from (select distinct site, group_id, lower(value) as agent from gr where key = 'user-agent') a left join gr r on r.site = a.site and r.group_id = a.group_id and r.key in ('allow', 'disallow') and r.value <> ''),
+  paths as (select distinct lang as site, '/'||source||'/'||doc_id%997||case when doc_id%4 = 0 then '?x=1' else '' end as path from documents)"""
+_ALLOWED = lambda paths, agent, own: f"""select p.site, p.path, coalesce((select arg_max(r.allow, (length(r.pattern), r.allow)) from rules r where r.site = p.site and r.agent = case when exists (select 1 from rules o where o.site = p.site and o.agent = '{own}') then '{own}' else '*' end and r.pattern is not null
+  and regexp_matches(p.path, '^'||replace(replace(replace(r.pattern, '?', '\\?'), '.', '\\.'), '*', '.*'))), true) as allowed, '{agent}' as agent from {paths} p"""
+
 ORACLE_SQL = {
+    "robots_rules": f"with {_ROBOTS} select site, cast(group_id as bigint) as group_id, agent, allow, pattern, count(*) as times from rules group by all",
+    "robots_blocked": f"with {_ROBOTS} {_ALLOWED('paths', 'MyBot1/2.0', 'bot1')} union all {_ALLOWED('paths', 'other', '-')}",
+    "robots_blocks_site": f"with {_ROBOTS}, tried as (select distinct site, unnest(['/', '/about', '/blog/post', '/products/item-1?x=1']) as path from paths) select site, not bool_or(allowed) as blocked from ({_ALLOWED('tried', 'x', 'bot0')}) group by site",
     "structured_data": """select 'supplier'||s_suppkey%10||'.example' as site_id, s_suppkey as page_id, 'FAQPage|Organization|Store|WebSite' as types, n_name as countries, 'KES' as currencies, '+254 '||s_suppkey as telephones, 'Store' as local_types, s_name as names, s_suppkey||' Road' as streets,
   case when s_suppkey%5 = 0 then 1 else 0 end as invalid, true as has_address, false as has_hours, s_suppkey%4 = 0 as has_geo, true as has_same_as from supplier join nation on s_nationkey = n_nationkey where s_suppkey%50 in (select p_partkey%50 from part)""",
     "faq_questions": """select 'supplier'||s_suppkey%10||'.example' as site_id, s_suppkey as page_id, 0 as place, 'What is '||p_name||'?' as question from supplier join (select p_partkey%50 as m, min(p_name) as p_name from part group by 1) on m = s_suppkey%50""",
