@@ -9,21 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from plumbline.operators.ranks import rank_summary
 
 
-def window_counts(events: DataFrame, limit: int, minutes: int = 10) -> DataFrame:
+def _late(rows: DataFrame, delay: str, column: str = "ts") -> DataFrame:
+    """A stream whose rows may be late by ``delay``; what comes later is dropped and what it could change is given out and forgotten.  Tables stay as they are."""
+    return rows.withWatermark(column, delay) if rows.isStreaming else rows
+
+
+def window_counts(events: DataFrame, limit: int, minutes: int = 10, delay: str = "10 minutes") -> DataFrame:
     """Hits of each client in fixed windows, whether over the limit.  ``events``: client, ts (streams or tables)."""
     w = F.window("ts", f"{minutes} minutes")
-    return events.groupBy("client", w.alias("w")).agg(F.count("*").alias("hits")).select("client", F.col("w.start").alias("start"), "hits", (F.col("hits") > limit).alias("over"))
+    return _late(events, delay).groupBy("client", w.alias("w")).agg(F.count("*").alias("hits")).select("client", F.col("w.start").alias("start"), "hits", (F.col("hits") > limit).alias("over"))
+
+
+def policy_counts(events: DataFrame, limits: dict[str, int], minutes: int = 10, delay: str = "10 minutes") -> DataFrame:
+    """Hits of each client under each policy in fixed windows: ``client, policy, start, hits, over, retry_after``.
+
+    ``events``: client, policy, ts; ``limits``: hits that a policy allows in a window, policies without one are not counted.  ``retry_after``: whole seconds from the
+    last hit to the window's end where the limit is passed.  On a stream a window is given out once, when no row can change it any more.
+    """
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("policy"))
+    rows = _late(events.where(F.col("policy").isin(*limits)), delay).groupBy("client", "policy", F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("hits"), F.max("ts").alias("last"))
+    wait = F.ceil(F.unix_micros(F.col("w.end")) / 1e6 - F.unix_micros("last") / 1e6).cast("long")
+    return rows.select("client", "policy", F.col("w.start").alias("start"), "hits", (F.col("hits") > limit).alias("over"), F.when(F.col("hits") > limit, wait).alias("retry_after"))
+
+
+def trend_windows(log: DataFrame, days: int = 7, delay: str = "3 days") -> DataFrame:
+    """Clicks and impressions of each site in windows of ``days`` that slide by a day: ``site_id, start, clicks, impressions``.  ``log``: site_id, ts, clicks, impressions.
+
+    On a stream, rows may be three days late, as search rows are, and a window is given out once.
+    """
+    w = F.window("ts", f"{days} days", "1 day")
+    sums = _late(log, delay).groupBy("site_id", w.alias("w")).agg(F.sum("clicks").cast("long").alias("clicks"), F.sum("impressions").cast("long").alias("impressions"))
+    return sums.select("site_id", F.to_date("w.start").alias("start"), "clicks", "impressions")
 
 
 def daily_totals(log: DataFrame) -> DataFrame:
     """Hits of each day; on a stream, rows more than three days late are dropped."""
-    if log.isStreaming:
-        log = log.withWatermark("ts", "3 days")
-    return log.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("hits")).select(F.to_date("w.start").alias("day"), "hits")
+    return _late(log, "3 days").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("hits")).select(F.to_date("w.start").alias("day"), "hits")
 
 
 def dedupe(deliveries: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,10 +79,77 @@ def rank_states(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("keyword_id").applyInPandasWithState(step, f"keyword_id long, {shape}", shape, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now and return its result table."""
+def fresh_results(events: DataFrame, idle: str = "30 days") -> DataFrame:
+    """Derived results that hold when they come: ``site_id, kind, crawl_id, seq``, from a stream of results and crawls.
+
+    ``events``: site_id, ts, kind, crawl_id, seq; a row without a kind says that its crawl is the site's current one.  A result counts if it is of the current crawl (or of
+    no known one) and newer than every one of its kind before.  A site's state is its crawl and one number for each kind; it goes when the site was
+    idle for ``idle`` of event time.
+    """
+    seconds = int(pd.Timedelta(idle).total_seconds())
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        crawl, kinds, numbers, until = state.get if state.exists else (None, [], [], 0)
+        if until <= state.getCurrentWatermarkMs():  # timed out, though rows came before the timer was served
+            crawl, kinds, numbers = None, [], []
+        newest = dict(zip(kinds, numbers))
+        rows = pd.concat(list(parts)).sort_values(["ts", "seq"], na_position="first")
+        kept = []
+        for r in rows.itertuples():
+            if r.kind is None:
+                crawl = r.crawl_id
+            elif (r.crawl_id is None or crawl is None or r.crawl_id == crawl) and r.seq > newest.get(r.kind, -1):
+                newest[r.kind] = int(r.seq)
+                kept.append((key[0], r.kind, r.crawl_id, int(r.seq)))
+        until = max(int(rows["ts"].max().timestamp()), state.getCurrentWatermarkMs() // 1000) * 1000 + seconds * 1000
+        state.update((crawl, list(newest), list(newest.values()), until))
+        state.setTimeoutTimestamp(until)
+        yield pd.DataFrame(kept, columns=["site_id", "kind", "crawl_id", "seq"])
+
+    rows = events.select("site_id", "ts", "kind", "crawl_id", F.col("seq").cast("long").alias("seq")).withWatermark("ts", "1 day")
+    kind = events.schema["site_id"].dataType.simpleString()
+    out = f"site_id {kind}, kind string, crawl_id string, seq long"
+    return rows.groupBy("site_id").applyInPandasWithState(step, out, "crawl string, kinds array<string>, numbers array<long>, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def budget_stream(due: DataFrame, where: str, monthly: int, per_run: int, reserve: int) -> DataFrame:
+    """Grant the due keywords of a stream (site_id, keyword_id, last_checked_at, ts) what each site's monthly budget allows, a batch being a run.
+
+    Grants are written under ``where`` by batch; a batch that is run again reads only those before it and replaces its own, so a restart grants the same.  Returns all
+    grants: ``site_id, keyword_id, month, place, batch``.
+    """
+    spark = due.sparkSession
+    shape = "site_id long, keyword_id long, month date, place long"
+
+    def grant(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(f"{shape}, batch long").parquet(f"{where}/grants").where(F.col("batch") < number)
+        used = before.groupBy("site_id", "month").agg(F.count("*").alias("used"))
+        rows = batch.withColumn("month", F.to_date(F.date_trunc("month", "ts"))).join(used.hint("merge"), ["site_id", "month"], "left")
+        allowed = F.greatest(F.lit(0), F.least(F.lit(per_run), F.lit(monthly - reserve) - F.coalesce("used", F.lit(0))))
+        place = F.row_number().over(Window.partitionBy("site_id", "month").orderBy(F.asc_nulls_first("last_checked_at"), "keyword_id"))
+        given = rows.withColumn("place", place.cast("long")).where(F.col("place") <= allowed)
+        given.selectExpr("cast(site_id as long) as site_id", "cast(keyword_id as long) as keyword_id", "month", "place").write.mode("overwrite").parquet(f"{where}/grants/batch={number}")
+
+    spark.createDataFrame([], shape).write.mode("ignore").parquet(f"{where}/grants/batch=-1")
+    due.writeStream.foreachBatch(grant).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{shape}, batch long").parquet(f"{where}/grants")
+
+
+def stream_dir(spark: SparkSession) -> str:
+    """A new folder for one stream's state and output, below the folder that driver and executors share."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{where.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def run_once(stream: DataFrame, mode: str, where: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now and return its result table.  With the same ``where`` a later run goes on where this one ended."""
     spark = stream.sparkSession
-    where = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}".rstrip("/") + f"/streams/{uuid.uuid4().hex}"
+    where = where or stream_dir(spark)
     schema = stream.schema
 
     if mode == "append":
