@@ -161,4 +161,4 @@ class HtmlTags:
 
 def register_html_tags(spark: SparkSession) -> None:
     """Make ``html_tags(html)`` known to SQL: ``select p.page_id, t.* from pages p, lateral html_tags(p.html) t``."""
-    spark.udtf.register("html_tags", F.udtf(HtmlTags, returnType="pos int, name string, attrs map<string,string>, text string"))
+    spark.udtf.register("html_tags", F.udtf(HtmlTags, returnType="pos int, name string, attrs map<string,string>, text string", useArrow=True))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import html
 from plumbline.functions.text import host_of
+from plumbline.operators import content, stack, structured, technical
 from plumbline.operators import pages as pg
-from plumbline.operators import stack, structured, technical
 from plumbline.plans.pages import HOST
 from plumbline.sources import driver_tables as src
+from plumbline.sources import landed
 
 #: What pages are given at the start of their body, by their id, and what their hosts answer with.
 SNIPPETS = (
@@ -98,7 +100,48 @@ def robots_blocks_site(spark, sf):
     return technical.blocks_site(paths, rules, "bot0")
 
 
-QUERIES = {f.__name__: f for f in (stack_technologies, stack_detect, structured_data, faq_questions, robots_rules, robots_blocked, robots_blocks_site)}
+def _sitemaps(spark, sf):
+    """An index and two sitemaps for each site of the pages, one of them with prefixes and references, the other with sections; some are cut off, some are not there."""
+    p = src.pages(spark, sf).select("site_id", "page_id", "url").withColumn("half", F.col("page_id") % 2)
+    loc = F.when(F.col("half") == 0, F.concat(F.lit("<s:url><s:loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("?a=1&amp;b </s:loc><s:lastmod>2024</s:lastmod></s:url>"))).otherwise(F.concat(F.lit("<url>\n<loc><![CDATA["), "url", F.lit("]]></loc></url>")))
+    maps = p.groupBy("site_id", "half").agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("locs"))
+    short = F.length("site_id") % 4 == 0
+    body = F.when(F.col("half") == 0, F.concat(F.lit('<?xml version="1.0"?><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9">'), "locs", F.lit("</s:urlset>"))).otherwise(F.concat(F.lit("<urlset>"), "locs", F.when(short, "<url><loc>https://cut").otherwise("</urlset>")))
+    name = lambda k: F.concat(F.lit("https://"), "site_id", F.lit("/map-"), k, F.lit(".xml"))
+    children = maps.select(F.col("site_id").alias("site"), name(F.col("half").cast("string")).alias("url"), body.alias("body"))
+    sites = p.select("site_id").distinct()
+    entry = lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))
+    index = F.concat(F.lit("<sitemapindex>"), entry(name(F.lit("0"))), entry(name(F.lit("1"))), entry(F.lit("https://elsewhere.example/map.xml")), entry(name(F.lit("index"))), F.lit("</sitemapindex>"))
+    files = children.unionByName(sites.select(F.col("site_id").alias("site"), name(F.lit("index")).alias("url"), index.alias("body")))
+    return landed.sitemap_urls(files, sites.select(F.col("site_id").alias("site"), name(F.lit("index")).alias("url")))
+
+
+def sitemap_urls(spark, sf):
+    return _sitemaps(spark, sf)[0]
+
+
+def sitemap_states(spark, sf):
+    return _sitemaps(spark, sf)[1]
+
+
+def html_tags(spark, sf):
+    """Tags of every page by name, with the links that they hold, by the table function."""
+    html.register_html_tags(spark)
+    src.pages(spark, sf).select("page_id", "html").createOrReplaceTempView("plumbline_tagged_pages")
+    rows = spark.sql("select p.page_id, t.pos, t.name, t.attrs, t.text from plumbline_tagged_pages p, lateral html_tags(p.html) t")
+    return rows.groupBy("page_id", "name").agg(F.count("*").alias("tags"), F.array_join(F.array_sort(F.collect_list(F.col("attrs")["href"])), " ").alias("hrefs"), F.min("pos").cast("long").alias("first"))
+
+
+def distinct_by_day(spark, sf):
+    """Pages and queries of each site, exactly and by merging the sketches of its days."""
+    log = src.search_log(spark, sf)
+    exact = content.distinct_counts(log, ["page", "query"])
+    merged = content.merged_counts(content.daily_sketches(log, "date", ["page", "query"]), ["page", "query"]).withColumnsRenamed({c: f"{c}_about" for c in ("page", "query")})
+    near = lambda c: (F.abs(F.col(f"{c}_about") - F.col(c)) <= F.greatest(F.lit(1), F.col(c) * 0.05)).alias(f"{c}_near")
+    return exact.join(merged.hint("merge"), "site_id").select("site_id", "page", "query", near("page"), near("query"))
+
+
+QUERIES = {f.__name__: f for f in (stack_technologies, stack_detect, structured_data, faq_questions, robots_rules, robots_blocked, robots_blocks_site, sitemap_urls, sitemap_states, html_tags, distinct_by_day)}
 
 _STACK = f"""st as (select *, (page_id*7+length(site_id))%12 as k, page_id%7 as h, page_id%4 = 0 as cut from (select *, {HOST} as site_id from pages)),
   hit as (select distinct site_id, unnest(case k when 0 then [1, 2, 3] when 1 then [4] when 2 then [5, 6] when 3 then [7, 8] when 4 then [9] when 5 then [10, 11] when 6 then [12] when 7 then [13] else [] end) as r from st),
@@ -121,6 +164,11 @@ ORACLE_SQL = {
     "robots_rules": f"with {_ROBOTS} select site, cast(group_id as bigint) as group_id, agent, allow, pattern, count(*) as times from rules group by all",
     "robots_blocked": f"with {_ROBOTS} {_ALLOWED('paths', 'MyBot1/2.0', 'bot1')} union all {_ALLOWED('paths', 'other', '-')}",
     "robots_blocks_site": f"with {_ROBOTS}, tried as (select distinct site, unnest(['/', '/about', '/blog/post', '/products/item-1?x=1']) as path from paths) select site, not bool_or(allowed) as blocked from ({_ALLOWED('tried', 'x', 'bot0')}) group by site",
+    "sitemap_urls": f"select {HOST} as site, case when page_id%2 = 0 then url||'?a=1&b' else url end as loc, 'https://'||{HOST}||'/map-'||min(page_id%2)||'.xml' as sitemap from pages group by 1, 2",
+    "sitemap_states": f"""with s as (select distinct {HOST} as site from pages) select site, 'https://'||site||'/map-index.xml' as sitemap, 'read' as state from s union all select site, 'https://'||site||'/map-'||k||'.xml', case when not exists (select 1 from pages where {HOST} = s.site and page_id%2 = k) then 'missing' when k = 1 and length(site)%4 = 0 then 'broken' else 'read' end from s, range(0, 2) r(k)""",
+    "html_tags": """with t as (select page_id, unnest(l) as name, generate_subscripts(l, 1)-1 as pos from (select page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)', 1) as l from pages)), h as (select page_id, list_transform(regexp_extract_all(html, '<a href="([^"]+)"', 1), lambda x: replace(x, '&amp;', '&')) as hrefs from pages)
+  select t.page_id, name, count(*) as tags, case when name = 'a' then array_to_string(list_sort(any_value(hrefs)), ' ') else '' end as hrefs, min(pos) as first from t join h on h.page_id = t.page_id group by t.page_id, name""",
+    "distinct_by_day": f"with {src.SEARCH_LOG} select site_id, count(distinct page) as page, count(distinct query) as query, true as page_near, true as query_near from search_log group by site_id",
     "structured_data": """select 'supplier'||s_suppkey%10||'.example' as site_id, s_suppkey as page_id, 'FAQPage|Organization|Store|WebSite' as types, n_name as countries, 'KES' as currencies, '+254 '||s_suppkey as telephones, 'Store' as local_types, s_name as names, s_suppkey||' Road' as streets,
   case when s_suppkey%5 = 0 then 1 else 0 end as invalid, true as has_address, false as has_hours, s_suppkey%4 = 0 as has_geo, true as has_same_as from supplier join nation on s_nationkey = n_nationkey where s_suppkey%50 in (select p_partkey%50 from part)""",
     "faq_questions": """select 'supplier'||s_suppkey%10||'.example' as site_id, s_suppkey as page_id, 0 as place, 'What is '||p_name||'?' as question from supplier join (select p_partkey%50 as m, min(p_name) as p_name from part group by 1) on m = s_suppkey%50""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,7 +38,7 @@ def parse_serp_related(payloads: DataFrame) -> DataFrame:
 
 
 def _tags(name: str, body: str = "body"):
-    return F.regexp_extract_all(F.col(body), F.lit(rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>"), F.lit(1))
+    return F.regexp_extract_all(F.col(body), F.lit(rf"(?is)<(?:[a-z]+:)?{name}(?:\s[^>]*)?>(.*?)</(?:[a-z]+:)?{name}>"), F.lit(1))
 
 
 def _text(x):
@@ -63,15 +63,60 @@ def read_search_log(spark: SparkSession, path: str, kind: str = "parquet") -> Da
     return spark.read.schema(SEARCH_ROWS).format(kind).load(path)
 
 
+_XML = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}
+
+
+def _sitemap(body: str = "body") -> Column:
+    """A sitemap or index file as XML, whatever its namespaces, sections and references: ``urls``, ``sitemaps`` and ``broken``.
+
+    A file that is no whole XML, as one that was cut off, is ``broken``; its locations are then taken by their tags, so none that is there is lost.
+    """
+    entry = "array<struct<loc:string>>"
+    x = F.from_xml(F.trim(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"^\x{feff}", "")), f"url {entry}, sitemap {entry}, loc array<string>, broken string", _XML)
+    plain = lambda locs: F.filter(F.transform(F.coalesce(locs, F.array().cast(entry)), lambda e: F.trim(F.regexp_replace(e["loc"], r"\s+", " "))), lambda u: u.rlike("(?i)^https?://"))
+    tagged = F.filter(F.transform(_tags("loc", body), _text), lambda u: u.rlike("(?i)^https?://"))
+    none = F.array().cast("array<string>")
+    is_index = F.coalesce(F.col(body).rlike("(?i)<([a-z]+:)?sitemapindex"), F.lit(False))
+    bare = lambda v: F.transform(v["loc"], lambda u: F.struct(u.alias("loc")))  # noqa: E731  locations without an element of their own
+    read = lambda v: F.struct(F.when(v["broken"].isNull(), F.concat(plain(v["url"]), F.when(is_index, none).otherwise(plain(bare(v))))).otherwise(F.when(is_index, none).otherwise(tagged)).alias("urls"), F.when(v["broken"].isNull(), F.concat(plain(v["sitemap"]), F.when(is_index, plain(bare(v))).otherwise(none))).otherwise(F.when(is_index, tagged).otherwise(none)).alias("sitemaps"), v["broken"].isNotNull().alias("broken"))
+    return F.element_at(F.transform(F.array(x), read), 1)
+
+
+def _is_sitemap(body: str = "body") -> Column:
+    return F.coalesce(F.col(body).rlike("(?i)<([a-z]+:)?(urlset|sitemapindex)"), F.lit(False))
+
+
 def parse_sitemaps(files: DataFrame) -> DataFrame:
     """Sitemap or index files (site, body, and url and host if known): ``site, loc, is_index, valid, incomplete`` with one null loc for files without any.
 
-    An index names only sub-sitemaps of its own host; ``incomplete`` marks one that names others too.  Locations that are no http(s) URLs are dropped.
+    An index names only sub-sitemaps of its own host; ``incomplete`` marks one that names others too, and a file that is no whole XML.  Locations that are no http(s) URLs are dropped.
     """
-    rows = files.select("site", F.col("body").rlike("(?i)<sitemapindex").alias("is_index"), F.col("body").rlike("(?i)<(urlset|sitemapindex)").alias("valid"), F.filter(F.transform(_tags("loc"), _text), lambda u: u.rlike("(?i)^https?://")).alias("locs"), (F.col("host") if "host" in files.columns else F.lit(None).cast("string")).alias("host"))
-    own = lambda u: F.col("host").isNull() | ~F.col("is_index") | (host_of(u) == F.regexp_replace(F.lower("host"), r"^www[.]", ""))
-    rows = rows.withColumns({"kept": F.filter("locs", own)}).withColumn("incomplete", F.size("kept") < F.size("locs"))
-    return rows.select("site", F.explode_outer("kept").alias("loc"), "is_index", F.col("valid"), "incomplete")
+    host = F.col("host") if "host" in files.columns else F.lit(None).cast("string")
+    rows = files.select("site", host.alias("host"), F.coalesce(F.col("body").rlike("(?i)<([a-z]+:)?sitemapindex"), F.lit(False)).alias("is_index"), _is_sitemap().alias("valid"), _sitemap().alias("x"))
+    own = lambda u: F.col("host").isNull() | (host_of(u) == F.regexp_replace(F.lower("host"), r"^www[.]", ""))
+    rows = rows.withColumn("kept", F.when(F.col("is_index"), F.filter("x.sitemaps", own)).otherwise(F.col("x.urls")))
+    incomplete = F.col("valid") & (F.col("x.broken") | (F.col("is_index") & (F.size("kept") < F.size("x.sitemaps"))))
+    return rows.select("site", F.explode_outer("kept").alias("loc"), "is_index", "valid", incomplete.alias("incomplete"))
+
+
+def sitemap_urls(files: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a site's sitemaps list, indexes followed to the files that they name: ``site, loc, sitemap`` and ``site, sitemap, state``.
+
+    ``files``: site, url, body, as fetched; ``roots``: site, url, where a site's sitemaps begin.  A file is read once however often it is named; states are
+    read, broken, not a sitemap and missing.  A round for each level of indexes.
+    """
+    from plumbline.operators.links import _cut
+
+    parsed = _cut(files.select("site", F.col("url").alias("sitemap"), F.when(~_is_sitemap(), "not a sitemap").when(_sitemap()["broken"], "broken").otherwise("read").alias("state"), _sitemap().alias("x")).dropDuplicates(["site", "sitemap"]))
+    names = parsed.select("site", "sitemap", F.explode("x.sitemaps").alias("child")).where(host_of("child") == F.regexp_replace(F.lower("site"), r"^www[.]", ""))
+    seen = new = _cut(roots.select("site", F.col("url").alias("sitemap")).distinct())
+    while not new.isEmpty():
+        found = names.join(new.hint("merge"), ["site", "sitemap"]).select("site", F.col("child").alias("sitemap")).distinct()
+        new = _cut(found.join(seen.hint("merge"), ["site", "sitemap"], "left_anti"))
+        seen = seen.unionByName(new)
+    states = seen.join(parsed.select("site", "sitemap", "state").hint("merge"), ["site", "sitemap"], "left").withColumn("state", F.coalesce("state", F.lit("missing")))
+    listed = parsed.join(seen.hint("merge"), ["site", "sitemap"], "left_semi").select("site", "sitemap", F.explode("x.urls").alias("loc"))
+    return listed.groupBy("site", "loc").agg(F.min("sitemap").alias("sitemap")), states
 
 
 def sitemap_facts(files: DataFrame) -> DataFrame:
@@ -80,8 +125,8 @@ def sitemap_facts(files: DataFrame) -> DataFrame:
     ``files``: site, host, status, body, truncated (whether its fetch was cut).  A sitemap is complete if every file was read whole and parsed.
     """
     answered = F.col("status") == 200
-    valid = answered & F.col("body").rlike("(?i)<(urlset|sitemapindex)")
-    locs = F.when(valid & ~F.col("body").rlike("(?i)<sitemapindex"), F.filter(F.transform(_tags("loc"), _text), lambda u: u.rlike("(?i)^https?://"))).otherwise(F.array().cast("array<string>"))
+    valid = answered & _is_sitemap()
+    locs = F.when(valid, _sitemap()["urls"]).otherwise(F.array().cast("array<string>"))
     per = files.groupBy("site").agg(
         F.bool_and(F.col("status").isin(404, 410)).alias("missing_confirmed"), F.bool_or(answered & ~valid).alias("parse_error"), F.bool_and(valid & ~F.coalesce("truncated", F.lit(False))).alias("complete")
     )
@@ -92,13 +137,25 @@ def sitemap_facts(files: DataFrame) -> DataFrame:
 
 
 def parse_feeds(files: DataFrame) -> DataFrame:
-    """RSS and Atom files (site, body): ``site, title, url, date``; a title and an http(s) url are required."""
-    items = files.select("site", F.explode(F.concat(_tags("item"), _tags("entry"))).alias("body"))
+    """RSS and Atom files (site, body): ``site, title, url, date``; a title and an http(s) url are required.
+
+    Read as XML; of a file that is no whole XML the items that are whole are taken by their tags.
+    """
+    item = "array<struct<title:string,link:string,pubDate:string,date:string>>"
+    entry = "array<struct<title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string>>"
+    x = F.from_xml(F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), r"^\x{feff}", "")), f"channel struct<item:{item}>, item {item}, entry {entry}, broken string", _XML)
+    rows = files.select("site", "body", x.alias("x"))
+    some = lambda a, kind: F.coalesce(a, F.array().cast(kind))
+    rss = F.transform(F.concat(some(F.col("x.channel.item"), item), some(F.col("x.item"), item)), lambda i: F.struct(_text(i["title"]).alias("title"), F.trim(i["link"]).alias("url"), F.trim(F.coalesce(i["pubDate"], i["date"])).alias("date")))
+    best = lambda links: F.coalesce(F.try_element_at(F.filter(links, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(1)), F.try_element_at(links, F.lit(1)))["_href"]
+    atom = F.transform(some(F.col("x.entry"), entry), lambda e: F.struct(_text(e["title"]).alias("title"), best(e["link"]).alias("url"), F.trim(F.coalesce(e["published"], e["updated"])).alias("date")))
+    whole = rows.where("x.broken is null").select("site", F.explode(F.concat(rss, atom)).alias("i")).select("site", "i.*")
+    cut = rows.where("x.broken is not null").select("site", F.explode(F.concat(_tags("item"), _tags("entry"))).alias("body"))
     first = lambda name: F.coalesce(_text(F.try_element_at(_tags(name), F.lit(1))), F.lit(""))
     href = F.regexp_extract("body", r'(?is)<link[^>]*href="([^"]+)"', 1)
-    url = F.when(first("link") != "", first("link")).otherwise(href)
     date = F.coalesce(*[F.nullif(first(n), F.lit("")) for n in ("pubDate", "published", "updated")])
-    return items.select("site", first("title").alias("title"), url.alias("url"), date.alias("date")).where("title <> '' and url rlike '^https?://'")
+    tagged = cut.select("site", first("title").alias("title"), F.when(first("link") != "", first("link")).otherwise(href).alias("url"), date.alias("date"))
+    return whole.unionByName(tagged).where("title <> '' and url rlike '^https?://'")
 
 
 def parse_cms_posts(payloads: DataFrame) -> DataFrame:

@@ -28,6 +28,26 @@ def test_files(spark):
     assert [tuple(r) for r in m.parse_cms_posts(posts).collect()] == [("s", "P & q", "https://a/p", "2024-01-02")]
 
 
+def test_xml_files_of_every_kind(spark):
+    spaced = '<?xml version="1.0"?>\n<s:urlset xmlns:s="x"><s:url><s:loc> https://a/1?x=1&amp;y </s:loc></s:url><s:url><s:loc><![CDATA[https://a/2]]></s:loc></s:url></s:urlset>'
+    cut = "\ufeff<urlset><url><loc>https://a/3</loc></url><url><loc>https://a/4"
+    index = "<sitemapindex><sitemap><loc>https://www.a.e/one.xml</loc></sitemap><sitemap><loc>https://b.e/other.xml</loc></sitemap></sitemapindex>"
+    files = spark.createDataFrame([("s", "a.e", spaced), ("c", "a.e", cut), ("i", "a.e", index), ("n", "a.e", None), ("e", "a.e", "")], "site string, host string, body string")
+    got = {tuple(r) for r in m.parse_sitemaps(files).collect()}
+    assert got == {("s", "https://a/1?x=1&y", False, True, False), ("s", "https://a/2", False, True, False), ("c", "https://a/3", False, True, True), ("i", "https://www.a.e/one.xml", True, True, True), ("n", None, False, False, False), ("e", None, False, False, False)}
+    tree = [("a.e", "https://a.e/i.xml", index.replace("b.e/other", "a.e/i2")), ("a.e", "https://a.e/i2.xml", index.replace("b.e/other", "a.e/gone").replace("www.a.e/one", "a.e/i")), ("a.e", "https://www.a.e/one.xml", spaced), ("a.e", "https://a.e/lost.xml", cut)]
+    tree[1] = (tree[1][0], "https://a.e/i2.xml", tree[1][2])
+    files = spark.createDataFrame(tree, "site string, url string, body string")
+    urls, states = m.sitemap_urls(files, spark.createDataFrame([("a.e", "https://a.e/i.xml"), ("z.e", "https://z.e/none.xml")], "site string, url string"))
+    assert {tuple(r) for r in urls.collect()} == {("a.e", "https://a/1?x=1&y", "https://www.a.e/one.xml"), ("a.e", "https://a/2", "https://www.a.e/one.xml")}
+    assert {tuple(r) for r in states.collect()} == {("a.e", "https://a.e/i.xml", "read"), ("a.e", "https://a.e/i2.xml", "read"), ("a.e", "https://www.a.e/one.xml", "read"), ("a.e", "https://a.e/gone.xml", "missing"), ("z.e", "https://z.e/none.xml", "missing")}
+    feeds = [("r", '<rss xmlns:dc="d"><channel><title>F</title><item><title>A <b>x</b> &amp;amp; y</title><link> https://a/1 </link><pubDate>Mon</pubDate></item><item><title></title><link>https://a/2</link></item></channel></rss>'),
+             ("f", '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">T</title><link rel="self" href="https://a/self"/><link rel="alternate" href="https://a/3"/><updated>2024</updated></entry></feed>'),
+             ("x", "<rss><channel><item><title>Whole</title><link>https://a/5</link></item><item><title>Cut")]
+    got = {tuple(r) for r in m.parse_feeds(spark.createDataFrame(feeds, "site string, body string")).collect()}
+    assert got == {("r", "A x & y", "https://a/1", "Mon"), ("f", "T", "https://a/3", "2024"), ("x", "Whole", "https://a/5", None)}
+
+
 def test_vitals_and_csv(spark, tmp_path):
     body = {"loadingExperience": {"metrics": {"LARGEST_CONTENTFUL_PAINT_MS": {"percentile": 2600}, "CUMULATIVE_LAYOUT_SHIFT_SCORE": {"percentile": 12}}}, "lighthouseResult": {"categories": {"performance": {"score": 0.615}}, "audits": {"largest-contentful-paint": {"title": "LCP", "numericValue": 2100.5}, "a": {"title": "A", "details": {"overallSavingsMs": 900}}, "b": {"title": "B", "details": {"overallSavingsMs": 299}}, "c": {"title": "C", "details": {"overallSavingsMs": 1200}}}}}
     r = m.parse_vitals(spark.createDataFrame([("u", "mobile", json.dumps(body))], "url string, strategy string, body string")).first()
