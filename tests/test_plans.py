@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from plumbline.plans import facts, findings, landed, pages, planning, queue, ranks, search, streams, text
+from plumbline.plans import facts, findings, landed, pages, planning, queue, ranks, search, streams, tables, text
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (search, ranks, pages, text, queue, landed, findings, planning, facts, streams)
+PLANS = (search, ranks, pages, text, queue, landed, findings, planning, facts, streams, tables)
 NAMES = [(m, k) for m in PLANS for k in m.QUERIES if k in m.ORACLE_SQL]
 
 
