@@ -136,17 +136,59 @@ def prospects(results: DataFrame, exclude: DataFrame) -> DataFrame:
     return rows.groupBy("host").agg(F.count("*").alias("appearances"), F.min("rank").alias("best_rank"), rounded(F.avg("rank"), 2).alias("avg_rank"))
 
 
-def check_opportunities(results: DataFrame, sites: DataFrame, demand: DataFrame) -> DataFrame:
-    """Checks in which a site is below rank 3 or absent, with demand: ``check_id, site, rank, kind, priority``.
+def targeting_pages(queries: DataFrame, pages: DataFrame) -> DataFrame:
+    """The first page of a site whose title and H1 hold every word of a query, also within longer words: ``site_id, query, url``.
 
-    ``sites`` has check_id and site, ``demand`` has check_id and impressions.
+    ``queries``: site_id, query; ``pages``: site_id, page_ord, url, title, h1.  A query is looked for by the word of its that the fewest of the site's title words hold, by
+    an index of the parts of these words; the pages found are then tested for all of them.
     """
-    ranks = site_rank(results, sites)
-    rows = sites.select("check_id", "site").join(ranks.select("check_id", "site", "rank"), ["check_id", "site"], "left").where("rank is null or rank > 3")
-    rows = rows.join(demand, "check_id", "left").withColumn("impressions", F.coalesce("impressions", F.lit(0)).cast("long"))
-    kind = F.when(F.col("rank").isNull(), "not in results").otherwise("room to climb")
-    priority = F.when(F.col("impressions") >= 100, "High").when((F.col("impressions") > 0) | F.col("rank").isNotNull(), "Medium").otherwise("Low")
-    return rows.select("check_id", "site", "rank", "impressions", kind.alias("kind"), priority.alias("priority"))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("h1", F.lit(""))))
+    held = pages.select("site_id", "page_ord", "url", hay.alias("hay"))
+    tokens = held.select("site_id", "page_ord", F.explode(words(F.col("hay"))).alias("token"))
+    spread = tokens.groupBy("site_id", "token").agg(F.count("*").alias("df"))
+    size = F.length("token")
+    parts = spread.select("site_id", "token", "df", F.explode(F.sequence(F.lit(1), size)).alias("at")).select("site_id", "token", "df", F.explode(F.expr("transform(sequence(1, length(token) - at + 1), n -> substring(token, at, n))")).alias("part")).distinct()
+    asked = queries.select("site_id", "query", words(F.col("query")).alias("need")).distinct().where(F.size("need") > 0)
+    each = asked.select("site_id", "query", F.explode("need").alias("part"))
+    common = parts.join(each.select("site_id", "part").distinct().hint("merge"), ["site_id", "part"])
+    often = common.groupBy("site_id", "part").agg(F.sum("df").alias("df"))
+    rare = each.join(often.hint("merge"), ["site_id", "part"], "left").groupBy("site_id", "query").agg(F.min_by("part", F.struct(F.coalesce("df", F.lit(0)), "part")).alias("part"))
+    near = rare.join(common.select("site_id", "part", "token").hint("merge"), ["site_id", "part"]).join(tokens.hint("merge"), ["site_id", "token"]).select("site_id", "query", "page_ord").distinct()
+    tested = near.join(held.hint("merge"), ["site_id", "page_ord"]).join(asked.hint("merge"), ["site_id", "query"]).where(F.forall("need", lambda w: F.contains("hay", w)))
+    return tested.groupBy("site_id", "query").agg(F.min_by("url", "page_ord").alias("url"))
+
+
+#: Days after which a check is no longer fresh, and impressions that show a query is wanted, or wanted much.
+STALE_DAYS, WANTED, MUCH = 14, 50, 100
+
+
+def check_opportunities(checks: DataFrame, results: DataFrame, pages: DataFrame, demand: DataFrame, tracked: DataFrame, now: datetime.datetime) -> DataFrame:
+    """Saved checks in which a site is below rank 3 or absent: ``check_id, site_id, query, rank, kind, priority, confidence, age_days, ahead, url``.
+
+    ``checks``: check_id, site_id (a host), query, observed_at; ``results``: check_id, host, rank; ``pages``: as of ``targeting_pages``; ``demand``: site_id, query (lower case),
+    impressions; ``tracked``: site_id, query.  A check without results says nothing.  ``ahead``: the first three hosts before the site's own; ``url``: for a site that is
+    absent, its page that targets the query.  Confidence is medium at best, and low from ``STALE_DAYS``.
+    """
+    mine = checks.select("check_id", F.col("site_id").alias("site"))
+    ranks = site_rank(results, mine).select("check_id", F.col("site").alias("site_id"), "rank")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "host")))  # one page of results
+    listed = results.where("rank is not null and host is not null").groupBy("check_id").agg(ordered.alias("listed"))
+    rows = checks.join(listed.hint("merge"), "check_id").join(ranks.hint("merge"), ["check_id", "site_id"], "left").where("rank is null or rank > 3")
+    wanted = demand.groupBy("site_id", F.lower("query").alias("_q")).agg(F.max("impressions").alias("impressions"))
+    known = tracked.select("site_id", F.lower("query").alias("_q")).distinct().withColumn("is_tracked", F.lit(True))
+    rows = rows.withColumn("_q", F.lower("query")).join(wanted.hint("merge"), ["site_id", "_q"], "left").join(known.hint("merge"), ["site_id", "_q"], "left")
+    seen = F.coalesce("impressions", F.lit(0))
+    absent = F.col("rank").isNull()
+    high = F.when(absent, (seen >= WANTED) | F.coalesce("is_tracked", F.lit(False))).otherwise(seen >= MUCH)
+    age = F.floor((F.unix_timestamp(F.lit(now)) - F.unix_timestamp("observed_at")) / 86400)
+    before = F.filter("listed", lambda r: absent | (r["rank"] < F.col("rank")))
+    target = targeting_pages(rows.where(absent).select("site_id", "query"), pages)
+    rows = rows.join(target.hint("merge"), ["site_id", "query"], "left")
+    return rows.select(
+        "check_id", "site_id", "query", "rank", F.when(absent, "not in results").otherwise("room to climb").alias("kind"), F.when(high, "High").otherwise("Medium").alias("priority"),
+        F.when(age > STALE_DAYS, "Low").otherwise("Medium").alias("confidence"), age.alias("age_days"), F.array_join(F.transform(F.slice(before, 1, 3), lambda r: r["host"]), ", ").alias("ahead"), F.when(absent, F.col("url")).alias("url"),
+    )
 
 
 def tracked_only(results: DataFrame, tracked: DataFrame) -> DataFrame:

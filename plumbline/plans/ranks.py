@@ -91,10 +91,18 @@ def serp_movement(spark, sf):
 
 
 def serp_opportunities(spark, sf):
-    results = src.serp_results(spark, sf)
-    sites = src.table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("check_id"), F.lit(OWN).alias("site"))
-    demand = src.table(spark, sf, "events").groupBy((F.col("user_id") * 50).cast("long").alias("check_id")).agg(F.count("*").alias("impressions"))
-    return ranks.check_opportunities(results, sites, demand)
+    """Orders as saved checks of two sites, suppliers' hosts as results, parts as the sites' pages, events as demand."""
+    k = F.col("o_orderkey")
+    colour = F.element_at(F.array(F.lit("Red"), F.lit("blu"), F.lit("small"), F.lit("een b"), F.lit("zzz")), (k % 5 + 1).cast("int"))
+    checks = src.table(spark, sf, "orders").select(
+        k.cast("long").alias("check_id"), F.when(k % 2 == 0, OWN).otherwise("host8.example.com").alias("site_id"), F.concat(colour, F.lit(" "), F.element_at(F.array(F.lit("ring"), F.lit("bolt"), F.lit("")), (k % 3 + 1).cast("int"))).alias("query"), F.col("o_orderdate").cast("timestamp").alias("observed_at"),
+    )
+    part = src.table(spark, sf, "part")
+    pages = part.select(F.when(F.col("p_partkey") % 2 == 0, OWN).otherwise("host8.example.com").alias("site_id"), F.col("p_partkey").cast("long").alias("page_ord"), F.concat(F.lit("/p/"), "p_partkey").alias("url"), F.col("p_name").alias("title"), F.col("p_type").alias("h1"))
+    events = src.table(spark, sf, "events").select(F.when(F.col("user_id") % 2 == 0, OWN).otherwise("host8.example.com").alias("site_id"), F.element_at(F.array(F.lit("RED ring"), F.lit("small bolt"), F.lit("zzz ")), (F.col("user_id") % 3 + 1).cast("int")).alias("query"), F.col("user_id"))
+    demand = events.where("user_id % 7 = 0").groupBy("site_id", "query").agg(F.count("*").alias("impressions"))
+    tracked = events.where("user_id = 11").select("site_id", "query")
+    return ranks.check_opportunities(checks, src.serp_results(spark, sf), pages, demand, tracked, datetime.datetime(2001, 7, 31))
 
 
 def tracked_results(spark, sf):
@@ -203,10 +211,13 @@ ORACLE_SQL = {
     "serp_movement": _W(src.SERP_RESULTS, src.RANK_SNAPSHOTS, _TWO) + """select coalesce(a.keyword_id, b.keyword_id) as keyword_id, coalesce(a.host, b.host) as host, a.rank as rank_now, b.rank as rank_before, b.rank - a.rank as change,
   b.rank is null and coalesce(a.keyword_id, b.keyword_id) in (select keyword_id from lists where place = 2) as is_new, a.rank is null as dropped
   from (select * from lists where place = 1) a full join (select * from lists where place = 2) b on a.keyword_id = b.keyword_id and a.host = b.host""",
-    "serp_opportunities": _W(src.SERP_RESULTS) + f"""select check_id, '{OWN}' as site, rank, coalesce(impressions, 0) as impressions, case when rank is null then 'not in results' else 'room to climb' end as kind,
-  case when coalesce(impressions, 0) >= 100 then 'High' when coalesce(impressions, 0) > 0 or rank is not null then 'Medium' else 'Low' end as priority
-  from (select o_orderkey as check_id from orders) left join (select check_id, min(rank) as rank from serp_results where host = '{OWN}' group by 1) using (check_id)
-  left join (select user_id * 50 as check_id, count(*) as impressions from events group by 1) using (check_id) where rank is null or rank > 3""",
+    "serp_opportunities": _W(src.SERP_RESULTS) + f"""select check_id, site_id, query, rank, case when rank is null then 'not in results' else 'room to climb' end as kind, case when (rank is null and (impressions >= 50 or is_tracked)) or (rank is not null and impressions >= 100) then 'High' else 'Medium' end as priority,
+  case when age > 14 then 'Low' else 'Medium' end as confidence, age as age_days, array_to_string(list_transform(list_filter(listed, lambda x: rank is null or x.r < rank)[1:3], lambda x: x.h), ', ') as ahead,
+  case when rank is null then (select arg_min('/p/'||p_partkey, p_partkey) from part where p_partkey%2 = o%2 and list_bool_and(list_transform(list_filter(string_split(lower(query), ' '), lambda w: w <> ''), lambda w: contains(lower(p_name||' '||p_type), w)))) end as url
+  from (select o_orderkey as check_id, o_orderkey as o, case when o_orderkey%2 = 0 then '{OWN}' else 'host8.example.com' end as site_id, ['Red', 'blu', 'small', 'een b', 'zzz'][o_orderkey%5+1]||' '||['ring', 'bolt', ''][o_orderkey%3+1] as query, cast(floor(date_diff('second', cast(o_orderdate as timestamp), timestamp '2001-07-31') / 86400) as bigint) as age from orders) c
+  join (select check_id, list({{'r': rank, 'h': host}} order by rank) as listed from serp_results group by 1) l using (check_id) left join (select check_id, host as site_id, min(rank) as rank from serp_results group by 1, 2) m using (check_id, site_id)
+  left join (select site_id, lower(query) as lq, count(*) filter (where u%7 = 0) as impressions, bool_or(u = 11) as is_tracked from (select user_id as u, case when user_id%2 = 0 then '{OWN}' else 'host8.example.com' end as site_id, ['RED ring', 'small bolt', 'zzz '][user_id%3+1] as query from events) group by 1, 2) d on d.site_id = c.site_id and d.lq = lower(c.query)
+  where rank is null or rank > 3""",
     "tracked_results": _W(src.SERP_RESULTS) + """select check_id, host, rank, 'q'||(check_id%40) as query from serp_results where (host, 'q'||(check_id%40)) in
   (select ('host'||s_suppkey||'.example.com', 'q'||(s_suppkey%40)) from supplier where s_nationkey < 12)""",
     "inbound_links": _W(src.LINK_EDGES, _IN) + "select * from inb",
