@@ -377,6 +377,44 @@ def weakest_pages(scored: DataFrame, most: int = 5) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most).select("site_id", "place", "page_id", "score")
 
 
+def page_sample(scored: DataFrame, most: int = 20) -> DataFrame:
+    """A few pages that stand for a site: ``site_id, place, page_id, why``.  ``scored``: site_id, page_id, is_home, score, word_count.
+
+    The home page, then the weakest pages on half of the places left, then the longest; a site with no more pages than ``most`` gives all of them, by id.  Three ranks within a
+    site, of which Spark keeps the first ``most`` rows on each side of the shuffle.
+    """
+    site = Window.partitionBy("site_id")
+    sizes = scored.groupBy("site_id").agg(F.count("*").alias("n_pages"), F.max(F.col("is_home").cast("int")).alias("n_home"))
+    small = scored.join(sizes.where(F.col("n_pages") <= most).select("site_id").hint("merge"), "site_id", "left_semi")
+    every = small.select("site_id", F.row_number().over(site.orderBy("page_id")).cast("long").alias("place"), "page_id", F.lit("all").alias("why"))
+    large = scored.join(sizes.where(F.col("n_pages") > most).hint("merge"), "site_id")
+    first = F.row_number().over(site.orderBy(F.desc("is_home"), "page_id"))
+    home = large.where("is_home").withColumn("r", first).where("r = 1").select("site_id", "page_id", F.lit(0).alias("step"), "r", F.lit("home").alias("why"))
+    rest = large.join(home.select("site_id", "page_id").hint("merge"), ["site_id", "page_id"], "left_anti")
+    weakest = rest.withColumn("r", F.row_number().over(site.orderBy("score", "page_id"))).where(F.col("r") <= most)
+    weakest = weakest.where(F.col("r") <= F.ceil((most - F.col("n_home")) / 2)).select("site_id", "page_id", F.lit(1).alias("step"), "r", F.lit("weak").alias("why"))
+    left = rest.join(weakest.select("site_id", "page_id").hint("merge"), ["site_id", "page_id"], "left_anti")
+    longest = left.withColumn("r", F.row_number().over(site.orderBy(F.desc_nulls_last("word_count"), "page_id"))).where(F.col("r") <= most).select("site_id", "page_id", F.lit(2).alias("step"), "r", F.lit("long").alias("why"))
+    chosen = home.unionByName(weakest).unionByName(longest).repartitionByRange("site_id", "step", "r")
+    placed = chosen.withColumn("place", F.row_number().over(site.orderBy("step", "r")).cast("long")).where(F.col("place") <= most)
+    return every.unionByName(placed.select("site_id", "place", "page_id", "why"))
+
+
+#: Redirects that say the old URL will come back, and the share of pages up to which a fault is a warning.
+TEMPORARY, WARNING_SHARE = (302, 303, 307), 0.2
+
+
+def temporary_redirects(pages: DataFrame) -> DataFrame:
+    """Pages of each site that were reached through a temporary redirect: ``site_id, pages, temporary, status``.
+
+    ``pages``: site_id, redirects (an array of structs with a status).  Unknown where no page has recorded its redirects.
+    """
+    hit = F.exists("redirects", lambda r: r["status"].isin(*TEMPORARY))
+    rows = pages.groupBy("site_id").agg(F.count("*").alias("pages"), F.count_if(F.coalesce(hit, F.lit(False))).alias("temporary"), F.count("redirects").alias("known"))
+    status = F.when(F.col("known") == 0, "unknown").when(F.col("temporary") == 0, "pass").when(F.col("temporary") / F.col("pages") <= WARNING_SHARE, "warn").otherwise("fail")
+    return rows.select("site_id", "pages", "temporary", status.alias("status"))
+
+
 # Page types, the first whose pattern fits the path or (but for articles) the title's first part; flags that do not apply to a type.
 PAGE_TYPES = {
     "contact": r"(?i)(^|[/_-])(contact|get-in-touch|support)([/_.-]|$)|contact us",

@@ -124,7 +124,22 @@ def market_language(spark, sf):
     return op.market_language(_r(spark, sf), ["en", "fr"])
 
 
+def page_sample(spark, sf):
+    """Three pages of each site."""
+    r = _r(spark, sf)
+    scored = op.both_scores(r).select("site_id", "page_id", F.col("geo_score").alias("score"))
+    return op.page_sample(r.select("site_id", "page_id", (F.col("page_id") % 3 == 0).alias("is_home"), "word_count").join(scored.hint("merge"), ["site_id", "page_id"]), 3)
+
+
+def temporary_redirects(spark, sf):
+    """Pages that were reached by redirects of several kinds."""
+    k = F.col("page_id")
+    hops = F.transform(F.when(k % 5 == 0, F.array(F.lit(301), F.lit(302))).when(k % 5 == 1, F.array(F.lit(308))).when(k % 11 == 3, F.array(F.lit(307))).when(F.length("site_id") % 3 > 0, F.array().cast("array<int>")), lambda s: F.struct(s.alias("status")))
+    return op.temporary_redirects(src.pages(spark, sf).select("site_id", hops.alias("redirects")))
+
+
 QUERIES = {f.__name__: f for f in (
+    page_sample, temporary_redirects,
     extract_head, extract_headings, extract_body, extract_links, extract_images, extract_quality, extract_readable, stack_markers, url_keys, url_hygiene, page_issues, page_scores, site_scores, duplicate_titles, duplicate_bodies,
     recurring_issues, https_findings, aeo_flags, geo_flags, site_flags, flag_scores, weakest_pages, page_types, page_fixes, market_language,
 )}
@@ -203,6 +218,13 @@ ORACLE_SQL = {
     "site_flags": _w(REC, AEO, _LONG(op.AEO_WEIGHTS)) + "select site_id, flag, bool_or(hit) as any_page, count(*) filter (where hit) as pages, coalesce(array_to_string(list_sort(list(page_id) filter (where hit))[1:5], ','), '') as first_pages from unpivoted group by site_id, flag",
     "flag_scores": _w(REC, AEO, _GEO) + f"select aeo.site_id, aeo.page_id, {flag_sum(op.AEO_WEIGHTS)} as aeo_score, {flag_sum(op.GEO_WEIGHTS)} as geo_score from aeo join geo on aeo.page_id = geo.page_id",
     "weakest_pages": _w(REC, _GEO) + f"select site_id, row_number() over (partition by site_id order by score, page_id) as place, page_id, score from (select site_id, page_id, {flag_sum(op.GEO_WEIGHTS)} as score from geo) qualify place <= 5",
+    "page_sample": _w(REC, _GEO) + f"""select site_id, row_number() over (partition by site_id order by step, r) as place, page_id, why from (
+  select site_id, page_id, case when n <= 3 then 'all' when first then 'home' when weak <= ceil((3-has)/2) then 'weak' else 'long' end as why, case when n <= 3 then 0 when first then 0 when weak <= ceil((3-has)/2) then 1 else 2 end as step, case when n <= 3 then page_id when first then 0 when weak <= ceil((3-has)/2) then weak else long end as r from (
+    select *, row_number() over (partition by site_id, first, not first and weak <= ceil((3-has)/2) order by word_count desc, page_id) as long from (
+      select *, row_number() over (partition by site_id, first order by score, page_id) as weak from (select rec.site_id, rec.page_id, word_count, {flag_sum(op.GEO_WEIGHTS)} as score, count(*) over (partition by rec.site_id) as n, max((rec.page_id%3 = 0)::int) over (partition by rec.site_id) as has,
+        rec.page_id%3 = 0 and row_number() over (partition by rec.site_id, rec.page_id%3 = 0 order by rec.page_id) = 1 as first from rec join geo on geo.page_id = rec.page_id)))) qualify place <= 3""",
+    "temporary_redirects": f"""select site_id, count(*) as pages, count(*) filter (where t) as temporary, case when count(*) filter (where known) = 0 then 'unknown' when count(*) filter (where t) = 0 then 'pass' when count(*) filter (where t)*5 <= count(*) then 'warn' else 'fail' end as status
+  from (select *, page_id%5 = 0 or (page_id%5 <> 1 and page_id%11 = 3) as t, page_id%5 < 2 or page_id%11 = 3 or length(site_id)%3 > 0 as known from (select page_id, {HOST} as site_id from pages)) group by site_id""",
     "page_types": _w(REC, _TYPE) + "select site_id, page_id, page_type from rec join types using (page_id)",
     "page_fixes": _w(REC, AEO, _LONG(op.AEO_WEIGHTS), _TYPE) + f"""select site_id, page_id, place, flag, cast(points as bigint) as points, cast(floor(met*100.0/whole+0.5) as bigint) as score, cast(floor((met+sum(points) over (partition by page_id))*100.0/whole+0.5) as bigint) as potential from (select *, row_number() over (partition by page_id order by points desc, flag) as place from
   (select u.*, sum(points) over (partition by page_id) as whole, sum(case when hit then points else 0 end) over (partition by page_id) as met from unpivoted u join types using (page_id) where not ({_SKIPPED})) where not hit) where place <= 3""",

@@ -108,6 +108,17 @@ def merge_content_index(spark, sf):
     return op.merge_index(first.unionByName(second), 2)
 
 
+def queue_demoted(spark, sf):
+    """Orders as opportunities of crawls, markets and reports that may be out of date, scored after that."""
+    k = F.col("o_orderkey")
+    rows = src.table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 5).cast("long").alias("site_id"), k.cast("long").alias("id"), F.col("o_orderpriority").alias("title"), F.when(k % 3 == 0, "High").otherwise("Critical").alias("priority"), F.when(k % 2 == 0, "High").otherwise("Medium").alias("confidence"),
+        (k % 13).cast("long").alias("breadth"), F.when(k % 4 > 0, F.concat(F.lit("c"), (k % 7).cast("string"))).alias("crawl_id"), F.when(k % 5 > 0, F.when(k % 6 == 0, "KE").otherwise("DE")).alias("market"), (k % 20).cast("long").alias("age_days"),
+    )
+    current = src.table(spark, sf, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").cast("long").alias("site_id"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("crawl_id"), F.lit("KE").alias("market"))
+    return op.scored(op.demoted(rows, current)).select("site_id", "id", "confidence", "note", "score")
+
+
 def _hits(df):
     return df.select(F.col("user_id").cast("long").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
 
@@ -147,7 +158,7 @@ def stream_rank_state(spark, sf):
     return jobs.latest_states(jobs.run_once(jobs.rank_states(snaps), "update"), "keyword_id")
 
 
-QUERIES = {f.__name__: f for f in (opportunity_queue, queue_summary, queue_filter, upsert_latest, insert_missing, merge_content_index, window_counts, daily_totals, stream_window_counts, stream_daily_totals, stream_dedupe, stream_rank_state)}
+QUERIES = {f.__name__: f for f in (queue_demoted, opportunity_queue, queue_summary, queue_filter, upsert_latest, insert_missing, merge_content_index, window_counts, daily_totals, stream_window_counts, stream_daily_totals, stream_dedupe, stream_rank_state)}
 
 _SLUG = lambda x: f"substr(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60)"
 _PAGE = "replace(page, 'https://', '')"
@@ -167,6 +178,9 @@ q as (select one.site_id, one.id, type, title, evidence, priority, score, array_
 """
 
 ORACLE_SQL = {
+    "queue_demoted": """with o as (select o_custkey%5 as site_id, o_orderkey as id, case when o_orderkey%3 = 0 then 75 else 100 end as points, o_orderkey%2 = 0 as sure, o_orderkey%13 as breadth, case when o_orderkey%4 > 0 then 'c'||o_orderkey%7 end as crawl, case when o_orderkey%5 > 0 then case when o_orderkey%6 = 0 then 'KE' else 'DE' end end as market, o_orderkey%20 as age from orders),
+  n as (select o.*, concat_ws(', ', case when site_id < 4 and crawl <> 'c'||site_id then 'older crawl' end, case when site_id < 4 and market <> 'KE' then 'other market' end, case when age > 14 then 'older than 14 days' end) as note from o)
+  select site_id, id, case when note <> '' then 'Low' when sure then 'High' else 'Medium' end as confidence, note, cast(floor(points*case when note <> '' then 0.7 when sure then 1.0 else 0.85 end+least(10, breadth)+0.5) as bigint) as score from n""",
     "opportunity_queue": _Q + "select * exclude (module) from q",
     "queue_summary": _Q + "select site_id, coalesce(type, 'all') as type, coalesce(state, 'all') as state, count(*) as n, max(score) as best from q group by grouping sets ((site_id), (site_id, type), (site_id, state), (site_id, type, state))",
     "queue_filter": _Q + "select site_id, id, score, state from q where priority in ('High', 'Critical') and state in ('new', 'in_actions') and contains(lower(title||' '||evidence||' '||module), 'pages')",
