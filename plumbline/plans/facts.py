@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import html
 from plumbline.functions.text import host_of
-from plumbline.operators import content, stack, structured, technical
+from plumbline.operators import content, playbook, stack, structured, technical
 from plumbline.operators import pages as pg
-from plumbline.plans.pages import HOST
+from plumbline.plans.pages import _ISSUES, HOST, REC
 from plumbline.sources import driver_tables as src
 from plumbline.sources import landed
 
@@ -141,7 +141,28 @@ def distinct_by_day(spark, sf):
     return exact.join(merged.hint("merge"), "site_id").select("site_id", "page", "query", near("page"), near("query"))
 
 
-QUERIES = {f.__name__: f for f in (stack_technologies, stack_detect, structured_data, faq_questions, robots_rules, robots_blocked, robots_blocks_site, sitemap_urls, sitemap_states, html_tags, distinct_by_day)}
+def _scorecard(spark, sf):
+    """Page faults of the sites, counts and findings by their name's length, marks by customers."""
+    r = pg.records(src.pages(spark, sf))
+    sites = r.select("site_id").distinct()
+    k = F.length("site_id")
+    n = lambda m, x: F.struct(F.lit(m).alias("measure"), x.cast("long").alias("n"))
+    counts = sites.select("site_id", F.explode(F.array(n("pages", k), n("search_rows", k % 2), n("keywords", k), n("questions", k % 6), n("refresh_pages", k % 5), n("competitors", k % 4), n("faq_pages", k % 4))).alias("c")).select("site_id", "c.*")
+    found = sites.select("site_id", F.explode(F.array_compact(F.array(F.when(k % 3 == 0, "tech_redirect_loops"), F.when(k % 4 == 1, "tech_noindex_pages"), F.when(k % 5 == 2, "tech_no_robots")))).alias("finding"))
+    marks = sites.select("site_id", F.explode(F.array(F.struct(F.lit("s_bing").alias("item"), F.lit("done").alias("mark")), F.struct(F.lit("l_gbp").alias("item"), F.lit("na").alias("mark")), F.struct(F.lit("o_title").alias("item"), F.when(k % 2 == 0, "na").alias("mark")))).alias("m")).select("site_id", "m.*")
+    shares = playbook.page_shares(r, pg.issues(r)).unionByName(sites.select("site_id", F.lit("citations").alias("measure"), (k % 3).cast("long").alias("bad"), F.lit(2).cast("long").alias("of")))
+    return playbook.items(sites, shares, counts, found, marks)
+
+
+def scorecard_items(spark, sf):
+    return _scorecard(spark, sf)
+
+
+def scorecard(spark, sf):
+    return playbook.rollup(_scorecard(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (stack_technologies, stack_detect, structured_data, faq_questions, robots_rules, robots_blocked, robots_blocks_site, sitemap_urls, sitemap_states, html_tags, distinct_by_day, scorecard_items, scorecard)}
 
 _STACK = f"""st as (select *, (page_id*7+length(site_id))%12 as k, page_id%7 as h, page_id%4 = 0 as cut from (select *, {HOST} as site_id from pages)),
   hit as (select distinct site_id, unnest(case k when 0 then [1, 2, 3] when 1 then [4] when 2 then [5, 6] when 3 then [7, 8] when 4 then [9] when 5 then [10, 11] when 6 then [12] when 7 then [13] else [] end) as r from st),
@@ -160,7 +181,40 @@ _ROBOTS = """ln as (select lang as site, doc_id as k, case doc_id//5%7 when 0 th
 _ALLOWED = lambda paths, agent, own: f"""select p.site, p.path, coalesce((select arg_max(r.allow, (length(r.pattern), r.allow)) from rules r where r.site = p.site and r.agent = case when exists (select 1 from rules o where o.site = p.site and o.agent = '{own}') then '{own}' else '*' end and r.pattern is not null
   and regexp_matches(p.path, '^'||replace(replace(replace(r.pattern, '?', '\\?'), '.', '\\.'), '*', '.*'))), true) as allowed, '{agent}' as agent from {paths} p"""
 
+_MANUAL = "setup s_bing s_ga4 s_plugin s_submit s_manual technical t_toxic t_dupver onpage o_stuffing local l_nearme l_geoimages content c_intent c_snippets c_audit c_lists c_readability offpage f_analyze f_gap f_pr f_mentions f_social f_haro f_ugc f_influencer f_monitor advanced a_voice a_ai a_eeat a_trends a_zeroclick a_programmatic a_youtube ai ai_crawlers ai_llms"
+_SHARED = "technical t_mobile no_viewport, technical t_canonical missing_canonical, technical t_schema no_schema, onpage o_title missing_title|long_title, onpage o_meta missing_description|long_description, onpage o_h1 missing_h1|many_h1, onpage o_headings heading_skip, onpage o_url long_url, onpage o_alt missing_alt, onpage o_anchors vague_anchors, content c_depth thin"
+_UNSEEN = "technical t_cwv, technical t_clean_urls, technical t_302, technical t_http_links, technical t_depth, onpage o_early, onpage o_links, onpage o_orphan, local l_nap, local l_pages, content c_cannibal, ai ai_structure"
+_TODO = "content c_comp_kw, content c_clusters, offpage f_links, offpage f_find, offpage f_guest, offpage f_directory, ai ai_visibility"
+_PASSES = "technical t_links, technical t_sitemap, local l_schema"
+_pairs = lambda text: ", ".join("('" + "', '".join(x.split()) + "')" for x in text.split(", "))
+
+
+def _manual() -> str:
+    rows, group = [], ""
+    for word in _MANUAL.split():
+        if "_" in word:
+            rows.append(f"('{group}', '{word}')")
+        else:
+            group = word
+    return ", ".join(rows)
+
+
+_CARD = f"""{REC}, {_ISSUES}, s as (select site_id, length(site_id) as k, count(*) as n, count(*) filter (where images = 0) as bare from rec group by site_id),
+  shared as (select s.site_id, grp, item, s.n, (select count(distinct page_id) from iss where iss.site_id = s.site_id and list_contains(string_split(rules, '|'), rule)) as bad from s, (values {_pairs(_SHARED)}) v(grp, item, rules)),
+  raw as (select site_id, grp, item, case when bad = 0 then 'pass' when bad*5 <= n then 'warn' else 'fail' end as status from shared union all select site_id, 'content', 'c_visuals', case when bare = 0 then 'pass' when bare*5 <= n then 'warn' else 'fail' end from s
+    union all select site_id, grp, item, 'unknown' from s, (values {_pairs(_UNSEEN)}) v(grp, item) union all select site_id, grp, item, 'todo' from s, (values {_pairs(_TODO)}) v(grp, item) union all select site_id, grp, item, 'pass' from s, (values {_pairs(_PASSES)}) v(grp, item)
+    union all select site_id, grp, item, case when item = 's_bing' then 'pass' else 'todo' end from s, (values {_manual()}) v(grp, item)
+    union all select site_id, 'setup', 's_gsc', case when k%2 = 1 then 'pass' else 'todo' end from s union all select site_id, 'advanced', 'a_shifts', case when k%2 = 1 then 'pass' else 'todo' end from s union all select site_id, 'setup', 's_index', case when k%4 = 1 then 'warn' else 'pass' end from s
+    union all select site_id, 'technical', 't_https', 'pass' from s union all select site_id, 'technical', 't_robots', case when k%5 = 2 then 'warn' else 'pass' end from s union all select site_id, 'technical', 't_crawl', case when k%3 = 0 then 'fail' else 'pass' end from s
+    union all select site_id, 'technical', 't_redirects', case when k%3 = 0 then 'fail' else 'pass' end from s union all select site_id, 'local', 'l_gbp', 'na' from s union all select site_id, 'local', 'l_reviews', 'todo' from s union all select site_id, 'local', 'l_citations', case k%3 when 0 then 'pass' when 1 then 'warn' else 'todo' end from s
+    union all select site_id, 'content', 'c_related', case when k >= 10 then 'pass' else 'warn' end from s union all select site_id, 'content', 'c_paa', case when k%6 >= 5 then 'pass' when k%6 > 0 then 'warn' else 'todo' end from s union all select site_id, 'content', 'c_refresh', case when k%5 = 0 then 'pass' when k%5 > 3 then 'fail' else 'warn' end from s
+    union all select site_id, 'content', 'c_faq', case when k%4 >= 3 then 'pass' when k%4 > 0 then 'warn' else 'fail' end from s union all select site_id, 'advanced', 'a_competitors', case when k%4 >= 3 then 'pass' when k%4 > 0 then 'warn' else 'todo' end from s),
+  card as (select site_id, grp, item, case when item = 'o_title' and length(site_id)%2 = 0 then 'na' else status end as status from raw)"""
+
 ORACLE_SQL = {
+    "scorecard_items": f"with {_CARD} select site_id, grp as \"group\", item, status from card",
+    "scorecard": f"""with {_CARD} select site_id, coalesce(grp, 'all') as \"group\", count(*) as items, count(*) filter (where status in ('pass', 'warn', 'fail', 'todo')) as measured, count(*) filter (where status = 'unknown') as unknown,
+  cast(floor(sum(case status when 'pass' then 1 when 'warn' then 0.5 else 0 end)/nullif(count(*) filter (where status in ('pass', 'warn', 'fail', 'todo')), 0)*100+0.5) as bigint) as score from card group by grouping sets ((site_id, grp), (site_id))""",
     "robots_rules": f"with {_ROBOTS} select site, cast(group_id as bigint) as group_id, agent, allow, pattern, count(*) as times from rules group by all",
     "robots_blocked": f"with {_ROBOTS} {_ALLOWED('paths', 'MyBot1/2.0', 'bot1')} union all {_ALLOWED('paths', 'other', '-')}",
     "robots_blocks_site": f"with {_ROBOTS}, tried as (select distinct site, unnest(['/', '/about', '/blog/post', '/products/item-1?x=1']) as path from paths) select site, not bool_or(allowed) as blocked from ({_ALLOWED('tried', 'x', 'bot0')}) group by site",
