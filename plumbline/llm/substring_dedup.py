@@ -162,7 +162,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     held = found.join(repeated.hint("merge"), "h").groupBy("node").agg(F.collect_set("h").alias("hs"))
     wide = written(_candidates(docs.join(held.hint("merge"), "node"), window, period, cover))
     again = written(wide.groupBy("h").agg(F.sum("w").alias("n")).where("n > 1").select("h"))
-    starts = wide.join(again.hint("merge"), "h").groupBy("node").agg(F.collect_list("pos").alias("ps"))
+    starts = wide.join(again.hint("merge"), "h").groupBy("node").agg(F.collect_set("pos").alias("ps"))  # at most as many as the text has words, however many copies it has
     return _cleaned(docs.join(starts.hint("merge"), "node", "left").select("doc_id", "text", "ps"), window, texts)
 
 
