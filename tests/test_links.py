@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from plumbline.operators import competitors, links
@@ -16,3 +18,24 @@ def test_labels_that_have_not_settled_are_an_error(spark):
     assert {r.root for r in competitors.connected(edges).collect()} == {1}
     with pytest.raises(RuntimeError):
         competitors.connected(edges, most=1)
+
+
+def test_link_candidates_by_blocks(spark, monkeypatch):
+    """Cells of blocks give what comparing all pairs gives, however small blocks, columns and strips are."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(s, p, sorted(rng.sample(words, rng.randint(0, 6)))) for s in ("a", "b") for p in range(23)]
+    weak = [(s, p) for s, p, _ in rows if p % 3]
+    got = {}
+    for block, columns, strip in ((1000, 1024, 512), (4, 3, 2)):
+        monkeypatch.setattr(links, "COLUMNS", columns)
+        monkeypatch.setattr(links, "STRIP", strip)
+        df = links.link_candidates(spark.createDataFrame(weak, "site_id string, page long"), spark.createDataFrame(rows, "site_id string, page long, words array<string>"), 3, block)
+        assert df.columns == ["site_id", "page", "place", "source", "percent"]
+        got[block] = sorted(map(tuple, df.collect()))
+    want = []
+    for s, p in weak:
+        mine = next(set(w) for a, b, w in rows if (a, b) == (s, p))
+        near = sorted((-int(len(mine & set(w)) / len(mine | set(w)) * 100 + 0.5), q) for a, q, w in rows if a == s and q != p and mine & set(w))
+        want += [(s, p, n + 1, q, -x) for n, (x, q) in enumerate(near[:3])]
+    assert got[1000] == got[4] == sorted(want)
