@@ -188,3 +188,18 @@ def test_no_impressions_and_caps(spark):
     log = make(spark, [("a", day, f"q{k}", "https://a.e/1", "d", "ke", k, 10, 3.0) for k in range(4)], "site_id string, date date, query string, page string, device string, country string, clicks long, impressions long, position double")
     got = sp.search_report(log, 7, datetime.date(2024, 1, 14), {"query": 2}).where("dimension = 'query'").collect()
     assert sorted(r.key for r in got) == ["q2", "q3"] and all(r.truncated for r in got)
+
+
+def test_candidates_count_each_page_in_its_own_row(spark):
+    """Ties, stop words, odd white space, nulls and non-overlapping occurrences; and no shuffle, which grew with every phrase of every page."""
+    from plumbline.operators import keywords as kw
+
+    rows = [("a", 1, "Red Ring of\u00a0Steel", "ring's", "", None, "", "Red ring, red RING: the ring-fence. aa aaaa", "product"), ("b", 2, None, "", "", "", "", "", ""), ("b", 3, "of the it", "x yz", "", "", "", "yz", "")]
+    df = kw.candidates(make(spark, rows, "site_id string, page_id long, title string, h1 string, h2h3 string, description string, alt string, body string, schema string"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.page_id, r.phrase): (r.score, r.in_title, r.in_h1, r.in_description, r.in_body) for r in df.collect()}
+    assert got[1, "red ring"] == (8, True, False, None, 2)
+    assert got[1, "ring"] == (8, True, True, None, 3)
+    assert got[1, "steel"] == (6, True, False, None, 0) and (1, "ring of steel") not in got
+    assert got[1, "aaaa"][4] == 1 and (1, "aa") not in got and (1, "ring red") not in got
+    assert {page for page, _ in got} == {1}
