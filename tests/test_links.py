@@ -39,3 +39,11 @@ def test_link_candidates_by_blocks(spark, monkeypatch):
         near = sorted((-int(len(mine & set(w)) / len(mine | set(w)) * 100 + 0.5), q) for a, q, w in rows if a == s and q != p and mine & set(w))
         want += [(s, p, n + 1, q, -x) for n, (x, q) in enumerate(near[:3])]
     assert got[1000] == got[4] == sorted(want)
+
+
+def test_a_long_way_settles_in_few_rounds(spark):
+    """Labels hook as a whole: a chain in random order needed a round for each few steps before."""
+    order = list(range(200))
+    random.Random(3).shuffle(order)
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {r.root for r in competitors.connected(edges, most=8).collect()} == {0}
