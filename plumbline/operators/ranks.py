@@ -102,9 +102,13 @@ def suffixes(host: str):
 
 
 def site_rank(results: DataFrame, sites: DataFrame) -> DataFrame:
-    """The best result of each site or its subdomains in each check: an equi-join on host suffixes."""
-    spread = results.withColumn("site", F.explode(suffixes("host")))
-    return spread.join(sites.select("site").distinct().hint("merge"), "site").groupBy("check_id", "site").agg(F.min("rank").alias("rank"), F.min_by("host", F.struct("rank", "host")).alias("host"))
+    """The best result of each site or its subdomains in each check: an equi-join on host suffixes.
+
+    Suffixes are those of distinct hosts, so no result is sent to the task of a suffix that all hosts share.
+    """
+    hosts = results.select("host").distinct().withColumn("site", F.explode(suffixes("host")))
+    known = hosts.join(sites.select("site").distinct().hint("merge"), "site")
+    return results.join(known.hint("merge"), "host").groupBy("check_id", "site").agg(F.min("rank").alias("rank"), F.min_by("host", F.struct("rank", "host")).alias("host"))
 
 
 def best_by_host(results: DataFrame, key: str = "check_id") -> DataFrame:
