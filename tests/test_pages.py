@@ -129,3 +129,23 @@ def test_top_k_is_for_each_site(spark):
     assert sorted((r.site_id, r.phrase, r.relevance) for r in got) == [("a", "phrase a0", 100), ("a", "phrase a1", 90), ("b", "phrase b0", 100), ("b", "phrase b1", 90)]
     r = op.records(spark.createDataFrame([("a", 1, "https://a.e/1", "<title>Same</title>"), ("b", 2, "https://b.e/1", "<title>Same</title>")], "site_id string, page_id long, url string, html string"))
     assert op.duplicates(r, "title").collect() == []
+
+
+def test_quality_equals_its_sql_where_pages_have_faults(spark, tmp_path):
+    """The SQL stated one fault at most, no text and no skipped level, which holds on small tables only."""
+    import duckdb
+
+    from plumbline.plans import pages as plan
+
+    links = '<a href="/a#x">This</a><a href="/a">this</a><a href="https://s.example/b">Read more…</a><a href="#t">here</a><a href="https://o.example/">here</a><a href="/c">fine</a>'
+    html = f'<html><body><h1>a</h1><h3>b</h3><h2>c</h2><h4>d</h4><img src="http://i/1"><img src="http://i/2">{links}</body></html>'
+    many = "<html><body>" + "".join(f'<a href="/{k}">more</a>' for k in range(12)) + "</body></html>"
+    rows = [(1, "https://s.example/p", html), (2, "http://s.example/q", html), (3, "https://s.example/r", many), (4, "https://s.example/t", "<html><body></body></html>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = plan.extract_quality(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(f"select {', '.join(df.columns)} from ({plan.ORACLE_SQL['extract_quality']}) order by page_id").fetchall()
+    got = sorted(map(tuple, df.collect()), key=lambda r: r[1])
+    assert got == want
+    assert got[0][2:] == (2, 1, 3, 2, "this,read more") and got[2][5] == 10
