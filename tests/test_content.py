@@ -236,3 +236,11 @@ def test_site_rank_spreads_hosts_and_not_results(spark):
     assert {(r.check_id, r.site): (r.rank, r.host) for r in df.collect()} == {(c, s): v for c in range(3) for s, v in (("shop.com", (c, "a.shop.com")), ("b.org", (c + 2, "b.org")))}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.rindex("Aggregate") and plan.count("Generate") == 1 and "Aggregate [host" in plan
+
+
+def test_citations_count_equal_links_before_reading_their_hosts(spark):
+    """Hosts and keys were read by pattern once for every link; equal links are one row now, and all are counted."""
+    rows = [("a", "a.e", "https://b.org/x?u=1", "B")] * 5 + [("a", "a.e", "https://b.org/x", None)] * 2 + [("c", "c.e", "https://www.b.org/x/", "C")]
+    df = cp.citations(make(spark, rows, "competitor string, host_of_page string, url string, anchor string"))
+    assert [(r.key, r.links, r.competitors, r.anchors) for r in df.collect()] == [("b.org/x", 8, 2, "B | C")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [competitor") >= 1
