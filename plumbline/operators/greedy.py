@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from plumbline.functions.text import jaccard
 from plumbline.operators.links import _cut
 
-#: Rows of a group, by order, that one window looks at.
+#: Rows of a group, by order, that one window looks at, and rows of a set that meet its speakers in one cell.
 STRETCH = 4096
 
 
@@ -24,22 +24,55 @@ def set_key(words: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(words)), " ")
 
 
-def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """``site_id, a, b``: every two word sets (``site_id, set``) of a site with a Jaccard of at least ``least``, both ways, each with itself too.
+#: Largest word sets that are joined on several words at once.
+SHORT = 12
+
 
-    Two such sets share one of their rarest ``n - ceil(least * n) + 1`` words, so only those are joined, and the candidates are verified.
+def _signatures(ordered: Column, least: float) -> Column:
+    """What a set (words from rare to common) is joined on: ``lo, hi, key``, for each size that an alike set may have.
+
+    Sets of sizes n and m share at least t = (n + m) * least / (1 + least) words, so their rarest n - t + k and m - t + k words share k: up to three
+    words are one key.  Where a set of more than ``SHORT`` words takes part, k is 1 and the sizes (0, 0).
     """
-    base = _cut(sets.where("set <> ''").distinct().withColumn("words", F.split("set", " ")))
+    n = F.size(ordered)
+    smallest = F.ceil(n * least - 1e-9).cast("int")
+    largest = F.floor(n / least + 1e-9).cast("int")
+
+    def of(m: Column) -> Column:
+        shared = F.ceil((n + m) * (least / (1 + least)) - 1e-9).cast("int")
+        k = F.least(shared, F.lit(3))
+        first = F.slice(ordered, F.lit(1), F.greatest(n - shared + k, F.lit(0)))
+        after = lambda i: F.slice(first, i + 2, F.size(first))
+        twos = F.flatten(F.transform(first, lambda x, i: F.transform(after(i), lambda y: F.concat_ws(" ", x, y))))
+        threes = F.flatten(F.transform(first, lambda x, i: F.flatten(F.transform(after(i), lambda y, j: F.transform(F.slice(first, i + j + 3, F.size(first)), lambda z: F.concat_ws(" ", x, y, z))))))
+        keys = F.when(k == 1, first).when(k == 2, twos).otherwise(threes)
+        return F.transform(keys, lambda key: F.struct(F.least(n, m).alias("lo"), F.greatest(n, m).alias("hi"), key.alias("key")))
+
+    sizes = F.when((n <= SHORT) & (smallest >= 1), F.sequence(F.greatest(smallest, F.lit(1)), F.least(largest, F.lit(SHORT)))).otherwise(F.array().cast("array<int>"))
+    long = F.transform(F.slice(ordered, F.lit(1), n - smallest + 1), lambda w: F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), w.alias("key")))
+    return F.concat(F.flatten(F.transform(sizes, of)), F.when(largest > SHORT, long).otherwise(F.slice(long, 1, 0)))
+
+
+def candidates(base: DataFrame, least: float) -> DataFrame:
+    """``site_id, a, b``: pairs of sets (site_id, set, words) that may have a Jaccard of ``least``; all that have it are among them."""
     words = base.select("site_id", "set", F.explode("words").alias("word"))
     often = words.groupBy("site_id", "word").agg(F.count("*").alias("df"))
     ranked = words.join(often.hint("merge"), ["site_id", "word"]).groupBy("site_id", "set").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ordered"))
-    n = F.size("ordered")
-    keep = n - F.ceil(n * least - 1e-9).cast("int") + 1
-    prefix = _cut(ranked.select("site_id", "set", n.alias("n"), F.explode(F.transform(F.slice("ordered", F.lit(1), keep), lambda x: x["word"])).alias("word")))
-    a, b = prefix.withColumnsRenamed({"set": "a", "n": "na"}), prefix.withColumnsRenamed({"set": "b", "n": "nb"})
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    pairs = a.join(b.hint("merge"), ["site_id", "word"]).where(near).select("site_id", "a", "b").distinct()
-    pairs = pairs.where(jaccard(F.split("a", " "), F.split("b", " ")) >= least)
+    ordered = ranked.select("site_id", "set", F.transform("ordered", lambda x: x["word"]).alias("ordered"))
+    signed = _cut(ordered.select("site_id", "set", F.size("ordered").alias("n"), F.explode(_signatures(F.col("ordered"), least)).alias("k")).select("site_id", "set", "n", "k.*"))
+    a, b = signed.withColumnsRenamed({"set": "a", "n": "na"}), signed.withColumnsRenamed({"set": "b", "n": "nb"})
+    sizes = (F.col("na") + F.col("nb") == F.col("lo") + F.col("hi")) | ((F.col("lo") == 0) & (F.greatest("na", "nb") > SHORT))
+    near = (F.col("a") < F.col("b")) & sizes & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    return a.join(b.hint("merge"), ["site_id", "lo", "hi", "key"]).where(near).select("site_id", "a", "b").distinct()
+
+
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """``site_id, a, b``: every two word sets (``site_id, set``) of a site with a Jaccard of at least ``least``, both ways, each with itself too.
+
+    Only sets that share some of their rarest words, as many as their sizes ask for, are joined, and the candidates are verified.
+    """
+    base = _cut(sets.where("set <> ''").distinct().withColumn("words", F.split("set", " ")))
+    pairs = candidates(base, least).where(jaccard(F.split("a", " "), F.split("b", " ")) >= least)
     own = base.select("site_id", F.col("set").alias("a"), F.col("set").alias("b"))
     return _cut(pairs.union(pairs.select("site_id", F.col("b").alias("a"), F.col("a").alias("b"))).union(own))
 
@@ -91,23 +124,31 @@ def leader_groups(rows: DataFrame, least: float = 0.5, most: int | None = None)
     """
     every = _cut(rows.select("site_id", F.col("ord").cast("long").alias("ord"), "set", F.col("size").cast("long").alias("size")))
     pairs = similar_sets(every.select("site_id", "set"), least)
-    now = _cut(every.withColumn("leader", F.col("ord")))
+    # a set goes by its first row; one that no other row is like is settled
+    sets = every.where("set <> ''").groupBy("site_id", "set").agg(F.min("ord").alias("sid"), F.count("*").alias("n"))
+    around = pairs.groupBy("site_id", F.col("a").alias("set")).agg(F.count("*").alias("around"))
+    live = _cut(sets.join(around.hint("merge"), ["site_id", "set"]).where("n > 1 or around > 1").select("site_id", "set", "sid", F.ceil(F.col("n") / STRETCH).cast("int").alias("cells")))
+    a, b = live.select("site_id", F.col("set").alias("a"), F.col("sid").alias("to"), "cells"), live.select("site_id", F.col("set").alias("b"), "sid")
+    near = _cut(pairs.join(a.hint("merge"), ["site_id", "a"]).join(b.hint("merge"), ["site_id", "b"]).select("site_id", "sid", "to", "cells"))
+    cell = F.pmod(F.xxhash64("ord"), F.col("cells")).cast("int")
+    now = _cut(every.join(live.hint("merge"), ["site_id", "set"]).select("site_id", "ord", "size", "sid", cell.alias("cell"), F.col("sid").alias("leader")))
     group = ["site_id", "leader"]
+    before = lambda *by: F.max("size").over(Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     for _ in count() if most is None else range(most):
+        # who exceeds all before in a stretch, and of these who exceeds all before in the group
         held = now.withColumn("part", F.floor(F.col("ord") / STRETCH))
-        tops = held.groupBy(*group, "part").agg(F.max("size").alias("top"))
-        carried = tops.select(*group, "part", F.max("top").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-        inner = F.max("size").over(Window.partitionBy(*group, "part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-        above = held.withColumn("inner", inner).join(carried.hint("merge"), [*group, "part"]).withColumn("above", F.greatest("inner", "carried"))
-        speakers = above.where("above is null or size > above").withColumn("until", F.lead("ord").over(Window.partitionBy(*group).orderBy("ord")))
-        speakers = speakers.where("set <> ''").select("site_id", F.col("set").alias("b"), "leader", F.col("ord").alias("since"), "until")
-        heard = pairs.join(speakers.hint("merge"), ["site_id", "b"]).select("site_id", F.col("a").alias("set"), "leader", "since", "until")
+        tops = held.withColumn("above", before(*group, "part")).where("above is null or size > above")
+        speakers = tops.withColumn("above", before(*group)).where("above is null or size > above").withColumn("until", F.lead("ord").over(Window.partitionBy(*group).orderBy("ord")))
+        speakers = speakers.select("site_id", "sid", "leader", F.col("ord").alias("since"), "until")
+        heard = near.join(speakers.hint("merge"), ["site_id", "sid"]).select("site_id", F.col("to").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "leader", "since", "until")
+        was = now.withColumnRenamed("leader", "was")
         meets = (F.col("since") < F.col("ord")) & (F.col("until").isNull() | (F.col("ord") <= F.col("until")))
-        joined = every.join(heard.hint("merge"), ["site_id", "set"]).where(meets).groupBy("site_id", "ord").agg(F.min("leader").alias("leader"))
-        new = every.join(joined.hint("merge"), ["site_id", "ord"], "left").withColumn("leader", F.coalesce("leader", "ord"))
-        new = _cut(new.join(now.select("site_id", "ord", F.col("leader").alias("was")).hint("merge"), ["site_id", "ord"]))
+        same = [was[c] == heard[c] for c in ("site_id", "sid", "cell")]
+        joined = was.join(heard.hint("merge"), [*same, meets], "left").groupBy(*[was[c] for c in was.columns]).agg(F.min("leader").alias("leader"))
+        new = _cut(joined.withColumn("leader", F.coalesce("leader", "ord")))
         if new.where("leader <> was").isEmpty():
-            return new.select("site_id", "ord", "leader")
+            led = new.select("site_id", "ord", "leader")
+            return every.select("site_id", "ord").join(led.hint("merge"), ["site_id", "ord"], "left").select("site_id", "ord", F.coalesce("leader", "ord").alias("leader"))
         now = new.drop("was")
     raise RuntimeError("leader_groups: no fixed point")
 

@@ -91,3 +91,16 @@ def test_empty_tables(spark):
     rows = spark.createDataFrame([], "site_id string, id int, ord int, set string, label string")
     assert greedy.kept_in_order(rows, rows.select("site_id", "set"), 0.6).collect() == []
     assert greedy.leader_groups(spark.createDataFrame([], "site_id string, ord long, set string, size long")).collect() == []
+
+
+def test_few_candidates_and_long_sets(spark):
+    """Sets that share frequent words in pairs only are not compared; sets of more words than are joined at once are found too."""
+    rng = random.Random(5)
+    short = sorted({key(" ".join(rng.sample([f"w{k}" for k in range(30)], 4))) for _ in range(400)})
+    long = [key(" ".join(rng.sample([f"v{k}" for k in range(22)], rng.randrange(9, 20)))) for _ in range(60)]
+    sets = sorted({*short, *long})
+    df = spark.createDataFrame([("s", t) for t in sets], "site_id string, set string")
+    want = {(a, b) for a in sets for b in sets if likeness(a, b) >= 0.5}
+    assert {(r.a, r.b) for r in greedy.similar_sets(df, 0.5).collect()} == want
+    found = greedy.candidates(df.selectExpr("*", "split(set, ' ') as words"), 0.5).where("size(split(a, ' ')) = 4 and size(split(b, ' ')) = 4").count()
+    assert found == sum(a < b and len(a.split()) == len(b.split()) == 4 for a, b in want)
