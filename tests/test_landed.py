@@ -104,3 +104,12 @@ def test_backlinks_and_comparison(spark):
     sites = c.comparison(pages, inbound, flags)
     assert {tuple(r) for r in sites.collect()} == {("s", 3, 150, "A,B", 33, 40, 60), ("t", 1, 10, "", 0, 10, 20)}
     assert {(r.measure, r.ours, r.theirs) for r in c.compared(sites, "s").collect()} == {("pages", 3, 1), ("avg_words", 150, 10), ("orphan_percent", 33, 0), ("aeo_score", 40, 10), ("geo_score", 60, 20)}
+
+
+def test_backlinks_read_hosts_once_and_sort_no_host(spark):
+    shape = "site_id string, page_ord long, page string, title string, h1 string, link_ord long, target string, anchor string"
+    links = [("s", 1, "https://s.e/a", "t", "h", 1, "https://a.e/x", a) for a in ("Our partner", "none")] + [("s", k, "https://s.e/b", "t", None, 1, f"https://a.e/{k}", None) for k in range(2, 9)]
+    out = c.backlink_domains(spark.createDataFrame(links, shape))
+    assert [tuple(r) for r in out.collect()] == [("s", "a.e", "Other", 8, 0, "https://a.e/x https://a.e/x https://a.e/2")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "regexp" not in plan.lower()
