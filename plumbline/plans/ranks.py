@@ -112,7 +112,7 @@ def tracked_results(spark, sf):
 
 
 def inbound_links(spark, sf):
-    return links.inbound(src.link_edges(spark, sf))
+    return links.inbound(src.link_edges(spark, sf), unique=True)
 
 
 def orphans(spark, sf):

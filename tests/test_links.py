@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 
 from plumbline.operators import competitors, links
+from plumbline.plans import ranks
 
 
 def test_pages_deeper_than_64_clicks_are_reached_and_sites_stay_apart(spark):
@@ -47,3 +49,14 @@ def test_a_long_way_settles_in_few_rounds(spark):
     random.Random(3).shuffle(order)
     edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
     assert {r.root for r in competitors.connected(edges, most=8).collect()} == {0}
+
+
+def test_edges_that_come_once_are_grouped_once(spark):
+    """inbound_links kept its edges in four tables of a task: to drop repeats, twice to tell sources apart, and by target."""
+    edges = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("a", 3, 2), ("a", 2, 2), ("a", None, 2), ("b", 1, 2), ("b", 2, 1)], "site_id string, src long, dst long")
+    want = {("a", 2, 2, 2, 1), ("b", 2, 1, 1, 1), ("b", 1, 1, 1, 2)}
+    assert {tuple(r) for r in links.inbound(edges.distinct(), unique=True).collect()} == {tuple(r) for r in links.inbound(edges.distinct()).collect()} == want
+    assert {tuple(r) for r in links.inbound(edges).collect()} == want - {("a", 2, 2, 2, 1)} | {("a", 2, 3, 2, 1)}
+    plan = ranks.inbound_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    by_edge = [x for x in re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan) if "src" in x]
+    assert len(by_edge) == 2 and "count(distinct" not in plan  # before and after the shuffle that drops repeats
