@@ -6,8 +6,11 @@ shared checkpoint folder.
 
 from __future__ import annotations
 
-from itertools import count
+import heapq
+from collections import defaultdict
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +18,8 @@ from pyspark.sql.window import Window
 from plumbline.functions.text import jaccard
 from plumbline.operators.links import _cut
 
-#: Rows of a group, by order, that one window looks at, and rows of a set that meet its speakers in one cell.
-STRETCH = 4096
+#: Rows of a site that one task goes through at once; LINKS neighbours of their sets count as a row.
+STRETCH, LINKS = 131072, 16
 
 
 def set_key(words: Column) -> Column:
@@ -114,43 +117,74 @@ def kept_in_order(rows: DataFrame, existing: DataFrame, least: float) -> DataFra
     return every.select("site_id", "id").join(found.withColumn("kept", F.lit(True)).hint("merge"), ["site_id", "id"], "left").select("site_id", "id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-def leader_groups(rows: DataFrame, least: float = 0.5, most: int | None = None) -> DataFrame:
+def _walked(cell: pa.Table) -> pa.Table:
+    """The loop over the rows of one stretch of a site: ``site_id, ord, leader`` of each, and ``site_id, leader, sid, size`` of groups that got another speaker.
+
+    ``kind`` 0 is a row (sid, x = ord, y = size), 1 two near sets of the stretch (sid, x), 2 a group of before (x, y = size) whose speaker is near ``sid``.
+    """
+    cell = cell.combine_chunks()
+    of = lambda k, *by: [t[c].to_pylist() for t in [cell.filter(pc.equal(cell["kind"], k)).sort_by([(c, "ascending") for c in by])] for c in ("sid", "x", "y")]
+    near, heard, size, turn = defaultdict(list), defaultdict(list), {}, defaultdict(int)
+    for a, b, _ in zip(*of(1, "sid")):
+        near[a].append(b)
+    # of each set the groups that it is near to, oldest first; an entry holds until its group's next turn
+    for sid, group, top in zip(*of(2, "sid", "x")):
+        heard[sid].append((group, 0))
+        size[group] = top
+    leaders, speaks = [], {}
+    sids, ords, sizes = of(0, "x")
+    for sid, at, words in zip(sids, ords, sizes):
+        groups = heard[sid]
+        while groups and turn[groups[0][0]] != groups[0][1]:
+            heapq.heappop(groups)
+        group = groups[0][0] if groups else at
+        leaders.append(group)
+        if not groups or (words is not None and size[group] is not None and words > size[group]):
+            turn[group] += 1
+            size[group], speaks[group] = words, sid
+            for other in near[sid]:
+                heapq.heappush(heard[other], (group, turn[group]))
+    longs = lambda x: pa.array(x, pa.int64())
+    none, gone = [None] * len(leaders), [None] * len(speaks)
+    site = pa.array([cell["site_id"][0].as_py()] * (len(leaders) + len(speaks)), cell["site_id"].type)
+    return pa.table({"site_id": site, "ord": longs(ords + gone), "leader": longs(leaders + list(speaks)), "sid": longs(none + list(speaks.values())), "size": longs(none + [size[g] for g in speaks])})
+
+
+def leader_groups(rows: DataFrame, least: float = 0.5) -> DataFrame:
     """Groups of similar rows as a pass in order makes them: ``site_id, ord, leader`` (the first row of the group).
 
     ``rows``: site_id, ord (long, one each), set, size.  A row joins the first group whose speaker is similar enough, and speaks for it from
-    then on if its size exceeds all before; without such a group, or without words, it opens one.  A guess of all groups gives the speakers at each time, and
-    these give every row's group; after each round at least one more row of every site agrees with the loop, and rows that do not
-    hang together agree at once.  The round that changes nothing is the answer.
+    then on if its size exceeds all before; without such a group, or without words, it opens one.  Rows that hang together with no other are settled; the others of a
+    site are gone through in stretches, one after the other (all sites at once): a task gets the rows of a stretch, the pairs of near sets among them and the groups
+    of before that they are near to, and the groups' speakers are written between two stretches.
     """
     every = _cut(rows.select("site_id", F.col("ord").cast("long").alias("ord"), "set", F.col("size").cast("long").alias("size")))
     pairs = similar_sets(every.select("site_id", "set"), least)
     # a set goes by its first row; one that no other row is like is settled
     sets = every.where("set <> ''").groupBy("site_id", "set").agg(F.min("ord").alias("sid"), F.count("*").alias("n"))
     around = pairs.groupBy("site_id", F.col("a").alias("set")).agg(F.count("*").alias("around"))
-    live = _cut(sets.join(around.hint("merge"), ["site_id", "set"]).where("n > 1 or around > 1").select("site_id", "set", "sid", F.ceil(F.col("n") / STRETCH).cast("int").alias("cells")))
-    a, b = live.select("site_id", F.col("set").alias("a"), F.col("sid").alias("to"), "cells"), live.select("site_id", F.col("set").alias("b"), "sid")
-    near = _cut(pairs.join(a.hint("merge"), ["site_id", "a"]).join(b.hint("merge"), ["site_id", "b"]).select("site_id", "sid", "to", "cells"))
-    cell = F.pmod(F.xxhash64("ord"), F.col("cells")).cast("int")
-    now = _cut(every.join(live.hint("merge"), ["site_id", "set"]).select("site_id", "ord", "size", "sid", cell.alias("cell"), F.col("sid").alias("leader")))
-    group = ["site_id", "leader"]
-    before = lambda *by: F.max("size").over(Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    for _ in count() if most is None else range(most):
-        # who exceeds all before in a stretch, and of these who exceeds all before in the group
-        held = now.withColumn("part", F.floor(F.col("ord") / STRETCH))
-        tops = held.withColumn("above", before(*group, "part")).where("above is null or size > above")
-        speakers = tops.withColumn("above", before(*group)).where("above is null or size > above").withColumn("until", F.lead("ord").over(Window.partitionBy(*group).orderBy("ord")))
-        speakers = speakers.select("site_id", "sid", "leader", F.col("ord").alias("since"), "until")
-        heard = near.join(speakers.hint("merge"), ["site_id", "sid"]).select("site_id", F.col("to").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "leader", "since", "until")
-        was = now.withColumnRenamed("leader", "was")
-        meets = (F.col("since") < F.col("ord")) & (F.col("until").isNull() | (F.col("ord") <= F.col("until")))
-        same = [was[c] == heard[c] for c in ("site_id", "sid", "cell")]
-        joined = was.join(heard.hint("merge"), [*same, meets], "left").groupBy(*[was[c] for c in was.columns]).agg(F.min("leader").alias("leader"))
-        new = _cut(joined.withColumn("leader", F.coalesce("leader", "ord")))
-        if new.where("leader <> was").isEmpty():
-            led = new.select("site_id", "ord", "leader")
-            return every.select("site_id", "ord").join(led.hint("merge"), ["site_id", "ord"], "left").select("site_id", "ord", F.coalesce("leader", "ord").alias("leader"))
-        now = new.drop("was")
-    raise RuntimeError("leader_groups: no fixed point")
+    live = _cut(sets.join(around.hint("merge"), ["site_id", "set"]).where("n > 1 or around > 1").select("site_id", "set", "sid", (1 + F.col("around") / F.col("n") / LINKS).alias("weight")))
+    a, b = live.select("site_id", F.col("set").alias("a"), "sid"), live.select("site_id", F.col("set").alias("b"), F.col("sid").alias("to"))
+    near = _cut(pairs.join(a.hint("merge"), ["site_id", "a"]).join(b.hint("merge"), ["site_id", "b"]).select("site_id", "sid", "to"))
+    so_far = F.sum("weight").over(Window.partitionBy("site_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    now = _cut(every.join(live.hint("merge"), ["site_id", "set"]).select("site_id", "ord", "size", "sid", F.floor(so_far / STRETCH).cast("int").alias("part")))
+    kind = every.schema["site_id"].dataType.simpleString()
+    led, spoken = every.select("site_id", "ord", F.col("ord").alias("leader")).limit(0), None
+    for part in range((now.agg(F.max("part")).first()[0] or 0) + 1):
+        own = now.where(F.col("part") == part)
+        here = own.select("site_id", "sid").distinct()
+        there = here.withColumnRenamed("sid", "to")
+        inner = near.join(here.hint("merge"), ["site_id", "sid"], "left_semi").join(there.hint("merge"), ["site_id", "to"], "left_semi")
+        task = own.select("site_id", F.lit(0).alias("kind"), "sid", F.col("ord").alias("x"), F.col("size").alias("y"))
+        task = task.union(inner.select("site_id", F.lit(1), "sid", "to", F.lit(None).cast("long")))
+        if spoken is not None:
+            before = spoken.join(near.hint("merge"), ["site_id", "sid"]).join(there.hint("merge"), ["site_id", "to"], "left_semi")
+            task = task.union(before.select("site_id", F.lit(2), "to", "leader", "size"))
+        done = _cut(task.groupBy("site_id").applyInArrow(_walked, f"site_id {kind}, ord long, leader long, sid long, size long"))
+        led = led.union(done.where("ord is not null").select("site_id", "ord", "leader"))
+        changed = done.where("ord is null").select("site_id", "leader", "sid", "size")
+        spoken = changed if spoken is None else _cut(spoken.join(changed.hint("merge"), ["site_id", "leader"], "left_anti").union(changed))
+    return every.select("site_id", "ord").join(led.hint("merge"), ["site_id", "ord"], "left").select("site_id", "ord", F.coalesce("leader", "ord").alias("leader"))
 
 
 def alternated(rows: Column, kind: str) -> Column:

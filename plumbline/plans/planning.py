@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import competitors as cp
 from plumbline.operators import content as op
+from plumbline.operators.links import _cut
 from plumbline.sources import driver_tables as src
 
 START = "2024-01-01"
@@ -40,8 +41,8 @@ def _unmatched(spark, sf):
 
 
 def missing_pages(spark, sf):
-    """Topics by the first words of each source's documents."""
-    rows = _unmatched(spark, sf)
+    """Topics by the first words of each source's documents, whose texts are read once."""
+    rows = _cut(_unmatched(spark, sf))
     return cp.missing_pages(rows, cp.page_groups(rows))
 
 

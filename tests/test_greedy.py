@@ -104,3 +104,28 @@ def test_few_candidates_and_long_sets(spark):
     assert {(r.a, r.b) for r in greedy.similar_sets(df, 0.5).collect()} == want
     found = greedy.candidates(df.selectExpr("*", "split(set, ' ') as words"), 0.5).where("size(split(a, ' ')) = 4 and size(split(b, ' ')) = 4").count()
     assert found == sum(a < b and len(a.split()) == len(b.split()) == 4 for a, b in want)
+
+
+def test_leader_groups_write_as_often_for_long_chains(spark, monkeypatch):
+    """Decisions that each wait for the one before are gone through in one piece, and groups are handed on from stretch to stretch."""
+    cuts = []
+    monkeypatch.setattr(greedy, "_cut", lambda df, cut=greedy._cut: cuts.append(1) or cut(df))
+    rng = random.Random(6)
+    rows, want = [], {}
+    for k in range(48):
+        rows.append(("s", k, key(f"w{k:02} w{k + 1:02} w{k + 2:02}"), rng.randrange(6) if k % 3 else 10 + k))
+    rows += [("s", 100 + k, key(f"w{k:02} w{k + 1:02} w{k + 2:02}"), 200 - k) for k in range(0, 48, 5)] + [("s", 200, "", 1), ("s", 201, "alone", 1)]
+    groups = []
+    for _, k, t, size in rows:
+        g = next((g for g in groups if likeness(g["t"], t) >= 0.5), None)
+        if g is None:
+            groups.append({"t": t, "size": size, "first": k})
+            g = groups[-1]
+        elif size > g["size"]:
+            g["t"], g["size"] = t, size
+        want[k] = g["first"]
+    df = spark.createDataFrame(rows, "site_id string, ord long, set string, size long")
+    assert {r.ord: r.leader for r in greedy.leader_groups(df).collect()} == want
+    assert len(cuts) <= 8
+    monkeypatch.setattr(greedy, "STRETCH", 20)
+    assert {r.ord: r.leader for r in greedy.leader_groups(df).collect()} == want
